@@ -174,3 +174,236 @@ def daily_filtered(spark, sf):
 def rows_per_store(spark, sf):
     """Rows per store."""
     return TB.rows_per_store(_flat(spark, sf))
+
+
+# ---------------------------------------------------------------- phase 2: metrics
+
+from trolley.operators import metrics as M  # noqa: E402
+
+_FF = f"ff AS (SELECT * FROM flat WHERE {SQL_FILTER})"
+_DAILY_ALL = """
+daily AS (SELECT fecha, id_tienda, count(DISTINCT id_cliente) AS n_transacciones, count(*) AS n_items,
+                 CAST(isodow(fecha) - 1 AS INTEGER) AS dia_semana, CAST(week(fecha) AS INTEGER) AS semana,
+                 CAST(month(fecha) AS INTEGER) AS mes
+          FROM flat GROUP BY fecha, id_tienda)"""
+
+
+def _kpi_sql(src: str) -> str:
+    return f"""
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_items,
+       CAST(coalesce(sum(t), 0) AS BIGINT) AS total_transacciones,
+       (SELECT count(DISTINCT id_cliente) FROM {src}) AS clientes_unicos,
+       (SELECT count(DISTINCT nombre_categoria) FROM {src}) AS categorias_activas,
+       CASE WHEN coalesce(sum(n), 0) > 1 THEN {r("CAST(coalesce(sum(n) FILTER (WHERE fecha > (SELECT m FROM mid)), 0) - coalesce(sum(n) FILTER (WHERE fecha <= (SELECT m FROM mid)), 0) AS DOUBLE) / CAST(greatest(coalesce(sum(n) FILTER (WHERE fecha <= (SELECT m FROM mid)), 0), 1) AS DOUBLE) * 100.0", 1)} END AS delta_items_pct,
+       CASE WHEN coalesce(sum(n), 0) > 1 THEN {r("CAST(coalesce(sum(t) FILTER (WHERE fecha > (SELECT m FROM mid)), 0) - coalesce(sum(t) FILTER (WHERE fecha <= (SELECT m FROM mid)), 0) AS DOUBLE) / CAST(greatest(coalesce(sum(t) FILTER (WHERE fecha <= (SELECT m FROM mid)), 0), 1) AS DOUBLE) * 100.0", 1)} END AS delta_trans_pct
+FROM pdt"""
+
+
+def _kpi_ctes(src: str) -> list[str]:
+    return [
+        f"""dd AS (SELECT fecha, id_tienda, count(DISTINCT id_cliente) AS t, count(*) AS n FROM {src} GROUP BY fecha, id_tienda)""",
+        "pdt AS (SELECT fecha, sum(n) AS n, sum(t) AS t FROM dd GROUP BY fecha)",
+        # literal definition of the split date: element n//2 (0-based) of the sorted item dates
+        f"""mid AS (SELECT fecha AS m FROM (SELECT fecha, row_number() OVER (ORDER BY fecha) - 1 AS i FROM {src}) s
+                WHERE i = (SELECT count(*) FROM {src}) // 2)""",
+    ]
+
+
+@register("summary_kpis", q(_kpi_sql("flat"), *_kpi_ctes("flat")))
+def summary_kpis(spark, sf):
+    """A6 + A7 on the whole table."""
+    return M.summary_kpis(_flat(spark, sf))
+
+
+@register("summary_kpis_filtered", q(_kpi_sql("ff"), _FF, *_kpi_ctes("ff")))
+def summary_kpis_filtered(spark, sf):
+    """A6 + A7 under a store/date filter."""
+    return M.summary_kpis(_filtered(spark, sf))
+
+
+@register("category_counts_filtered", q(
+    "SELECT nombre_categoria, count(*) AS frecuencia FROM ff GROUP BY nombre_categoria", _FF))
+def category_counts_filtered(spark, sf):
+    """A8 under a filter."""
+    return M.category_counts(_filtered(spark, sf))
+
+
+@register("category_evolution", q("""
+SELECT strftime(CAST(date_trunc('week', fecha) AS DATE), '%Y-%m-%d') AS semana, nombre_categoria,
+       count(*) AS frecuencia
+FROM flat WHERE nombre_categoria IN (SELECT nombre_categoria FROM top)
+GROUP BY 1, 2""", """top AS (SELECT nombre_categoria FROM flat GROUP BY nombre_categoria
+                             ORDER BY count(*) DESC, nombre_categoria LIMIT 5)"""))
+def category_evolution(spark, sf):
+    """A9 + P5 + J5: weekly counts of the top 5 categories."""
+    return M.category_evolution(_flat(spark, sf), 5)
+
+
+@register("category_evolution_filtered", q("""
+SELECT strftime(CAST(date_trunc('week', fecha) AS DATE), '%Y-%m-%d') AS semana, nombre_categoria,
+       count(*) AS frecuencia
+FROM ff WHERE nombre_categoria IN (SELECT nombre_categoria FROM top)
+GROUP BY 1, 2""", _FF, """top AS (SELECT nombre_categoria FROM ff GROUP BY nombre_categoria
+                             ORDER BY count(*) DESC, nombre_categoria LIMIT 3)"""))
+def category_evolution_filtered(spark, sf):
+    """A9 under a filter, top 3."""
+    return M.category_evolution(_filtered(spark, sf), 3)
+
+
+@register("category_share_top10", q("""
+SELECT nombre_categoria, frecuencia FROM rk WHERE rn <= 10
+UNION ALL
+SELECT 'Otras' AS nombre_categoria, CAST(sum(frecuencia) AS BIGINT) AS frecuencia FROM rk WHERE rn > 10
+HAVING sum(frecuencia) > 0""", """cc AS (SELECT nombre_categoria, count(*) AS frecuencia FROM flat GROUP BY 1)""",
+    """rk AS (SELECT *, row_number() OVER (ORDER BY frecuencia DESC, nombre_categoria) AS rn FROM cc)"""))
+def category_share_top10(spark, sf):
+    """A13 + W3 + U7: top 10 categories and the rest as 'Otras'."""
+    return M.category_share_top10(_flat(spark, sf))
+
+
+@register("top_customers_filtered", q(
+    "SELECT id_cliente, count(*) AS total_items FROM ff GROUP BY id_cliente ORDER BY 2 DESC, 1 LIMIT 10", _FF))
+def top_customers_filtered(spark, sf):
+    """A10 + O2 under a filter."""
+    return M.top_customers(_filtered(spark, sf), 10)
+
+
+@register("top_customers", q(
+    "SELECT id_cliente, count(*) AS total_items FROM flat GROUP BY id_cliente ORDER BY 2 DESC, 1 LIMIT 25"))
+def top_customers(spark, sf):
+    """A10 on the whole table, n = 25."""
+    return M.top_customers(_flat(spark, sf), 25)
+
+
+def _daily(spark, sf):
+    return TB.daily_summary(_flat(spark, sf), ordered=False)
+
+
+@register("time_series_daily", q(
+    "SELECT fecha AS periodo, CAST(sum(n_transacciones) AS BIGINT) AS n_transacciones FROM daily GROUP BY fecha",
+    _DAILY_ALL))
+def time_series_daily(spark, sf):
+    """A11, daily, all stores."""
+    return M.time_series(_daily(spark, sf), "D", False)
+
+
+@register("time_series_weekly_by_store", q("""
+SELECT CAST(date_trunc('week', fecha) AS DATE) AS periodo, id_tienda,
+       CAST(sum(n_transacciones) AS BIGINT) AS n_transacciones
+FROM daily GROUP BY 1, 2""", _DAILY_ALL))
+def time_series_weekly_by_store(spark, sf):
+    """A11, Monday weeks, per store."""
+    return M.time_series(_daily(spark, sf), "W", True)
+
+
+@register("peak_days_long", q("""
+SELECT dia_semana, semana, CAST(sum(n_transacciones) AS BIGINT) AS n_transacciones
+FROM daily GROUP BY 1, 2""", _DAILY_ALL))
+def peak_days_long(spark, sf):
+    """A12 in long form."""
+    return M.peak_days_long(_daily(spark, sf))
+
+
+@register("peak_days_pivot", q(
+    "SELECT dia_semana, " + ", ".join(
+        f'CAST(coalesce(sum(n_transacciones) FILTER (WHERE semana = {k}), 0) AS BIGINT) AS "{k}"'
+        for k in range(1, 54)) + " FROM daily GROUP BY dia_semana", _DAILY_ALL))
+def peak_days_pivot(spark, sf):
+    """A12 weekday x ISO-week matrix with zero fill (all 53 weeks occur in the test data)."""
+    return M.peak_days_pivot(_daily(spark, sf))
+
+
+_FEATS = ["frecuencia", "n_productos_distintos", "volumen_total", "n_categorias_distintas"]
+
+
+@register("describe_features", q(" UNION ALL ".join(f"""
+SELECT '{f}' AS variable, count({f}) AS count, {r(f"avg({f})", 2)} AS mean, {r(f"stddev_samp({f})", 2)} AS std,
+       {r(f"CAST(min({f}) AS DOUBLE)", 2)} AS min, {r(f"quantile_cont({f}, 0.25)", 2)} AS q1,
+       {r(f"quantile_cont({f}, 0.5)", 2)} AS median, {r(f"quantile_cont({f}, 0.75)", 2)} AS q3,
+       {r(f"CAST(max({f}) AS DOUBLE)", 2)} AS max FROM customers""" for f in _FEATS), _CUSTOMER_FEATURES_CTE))
+def describe_features(spark, sf):
+    """A14 for the four customer features."""
+    return M.describe_features(TB.customer_features(_flat(spark, sf)))
+
+
+@register("box_stats_volumen", q(f"""
+SELECT f.id_tienda, CAST(f.n AS BIGINT) AS n, {r("f.q1", 4)} AS q1, {r("f.median", 4)} AS median, {r("f.q3", 4)} AS q3,
+       {r("f.lo_fence", 4)} AS lo_fence, {r("f.hi_fence", 4)} AS hi_fence,
+       {r("min(k.v) FILTER (WHERE k.v >= f.lo_fence)", 4)} AS whisker_lo,
+       {r("max(k.v) FILTER (WHERE k.v <= f.hi_fence)", 4)} AS whisker_hi,
+       count(*) FILTER (WHERE k.v < f.lo_fence OR k.v > f.hi_fence) AS n_outliers
+FROM f JOIN k ON f.id_tienda = k.id_tienda
+GROUP BY f.id_tienda, f.n, f.q1, f.median, f.q3, f.lo_fence, f.hi_fence""", _CUSTOMER_FEATURES_CTE,
+    "p AS (SELECT quantile_cont(volumen_total, 0.99) AS p99 FROM customers)",
+    "k AS (SELECT id_tienda, CAST(volumen_total AS DOUBLE) AS v FROM customers, p WHERE volumen_total <= p99)",
+    """qq AS (SELECT id_tienda, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+                    quantile_cont(v, 0.75) AS q3 FROM k GROUP BY id_tienda)""",
+    "f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_fence, q3 + 1.5 * (q3 - q1) AS hi_fence FROM qq)"))
+def box_stats_volumen(spark, sf):
+    """A15 + P7 for volumen_total."""
+    return M.box_stats(TB.customer_features(_flat(spark, sf)), "volumen_total")
+
+
+@register("correlation_matrix", q(" UNION ALL ".join(
+    f"SELECT '{a}' AS var_x, '{b}' AS var_y, {r(f'corr({a}, {b})', 6)} AS corr FROM customers"
+    for a in _FEATS for b in _FEATS), _CUSTOMER_FEATURES_CTE))
+def correlation_matrix(spark, sf):
+    """Pearson matrix of the customer features (long form, 6 dp)."""
+    return M.correlation_matrix(TB.customer_features(_flat(spark, sf)))
+
+
+@register("dataset_profile", q("""
+SELECT count(*) AS n_items, count(DISTINCT id_cliente) AS n_clientes, count(DISTINCT id_producto) AS n_productos,
+       count(DISTINCT nombre_categoria) AS n_categorias, count(DISTINCT id_tienda) AS n_tiendas,
+       min(fecha) AS fecha_min, max(fecha) AS fecha_max FROM flat"""))
+def dataset_profile(spark, sf):
+    """R1."""
+    return M.dataset_profile(_flat(spark, sf))
+
+
+@register("store_profile", q(f"""
+SELECT id_tienda, n_items, {r("CAST(n_items AS DOUBLE) / CAST(sum(n_items) OVER () AS DOUBLE) * 100.0", 2)} AS pct_items,
+       n_clientes
+FROM (SELECT id_tienda, count(*) AS n_items, count(DISTINCT id_cliente) AS n_clientes FROM flat GROUP BY 1) s"""))
+def store_profile(spark, sf):
+    """R2 + W6."""
+    return M.store_profile(_flat(spark, sf))
+
+
+@register("category_share", q(f"""
+SELECT nombre_categoria, frecuencia,
+       {r("CAST(frecuencia AS DOUBLE) / CAST(sum(frecuencia) OVER () AS DOUBLE) * 100.0", 2)} AS pct_items
+FROM (SELECT nombre_categoria, count(*) AS frecuencia FROM flat GROUP BY 1) s"""))
+def category_share(spark, sf):
+    """R3."""
+    return M.category_share(_flat(spark, sf))
+
+
+@register("daily_peak", q(f"""
+SELECT {r("avg(t)", 2)} AS mean_trans_dia, CAST(max(t) AS BIGINT) AS max_trans_dia,
+       (SELECT fecha FROM pd2 ORDER BY t DESC, fecha LIMIT 1) AS fecha_pico FROM pd2""", _DAILY_ALL,
+    "pd2 AS (SELECT fecha, sum(n_transacciones) AS t FROM daily GROUP BY fecha)"))
+def daily_peak(spark, sf):
+    """R4."""
+    return M.daily_peak(_daily(spark, sf))
+
+
+@register("basket_size_stats", q(f"""
+SELECT count(*) AS n_baskets, {r("avg(n)", 2)} AS mean_basket, {r("quantile_cont(n, 0.5)", 2)} AS median_basket
+FROM (SELECT fecha, id_tienda, id_cliente, count(*) AS n FROM flat GROUP BY 1, 2, 3) b"""))
+def basket_size_stats(spark, sf):
+    """R5."""
+    return M.basket_size_stats(_flat(spark, sf))
+
+
+@register("items_by_weekday", q("SELECT dia_semana, count(*) AS n_items FROM flat GROUP BY 1"))
+def items_by_weekday(spark, sf):
+    """R6."""
+    return M.items_by_weekday(_flat(spark, sf))
+
+
+@register("transactions_by_month", q(
+    "SELECT mes, CAST(sum(n_transacciones) AS BIGINT) AS n_transacciones FROM daily GROUP BY mes", _DAILY_ALL))
+def transactions_by_month(spark, sf):
+    """R7."""
+    return M.transactions_by_month(_daily(spark, sf))
