@@ -407,3 +407,223 @@ def items_by_weekday(spark, sf):
 def transactions_by_month(spark, sf):
     """R7."""
     return M.transactions_by_month(_daily(spark, sf))
+
+
+# ---------------------------------------------------------------- phase 3: baskets and rules
+
+from trolley.operators import rules as RU  # noqa: E402
+from trolley.plans.joins import checked_broadcast  # noqa: E402
+
+
+def _txt(c: str):
+    """Array column as 'a|b|c' text (stable value hash across engines)."""
+    return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), "|").alias(c)
+
+
+def _rules_txt(df: DataFrame) -> DataFrame:
+    return df.select(_txt("antecedents"), _txt("consequents"), "support", "confidence", "lift")
+
+
+def _part_items(spark, sf, attr: str) -> DataFrame:
+    """Basket keys + a part attribute per item (the test data's coarser item universe)."""
+    part = checked_broadcast(retail(spark, sf).t("part").select("p_partkey", attr))
+    return (_flat(spark, sf).select("fecha", "id_tienda", "id_cliente", "id_producto")
+            .join(part, F.col("id_producto") == F.col("p_partkey"))
+            .select("fecha", "id_tienda", "id_cliente", F.col(attr).alias("item")))
+
+
+def _type_rules(spark, sf, frac=1.0, conf=0.1):
+    return RU.compute_association_rules(_part_items(spark, sf, "p_type"), "item",
+                                        sample_frac=frac, min_support=0.01, min_confidence=conf)
+
+
+_SAMPLE_SQL = "substr(md5(concat_ws('|', fecha, id_tienda, id_cliente)), 1, 8) < '{t}'"
+
+
+def _type_baskets_ctes(frac: float) -> list[str]:
+    where = "TRUE" if frac >= 1.0 else _SAMPLE_SQL.format(t=RU.hash_sample_threshold(frac))
+    return [
+        "ti AS (SELECT f.fecha, f.id_tienda, f.id_cliente, p.p_type AS item FROM flat f JOIN part p ON f.id_producto = p.p_partkey)",
+        "bk AS (SELECT fecha, id_tienda, id_cliente, list_sort(list(DISTINCT item)) AS items FROM ti GROUP BY 1, 2, 3)",
+        f"bks AS (SELECT * FROM bk WHERE {where})",
+        "nb AS (SELECT count(*) AS n FROM bks)",
+        "u AS (SELECT list_sort(list(DISTINCT x)) AS all_items FROM (SELECT unnest(items) AS x FROM bks) s)",
+        # every subset of the item universe, by bit mask
+        """cand AS (SELECT list_filter(all_items, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS items
+                  FROM (SELECT all_items, unnest(range(1, CAST(pow(2, len(all_items)) AS BIGINT))) AS m FROM u) s)""",
+        """fi AS (SELECT c.items, count(*) AS freq FROM cand c JOIN bks b ON list_has_all(b.items, c.items)
+                GROUP BY c.items HAVING count(*) >= ceil(0.01 * (SELECT n FROM nb)))""",
+    ]
+
+
+def _rules_sql_tail(conf: float) -> tuple[str, list[str]]:
+    ctes = [
+        # antecedent = any proper non-empty frequent subset of a frequent itemset
+        """sp AS (SELECT x.freq, a.items AS antecedents, a.freq AS afreq,
+                       list_filter(x.items, lambda e: NOT list_contains(a.items, e)) AS consequents
+                FROM fi x JOIN fi a ON len(a.items) < len(x.items) AND list_has_all(x.items, a.items))""",
+        """rl AS (SELECT sp.antecedents, sp.consequents, sp.freq, c.freq AS cfreq,
+                       CAST(sp.freq AS DOUBLE) / CAST(sp.afreq AS DOUBLE) AS confidence
+                FROM sp JOIN fi c ON c.items = sp.consequents)""",
+    ]
+    select = f"""
+SELECT array_to_string(antecedents, '|') AS antecedents, array_to_string(consequents, '|') AS consequents,
+       {r("CAST(freq AS DOUBLE) / CAST(n AS DOUBLE)", 10)} AS support, {r("confidence", 10)} AS confidence,
+       {r("confidence / (CAST(cfreq AS DOUBLE) / CAST(n AS DOUBLE))", 10)} AS lift
+FROM rl, nb WHERE confidence >= {conf}"""
+    return select, ctes
+
+
+def _rules_sql(conf: float, base_ctes: list[str], outer: str | None = None) -> str:
+    select, ctes = _rules_sql_tail(conf)
+    if outer is None:
+        return q(select, *base_ctes, *ctes)
+    return q(outer, *base_ctes, *ctes, f"rules AS ({select.strip()})")
+
+
+@register("baskets_types", q(
+    "SELECT fecha, id_tienda, id_cliente, array_to_string(items, '|') AS items FROM bk",
+    *_type_baskets_ctes(1.0)[:2]))
+def baskets_types(spark, sf):
+    """Sorted distinct item set per basket (items = part type)."""
+    return RU.baskets(_part_items(spark, sf, "p_type"), "item").select(
+        "fecha", "id_tienda", "id_cliente", _txt("items"))
+
+
+@register("raw_baskets_sampled", q(
+    f"""SELECT fecha, id_tienda, id_cliente,
+       array_to_string(list_sort(list_distinct(list_transform(string_split(basket_raw, ' '), lambda t: CAST(t AS BIGINT)))), '|') AS items
+FROM raw WHERE {_SAMPLE_SQL.format(t=RU.hash_sample_threshold(0.3))}""",
+    """raw AS (SELECT fecha, id_tienda, id_cliente, string_agg(CAST(id_producto AS VARCHAR), ' ') AS basket_raw
+              FROM items GROUP BY fecha, id_tienda, id_cliente)"""))
+def raw_baskets_sampled(spark, sf):
+    """A18 + M1: 30 % deterministic sample of raw basket lines as distinct integer sets."""
+    return RU.hash_sample(RU.raw_baskets(retail(spark, sf).raw), 0.3).select(
+        "fecha", "id_tienda", "id_cliente", _txt("items"))
+
+
+@register("frequent_itemsets_types", q(
+    """SELECT array_to_string(items, '|') AS items, freq,
+              CAST(freq AS DOUBLE) / CAST((SELECT n FROM nb) AS DOUBLE) AS support FROM fi""",
+    *_type_baskets_ctes(1.0)))
+def frequent_itemsets_types(spark, sf):
+    """M2: all frequent itemsets (support 0.01) over part-type baskets."""
+    bk = RU.baskets(_part_items(spark, sf, "p_type"), "item")
+    return RU.frequent_itemsets(bk, 0.01).select(_txt("items"), "freq", "support")
+
+
+@register("association_rules_types", _rules_sql(0.1, _type_baskets_ctes(1.0)))
+def association_rules_types(spark, sf):
+    """M3: all rules incl. multi-item consequents (support 0.01, confidence 0.1)."""
+    return _rules_txt(_type_rules(spark, sf))
+
+
+@register("association_rules_types_sampled", _rules_sql(0.3, _type_baskets_ctes(0.3)))
+def association_rules_types_sampled(spark, sf):
+    """M1 + M2 + M3 with the reference defaults (30 % sample, support 0.01, confidence 0.3)."""
+    return _rules_txt(_type_rules(spark, sf, frac=0.3, conf=0.3))
+
+
+def _levelwise_ctes(item_sql: str, frac: float) -> list[str]:
+    """Itemsets of size <= 3 by level-wise self-joins (exact when no 3-itemset is
+    frequent, which holds for the item universes used with it)."""
+    where = "TRUE" if frac >= 1.0 else _SAMPLE_SQL.format(t=RU.hash_sample_threshold(frac))
+    return [
+        f"bi0 AS (SELECT DISTINCT fecha, id_tienda, id_cliente, {item_sql} AS item FROM flat f {'JOIN part p ON f.id_producto = p.p_partkey' if 'p.' in item_sql else ''})",
+        f"bi AS (SELECT * FROM bi0 WHERE {where})",
+        "nb AS (SELECT count(*) AS n FROM (SELECT DISTINCT fecha, id_tienda, id_cliente FROM bi) s)",
+        "mc AS (SELECT ceil(0.01 * n) AS m FROM nb)",
+        "f1 AS (SELECT item AS i1, count(*) AS freq FROM bi GROUP BY item HAVING count(*) >= (SELECT m FROM mc))",
+        "p1 AS (SELECT * FROM bi WHERE item IN (SELECT i1 FROM f1))",
+        """f2 AS (SELECT a.item AS i1, b.item AS i2, count(*) AS freq FROM p1 a JOIN p1 b
+                ON a.fecha = b.fecha AND a.id_tienda = b.id_tienda AND a.id_cliente = b.id_cliente AND a.item < b.item
+                GROUP BY 1, 2 HAVING count(*) >= (SELECT m FROM mc))""",
+        """f3 AS (SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS freq FROM p1 a
+                JOIN p1 b ON a.fecha = b.fecha AND a.id_tienda = b.id_tienda AND a.id_cliente = b.id_cliente AND a.item < b.item
+                JOIN p1 c ON a.fecha = c.fecha AND a.id_tienda = c.id_tienda AND a.id_cliente = c.id_cliente AND b.item < c.item
+                GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT m FROM mc))""",
+        """fi AS (SELECT [i1] AS items, freq FROM f1 UNION ALL SELECT [i1, i2], freq FROM f2
+                UNION ALL SELECT [i1, i2, i3], freq FROM f3)""",
+    ]
+
+
+@register("association_rules_brands", _rules_sql(0.1, _levelwise_ctes("p.p_brand", 1.0)))
+def association_rules_brands(spark, sf):
+    """M3 over part-brand baskets (25 items; frequent pairs only at this support)."""
+    return _rules_txt(RU.compute_association_rules(_part_items(spark, sf, "p_brand"), "item",
+                                                   sample_frac=1.0, min_support=0.01, min_confidence=0.1))
+
+
+@register("association_rules_products", _rules_sql(0.3, _levelwise_ctes("f.id_producto", 0.3)))
+def association_rules_products(spark, sf):
+    """The reference's own setting: product baskets, 30 % sample, support 0.01, confidence 0.3."""
+    return _rules_txt(RU.compute_association_rules(_flat(spark, sf), "id_producto"))
+
+
+_TYPE_RULES = _type_baskets_ctes(1.0)
+_RULES_SEL = "SELECT array_to_string(antecedents, '|') AS antecedents, array_to_string(consequents, '|') AS consequents, support, confidence, lift"
+
+
+def _rules_inner_sql(conf: float) -> str:
+    select, _ = _rules_sql_tail(conf)
+    return select
+
+
+def _on_type_rules(outer: str) -> str:
+    """Oracle over the type rules (confidence 0.1) kept with list-typed sides."""
+    _, ctes = _rules_sql_tail(0.1)
+    rules_cte = f"""rules AS (SELECT antecedents, consequents,
+        {r("CAST(freq AS DOUBLE) / CAST(n AS DOUBLE)", 10)} AS support, {r("confidence", 10)} AS confidence,
+        {r("confidence / (CAST(cfreq AS DOUBLE) / CAST(n AS DOUBLE))", 10)} AS lift
+        FROM rl, nb WHERE confidence >= 0.1)"""
+    return q(outer, *_TYPE_RULES, *ctes, rules_cte)
+
+
+_RULE_ORDER_SQL = "ORDER BY lift DESC, confidence DESC, support DESC, antecedents, consequents"
+
+
+@register("recommend_for_product", _on_type_rules(
+    f"{_RULES_SEL} FROM rules WHERE list_contains(antecedents, 'PROMO') {_RULE_ORDER_SQL} LIMIT 10"))
+def recommend_for_product(spark, sf):
+    """M4 + P6 + O3: best 10 rules whose antecedent holds 'PROMO'."""
+    return _rules_txt(RU.recommend_for_product(_type_rules(spark, sf), "PROMO", 10))
+
+
+@register("recommend_for_products", _on_type_rules(f"""
+SELECT product, array_to_string(antecedents, '|') AS antecedents, array_to_string(consequents, '|') AS consequents,
+       support, confidence, lift, rank FROM (
+  SELECT p.product, r.*, row_number() OVER (PARTITION BY p.product {_RULE_ORDER_SQL}) AS rank
+  FROM rules r, (SELECT DISTINCT unnest(antecedents) AS product FROM rules) p
+  WHERE list_contains(r.antecedents, p.product)) s WHERE rank <= 3"""))
+def recommend_for_products(spark, sf):
+    """M4 batch form: best 3 rules per antecedent item."""
+    df = RU.recommend_for_products(_type_rules(spark, sf), 3)
+    return df.select("product", _txt("antecedents"), _txt("consequents"), "support", "confidence", "lift",
+                     F.col("rank").cast("long").alias("rank"))
+
+
+@register("rule_products", _on_type_rules(
+    "SELECT DISTINCT unnest(antecedents) AS id_producto FROM rules"))
+def rule_products(spark, sf):
+    """Items that occur in some antecedent."""
+    return RU.rule_products(_type_rules(spark, sf))
+
+
+@register("best_rule", _on_type_rules(
+    f"SELECT lift, confidence, support FROM rules WHERE list_contains(antecedents, 'SMALL') {_RULE_ORDER_SQL} LIMIT 1"))
+def best_rule(spark, sf):
+    """The best rule of one item."""
+    return RU.best_rule(_type_rules(spark, sf), "SMALL")
+
+
+@register("rules_profile", _on_type_rules(
+    f"SELECT count(*) AS n_rules, {r('avg(lift)', 4)} AS mean_lift, {r('avg(confidence)', 4)} AS mean_confidence FROM rules"))
+def rules_profile(spark, sf):
+    """Rule count, mean lift and mean confidence."""
+    return RU.rules_profile(_type_rules(spark, sf))
+
+
+@register("top_rules", _on_type_rules(f"{_RULES_SEL} FROM rules {_RULE_ORDER_SQL} LIMIT 10"))
+def top_rules(spark, sf):
+    """Global best 10 rules by lift."""
+    return _rules_txt(RU.top_rules(_type_rules(spark, sf), 10))
