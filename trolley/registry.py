@@ -627,3 +627,159 @@ def rules_profile(spark, sf):
 def top_rules(spark, sf):
     """Global best 10 rules by lift."""
     return _rules_txt(RU.top_rules(_type_rules(spark, sf), 10))
+
+
+# ---------------------------------------------------------------- phase 4: segmentation
+
+from trolley.functions.labels import FEATURE_LABELS, LEVEL_LABELS  # noqa: E402
+from trolley.operators import segments as SG  # noqa: E402
+
+SEG_K = 4
+SEG_ITERS = 10
+
+
+def _z(spark, sf):
+    cust = SG.select_features(TB.customer_features(_flat(spark, sf)), _FEATS)
+    return SG.standardize(cust, _FEATS)
+
+
+def _lloyd(spark, sf):
+    return SG.lloyd_kmeans(_z(spark, sf), _FEATS, SEG_K, SEG_ITERS)
+
+
+def _lloyd_ctes(k: int = SEG_K, iters: int = SEG_ITERS) -> list[str]:
+    fs = _FEATS
+    ctes = [_CUSTOMER_FEATURES_CTE.strip(),
+            "mom AS (SELECT " + ", ".join(f"avg({f}) AS {f}_mean, stddev_pop({f}) AS {f}_std" for f in fs)
+            + " FROM customers)",
+            "zc AS (SELECT c.id_cliente, " + ", ".join(f"c.{f}" for f in fs) + ", " + ", ".join(
+                f"CASE WHEN {f}_std > 0 THEN {r(f'(CAST(c.{f} AS DOUBLE) - {f}_mean) / {f}_std', 6)} ELSE 0.0 END AS z_{f}"
+                for f in fs) + " FROM customers c, mom)",
+            "c0 AS (SELECT " + ", ".join(f"{r(f'quantile_cont(z_{f}, {(i + 0.5) / k})', 6)} AS c{i}_{f}"
+                                         for i in range(k) for f in fs) + " FROM zc)"]
+
+    def dist(i, t):
+        return " + ".join(f"((z_{f} - c{t}.c{i}_{f}) * (z_{f} - c{t}.c{i}_{f}))" for f in fs)
+
+    def assign(t):
+        lst = "list_value(" + ", ".join(dist(i, t) for i in range(k)) + ")"
+        return (f"a{t} AS (SELECT zc.*, CAST(list_position({lst}, list_min({lst})) - 1 AS INTEGER) AS cluster, "
+                f"list_min({lst}) AS dist2 FROM zc, c{t})")
+
+    for t in range(iters):
+        ctes.append(assign(t))
+        ctes.append(f"m{t} AS (SELECT cluster, " + ", ".join(f"{r(f'avg(z_{f})', 6)} AS z_{f}" for f in fs)
+                    + f" FROM a{t} GROUP BY cluster)")
+        ctes.append(f"c{t + 1} AS (SELECT " + ", ".join(
+            f"coalesce((SELECT z_{f} FROM m{t} WHERE cluster = {i}), c{t}.c{i}_{f}) AS c{i}_{f}"
+            for i in range(k) for f in fs) + f" FROM c{t})")
+    ctes.append(assign(iters))
+    ctes.append(f"seg AS (SELECT * FROM a{iters})")
+    return ctes
+
+
+def _seg_q(select: str, *extra: str) -> str:
+    return q(select, *_lloyd_ctes(), *extra)
+
+
+@register("standardized_features", q(
+    "SELECT id_cliente, " + ", ".join(_FEATS) + ", " + ", ".join(f"z_{f}" for f in _FEATS) + " FROM zc",
+    *_lloyd_ctes()[:3]))
+def standardized_features(spark, sf):
+    """P8 + M5: population z-scores (6 dp)."""
+    return _z(spark, sf)
+
+
+@register("kmeans_lloyd", _seg_q(f"SELECT id_cliente, cluster, {r('dist2', 6)} AS dist2 FROM seg"))
+def kmeans_lloyd(spark, sf):
+    """Deterministic k-means (k=4, quantile init, 10 Lloyd steps) — label per customer."""
+    seg, _ = _lloyd(spark, sf)
+    return seg.select("id_cliente", "cluster", round_even_col("dist2", 6))
+
+
+def round_even_col(c: str, d: int):
+    from trolley.functions.numeric import round_even
+    return round_even(F.col(c), d).alias(c)
+
+
+@register("kmeans_lloyd_inertia", _seg_q(f"SELECT count(*) AS n, {r('sum(dist2)', 4)} AS inertia FROM seg"))
+def kmeans_lloyd_inertia(spark, sf):
+    """Inertia (Σ squared distance to the own centre) of the deterministic k-means."""
+    seg, _ = _lloyd(spark, sf)
+    return seg.agg(F.count(F.lit(1)).alias("n"), SG.round_even(F.sum("dist2"), 4).alias("inertia"))
+
+
+@register("cluster_stats", _seg_q("SELECT cluster, count(*) AS n_clientes, " + ", ".join(
+    f"{r(f'avg(CAST({f} AS DOUBLE))', 2)} AS {f}_mean, {r(f'quantile_cont(CAST({f} AS DOUBLE), 0.5)', 2)} AS {f}_median"
+    for f in _FEATS) + " FROM seg GROUP BY cluster"))
+def cluster_stats(spark, sf):
+    """Size, mean and median per segment."""
+    seg, _ = _lloyd(spark, sf)
+    return SG.cluster_stats(seg, _FEATS)
+
+
+@register("feature_ranges", q(" UNION ALL ".join(
+    f"SELECT '{f}' AS feature, CAST(min({f}) AS DOUBLE) AS min, CAST(max({f}) AS DOUBLE) AS max FROM customers"
+    for f in _FEATS), _CUSTOMER_FEATURES_CTE))
+def feature_ranges(spark, sf):
+    """Global min / max per feature."""
+    return SG.feature_ranges(SG.select_features(TB.customer_features(_flat(spark, sf)), _FEATS), _FEATS)
+
+
+def _level_sql(mean: str, f: str) -> str:
+    lo, hi = f"(SELECT CAST(min({f}) AS DOUBLE) FROM seg)", f"(SELECT CAST(max({f}) AS DOUBLE) FROM seg)"
+    labels = "[" + ", ".join(f"'{x}'" for x in LEVEL_LABELS) + "]"
+    return (f"CASE WHEN {hi} = {lo} THEN 'moderado' ELSE "
+            f"list_extract({labels}, CAST(least(floor(({mean} - {lo}) / ({hi} - {lo}) * 5), 4) AS INTEGER) + 1) END")
+
+
+@register("segment_interpretation", _seg_q(
+    "SELECT cluster, concat_ws(' | ', " + ", ".join(
+        f"concat('{FEATURE_LABELS[f]}: ', {_level_sql(f'{f}_mean', f)})" for f in _FEATS)
+    + ") AS interpretacion FROM st",
+    "st AS (SELECT cluster, " + ", ".join(f"{r(f'avg(CAST({f} AS DOUBLE))', 2)} AS {f}_mean" for f in _FEATS)
+    + " FROM seg GROUP BY cluster)"))
+def segment_interpretation(spark, sf):
+    """M10 + F14 + F15: readable description per segment."""
+    seg, _ = _lloyd(spark, sf)
+    return SG.interpret_segments(seg, _FEATS)
+
+
+@register("segment_profile", _seg_q(
+    "SELECT cluster, n_clientes, " + r("CAST(n_clientes AS DOUBLE) / CAST(sum(n_clientes) OVER () AS DOUBLE) * 100.0", 2)
+    + " AS pct_clientes, " + ", ".join(f"{f}_mean" for f in _FEATS) + " FROM st",
+    "st AS (SELECT cluster, count(*) AS n_clientes, " + ", ".join(
+        f"{r(f'avg(CAST({f} AS DOUBLE))', 2)} AS {f}_mean" for f in _FEATS) + " FROM seg GROUP BY cluster)"))
+def segment_profile(spark, sf):
+    """Segment size, share and feature means."""
+    seg, _ = _lloyd(spark, sf)
+    return SG.segment_profile(seg, _FEATS)
+
+
+@register("kmeans_segments")
+def kmeans_segments(spark, sf):
+    """M6: Spark ML KMeans, k=3 (API default), best of 10 seeds; label per customer (rows-only)."""
+    labelled, _, _ = SG.kmeans(_z(spark, sf), _FEATS, 3, n_init=10)
+    return labelled.select("id_cliente", "cluster")
+
+
+@register("kmeans_centers")
+def kmeans_centers(spark, sf):
+    """M9: centres of the k=3 model in feature units (rows-only)."""
+    z = _z(spark, sf)
+    _, centers, _ = SG.kmeans(z, _FEATS, 3, n_init=10)
+    return SG.centers_original_units(z, centers, _FEATS)
+
+
+@register("kmeans_elbow")
+def kmeans_elbow(spark, sf):
+    """M7: inertia for k = 2..8, best of 5 seeds, 100 iterations (rows-only)."""
+    return SG.elbow_curve(_z(spark, sf), _FEATS)
+
+
+@register("pca_coordinates")
+def pca_coordinates(spark, sf):
+    """M8: 2-D PCA coordinates of the standardized customers with their k=3 label (rows-only)."""
+    labelled, _, _ = SG.kmeans(_z(spark, sf), _FEATS, 3, n_init=10)
+    coords, _ = SG.pca_2d(labelled, _FEATS)
+    return coords.select("id_cliente", "cluster", "pca_x", "pca_y")
