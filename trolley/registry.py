@@ -783,3 +783,97 @@ def pca_coordinates(spark, sf):
     labelled, _, _ = SG.kmeans(_z(spark, sf), _FEATS, 3, n_init=10)
     coords, _ = SG.pca_2d(labelled, _FEATS)
     return coords.select("id_cliente", "cluster", "pca_x", "pca_y")
+
+
+# ---------------------------------------------------------------- phase 5: recommender
+
+from trolley.operators import recommend as RC  # noqa: E402
+
+_CC = "cc AS (SELECT id_cliente, nombre_categoria, count(*) AS n FROM flat GROUP BY 1, 2)"
+_TGT = "tgt AS (SELECT id_cliente AS t FROM flat GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+_SIM_CTES = [
+    _CC, _TGT,
+    "nr AS (SELECT id_cliente, sqrt(sum(n * n)) AS norm FROM cc GROUP BY 1)",
+    "tv AS (SELECT nombre_categoria, n AS tn FROM cc WHERE id_cliente = (SELECT t FROM tgt))",
+    "dt AS (SELECT c.id_cliente, sum(c.n * v.tn) AS dot FROM cc c JOIN tv v USING (nombre_categoria) GROUP BY 1)",
+    """sims AS (SELECT nr.id_cliente,
+                CASE WHEN nr.norm * (SELECT norm FROM nr WHERE id_cliente = (SELECT t FROM tgt)) > 0
+                     THEN CAST(coalesce(dt.dot, 0) AS DOUBLE) / (nr.norm * (SELECT norm FROM nr WHERE id_cliente = (SELECT t FROM tgt)))
+                     ELSE 0.0 END AS sim
+         FROM nr LEFT JOIN dt USING (id_cliente) WHERE nr.id_cliente <> (SELECT t FROM tgt))""",
+    "nb AS (SELECT * FROM sims ORDER BY sim DESC, id_cliente LIMIT 10)",
+]
+
+
+def _target(flat: DataFrame):
+    """The customer with most items (ties: smaller id), as a scalar subquery."""
+    return M.top_customers(flat, 1).select("id_cliente").scalar()
+
+
+@register("customer_category_counts", q("SELECT * FROM cc", _CC))
+def customer_category_counts(spark, sf):
+    """A19 (long form): items per customer and category."""
+    return RC.customer_category_counts(_flat(spark, sf))
+
+
+@register("customer_category_matrix", q(
+    "SELECT id_cliente, COALESCE(COLUMNS(* EXCLUDE (id_cliente)), 0) FROM (PIVOT cc ON nombre_categoria USING first(n) GROUP BY id_cliente) p",
+    _CC))
+def customer_category_matrix(spark, sf):
+    """A19 (wide form): zero-filled customer x category pivot."""
+    return RC.customer_category_matrix(_flat(spark, sf))
+
+
+@register("neighbours_exact", q(f"SELECT id_cliente, {r('sim', 10)} AS sim FROM nb", *_SIM_CTES))
+def neighbours_exact(spark, sf):
+    """M12 + J8 + P11 + W4: 10 nearest customers (exact cosine) of the top customer."""
+    flat = _flat(spark, sf)
+    counts = RC.customer_category_counts(flat)
+    vec = counts.select("id_cliente", F.col("nombre_categoria").alias("dim"), F.col("n").cast("double").alias("val"))
+    nb = RC.nearest_neighbours(RC.cosine_to_target(vec, _target(flat)), 10)
+    return nb.select("id_cliente", round_even_col("sim", 10))
+
+
+@register("recommend_customer_exact", q(f"""
+SELECT nombre_categoria AS categoria, {r('score', 4)} AS score FROM (
+  SELECT c.nombre_categoria, sum(nb.sim) AS score FROM nb JOIN cc c USING (id_cliente)
+  WHERE c.n > 0 AND c.nombre_categoria NOT IN (SELECT nombre_categoria FROM tv)
+  GROUP BY 1) s
+ORDER BY score DESC, categoria LIMIT 5""", *_SIM_CTES))
+def recommend_customer_exact(spark, sf):
+    """M13 (exact cosine) + J6 + A25 + W5 for the top customer."""
+    flat = _flat(spark, sf)
+    return RC.recommend_for_customer(flat, _target(flat), 5, 10, method="exact")
+
+
+@register("recommend_customer_svd")
+def recommend_customer_svd(spark, sf):
+    """M11 + M13 as the reference: rank-min(50, C-1, N-1) SVD, cosine, 10 neighbours (rows-only)."""
+    flat = _flat(spark, sf)
+    return RC.recommend_for_customer(flat, _target(flat), 5, 10, method="svd")
+
+
+@register("recommend_customers_batch", q(f"""
+SELECT target AS id_cliente, nombre_categoria AS categoria, score, rank FROM (
+  SELECT target, nombre_categoria, score,
+         row_number() OVER (PARTITION BY target ORDER BY score DESC, nombre_categoria) AS rank
+  FROM (SELECT s.target, c.nombre_categoria, {r('sum(s.sim)', 4)} AS score
+        FROM nbs s JOIN cc c ON c.id_cliente = s.id_cliente
+        WHERE c.n > 0 AND NOT EXISTS (SELECT 1 FROM cc o WHERE o.id_cliente = s.target AND o.nombre_categoria = c.nombre_categoria)
+        GROUP BY 1, 2) a) b
+WHERE rank <= 5""", _CC,
+    "tg AS (SELECT id_cliente AS target FROM flat GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)",
+    "nr AS (SELECT id_cliente, sqrt(sum(n * n)) AS norm FROM cc GROUP BY 1)",
+    """dts AS (SELECT tg.target, c.id_cliente, sum(c.n * t.n) AS dot
+              FROM tg JOIN cc t ON t.id_cliente = tg.target JOIN cc c ON c.nombre_categoria = t.nombre_categoria
+              WHERE c.id_cliente <> tg.target GROUP BY 1, 2)""",
+    """nbs AS (SELECT * FROM (
+              SELECT d.target, d.id_cliente, CAST(d.dot AS DOUBLE) / (n1.norm * n2.norm) AS sim,
+                     row_number() OVER (PARTITION BY d.target ORDER BY CAST(d.dot AS DOUBLE) / (n1.norm * n2.norm) DESC, d.id_cliente) AS rk
+              FROM dts d JOIN nr n1 ON n1.id_cliente = d.id_cliente JOIN nr n2 ON n2.id_cliente = d.target) x
+            WHERE rk <= 10)"""))
+def recommend_customers_batch(spark, sf):
+    """Exact recommendations for the 5 customers with most items at once."""
+    flat = _flat(spark, sf)
+    targets = M.top_customers(flat, 5).select("id_cliente")
+    return RC.recommend_for_customers(flat, targets, 5, 10).withColumn("rank", F.col("rank").cast("long"))
