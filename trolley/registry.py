@@ -877,3 +877,110 @@ def recommend_customers_batch(spark, sf):
     flat = _flat(spark, sf)
     targets = M.top_customers(flat, 5).select("id_cliente")
     return RC.recommend_for_customers(flat, targets, 5, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+# ---------------------------------------------------------------- phase 6: files, ETL, streaming
+
+import uuid  # noqa: E402
+
+from trolley.plans import etl as ETL  # noqa: E402
+from trolley.session import scratch_path  # noqa: E402
+from trolley.sources import files as FS  # noqa: E402
+from trolley.sources import registry_table as RG  # noqa: E402
+from trolley.streaming import ingest as ST  # noqa: E402
+
+
+def _write_raw_csv(df: DataFrame, path: str) -> None:
+    """Raw lines in the transaction file format (pipe-separated, no header)."""
+    (df.select(F.date_format("fecha", "yyyy-MM-dd").alias("fecha"), F.col("id_tienda").cast("string"),
+               F.col("id_cliente").cast("string"), "basket_raw")
+     .write.mode("overwrite").option("sep", "|").option("header", "false").csv(path))
+
+
+def _write_catalogs(spark, sf, base: str) -> tuple[str, str]:
+    t = retail(spark, sf)
+    cat_path, pc_path = base + "/categories", base + "/product_category"
+    (t.categories.select(F.col("cat_id").cast("string"), "cat_name")
+     .write.mode("overwrite").option("sep", "|").csv(cat_path))
+    (t.product_category.select(F.col("prod_id").cast("string"), F.col("cat_id").cast("string"))
+     .write.mode("overwrite").option("sep", "|").option("header", "true").csv(pc_path))
+    return cat_path, pc_path
+
+
+def _landing(spark, sf, split_year: int | None = None) -> tuple[str, list[str]]:
+    """Raw lines of the test tables written as landing files: one directory, or two
+    (dates before / from ``split_year``) to ingest in two steps."""
+    base = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
+    raw = retail(spark, sf).raw
+    if split_year is None:
+        _write_raw_csv(raw, base + "/all")
+        return base, [base + "/all"]
+    _write_raw_csv(raw.filter(F.year("fecha") < split_year), base + "/part1")
+    _write_raw_csv(raw.filter(F.year("fecha") >= split_year), base + "/part2")
+    return base, [base + "/part1", base + "/part2"]
+
+
+@register("csv_ingest_flat", q("SELECT * FROM flat"))
+def csv_ingest_flat(spark, sf):
+    """S1 + S2 + S3 + S4 + U1: raw lines written as pipe files and catalogs as CSV files,
+    read back with declared schemas -> explode -> dedupe -> categorise == transactions_flat."""
+    base, dirs = _landing(spark, sf)
+    cat_path, pc_path = _write_catalogs(spark, sf, base)
+    lookup = ETL.product_lookup(FS.read_categories(spark, cat_path), FS.read_product_category(spark, pc_path))
+    items = ETL.explode_baskets(FS.read_transactions(spark, dirs[0]).drop("file_name")).dropDuplicates(
+        ["fecha", "id_tienda", "id_cliente", "id_producto"])
+    return add_calendar(categorize(items, lookup))
+
+
+@register("csv_validate", q("""
+SELECT count(*) AS n_lines, CAST(0 AS BIGINT) AS n_wrong_columns, CAST(0 AS BIGINT) AS n_bad_keys,
+       CAST(0 AS BIGINT) AS n_bad_products, count(*) AS n_valid
+FROM (SELECT DISTINCT fecha, id_tienda, id_cliente FROM items) b"""))
+def csv_validate(spark, sf):
+    """S13 over every line of every file, summed over files."""
+    _, dirs = _landing(spark, sf)
+    v = FS.validate(FS.read_raw_lines(spark, dirs[0]))
+    return v.agg(*[F.sum(c).cast("long").alias(c) for c in
+                   ["n_lines", "n_wrong_columns", "n_bad_keys", "n_bad_products", "n_valid"]])
+
+
+def _run_two_step_etl(spark, sf) -> str:
+    """Files arrive in one landing directory in two steps (dates before 1998, then the
+    rest); the ETL runs after each step and must pick up only the new files."""
+    base = scratch_path(spark, f"etl-{uuid.uuid4().hex}")
+    cat_path, pc_path = _write_catalogs(spark, sf, base)
+    landing, out = base + "/landing", base + "/processed"
+    raw = retail(spark, sf).raw
+    for part in (raw.filter(F.year("fecha") < 1998), raw.filter(F.year("fecha") >= 1998)):
+        (part.select(F.date_format("fecha", "yyyy-MM-dd").alias("fecha"), F.col("id_tienda").cast("string"),
+                     F.col("id_cliente").cast("string"), "basket_raw")
+         .write.mode("append").option("sep", "|").csv(landing))
+        ETL.run_etl(spark, landing, cat_path, pc_path, out)
+    return out
+
+
+@register("etl_incremental_flat", q("SELECT * FROM flat"))
+def etl_incremental_flat(spark, sf):
+    """C4 + S9 + S10 + U2 + U3 + T2: two incremental ETL runs == one full load."""
+    out = _run_two_step_etl(spark, sf)
+    return FS.load_table(spark, out, "transactions_flat")
+
+
+@register("etl_incremental_customers", q("SELECT * FROM customers", _CUSTOMER_FEATURES_CTE))
+def etl_incremental_customers(spark, sf):
+    """C5 after two ETL runs: the stored customer_features table."""
+    out = _run_two_step_etl(spark, sf)
+    return FS.load_table(spark, out, "customer_features")
+
+
+@register("stream_ingest_flat", q("SELECT * FROM flat"))
+def stream_ingest_flat(spark, sf):
+    """The landing directory as a file stream (availableNow), foreachBatch append with
+    key dedupe, derived tables refreshed; the stored flat equals the full load."""
+    base, dirs = _landing(spark, sf)
+    cat_path, pc_path = _write_catalogs(spark, sf, base)
+    lookup = ETL.product_lookup(FS.read_categories(spark, cat_path), FS.read_product_category(spark, pc_path))
+    out = base + "/processed"
+    query = ST.start_ingest(spark, dirs[0], lookup, out, base + "/stream-checkpoint")
+    query.awaitTermination()
+    return FS.load_table(spark, out, "transactions_flat")
