@@ -41,7 +41,8 @@ def cosine_to_target(vectors: DataFrame, target, dim: str = "dim", val: str = "v
     dots = (vectors.join(tvec, F.col(dim) == F.col("_d"))
             .groupBy("id_cliente").agg(F.sum(F.col(val) * F.col("_tv")).alias("dot")))
     denom = F.col("norm") * tnorm
-    return (norms.filter(F.col("id_cliente") != t).join(dots, "id_cliente", "left")
+    # an unknown target has no norm: no candidates at all (empty result, as the reference)
+    return (norms.filter((F.col("id_cliente") != t) & tnorm.isNotNull()).join(dots, "id_cliente", "left")
             .select("id_cliente",
                     F.when(denom > 0, F.coalesce(F.col("dot"), F.lit(0.0)).cast("double") / denom)
                     .otherwise(F.lit(0.0)).alias("sim")))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from trolley import schemas as S
 
 CORRUPT = "_corrupt"
-RAW_WITH_CORRUPT = T.StructType(S.RAW_TRANSACTIONS.fields + [T.StructField(CORRUPT, T.StringType())])
 TABLE_SCHEMAS = {
     "transactions_flat": S.TRANSACTIONS_FLAT,
     "customer_features": S.CUSTOMER_FEATURES,
@@ -18,17 +17,25 @@ TABLE_SCHEMAS = {
 }
 
 
-def _csv(spark: SparkSession, schema, header: bool = False):
-    return (spark.read.schema(schema).option("sep", "|").option("header", str(header).lower())
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+def lines_to_columns(text: DataFrame) -> DataFrame:
+    """Split ``value`` lines on '|' into the four raw columns; a line with another field
+    count keeps its text in ``_corrupt``. Blank lines are skipped (as CSV readers do)."""
+    parts = F.split(F.col("value"), r"\|", -1)
+    ok = F.size(parts) == 4
+    return (text.filter(F.trim("value") != "")
+            .select(*[F.when(ok | (F.size(parts) > i), parts[i]).alias(name)
+                      for i, name in enumerate(["fecha", "id_tienda", "id_cliente", "basket_raw"])],
+                    F.when(~ok, F.col("value")).alias(CORRUPT), "file_name"))
 
 
 def read_raw_lines(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
-    """Transaction files as typed columns plus ``file_name`` and the corrupt-record text.
+    """Transaction files as raw string columns plus ``file_name`` and the corrupt-line text.
 
-    ``paths`` is a directory (every ``*.csv`` in it) or a list of files. A missing
-    path or an empty directory raises ``FileNotFoundError`` (S1)."""
-    reader = _csv(spark, RAW_WITH_CORRUPT)
+    The lines are read with the text source and split here, so the field count is
+    checked on every line whatever columns a later action needs. ``paths`` is a
+    directory (every ``*.csv`` in it) or a list of files. A missing path raises
+    ``FileNotFoundError`` (S1)."""
+    reader = spark.read
     if isinstance(paths, str):
         reader = reader.option("pathGlobFilter", glob)
         paths = [paths]
@@ -36,10 +43,10 @@ def read_raw_lines(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame
     if not paths:
         raise FileNotFoundError("no transaction files given")
     try:
-        df = reader.csv(paths)
-    except AnalysisException as e:  # path does not exist / nothing to infer from
+        text = reader.text(paths)
+    except AnalysisException as e:  # path does not exist
         raise FileNotFoundError(str(e)) from e
-    return df.select("*", F.col("_metadata.file_name").alias("file_name"))
+    return lines_to_columns(text.select("value", F.col("_metadata.file_name").alias("file_name")))
 
 
 def typed_transactions(lines: DataFrame) -> DataFrame:
@@ -65,7 +72,7 @@ def validate(lines: DataFrame) -> DataFrame:
     column count, bad date/ids, bad product tokens, and valid lines."""
     tokens = F.split(F.trim(F.coalesce(F.col("basket_raw"), F.lit(""))), r"\s+")
     bad_token = F.exists(tokens, lambda t: (t != "") & t.try_cast("long").isNull())
-    wrong_cols = F.col(CORRUPT).isNotNull() | F.col("basket_raw").isNull() & F.col("id_cliente").isNull()
+    wrong_cols = F.col(CORRUPT).isNotNull()
     bad_key = (F.expr("try_to_date(trim(fecha), 'yyyy-MM-dd')").isNull()
                | F.expr("try_cast(trim(id_tienda) AS INT)").isNull()
                | F.expr("try_cast(trim(id_cliente) AS BIGINT)").isNull())

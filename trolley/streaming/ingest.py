@@ -13,19 +13,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley import schemas as S
 from trolley.operators import tables as TB
+from trolley.operators.transform import add_calendar, categorize, explode_baskets
 from trolley.plans.etl import FLAT, new_items, unseen_rows
 from trolley.sources import files as FS
 from trolley.sources import registry_table as RG
+from trolley.session import cut_lineage
+
+
+def static_lookup(lookup: DataFrame) -> DataFrame:
+    """The product->category lookup materialized once (reliable checkpoint): catalogs are
+    read a single time for the whole stream, and the line-order ids of the last-wins
+    rule stay out of the streaming plan."""
+    return cut_lineage(lookup)
 
 
 def read_landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Typed transaction lines of a landing directory as a stream (with ``file_name``)."""
-    reader = (spark.readStream.schema(FS.RAW_WITH_CORRUPT).option("sep", "|")
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", FS.CORRUPT)
-              .option("pathGlobFilter", "*.csv"))
+    reader = spark.readStream.option("pathGlobFilter", "*.csv")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.csv(landing_dir).select("*", F.col("_metadata.file_name").alias("file_name"))
+    text = reader.text(landing_dir).select("value", F.col("_metadata.file_name").alias("file_name"))
+    lines = FS.lines_to_columns(text)
     return FS.typed_transactions(lines)
 
 
@@ -57,12 +65,19 @@ def start_ingest(spark: SparkSession, landing_dir: str, lookup: DataFrame, out:
                  checkpoint: str, available_now: bool = True, processing_time: str | None = None):
     """Start the ingest query; ``available_now`` processes what is there and stops."""
     w = (read_landing_stream(spark, landing_dir).writeStream
-         .foreachBatch(make_batch_writer(out, lookup))
+         .foreachBatch(make_batch_writer(out, static_lookup(lookup)))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
 
 
+def stream_items(lines: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Stateless item rows of a line stream (explode, categorise, calendar), for
+    event-time aggregations that must be the only stateful operator of the query."""
+    raw = lines.select("fecha", "id_tienda", "id_cliente", "basket_raw", "file_name")
+    return add_calendar(categorize(explode_baskets(raw), lookup))
+
+
 def dedupe_stream(items: DataFrame, watermark: str | None = None) -> DataFrame:
     """In-stream key dedupe; with a watermark the dedupe state is bounded by event time."""
     if watermark:
