@@ -13,6 +13,7 @@ from trolley.functions.labels import FEATURES, OTHER_BUCKET
 from trolley.functions.numeric import round_even
 from trolley.operators.tables import daily_summary
 from trolley.plans.joins import checked_broadcast
+from trolley.session import cut_lineage
 
 
 def _whole():
@@ -26,17 +27,20 @@ def summary_kpis(flat: DataFrame) -> DataFrame:
     """Totals and first-half vs second-half deltas of a (filtered) flat table.
 
     The split date is the item-weighted upper median: the first date whose running
-    item count exceeds floor(n/2). Deltas are null when there is at most one item."""
-    per_date = (daily_summary(flat, ordered=False)
-                .groupBy("fecha")
-                .agg(F.sum("n_items").alias("n"), F.sum("n_transacciones").alias("t")))
+    item count exceeds floor(n/2). Deltas are null when there is at most one item.
+
+    Two passes over ``flat``: one aggregate to a per-date table (one row per date,
+    checkpointed to the shared folder, so the running sum and the half sums read that
+    small table), one global aggregate for the distinct counts."""
+    per_date = cut_lineage(
+        daily_summary(flat, ordered=False).groupBy("fecha")
+        .agg(F.sum("n_items").alias("n"), F.sum("n_transacciones").alias("t")))
     n_total = per_date.select(F.sum("n")).scalar()
     running = F.sum("n").over(Window.orderBy("fecha").rowsBetween(Window.unboundedPreceding, 0))
     mid = (per_date.select("fecha", running.alias("cum"))
            .filter(F.col("cum") > F.floor(n_total / 2))
            .select(F.min("fecha")).scalar())
-    clientes = flat.select(F.countDistinct("id_cliente")).scalar()
-    categorias = flat.select(F.countDistinct("nombre_categoria")).scalar()
+    distinct = flat.agg(F.countDistinct("id_cliente").alias("c"), F.countDistinct("nombre_categoria").alias("k"))
     agg = per_date.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_items"),
         F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("total_transacciones"),
@@ -52,8 +56,8 @@ def summary_kpis(flat: DataFrame) -> DataFrame:
 
     return agg.select(
         "total_items", "total_transacciones",
-        clientes.cast("long").alias("clientes_unicos"),
-        categorias.cast("long").alias("categorias_activas"),
+        distinct.select(F.col("c")).scalar().cast("long").alias("clientes_unicos"),
+        distinct.select(F.col("k")).scalar().cast("long").alias("categorias_activas"),
         delta("h1_items", "h2_items").alias("delta_items_pct"),
         delta("h1_trans", "h2_trans").alias("delta_trans_pct"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trolley.functions.numeric import round_even
 from trolley.plans.joins import checked_broadcast
+from trolley.session import cut_lineage
 
 
 def customer_category_counts(flat: DataFrame) -> DataFrame:
@@ -111,7 +112,9 @@ def recommend_for_customer(flat: DataFrame, customer_id, top_n: int = 5, n_neigh
     gives an empty result."""
     if method not in ("svd", "exact"):
         raise ValueError("method must be 'svd' or 'exact'")
-    counts = customer_category_counts(flat)
+    # one row per (customer, category): far smaller than the item table; materialized
+    # once in the shared checkpoint folder and read by every later step
+    counts = cut_lineage(customer_category_counts(flat))
     if method == "exact":
         vectors = counts.select("id_cliente", F.col("nombre_categoria").alias("dim"),
                                 F.col("n").cast("double").alias("val"))
@@ -130,7 +133,7 @@ def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5,
     Work is (targets x customers sharing a category); targets' vectors are broadcast
     after a size check; top-k per target uses ``row_number() <= k`` (group-limited
     before the shuffle)."""
-    counts = customer_category_counts(flat)
+    counts = cut_lineage(customer_category_counts(flat))
     norms = counts.groupBy("id_cliente").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     tvec = checked_broadcast(
         counts.join(targets.select(F.col("id_cliente")).distinct(), "id_cliente", "left_semi")

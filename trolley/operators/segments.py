@@ -240,7 +240,7 @@ def segmentation_result(customers: DataFrame, features=FEATURES, k: int = 3,
     """The bundle of labels, PCA coordinates, centres, stats, elbow and texts."""
     if tienda is not None:
         customers = customers.filter(F.col("id_tienda") == int(tienda))
-    df = select_features(customers, features)
+    df = cut_lineage(select_features(customers, features))  # one row per customer, read many times
     validate_params(features, k, df.count())
     z = standardize(df, features)
     labelled, centers, cost = kmeans(z, features, k, n_init=n_init)

@@ -639,7 +639,8 @@ SEG_ITERS = 10
 
 
 def _z(spark, sf):
-    cust = SG.select_features(TB.customer_features(_flat(spark, sf)), _FEATS)
+    from trolley.session import cut_lineage
+    cust = cut_lineage(SG.select_features(TB.customer_features(_flat(spark, sf)), _FEATS))
     return SG.standardize(cust, _FEATS)
 
 
@@ -806,8 +807,9 @@ _SIM_CTES = [
 
 
 def _target(flat: DataFrame):
-    """The customer with most items (ties: smaller id), as a scalar subquery."""
-    return M.top_customers(flat, 1).select("id_cliente").scalar()
+    """The customer with most items (ties: smaller id): one id, resolved once."""
+    row = M.top_customers(flat, 1).first()
+    return None if row is None else int(row.id_cliente)
 
 
 @register("customer_category_counts", q("SELECT * FROM cc", _CC))
