@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trolley.functions.calendar import date_text, week_start
-from trolley.functions.labels import FEATURES, OTHER_BUCKET
+from trolley.functions.labels import FEATURES, OTHER_BUCKET, day_name, month_name
 from trolley.functions.numeric import round_even
 from trolley.operators.tables import daily_summary
 from trolley.plans.joins import checked_broadcast
@@ -228,9 +228,13 @@ def basket_size_stats(flat: DataFrame) -> DataFrame:
 
 
 def items_by_weekday(flat: DataFrame) -> DataFrame:
+    """R6 + F12: items per weekday with the day's short name, most items first."""
     return (flat.groupBy("dia_semana").agg(F.count(F.lit(1)).alias("n_items"))
+            .withColumn("dia", day_name(F.col("dia_semana")))
             .orderBy(F.desc("n_items")))
 
 
 def transactions_by_month(daily: DataFrame) -> DataFrame:
-    return daily.groupBy("mes").agg(F.sum("n_transacciones").alias("n_transacciones")).orderBy("mes")
+    """R7 + F12: transactions per month with the month's short name."""
+    return (daily.groupBy("mes").agg(F.sum("n_transacciones").alias("n_transacciones"))
+            .withColumn("mes_nombre", month_name(F.col("mes"))).orderBy("mes"))

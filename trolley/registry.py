@@ -396,14 +396,18 @@ def basket_size_stats(spark, sf):
     return M.basket_size_stats(_flat(spark, sf))
 
 
-@register("items_by_weekday", q("SELECT dia_semana, count(*) AS n_items FROM flat GROUP BY 1"))
+@register("items_by_weekday", q(
+    "SELECT dia_semana, count(*) AS n_items, list_extract(['Lun', 'Mar', 'Mié', 'Jue', 'Vie', 'Sáb', 'Dom'], dia_semana + 1) AS dia "
+    "FROM flat GROUP BY 1"))
 def items_by_weekday(spark, sf):
     """R6."""
     return M.items_by_weekday(_flat(spark, sf))
 
 
 @register("transactions_by_month", q(
-    "SELECT mes, CAST(sum(n_transacciones) AS BIGINT) AS n_transacciones FROM daily GROUP BY mes", _DAILY_ALL))
+    "SELECT mes, CAST(sum(n_transacciones) AS BIGINT) AS n_transacciones, "
+    "list_extract(['Ene', 'Feb', 'Mar', 'Abr', 'May', 'Jun', 'Jul', 'Ago', 'Sep', 'Oct', 'Nov', 'Dic'], mes) AS mes_nombre "
+    "FROM daily GROUP BY mes", _DAILY_ALL))
 def transactions_by_month(spark, sf):
     """R7."""
     return M.transactions_by_month(_daily(spark, sf))
@@ -986,3 +990,78 @@ def stream_ingest_flat(spark, sf):
     query = ST.start_ingest(spark, dirs[0], lookup, out, base + "/stream-checkpoint")
     query.awaitTermination()
     return FS.load_table(spark, out, "transactions_flat")
+
+
+@register("peak_days_by_iso_year", q("""
+SELECT CAST(isoyear(fecha) AS INTEGER) AS anio_iso, dia_semana, semana,
+       CAST(sum(n_transacciones) AS BIGINT) AS n_transacciones
+FROM daily GROUP BY 1, 2, 3""", _DAILY_ALL))
+def peak_days_by_iso_year(spark, sf):
+    """A12 with the ISO year as a key (X11: weeks of different years kept apart)."""
+    return M.peak_days_long(_daily(spark, sf), with_year=True)
+
+
+@register("top_products_labels", q("""
+SELECT id_producto, concat('Prod ', id_producto, ' (', nombre_categoria, ')') AS label, count(*) AS frecuencia_absoluta
+FROM flat GROUP BY id_producto, nombre_categoria ORDER BY frecuencia_absoluta DESC, id_producto LIMIT 10"""))
+def top_products_labels(spark, sf):
+    """O1 + F11: top 10 products with their display label."""
+    from trolley.functions.labels import product_label
+    top = TB.top_products(_flat(spark, sf), 10)
+    return top.select("id_producto", product_label(F.col("id_producto"), F.col("nombre_categoria")).alias("label"),
+                      "frecuencia_absoluta")
+
+
+@register("etl_table_counts", q("""
+SELECT 'transactions_flat' AS "table", count(*) AS "rows" FROM flat
+UNION ALL SELECT 'customer_features', count(DISTINCT id_cliente) FROM flat
+UNION ALL SELECT 'daily_summary', count(*) FROM (SELECT DISTINCT fecha, id_tienda FROM flat) d
+UNION ALL SELECT 'product_freq', count(*) FROM (SELECT DISTINCT id_producto, nombre_categoria FROM flat) p
+UNION ALL SELECT 'association_rules', CAST(0 AS BIGINT)
+UNION ALL SELECT 'registry_rows', count(*) FROM flat"""))
+def etl_table_counts(spark, sf):
+    """S5 + S6 + S10 + S17 after two ETL runs: rows per stored table, and the rows the
+    registry recorded for all files together (= rows appended to the flat table)."""
+    out = _run_two_step_etl(spark, sf)
+    counts = FS.table_counts(FS.load_tables(spark, out))
+    reg = RG.load_registry(spark, out).agg(F.lit("registry_rows").alias("table"),
+                                           F.sum("rows").cast("long").alias("rows"))
+    return counts.unionByName(reg)
+
+
+@register("csv_preview_stats", q("""
+SELECT count(*) AS n_lines, 4 AS n_columns
+FROM (SELECT DISTINCT fecha, id_tienda, id_cliente FROM items) b"""))
+def csv_preview_stats(spark, sf):
+    """Line and column count of the landing files (all lines of every file)."""
+    _, dirs = _landing(spark, sf)
+    _, stats = FS.preview_file(spark, dirs[0])
+    return stats.select(F.col("n_lines").cast("long").alias("n_lines"), F.col("n_columns").cast("int").alias("n_columns"))
+
+
+@register("stream_weekly_counts", q("""
+SELECT CAST(date_trunc('week', i.fecha) AS DATE) AS semana,
+       coalesce(l.nombre_categoria, 'SIN CATEGORIA') AS nombre_categoria, count(*) AS frecuencia
+FROM items i LEFT JOIN (
+  SELECT p.id_producto,
+         CASE WHEN pc.prod_id IS NOT NULL THEN coalesce(c1.cat_name, 'SIN CATEGORIA')
+              ELSE coalesce(c2.cat_name, 'SIN CATEGORIA') END AS nombre_categoria
+  FROM (SELECT prod_id AS id_producto FROM product_category UNION SELECT CAST(cat_id AS BIGINT) FROM categories) p
+  LEFT JOIN product_category pc ON p.id_producto = pc.prod_id
+  LEFT JOIN categories c1 ON pc.cat_id = c1.cat_id
+  LEFT JOIN categories c2 ON p.id_producto = c2.cat_id) l ON i.id_producto = l.id_producto
+GROUP BY 1, 2"""))
+def stream_weekly_counts(spark, sf):
+    """T5: Monday-aligned 7-day event-time windows over the landing file stream (every item
+    line, before key dedupe), complete-mode aggregation into a memory table."""
+    base, dirs = _landing(spark, sf)
+    cat_path, pc_path = _write_catalogs(spark, sf, base)
+    lookup = ST.static_lookup(ETL.product_lookup(FS.read_categories(spark, cat_path),
+                                                 FS.read_product_category(spark, pc_path)))
+    items = ST.stream_items(ST.read_landing_stream(spark, dirs[0]), lookup)
+    name = "weekly_" + uuid.uuid4().hex[:12]
+    query = (ST.weekly_counts(items).writeStream.outputMode("complete").format("memory")
+             .queryName(name).option("checkpointLocation", base + "/weekly-checkpoint").start())
+    query.processAllAvailable()
+    query.stop()
+    return spark.table(name)
