@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, functions as F
 
 # Rows up to which a lookup side is broadcast. A lookup row here is a few narrow
@@ -9,6 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 # (and AQE may still pick a broadcast from runtime statistics).
 BROADCAST_ROW_LIMIT = 1_000_000
 
+# Verdicts of earlier checks in this driver: (session, plan hash, input files, limit) -> bool.
+# The same plan over the same files is counted once per session.
+_VERDICTS: dict[tuple, bool] = {}
+_LOCK = threading.Lock()
+
 
 def bounded_rows(df: DataFrame, limit: int) -> int | None:
     """Row count of ``df`` if it is at most ``limit``, else ``None``.
@@ -19,6 +26,22 @@ def bounded_rows(df: DataFrame, limit: int) -> int | None:
     return n if n <= limit else None
 
 
+def is_bounded(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
+    key = (id(df.sparkSession), df.semanticHash(), tuple(sorted(df.inputFiles())), limit)
+    with _LOCK:
+        if key in _VERDICTS:
+            return _VERDICTS[key]
+    verdict = bounded_rows(df, limit) is not None
+    with _LOCK:
+        _VERDICTS[key] = verdict
+    return verdict
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """``F.broadcast(df)`` when ``df`` has at most ``limit`` rows, else ``df`` unchanged."""
-    return F.broadcast(df) if bounded_rows(df, limit) is not None else df
+    return F.broadcast(df) if is_bounded(df, limit) else df
+
+
+def clear_size_checks() -> None:
+    with _LOCK:
+        _VERDICTS.clear()
