@@ -13,6 +13,7 @@ from trolley.oracle import q, r
 from trolley.operators import tables as TB
 from trolley.operators.transform import add_calendar, apply_filters, categorize, explode_baskets, \
     filter_customers_by_store
+from trolley.functions.numeric import round_even
 from trolley.sources.testdata import retail
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,11 @@ def _filtered(spark, sf):
     return apply_filters(_flat(spark, sf), STORE, DATE_FROM, DATE_TO)
 
 
+def round_even_col(c: str, d: int):
+    """Column ``c`` rounded half-to-even to ``d`` places, keeping its name."""
+    return round_even(F.col(c), d).alias(c)
+
+
 # ---------------------------------------------------------------- phase 0/1: core tables
 
 @register("top_products_filtered", q(f"""
@@ -702,16 +708,11 @@ def kmeans_lloyd(spark, sf):
     return seg.select("id_cliente", "cluster", round_even_col("dist2", 6))
 
 
-def round_even_col(c: str, d: int):
-    from trolley.functions.numeric import round_even
-    return round_even(F.col(c), d).alias(c)
-
-
 @register("kmeans_lloyd_inertia", _seg_q(f"SELECT count(*) AS n, {r('sum(dist2)', 4)} AS inertia FROM seg"))
 def kmeans_lloyd_inertia(spark, sf):
     """Inertia (Σ squared distance to the own centre) of the deterministic k-means."""
     seg, _ = _lloyd(spark, sf)
-    return seg.agg(F.count(F.lit(1)).alias("n"), SG.round_even(F.sum("dist2"), 4).alias("inertia"))
+    return seg.agg(F.count(F.lit(1)).alias("n"), round_even(F.sum("dist2"), 4).alias("inertia"))
 
 
 @register("cluster_stats", _seg_q("SELECT cluster, count(*) AS n_clientes, " + ", ".join(

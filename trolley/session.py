@@ -39,16 +39,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is used as is. Only when
-    it is unset (a local test session) a fresh scratch folder is created.
-    """
-    current = spark.sparkContext.getCheckpointDir()
+    it is unset (a local test session) a fresh scratch folder is created."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote (Connect) session: the server owns the checkpoint dir
+        return spark.conf.get("spark.checkpoint.dir", "")
+    current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = tempfile.mkdtemp(prefix="trolley-ckpt-")
-    spark.sparkContext.setCheckpointDir(conf)
-    return spark.sparkContext.getCheckpointDir() or conf
+    sc.setCheckpointDir(conf)
+    return sc.getCheckpointDir() or conf
 
 
 def cut_lineage(df, eager: bool = True):
