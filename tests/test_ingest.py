@@ -28,6 +28,7 @@ def test_validate_counts_every_line(spark, tmpdir_path):
     write(tmpdir_path, "102_Tran.csv", LINES_A + BAD)
     v = FS.validate(FS.read_raw_lines(spark, tmpdir_path)).first()
     assert (v.n_lines, v.n_wrong_columns, v.n_bad_keys, v.n_bad_products, v.n_valid) == (9, 2, 1, 1, 5)
+    assert v.valid_name and v.store_prefix == 102
     assert FS.read_transactions(spark, tmpdir_path).count() == 6  # bad product line kept, token dropped later
 
 
@@ -78,3 +79,16 @@ def test_incremental_equals_full_and_rerun_is_noop(spark, tmpdir_path):
     counts = {r.table: r.rows for r in FS.table_counts(tables).collect()}
     assert counts["transactions_flat"] == 13 and counts["customer_features"] == 4  # 530, 587, 7, 9 (1 and 2 only had empty baskets)
     assert FS.load_optional(spark, tmpdir_path + "/nothing", tables["association_rules"].schema).count() == 0
+
+
+def test_merge_policies(spark):
+    import datetime as dt
+    from trolley.operators.transform import merge_flat
+    d = dt.date(2013, 7, 1)
+    schema = "fecha date, id_tienda int, id_cliente long, id_producto long"
+    first = spark.createDataFrame([(d, 102, 7, 7), (d, 102, 7, 7), (d, 102, 7, 8)], schema)
+    second = spark.createDataFrame([(d, 102, 7, 8), (d, 103, 1, 1)], schema)
+    assert merge_flat(None, first, "reference").count() == 3  # first load keeps the repeat
+    assert merge_flat(None, first, "always").count() == 2
+    assert merge_flat(merge_flat(None, first, "reference"), second, "reference").count() == 3
+    assert merge_flat(merge_flat(None, first), second).count() == 3

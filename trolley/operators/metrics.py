@@ -104,6 +104,24 @@ def top_customers(flat: DataFrame, n: int = 10) -> DataFrame:
             .orderBy(F.desc("total_items"), "id_cliente").limit(n))
 
 
+def customer_list(customers: DataFrame) -> DataFrame:
+    """Sorted distinct customer ids."""
+    return customers.select("id_cliente").distinct().orderBy("id_cliente")
+
+
+def bar_order(df: DataFrame, value: str) -> DataFrame:
+    """A top-n frame (n rows) smallest value first, as horizontal bars are drawn."""
+    return df.orderBy(F.asc(value))
+
+
+def top_customers_chart(flat: DataFrame, n: int = 10) -> DataFrame:
+    """O2 + F11 + O7: top customers with their 'Cliente X' label, smallest first."""
+    from trolley.functions.labels import customer_label
+    top = top_customers(flat, n)
+    return bar_order(top.select("id_cliente", customer_label(F.col("id_cliente")).alias("label"), "total_items"),
+                     "total_items")
+
+
 def time_series(daily: DataFrame, granularity: str = "D", by_store: bool = False) -> DataFrame:
     """Transactions per day ('D') or Monday-week ('W'), optionally per store."""
     if granularity not in ("D", "W"):

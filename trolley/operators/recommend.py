@@ -112,6 +112,8 @@ def recommend_for_customer(flat: DataFrame, customer_id, top_n: int = 5, n_neigh
     gives an empty result."""
     if method not in ("svd", "exact"):
         raise ValueError("method must be 'svd' or 'exact'")
+    if not 1 <= int(top_n) <= 20:  # P9
+        raise ValueError("top_n must be within 1..20")
     # one row per (customer, category): far smaller than the item table; materialized
     # once in the shared checkpoint folder and read by every later step
     counts = cut_lineage(customer_category_counts(flat))

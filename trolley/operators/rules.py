@@ -115,8 +115,15 @@ def compute_association_rules(items: DataFrame, item_col: str = "id_producto",
 
 # ---------------------------------------------------------------- queries on a rules table
 
+def validate_top_n(top_n: int, upper: int) -> None:
+    """1 <= top_n <= upper (50 for rules, 20 for customer recommendations)."""
+    if not 1 <= int(top_n) <= upper:
+        raise ValueError(f"top_n must be within 1..{upper}")
+
+
 def recommend_for_product(rules: DataFrame, product_id, top_n: int = 5) -> DataFrame:
     """Rules whose antecedent holds ``product_id``, best lift first (P6 + O3)."""
+    validate_top_n(top_n, 50)
     return (rules.filter(F.array_contains("antecedents", F.lit(product_id)))
             .orderBy(*rule_order()).limit(top_n))
 

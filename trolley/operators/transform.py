@@ -70,6 +70,19 @@ def dedupe_items(flat: DataFrame) -> DataFrame:
     return flat.dropDuplicates(FLAT_KEYS)
 
 
+def merge_flat(existing: DataFrame | None, new: DataFrame, policy: str = "always") -> DataFrame:
+    """U2 + U3: append new item rows to an existing flat table.
+
+    ``policy='always'`` dedupes every load, so file-by-file ingest equals one full load.
+    ``policy='reference'`` reproduces the reference: a first load keeps repeated keys,
+    every later merge dedupes the whole table (X4)."""
+    if policy not in ("always", "reference"):
+        raise ValueError("policy must be 'always' or 'reference'")
+    if existing is None:
+        return dedupe_items(new) if policy == "always" else new
+    return dedupe_items(existing.unionByName(new))
+
+
 def _as_date(v):
     if v is None or isinstance(v, _dt.date):
         return v

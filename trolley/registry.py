@@ -1066,3 +1066,17 @@ def stream_weekly_counts(spark, sf):
     query.processAllAvailable()
     query.stop()
     return spark.table(name)
+
+
+@register("customer_list", q("SELECT DISTINCT id_cliente FROM customers", _CUSTOMER_FEATURES_CTE))
+def customer_list(spark, sf):
+    """Sorted distinct customer ids of the customer table."""
+    return M.customer_list(TB.customer_features(_flat(spark, sf)))
+
+
+@register("top_customers_chart", q("""
+SELECT id_cliente, concat('Cliente ', id_cliente) AS label, count(*) AS total_items
+FROM flat GROUP BY id_cliente ORDER BY total_items DESC, id_cliente LIMIT 10"""))
+def top_customers_chart(spark, sf):
+    """O2 + F11 + O7: top 10 customers labelled, smallest first for bars."""
+    return M.top_customers_chart(_flat(spark, sf), 10)

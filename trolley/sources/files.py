@@ -82,7 +82,9 @@ def validate(lines: DataFrame) -> DataFrame:
                  F.count(F.when(~wrong_cols & bad_key, 1)).alias("n_bad_keys"),
                  F.count(F.when(~wrong_cols & ~bad_key & bad_token, 1)).alias("n_bad_products"),
                  F.count(F.when(~wrong_cols & ~bad_key & ~bad_token, 1)).alias("n_valid"))
-            .withColumn("valid_name", F.col("file_name").endswith(".csv")))
+            .withColumn("valid_name", F.col("file_name").endswith(".csv"))
+            .withColumn("store_prefix", F.nullif(F.regexp_extract("file_name", r"^(\d+)_", 1), F.lit(""))
+                        .try_cast("int")))
 
 
 def preview_file(spark: SparkSession, path: str, n: int = 10):

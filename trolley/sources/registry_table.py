@@ -27,6 +27,12 @@ def discover_new_files(spark: SparkSession, landing_dir: str, registry: DataFram
     return list_files(spark, landing_dir).join(registry.select("file_name"), "file_name", "left_anti")
 
 
+def store_prefix(file_name) -> F.Column:
+    """the store id a file name starts with ('102_Tran.csv' -> 102), else null."""
+    c = F.col(file_name) if isinstance(file_name, str) else file_name
+    return F.nullif(F.regexp_extract(c, r"^(\d+)_", 1), F.lit("")).try_cast("int")
+
+
 def file_counts(new_flat: DataFrame) -> DataFrame:
     """S10 rows rule: item rows contributed by each file, stamped with the current time."""
     return (new_flat.groupBy("file_name").agg(F.count(F.lit(1)).alias("rows"))
