@@ -52,6 +52,21 @@ def test_batch_equals_single(spark):
         assert got == single
 
 
+def test_batch_equals_single_with_few_overlapping_customers(spark):
+    d = dt.date(2013, 1, 1)
+    rows = [(d, 102, c, 1, "A") for c in range(1, 16)] + [(d, 102, c, 1, "B") for c in range(1, 4)]
+    rows += [(d, 102, 100, 1, "Z"), (d, 102, 101, 1, "Z"), (d, 102, 101, 1, "B")]
+    f = spark.createDataFrame(rows, SCHEMA)
+    targets = spark.createDataFrame([(100,), (2,)], "id_cliente long")
+    batch = RC.recommend_for_customers(f, targets).collect()
+    for t in (100, 2):
+        single = [(r.categoria, r.score) for r in RC.recommend_for_customer(f, t, method="exact").collect()]
+        got = [(r.categoria, r.score) for r in sorted((r for r in batch if r.id_cliente == t), key=lambda r: r["rank"])]
+        assert got == single
+    # customer 100 shares a category only with 101; nine zero-similarity neighbours fill up
+    assert {c for c, _ in [(r.categoria, r.score) for r in batch if r.id_cliente == 100]} == {"A", "B"}
+
+
 def test_svd_variant_excludes_owned_categories(spark):
     f = flat(spark)
     got = RC.recommend_for_customer(f, 3, method="svd").collect()

@@ -134,7 +134,10 @@ def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5,
 
     Work is (targets x customers sharing a category); targets' vectors are broadcast
     after a size check; top-k per target uses ``row_number() <= k`` (group-limited
-    before the shuffle)."""
+    before the shuffle). Customers sharing no category have similarity 0; they can only
+    be neighbours of a target with fewer than k overlapping customers, and then they are
+    the smallest ids, all among the 2k+1 smallest ids overall — so only those (a list
+    bounded by the parameter) are added per target, without any pair generation."""
     counts = cut_lineage(customer_category_counts(flat))
     norms = counts.groupBy("id_cliente").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     tvec = checked_broadcast(
@@ -144,9 +147,17 @@ def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5,
     dots = (counts.join(tvec, "nombre_categoria")
             .filter(F.col("id_cliente") != F.col("target"))
             .groupBy("target", "id_cliente").agg(F.sum(F.col("n") * F.col("tn")).alias("dot")))
-    sims = (dots.join(norms, "id_cliente").join(tnorm, "target")
-            .select("target", "id_cliente",
-                    (F.col("dot").cast("double") / (F.col("norm") * F.col("tnorm"))).alias("sim")))
+    overlap = (dots.join(norms, "id_cliente").join(tnorm, "target")
+               .select("target", "id_cliente",
+                       (F.col("dot").cast("double") / (F.col("norm") * F.col("tnorm"))).alias("sim")))
+    smallest = [r.id_cliente for r in norms.select("id_cliente").orderBy("id_cliente")
+                .limit(2 * n_neighbors + 1).collect()]  # at most 2k+1 ids
+    known = tvec.select("target").distinct()
+    fill = (known.select("target", F.explode(F.array(*[F.lit(i) for i in smallest])).alias("id_cliente"))
+            .filter(F.col("id_cliente") != F.col("target"))
+            .join(dots.select("target", "id_cliente"), ["target", "id_cliente"], "left_anti")
+            .withColumn("sim", F.lit(0.0))) if smallest else None
+    sims = overlap if fill is None else overlap.unionByName(fill)
     w = Window.partitionBy("target").orderBy(F.desc("sim"), "id_cliente")
     nbrs = sims.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n_neighbors)
     own = tvec.select("target", "nombre_categoria")

@@ -875,9 +875,14 @@ WHERE rank <= 5""", _CC,
               FROM tg JOIN cc t ON t.id_cliente = tg.target JOIN cc c ON c.nombre_categoria = t.nombre_categoria
               WHERE c.id_cliente <> tg.target GROUP BY 1, 2)""",
     """nbs AS (SELECT * FROM (
-              SELECT d.target, d.id_cliente, CAST(d.dot AS DOUBLE) / (n1.norm * n2.norm) AS sim,
-                     row_number() OVER (PARTITION BY d.target ORDER BY CAST(d.dot AS DOUBLE) / (n1.norm * n2.norm) DESC, d.id_cliente) AS rk
-              FROM dts d JOIN nr n1 ON n1.id_cliente = d.id_cliente JOIN nr n2 ON n2.id_cliente = d.target) x
+              SELECT c.target, c.id_cliente,
+                     CAST(coalesce(d.dot, 0) AS DOUBLE) / (n1.norm * n2.norm) AS sim,
+                     row_number() OVER (PARTITION BY c.target
+                                        ORDER BY CAST(coalesce(d.dot, 0) AS DOUBLE) / (n1.norm * n2.norm) DESC,
+                                                 c.id_cliente) AS rk
+              FROM (SELECT tg.target, nr.id_cliente FROM tg, nr WHERE nr.id_cliente <> tg.target) c
+              LEFT JOIN dts d ON d.target = c.target AND d.id_cliente = c.id_cliente
+              JOIN nr n1 ON n1.id_cliente = c.id_cliente JOIN nr n2 ON n2.id_cliente = c.target) x
             WHERE rk <= 10)"""))
 def recommend_customers_batch(spark, sf):
     """Exact recommendations for the 5 customers with most items at once."""
