@@ -72,3 +72,13 @@ def test_svd_variant_excludes_owned_categories(spark):
     got = RC.recommend_for_customer(f, 3, method="svd").collect()
     own = {r.nombre_categoria for r in f.filter("id_cliente = 3").select("nombre_categoria").distinct().collect()}
     assert not {r.categoria for r in got} & own
+
+
+def test_full_rank_svd_cosine_equals_exact(spark):
+    f = flat(spark)
+    counts = RC.customer_category_counts(f)
+    exact = counts.select("id_cliente", counts.nombre_categoria.alias("dim"), counts.n.cast("double").alias("val"))
+    reduced = RC.svd_vectors(counts, 50, cap_rank=False)
+    a = {r.id_cliente: r.sim for r in RC.cosine_to_target(exact, 3).collect()}
+    b = {r.id_cliente: r.sim for r in RC.cosine_to_target(reduced, 3).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)

@@ -40,3 +40,16 @@ def test_weekly_counts_monday_windows(spark, tmpdir_path):
     q.stop()
     got = {(str(r.semana), r.frecuencia) for r in spark.sql("select * from weekly_test").collect()}
     assert got == {("2013-06-24", 2), ("2013-07-01", 1)}
+
+
+def test_in_stream_dedupe_with_watermark(spark, tmpdir_path):
+    cat_path, pc_path = catalogs(tmpdir_path + "/cat")
+    lookup = ST.static_lookup(product_lookup(FS.read_categories(spark, cat_path), FS.read_product_category(spark, pc_path)))
+    land = tmpdir_path + "/landing"
+    write(land, "1.csv", ["2013-07-01|102|7|7 7 8", "2013-07-01|102|7|8", "2013-07-02|102|7|8"])
+    items = ST.dedupe_stream(ST.stream_items(ST.read_landing_stream(spark, land), lookup), "7 days")
+    q = items.writeStream.format("memory").queryName("dedupe_test").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((str(r.fecha), r.id_producto) for r in spark.sql("select * from dedupe_test").collect())
+    assert got == [("2013-07-01", 7), ("2013-07-01", 8), ("2013-07-02", 8)]

@@ -66,7 +66,7 @@ def score_categories(counts: DataFrame, neighbours: DataFrame, target, top_n: in
             .orderBy(F.desc("score"), "categoria").limit(top_n))
 
 
-def svd_components(counts: DataFrame, n_components: int = 50):
+def svd_components(counts: DataFrame, n_components: int = 50, cap_rank: bool = True):
     """Right singular vectors of the (uncentred) customer x category count matrix.
 
     The C x C Gram matrix is tree-aggregated by ``RowMatrix`` (no pairs are emitted) and
@@ -77,7 +77,8 @@ def svd_components(counts: DataFrame, n_components: int = 50):
 
     cats = [r[0] for r in counts.select("nombre_categoria").distinct().orderBy("nombre_categoria").collect()]
     n_rows = counts.select("id_cliente").distinct().count()
-    r = min(n_components, len(cats) - 1, n_rows - 1)
+    # the reference keeps at most C-1 and N-1 components; cap_rank=False allows full rank
+    r = min(n_components, len(cats) - 1, n_rows - 1) if cap_rank else min(n_components, len(cats), n_rows)
     if r < 1:
         return None
     index = {c: i for i, c in enumerate(cats)}
@@ -89,9 +90,9 @@ def svd_components(counts: DataFrame, n_components: int = 50):
     return cats, svd.V.toArray()
 
 
-def svd_vectors(counts: DataFrame, n_components: int = 50) -> DataFrame | None:
+def svd_vectors(counts: DataFrame, n_components: int = 50, cap_rank: bool = True) -> DataFrame | None:
     """Customer coordinates U·Σ = A·V in long form (id_cliente, dim, val)."""
-    res = svd_components(counts, n_components)
+    res = svd_components(counts, n_components, cap_rank)
     if res is None:
         return None
     cats, v = res

@@ -79,10 +79,12 @@ def stream_items(lines: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def dedupe_stream(items: DataFrame, watermark: str | None = None) -> DataFrame:
-    """In-stream key dedupe; with a watermark the dedupe state is bounded by event time."""
+    """In-stream key dedupe (T2 option). With a watermark on the item date the dedupe
+    state is bounded by event time; without one every key is remembered."""
     if watermark:
-        items = items.withWatermark("fecha_ts", watermark)
-        return items.dropDuplicatesWithinWatermark(S.FLAT_KEYS)
+        return (items.withColumn("fecha_ts", F.col("fecha").cast("timestamp"))
+                .withWatermark("fecha_ts", watermark)
+                .dropDuplicatesWithinWatermark(S.FLAT_KEYS))
     return items.dropDuplicates(S.FLAT_KEYS)
 
 
