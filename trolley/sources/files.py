@@ -84,7 +84,9 @@ def validate(lines: DataFrame) -> DataFrame:
                  F.count(F.when(~wrong_cols & ~bad_key & ~bad_token, 1)).alias("n_valid"))
             .withColumn("valid_name", F.col("file_name").endswith(".csv"))
             .withColumn("store_prefix", F.nullif(F.regexp_extract("file_name", r"^(\d+)_", 1), F.lit(""))
-                        .try_cast("int")))
+                        .try_cast("int"))
+            # an upload is accepted when named *.csv and every line has exactly four fields
+            .withColumn("accepted", F.col("valid_name") & (F.col("n_wrong_columns") == 0)))
 
 
 def preview_file(spark: SparkSession, path: str, n: int = 10):

@@ -49,3 +49,43 @@ def etl_status(registry: DataFrame) -> DataFrame:
     return registry.agg(F.array_sort(F.collect_set("file_name")).alias("processed_files"),
                         F.max("processed_at").alias("last_updated"),
                         F.countDistinct("file_name").alias("n_files"))
+
+
+# Layout of a registry kept as one JSON document:
+# {"processed_files": {name: {"processed_at": iso-time, "rows": n}}, "last_updated": iso-time}
+
+
+def _read_small_text(spark: SparkSession, path: str) -> str:
+    """Whole text of one small file through the Hadoop FileSystem API (any URI scheme).
+    Spark's file sources skip names starting with '_', which registry documents use."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.open(hpath)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def import_registry_json(spark: SparkSession, path: str) -> DataFrame:
+    """Registry rows from a JSON registry document (migration into the registry table).
+    The document holds one entry per processed file, so it is read as file metadata."""
+    import json
+    doc = json.loads(_read_small_text(spark, path))
+    rows = [(name, str(e.get("processed_at")), int(e.get("rows", 0)))
+            for name, e in (doc.get("processed_files") or {}).items()]
+    df = spark.createDataFrame(rows, "file_name string, processed_at string, rows bigint")
+    return df.select("file_name", F.to_timestamp("processed_at").alias("processed_at"), "rows")
+
+
+def registry_document(registry: DataFrame) -> DataFrame:
+    """The registry as one JSON document (one row, column ``doc``). The registry holds one
+    row per processed file — file metadata, not data rows."""
+    ts = F.date_format("processed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    latest = registry.groupBy("file_name").agg(F.max_by(F.struct(ts.alias("processed_at"), "rows"),
+                                                        "processed_at").alias("entry"))
+    return latest.agg(
+        F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("file_name", "entry")))
+                           .alias("processed_files"),
+                           F.max("entry.processed_at").alias("last_updated"))).alias("doc"))
