@@ -5,10 +5,14 @@ run_etl(landing, catalog, out):
   2. catalogs -> one product->category lookup (broadcast after a size check)
   3. new lines -> explode -> categorise -> calendar -> key dedupe inside the batch
   4. rows whose key is already stored are removed by an anti-join against the stored
-     flat table restricted to the batch's date range (pushed into the Parquet scan),
-     then appended to the store-partitioned flat table — the stored table is never
-     read and overwritten by the same job
-  5. derived tables rebuilt from the flat table (C5), written
+     flat table restricted to the batch's date range (pushed into the Parquet scan);
+     the new rows are checkpointed once (counts, months and the append all read that
+     checkpoint) and appended to the store-partitioned flat table — the stored table is
+     never read and overwritten by the same job
+  5. derived tables (C5): the daily table is stored partitioned by year-month and only
+     the months the batch touched are recomputed (dynamic partition overwrite, reading
+     just those date ranges of the flat table); customer features and product
+     frequencies depend on all history and are rebuilt
   6. rules computed when missing or requested
   7. registry appended last
 Dedupe policy 'always' makes file-by-file ingest equal to one full load."""
@@ -23,6 +27,7 @@ from trolley.operators import tables as TB
 from trolley.operators.transform import add_calendar, categorize, explode_baskets, product_lookup
 from trolley.sources import files as FS
 from trolley.sources import registry_table as RG
+from trolley.session import cut_lineage
 
 FLAT = "transactions_flat"
 
@@ -46,6 +51,61 @@ def unseen_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return batch.join(window, S.FLAT_KEYS, "left_anti")
 
 
+def _month_bounds(months: list[str]) -> list[tuple]:
+    import datetime as dt
+    out = []
+    for m in months:
+        y, mo = int(m[:4]), int(m[5:7])
+        nxt = dt.date(y + (mo == 12), mo % 12 + 1, 1)
+        out.append((dt.date(y, mo, 1), nxt - dt.timedelta(days=1)))
+    return out
+
+
+def append_batch(spark: SparkSession, out: str, batch: DataFrame) -> tuple[list, list[str]]:
+    """Append the rows of ``batch`` whose key is not stored yet; returns (registry rows,
+    touched year-months). Re-running a batch appends nothing."""
+    flat_path = FS.table_path(out, FLAT)
+    has_flat = FS.table_exists(spark, flat_path)
+    fresh = unseen_rows(batch, FS.load_table(spark, out, FLAT)) if has_flat else batch
+    fresh = cut_lineage(fresh.select(*[f.name for f in S.TRANSACTIONS_FLAT.fields], "file_name"))
+    counts = RG.file_counts(fresh).collect()  # one row per new file
+    months = [r[0] for r in fresh.select(F.date_format("fecha", "yyyy-MM")).distinct().collect()]
+    FS.write_table(fresh.select(*[f.name for f in S.TRANSACTIONS_FLAT.fields]), flat_path,
+                   partition_by=["id_tienda"], mode="append" if has_flat else "overwrite")
+    return counts, months
+
+
+def refresh_daily(spark: SparkSession, out: str, flat: DataFrame, months: list[str] | None) -> None:
+    """Daily table by year-month partitions; with ``months`` only those are recomputed."""
+    path = FS.table_path(out, "daily_summary")
+    if months is not None and not months:
+        return
+    if months is None or not FS.table_exists(spark, path):
+        part = flat
+        mode = "static"
+    else:
+        cond = None
+        for lo, hi in _month_bounds(months):  # pushed into the flat scan as date ranges
+            c = (F.col("fecha") >= F.lit(lo)) & (F.col("fecha") <= F.lit(hi))
+            cond = c if cond is None else cond | c
+        part = flat.filter(cond)
+        mode = "dynamic"
+    daily = TB.daily_summary(part, ordered=False).withColumn("periodo", F.date_format("fecha", "yyyy-MM"))
+    (daily.write.option("partitionOverwriteMode", mode).mode("overwrite")
+     .partitionBy("periodo").parquet(path))
+
+
+def refresh_derived(spark: SparkSession, out: str, months: list[str] | None = None) -> dict:
+    """C5 after an append: daily table for the touched months, the other two in full."""
+    flat = FS.load_table(spark, out, FLAT)
+    refresh_daily(spark, out, flat, months)
+    for name in ("customer_features", "product_freq"):
+        df = TB.customer_features(flat) if name == "customer_features" else TB.product_freq(flat)
+        FS.write_table(df, FS.table_path(out, name))
+    return {name: FS.load_table(spark, out, name)
+            for name in (FLAT, "customer_features", "daily_summary", "product_freq")}
+
+
 def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product_category_path: str,
             out: str, force: bool = False, refresh_rules: bool = False, rules_params: dict | None = None) -> dict:
     """Run one incremental ETL step; returns the written tables (S18), ``{}`` if nothing is new."""
@@ -56,26 +116,15 @@ def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product
         return {}
     lookup = product_lookup(FS.read_categories(spark, categories_path),
                             FS.read_product_category(spark, product_category_path))
-    batch = new_items(FS.read_transactions(spark, paths), lookup).persist()
-    flat_path = FS.table_path(out, FLAT)
-    try:
-        has_flat = FS.table_exists(spark, flat_path) and not force
-        fresh = unseen_rows(batch, FS.load_table(spark, out, FLAT)) if has_flat else batch
-        mode = "append" if has_flat else "overwrite"
-        FS.write_table(fresh.select(*[f.name for f in S.TRANSACTIONS_FLAT.fields]), flat_path,
-                       partition_by=["id_tienda"], mode=mode)
-        counts = RG.file_counts(fresh)
-        counts_rows = counts.collect()  # one row per new file
-    finally:
-        batch.unpersist()
-    flat = FS.load_table(spark, out, FLAT)
-    outputs = {FLAT: flat}
-    for name, df in TB.derived_tables(flat).items():
-        FS.write_table(df, FS.table_path(out, name))
-        outputs[name] = FS.load_table(spark, out, name)
+    batch = new_items(FS.read_transactions(spark, paths), lookup)
+    if force:  # rebuild from scratch: rows of files that are gone do not survive
+        FS.write_table(batch.limit(0).select(*[f.name for f in S.TRANSACTIONS_FLAT.fields]),
+                       FS.table_path(out, FLAT), partition_by=["id_tienda"])
+    counts_rows, months = append_batch(spark, out, batch)
+    outputs = refresh_derived(spark, out, None if force else months)
     rules_path = FS.table_path(out, "association_rules")
     if refresh_rules or force or not FS.table_exists(spark, rules_path):
-        rules = RU.compute_association_rules(flat, "id_producto", **(rules_params or {}))
+        rules = RU.compute_association_rules(outputs[FLAT], "id_producto", **(rules_params or {}))
         FS.write_table(rules, rules_path)
     outputs["association_rules"] = FS.load_optional(spark, rules_path, S.ASSOCIATION_RULES)
     if counts_rows:

@@ -985,6 +985,14 @@ def etl_incremental_customers(spark, sf):
     return FS.load_table(spark, out, "customer_features")
 
 
+@register("etl_incremental_daily", q("SELECT fecha, id_tienda, n_transacciones, n_items, n_clientes, dia_semana, semana, mes FROM daily",
+                                     _DAILY_CTE))
+def etl_incremental_daily(spark, sf):
+    """C5 + T3 after two ETL runs: the daily table, refreshed only for the touched months."""
+    out = _run_two_step_etl(spark, sf)
+    return FS.load_table(spark, out, "daily_summary")
+
+
 @register("stream_ingest_flat", q("SELECT * FROM flat"))
 def stream_ingest_flat(spark, sf):
     """The landing directory as a file stream (availableNow), foreachBatch append with

@@ -125,8 +125,10 @@ def table_path(base: str, name: str) -> str:
 
 
 def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A processed table with its declared schema."""
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(table_path(base, name))
+    """A processed table with its declared schema (storage-only partition columns,
+    such as the year-month of the daily table, are dropped)."""
+    schema = TABLE_SCHEMAS[name]
+    return spark.read.schema(schema).parquet(table_path(base, name)).select(*schema.fieldNames())
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

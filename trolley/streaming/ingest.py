@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley import schemas as S
-from trolley.operators import tables as TB
 from trolley.operators.transform import add_calendar, categorize, explode_baskets
-from trolley.plans.etl import FLAT, new_items, unseen_rows
+from trolley.plans.etl import append_batch, new_items, refresh_derived
 from trolley.sources import files as FS
 from trolley.sources import registry_table as RG
 from trolley.session import cut_lineage
@@ -38,24 +37,15 @@ def read_landing_stream(spark: SparkSession, landing_dir: str, max_files_per_tri
 
 
 def make_batch_writer(out: str, lookup: DataFrame):
-    """foreachBatch body: idempotent append (re-running a batch appends nothing new)."""
+    """foreachBatch body: idempotent append (re-running a batch appends nothing), then the
+    derived tables of the touched months / of all history are refreshed."""
     def write(batch_raw: DataFrame, epoch_id: int) -> None:
         spark = batch_raw.sparkSession
-        batch = new_items(batch_raw, lookup).persist()
-        try:
-            if batch.isEmpty():
-                return
-            flat_path = FS.table_path(out, FLAT)
-            has_flat = FS.table_exists(spark, flat_path)
-            fresh = unseen_rows(batch, FS.load_table(spark, out, FLAT)) if has_flat else batch
-            FS.write_table(fresh.select(*[f.name for f in S.TRANSACTIONS_FLAT.fields]), flat_path,
-                           partition_by=["id_tienda"], mode="append" if has_flat else "overwrite")
-            counts = RG.file_counts(fresh).collect()  # one row per file of the batch
-        finally:
-            batch.unpersist()
-        flat = FS.load_table(spark, out, FLAT)
-        for name, df in TB.derived_tables(flat).items():
-            FS.write_table(df, FS.table_path(out, name))
+        batch = new_items(batch_raw, lookup)
+        counts, months = append_batch(spark, out, batch)
+        if not months:
+            return
+        refresh_derived(spark, out, months)
         if counts:
             RG.register_files(spark.createDataFrame(counts, S.ETL_REGISTRY), out)
     return write
