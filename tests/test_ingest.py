@@ -71,6 +71,10 @@ def test_incremental_equals_full_and_rerun_is_noop(spark, tmpdir_path):
     d_inc = sorted(tuple(r) for r in FS.load_table(spark, out_inc, "daily_summary").collect())
     d_full = sorted(tuple(r) for r in FS.load_table(spark, out_full, "daily_summary").collect())
     assert d_inc == d_full and len(d_inc) == 3  # 2013-07-01/102 was refreshed, two days added
+    from trolley.operators import tables as TB
+    stored_pf = sorted(tuple(r) for r in FS.load_table(spark, out_inc, "product_freq").collect())
+    direct_pf = sorted(tuple(r) for r in TB.product_freq(FS.load_table(spark, out_inc, "transactions_flat")).collect())
+    assert stored_pf == direct_pf
     cats = {r.id_producto: r.nombre_categoria for r in FS.load_table(spark, out_full, "transactions_flat").collect()}
     assert cats[20] == "Frutas" and cats[6] == "Lacteos2" and cats[29] == "SIN CATEGORIA" and cats[3] == "Lacteos2"
     assert cats[43] == "SIN CATEGORIA" and cats[1] == "Frutas"

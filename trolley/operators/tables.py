@@ -43,11 +43,14 @@ def daily_summary(flat: DataFrame, ordered: bool = True) -> DataFrame:
     return df.orderBy("fecha", "id_tienda") if ordered else df
 
 
-def product_freq(flat: DataFrame, ordered: bool = False) -> DataFrame:
+def product_freq(flat: DataFrame, ordered: bool = False, total_customers=None) -> DataFrame:
     """Per product: items, distinct customers, % of the customers of ``flat`` (2 dp).
 
-    The denominator is a scalar subquery, so no join with the one-row total is planned."""
-    total = flat.select(F.countDistinct("id_cliente")).scalar()
+    The denominator is a scalar subquery, so no join with the one-row total is planned.
+    ``total_customers`` (a number or a scalar Column, e.g. the row count of a stored
+    customer table of the same flat) saves that extra pass over ``flat``."""
+    total = (flat.select(F.countDistinct("id_cliente")).scalar() if total_customers is None
+             else (total_customers if isinstance(total_customers, F.Column) else F.lit(total_customers)))
     df = (flat.groupBy("id_producto", "nombre_categoria")
           .agg(F.count(F.lit(1)).alias("frecuencia_absoluta"),
                F.countDistinct("id_cliente").alias("n_clientes"))

@@ -99,9 +99,11 @@ def refresh_derived(spark: SparkSession, out: str, months: list[str] | None = No
     """C5 after an append: daily table for the touched months, the other two in full."""
     flat = FS.load_table(spark, out, FLAT)
     refresh_daily(spark, out, flat, months)
-    for name in ("customer_features", "product_freq"):
-        df = TB.customer_features(flat) if name == "customer_features" else TB.product_freq(flat)
-        FS.write_table(df, FS.table_path(out, name))
+    FS.write_table(TB.customer_features(flat), FS.table_path(out, "customer_features"))
+    # one row per customer: its row count is the distinct-customer denominator
+    customers = FS.load_table(spark, out, "customer_features")
+    FS.write_table(TB.product_freq(flat, total_customers=customers.select(F.count(F.lit(1))).scalar()),
+                   FS.table_path(out, "product_freq"))
     return {name: FS.load_table(spark, out, name)
             for name in (FLAT, "customer_features", "daily_summary", "product_freq")}
 
