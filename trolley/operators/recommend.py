@@ -33,7 +33,7 @@ def _lit(v) -> Column:
 
 def cosine_to_target(vectors: DataFrame, target, dim: str = "dim", val: str = "val") -> DataFrame:
     """(id_cliente, sim) of every customer other than ``target`` (P11), zero-overlap
-    customers included with similarity 0; zero-norm vectors give 0 (as sklearn)."""
+    customers included with similarity 0; a zero-norm vector has similarity 0."""
     t = _lit(target)
     norms = vectors.groupBy("id_cliente").agg(F.sqrt(F.sum(F.col(val) * F.col(val))).alias("norm"))
     tvec = checked_broadcast(vectors.filter(F.col("id_cliente") == t)
