@@ -64,3 +64,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def scale_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Starting configuration for a cluster run over ``input_bytes`` of Parquet input.
+
+    * scans: 256 MB splits (100 TB -> ~400k scan tasks, ~100 waves on 4000 cores);
+    * shuffles: enough initial partitions for ~512 MB of pre-aggregation input each,
+      at least 2 per core, at most 100k; AQE then coalesces toward 256 MB partitions and
+      splits skewed ones (a key with a third of the rows) in joins;
+    * broadcasts: the engine's own threshold stays modest; the library's explicit checks
+      bound broadcast sides by rows.
+    Values the cluster already sets (memory, executors, checkpoint dir) are not touched."""
+    mb = 1024 * 1024
+    shuffle = max(2 * total_cores, min(100_000, input_bytes // (512 * mb) or 1))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(256 * mb),
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * mb),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
+        "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    }
