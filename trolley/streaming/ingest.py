@@ -68,22 +68,29 @@ def stream_items(lines: DataFrame, lookup: DataFrame) -> DataFrame:
     return add_calendar(categorize(explode_baskets(raw), lookup))
 
 
+def event_time(fecha) -> F.Column:
+    """The item date as an instant at 00:00 UTC, independent of the session time zone."""
+    return F.timestamp_seconds(F.unix_date(fecha).cast("long") * 86400)
+
+
 def dedupe_stream(items: DataFrame, watermark: str | None = None) -> DataFrame:
     """In-stream key dedupe (T2 option). With a watermark on the item date the dedupe
     state is bounded by event time; without one every key is remembered."""
     if watermark:
-        return (items.withColumn("fecha_ts", F.col("fecha").cast("timestamp"))
+        return (items.withColumn("fecha_ts", event_time(F.col("fecha")))
                 .withWatermark("fecha_ts", watermark)
                 .dropDuplicatesWithinWatermark(S.FLAT_KEYS))
     return items.dropDuplicates(S.FLAT_KEYS)
 
 
 def weekly_counts(items: DataFrame, watermark: str | None = None) -> DataFrame:
-    """T5: items per Monday-aligned week and category (epoch day 0 is a Thursday, so
-    windows start 4 days later)."""
-    ts = items.withColumn("fecha_ts", F.col("fecha").cast("timestamp"))
+    """T5: items per Monday-aligned week and category. Windows are laid on UTC epoch time
+    (epoch day 0 is a Thursday, so they start 4 days later) and mapped back to dates
+    without the session time zone."""
+    ts = items.withColumn("fecha_ts", event_time(F.col("fecha")))
     if watermark:
         ts = ts.withWatermark("fecha_ts", watermark)
     return (ts.groupBy(F.window("fecha_ts", "7 days", "7 days", "4 days").alias("w"), "nombre_categoria")
             .agg(F.count(F.lit(1)).alias("frecuencia"))
-            .select(F.to_date(F.col("w.start")).alias("semana"), "nombre_categoria", "frecuencia"))
+            .select(F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+                    .alias("semana"), "nombre_categoria", "frecuencia"))
