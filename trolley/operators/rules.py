@@ -101,12 +101,12 @@ def association_rules(itemsets: DataFrame, n_baskets: int, min_confidence: float
 def compute_association_rules(items: DataFrame, item_col: str = "id_producto",
                               sample_frac: float = 0.30, min_support: float = 0.01,
                               min_confidence: float = 0.3, sample: str = "hash",
-                              seed: int = 42) -> DataFrame:
+                              seed: int = 42, keys=BASKET_KEYS) -> DataFrame:
     """M1 -> A17 -> M2 -> M3 as one job. The baskets are checkpointed into the shared
     checkpoint folder: FP-growth and the basket count then read them once each and a
     lost executor re-reads the checkpoint instead of recomputing the flat table."""
-    bk = baskets(items, item_col)
-    bk = hash_sample(bk, sample_frac) if sample == "hash" else random_sample(bk, sample_frac, seed)
+    bk = baskets(items, item_col, keys)
+    bk = hash_sample(bk, sample_frac, keys) if sample == "hash" else random_sample(bk, sample_frac, seed)
     bk = cut_lineage(bk)
     n = bk.count()
     fi = cut_lineage(frequent_itemsets(bk, min_support, n))

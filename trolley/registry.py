@@ -1096,3 +1096,65 @@ FROM flat GROUP BY id_cliente ORDER BY total_items DESC, id_cliente LIMIT 10""")
 def top_customers_chart(spark, sf):
     """O2 + F11 + O7: top 10 customers labelled, smallest first for bars."""
     return M.top_customers_chart(_flat(spark, sf), 10)
+
+
+# ---------------------------------------------------------------- the events table as a second source
+
+def _event_items(spark, sf) -> DataFrame:
+    """(fecha, user_id, event_type) of every event: baskets are a user's day."""
+    ev = retail(spark, sf).t("events").select("ts", "user_id", "event_type")
+    return ev.select(F.to_date("ts").alias("fecha"), "user_id", "event_type")
+
+
+def _bitmask_rules_sql(basket_cte: str, conf: float) -> str:
+    """All frequent itemsets by bit-mask enumeration over the item universe of ``bk``,
+    then every antecedent/consequent split (same tail as the other rule oracles)."""
+    base = [
+        basket_cte,
+        "bks AS (SELECT * FROM bk)",
+        "nb AS (SELECT count(*) AS n FROM bks)",
+        "u AS (SELECT list_sort(list(DISTINCT x)) AS all_items FROM (SELECT unnest(items) AS x FROM bks) s)",
+        """cand AS (SELECT list_filter(all_items, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS items
+                  FROM (SELECT all_items, unnest(range(1, CAST(pow(2, len(all_items)) AS BIGINT))) AS m FROM u) s)""",
+        """fi AS (SELECT c.items, count(*) AS freq FROM cand c JOIN bks b ON list_has_all(b.items, c.items)
+                GROUP BY c.items HAVING count(*) >= ceil(0.01 * (SELECT n FROM nb)))""",
+    ]
+    return _rules_sql(conf, base)
+
+
+@register("association_rules_events", _bitmask_rules_sql(
+    """bk AS (SELECT CAST(ts AS DATE) AS fecha, user_id, list_sort(list(DISTINCT event_type)) AS items
+              FROM events GROUP BY 1, 2)""", 0.1))
+def association_rules_events(spark, sf):
+    """M2 + M3 on the events table: baskets = a user's day, items = event types."""
+    return _rules_txt(_events_rules(spark, sf))
+
+
+def _events_rules(spark, sf):
+    return RU.compute_association_rules(_event_items(spark, sf), "event_type", sample_frac=1.0,
+                                        min_support=0.01, min_confidence=0.1, keys=["fecha", "user_id"])
+
+
+@register("stream_events_weekly", q("""
+SELECT CAST(date_trunc('week', CAST(ts AS DATE)) AS DATE) AS semana, event_type, count(*) AS n_events,
+       round_even(sum(value) * 100.0, 0) / 100.0 AS total_value
+FROM events GROUP BY 1, 2"""))
+def stream_events_weekly(spark, sf):
+    """T1 + T5 on a given table: ``events.parquet`` read as a Parquet file stream,
+    Monday-aligned 7-day windows per event type (complete mode, memory sink)."""
+    from trolley.streaming.ingest import event_time
+    schema = retail(spark, sf).t("events").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", "1").parquet(sf))
+    agg = (stream.withColumn("t", event_time(F.to_date("ts")))
+           .groupBy(F.window("t", "7 days", "7 days", "4 days").alias("w"), "event_type")
+           .agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("v"))
+           .select(F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int")).alias("semana"),
+                   "event_type", "n_events", round_even(F.col("v"), 2).alias("total_value")))
+    name = "events_weekly_" + uuid.uuid4().hex[:12]
+    base = scratch_path(spark, f"events-stream-{uuid.uuid4().hex}")
+    query = (agg.writeStream.outputMode("complete").format("memory").queryName(name)
+             .option("checkpointLocation", base).start())
+    query.processAllAvailable()
+    query.stop()
+    return spark.table(name)
