@@ -29,18 +29,24 @@ def summary_kpis(flat: DataFrame) -> DataFrame:
     The split date is the item-weighted upper median: the first date whose running
     item count exceeds floor(n/2). Deltas are null when there is at most one item.
 
-    Two passes over ``flat``: one aggregate to a per-date table (one row per date,
-    checkpointed to the shared folder, so the running sum and the half sums read that
-    small table), one global aggregate for the distinct counts."""
-    per_date = cut_lineage(
-        daily_summary(flat, ordered=False).groupBy("fecha")
-        .agg(F.sum("n_items").alias("n"), F.sum("n_transacciones").alias("t")))
-    n_total = per_date.select(F.sum("n")).scalar()
+    One pass over ``flat``: grouping sets (day, store) and () give the per-day-and-store
+    items and transactions and the overall distinct customers and categories together.
+    That small result (one row per day and store, plus one) is checkpointed to the
+    shared folder; the running sum and the half sums read only it."""
+    g = cut_lineage(
+        flat.groupingSets([["fecha", "id_tienda"], []], "fecha", "id_tienda")
+        .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id_cliente").alias("c"),
+             F.countDistinct("nombre_categoria").alias("k"), F.grouping_id().alias("gid")))
+    per_date = (g.filter(F.col("gid") == 0).groupBy("fecha")
+                .agg(F.sum("n").alias("n"), F.sum("c").alias("t")))
+    # four numbers and a date: fetched once instead of as repeated scalar subqueries
+    total = g.filter(F.col("gid") == 3).select("n", "c", "k").first()
+    n_total = int(total["n"]) if total else 0
     running = F.sum("n").over(Window.orderBy("fecha").rowsBetween(Window.unboundedPreceding, 0))
     mid = (per_date.select("fecha", running.alias("cum"))
-           .filter(F.col("cum") > F.floor(n_total / 2))
-           .select(F.min("fecha")).scalar())
-    distinct = flat.agg(F.countDistinct("id_cliente").alias("c"), F.countDistinct("nombre_categoria").alias("k"))
+           .filter(F.col("cum") > F.lit(n_total // 2))
+           .agg(F.min("fecha")).first()[0])
+    mid = F.lit(mid).cast("date")
     agg = per_date.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_items"),
         F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("total_transacciones"),
@@ -56,8 +62,8 @@ def summary_kpis(flat: DataFrame) -> DataFrame:
 
     return agg.select(
         "total_items", "total_transacciones",
-        distinct.select(F.col("c")).scalar().cast("long").alias("clientes_unicos"),
-        distinct.select(F.col("k")).scalar().cast("long").alias("categorias_activas"),
+        F.lit(int(total["c"]) if total else 0).cast("long").alias("clientes_unicos"),
+        F.lit(int(total["k"]) if total else 0).cast("long").alias("categorias_activas"),
         delta("h1_items", "h2_items").alias("delta_items_pct"),
         delta("h1_trans", "h2_trans").alias("delta_trans_pct"),
     )
