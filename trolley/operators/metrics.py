@@ -84,23 +84,29 @@ def top_categories(flat: DataFrame, top_n: int) -> DataFrame:
 def category_evolution(flat: DataFrame, top_n: int = 5) -> DataFrame:
     """Weekly (Monday) item counts of the top-N categories; weeks as ISO text, no zero-fill.
 
-    The top-N list has at most ``top_n`` rows (a parameter), so broadcasting it is bounded."""
-    top = F.broadcast(top_categories(flat, top_n).select("nombre_categoria"))
-    return (flat.join(top, "nombre_categoria", "left_semi")
-            .groupBy(week_start(F.col("fecha")).alias("semana_d"), "nombre_categoria")
-            .agg(F.count(F.lit(1)).alias("frecuencia"))
+    One scan: items per (week, category) first; the category totals and the top-N come
+    from that small result, which is then semi-joined to the top-N list (at most
+    ``top_n`` rows — a parameter — so broadcasting it is bounded)."""
+    weekly = cut_lineage(flat.groupBy(week_start(F.col("fecha")).alias("semana_d"), "nombre_categoria")
+                         .agg(F.count(F.lit(1)).alias("frecuencia")))
+    top = (weekly.groupBy("nombre_categoria").agg(F.sum("frecuencia").alias("total"))
+           .orderBy(F.desc("total"), "nombre_categoria").limit(top_n).select("nombre_categoria"))
+    return (weekly.join(F.broadcast(top), "nombre_categoria", "left_semi")
             .select(date_text(F.col("semana_d")).alias("semana"), "nombre_categoria", "frecuencia"))
 
 
 def category_share_top10(flat: DataFrame, top: int = 10) -> DataFrame:
-    """Top categories plus one 'Otras' row holding the rest (only when the rest is > 0)."""
+    """Top categories plus one 'Otras' row holding the rest (only when the rest is > 0).
+
+    One scan; the rank is a window over the aggregated categories (one row each)."""
     counts = category_counts(flat, ordered=False)
-    head = counts.orderBy(F.desc("frecuencia"), "nombre_categoria").limit(top)
-    rest = (counts.join(F.broadcast(head.select("nombre_categoria")), "nombre_categoria", "left_anti")
-            .agg(F.sum("frecuencia").alias("frecuencia"))
-            .filter(F.col("frecuencia") > 0)
-            .select(F.lit(OTHER_BUCKET).alias("nombre_categoria"), F.col("frecuencia").cast("long")))
-    return head.unionByName(rest)
+    rank = F.row_number().over(Window.orderBy(F.desc("frecuencia"), "nombre_categoria"))
+    ranked = counts.withColumn("rk", rank)
+    label = F.when(F.col("rk") <= top, F.col("nombre_categoria")).otherwise(F.lit(OTHER_BUCKET))
+    return (ranked.groupBy(label.alias("nombre_categoria"), (F.col("rk") <= top).alias("head"))
+            .agg(F.sum("frecuencia").cast("long").alias("frecuencia"))
+            .filter(F.col("head") | (F.col("frecuencia") > 0))
+            .select("nombre_categoria", "frecuencia"))
 
 
 # ------------------------------------------------------------------ customers / time

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trolley.functions.calendar import iso_week, month_of, weekday0
 from trolley.functions.numeric import round_even
+from trolley.session import cut_lineage
 
 
 def main_store(flat: DataFrame) -> DataFrame:
@@ -46,16 +47,26 @@ def daily_summary(flat: DataFrame, ordered: bool = True) -> DataFrame:
 def product_freq(flat: DataFrame, ordered: bool = False, total_customers=None) -> DataFrame:
     """Per product: items, distinct customers, % of the customers of ``flat`` (2 dp).
 
-    The denominator is a scalar subquery, so no join with the one-row total is planned.
+    One scan: grouping sets (product, category) and () give the per-product counts and
+    the overall distinct customers together; the grouped result (one row per product,
+    plus one) is checkpointed and the denominator read from its total row.
     ``total_customers`` (a number or a scalar Column, e.g. the row count of a stored
-    customer table of the same flat) saves that extra pass over ``flat``."""
-    total = (flat.select(F.countDistinct("id_cliente")).scalar() if total_customers is None
-             else (total_customers if isinstance(total_customers, F.Column) else F.lit(total_customers)))
-    df = (flat.groupBy("id_producto", "nombre_categoria")
-          .agg(F.count(F.lit(1)).alias("frecuencia_absoluta"),
-               F.countDistinct("id_cliente").alias("n_clientes"))
-          .withColumn("pct_clientes",
-                      round_even(F.col("n_clientes").cast("double") / total * 100.0, 2)))
+    customer table of the same flat) keeps the plan lazy instead."""
+    if total_customers is not None:
+        total = total_customers if isinstance(total_customers, F.Column) else F.lit(total_customers)
+        grouped = flat.groupBy("id_producto", "nombre_categoria").agg(
+            F.count(F.lit(1)).alias("frecuencia_absoluta"), F.countDistinct("id_cliente").alias("n_clientes"))
+    else:
+        g = cut_lineage(
+            flat.groupingSets([["id_producto", "nombre_categoria"], []], "id_producto", "nombre_categoria")
+            .agg(F.count(F.lit(1)).alias("frecuencia_absoluta"), F.countDistinct("id_cliente").alias("n_clientes"),
+                 F.grouping_id().alias("gid")))
+        row = g.filter(F.col("gid") == 3).select("n_clientes").first()
+        total = F.lit(int(row[0]) if row else 0)
+        grouped = g.filter(F.col("gid") == 0).drop("gid")
+    df = grouped.withColumn("pct_clientes",
+                            round_even(F.col("n_clientes").cast("double") / total * 100.0, 2))
+    df = df.select("id_producto", "nombre_categoria", "frecuencia_absoluta", "n_clientes", "pct_clientes")
     return df.orderBy(F.desc("frecuencia_absoluta"), "id_producto") if ordered else df
 
 
