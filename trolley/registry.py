@@ -346,8 +346,9 @@ GROUP BY f.id_tienda, f.n, f.q1, f.median, f.q3, f.lo_fence, f.hi_fence""", _CUS
                     quantile_cont(v, 0.75) AS q3 FROM k GROUP BY id_tienda)""",
     "f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_fence, q3 + 1.5 * (q3 - q1) AS hi_fence FROM qq)"))
 def box_stats_volumen(spark, sf):
-    """A15 + P7 for volumen_total."""
-    return M.box_stats(TB.customer_features(_flat(spark, sf)), "volumen_total")
+    """A15 + P7 for volumen_total (the customer table is read three times: checkpointed once)."""
+    from trolley.session import cut_lineage
+    return M.box_stats(cut_lineage(TB.customer_features(_flat(spark, sf))), "volumen_total")
 
 
 @register("correlation_matrix", q(" UNION ALL ".join(
