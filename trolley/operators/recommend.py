@@ -21,6 +21,21 @@ def customer_category_counts(flat: DataFrame) -> DataFrame:
     return flat.groupBy("id_cliente", "nombre_categoria").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stored_counts(flat: DataFrame) -> DataFrame:
+    """Customer x category counts, materialized once in the shared checkpoint folder.
+
+    One row per (customer, category) is far smaller than the item table; every later
+    step (targets, norms, dot products, scores) reads this table instead of the items."""
+    return cut_lineage(customer_category_counts(flat))
+
+
+def top_customers_by_items(counts: DataFrame, n: int = 1) -> DataFrame:
+    """The ``n`` customers with most items (ties: smaller id), read from the counts:
+    a customer's items are the sum of its per-category counts."""
+    return (counts.groupBy("id_cliente").agg(F.sum("n").alias("total_items"))
+            .orderBy(F.desc("total_items"), "id_cliente").limit(n))
+
+
 def customer_category_matrix(flat: DataFrame) -> DataFrame:
     """A19 wide form (one column per category, 0-filled); for display/export only."""
     return (customer_category_counts(flat).groupBy("id_cliente")
@@ -105,19 +120,19 @@ def svd_vectors(counts: DataFrame, n_components: int = 50, cap_rank: bool = True
 
 
 def recommend_for_customer(flat: DataFrame, customer_id, top_n: int = 5, n_neighbors: int = 10,
-                           n_components: int = 50, method: str = "svd") -> DataFrame:
+                           n_components: int = 50, method: str = "svd",
+                           counts: DataFrame | None = None) -> DataFrame:
     """Categories for one customer from its nearest neighbours.
 
     ``method='svd'`` reduces the count matrix to rank min(n_components, C-1, N-1) as the
     reference does; ``method='exact'`` uses cosine on the counts. An unknown customer
-    gives an empty result."""
+    gives an empty result. ``counts`` (from ``stored_counts(flat)``) is reused when given."""
     if method not in ("svd", "exact"):
         raise ValueError("method must be 'svd' or 'exact'")
     if not 1 <= int(top_n) <= 20:  # P9
         raise ValueError("top_n must be within 1..20")
-    # one row per (customer, category): far smaller than the item table; materialized
-    # once in the shared checkpoint folder and read by every later step
-    counts = cut_lineage(customer_category_counts(flat))
+    if counts is None:
+        counts = stored_counts(flat)
     if method == "exact":
         vectors = counts.select("id_cliente", F.col("nombre_categoria").alias("dim"),
                                 F.col("n").cast("double").alias("val"))
@@ -130,7 +145,7 @@ def recommend_for_customer(flat: DataFrame, customer_id, top_n: int = 5, n_neigh
 
 
 def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5,
-                            n_neighbors: int = 10) -> DataFrame:
+                            n_neighbors: int = 10, counts: DataFrame | None = None) -> DataFrame:
     """Exact recommendation for a set of target customers (column ``id_cliente``).
 
     Work is (targets x customers sharing a category); targets' vectors are broadcast
@@ -138,8 +153,10 @@ def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5,
     before the shuffle). Customers sharing no category have similarity 0; they can only
     be neighbours of a target with fewer than k overlapping customers, and then they are
     the smallest ids, all among the 2k+1 smallest ids overall — so only those (a list
-    bounded by the parameter) are added per target, without any pair generation."""
-    counts = cut_lineage(customer_category_counts(flat))
+    bounded by the parameter) are added per target, without any pair generation.
+    ``counts`` (from ``stored_counts(flat)``) is reused when given."""
+    if counts is None:
+        counts = stored_counts(flat)
     norms = counts.groupBy("id_cliente").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     tvec = checked_broadcast(
         counts.join(targets.select(F.col("id_cliente")).distinct(), "id_cliente", "left_semi")

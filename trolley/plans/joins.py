@@ -26,7 +26,20 @@ def bounded_rows(df: DataFrame, limit: int) -> int | None:
     return n if n <= limit else None
 
 
+def static_max_rows(df: DataFrame) -> int | None:
+    """Upper bound on the row count that the optimizer proves from the plan alone (a
+    limit, a global aggregate, a bounded range), or ``None``. No job is run."""
+    try:
+        bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+        return int(bound.get()) if bound.isDefined() else None
+    except Exception:  # no JVM handle (remote session): fall back to counting
+        return None
+
+
 def is_bounded(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
+    static = static_max_rows(df)
+    if static is not None and static <= limit:
+        return True
     key = (id(df.sparkSession), df.semanticHash(), tuple(sorted(df.inputFiles())), limit)
     with _LOCK:
         if key in _VERDICTS:

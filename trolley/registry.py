@@ -813,9 +813,10 @@ _SIM_CTES = [
 ]
 
 
-def _target(flat: DataFrame):
-    """The customer with most items (ties: smaller id): one id, resolved once."""
-    row = M.top_customers(flat, 1).first()
+def _target(counts: DataFrame):
+    """The customer with most items (ties: smaller id): one id, resolved once from the
+    stored customer x category counts (no extra pass over the item table)."""
+    row = RC.top_customers_by_items(counts, 1).first()
     return None if row is None else int(row.id_cliente)
 
 
@@ -836,10 +837,9 @@ def customer_category_matrix(spark, sf):
 @register("neighbours_exact", q(f"SELECT id_cliente, {r('sim', 10)} AS sim FROM nb", *_SIM_CTES))
 def neighbours_exact(spark, sf):
     """M12 + J8 + P11 + W4: 10 nearest customers (exact cosine) of the top customer."""
-    flat = _flat(spark, sf)
-    counts = RC.customer_category_counts(flat)
+    counts = RC.stored_counts(_flat(spark, sf))
     vec = counts.select("id_cliente", F.col("nombre_categoria").alias("dim"), F.col("n").cast("double").alias("val"))
-    nb = RC.nearest_neighbours(RC.cosine_to_target(vec, _target(flat)), 10)
+    nb = RC.nearest_neighbours(RC.cosine_to_target(vec, _target(counts)), 10)
     return nb.select("id_cliente", round_even_col("sim", 10))
 
 
@@ -852,14 +852,16 @@ ORDER BY score DESC, categoria LIMIT 5""", *_SIM_CTES))
 def recommend_customer_exact(spark, sf):
     """M13 (exact cosine) + J6 + A25 + W5 for the top customer."""
     flat = _flat(spark, sf)
-    return RC.recommend_for_customer(flat, _target(flat), 5, 10, method="exact")
+    counts = RC.stored_counts(flat)
+    return RC.recommend_for_customer(flat, _target(counts), 5, 10, method="exact", counts=counts)
 
 
 @register("recommend_customer_svd")
 def recommend_customer_svd(spark, sf):
     """M11 + M13 as the reference: rank-min(50, C-1, N-1) SVD, cosine, 10 neighbours (rows-only)."""
     flat = _flat(spark, sf)
-    return RC.recommend_for_customer(flat, _target(flat), 5, 10, method="svd")
+    counts = RC.stored_counts(flat)
+    return RC.recommend_for_customer(flat, _target(counts), 5, 10, method="svd", counts=counts)
 
 
 @register("recommend_customers_batch", q(f"""
@@ -889,8 +891,9 @@ WHERE rank <= 5""", _CC,
 def recommend_customers_batch(spark, sf):
     """Exact recommendations for the 5 customers with most items at once."""
     flat = _flat(spark, sf)
-    targets = M.top_customers(flat, 5).select("id_cliente")
-    return RC.recommend_for_customers(flat, targets, 5, 10).withColumn("rank", F.col("rank").cast("long"))
+    counts = RC.stored_counts(flat)
+    targets = RC.top_customers_by_items(counts, 5).select("id_cliente")
+    return RC.recommend_for_customers(flat, targets, 5, 10, counts=counts).withColumn("rank", F.col("rank").cast("long"))
 
 
 # ---------------------------------------------------------------- phase 6: files, ETL, streaming
