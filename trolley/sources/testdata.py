@@ -15,6 +15,7 @@ The same mapping is spelled as SQL in ``trolley.oracle.ADAPTER_CTE``.
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -28,8 +29,22 @@ STORE_IDS = [102, 103, 107, 110]
 MAX_NAMED_CATEGORY = 24
 
 
+# The driver's tables are read-only, so their DataFrames (schema read from the Parquet
+# footer, file listing) are built once per session and path and reused by every query.
+_READS: dict[tuple, DataFrame] = {}
+_READS_LOCK = threading.Lock()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark, path)
+    with _READS_LOCK:
+        df = _READS.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        with _READS_LOCK:
+            df = _READS.setdefault(key, df)
+    return df
 
 
 def store_of(orderkey) -> F.Column:
@@ -91,5 +106,15 @@ class RetailTables:
                      .alias("basket_raw")))
 
 
+_RETAIL: dict[tuple, RetailTables] = {}
+
+
 def retail(spark: SparkSession, sf_dir: str) -> RetailTables:
-    return RetailTables(spark, sf_dir)
+    """The retail view of one test-data directory, built once per session (its frames
+    are immutable plans; every query of the session starts from the same ones)."""
+    key = (spark, sf_dir.rstrip("/"))
+    with _READS_LOCK:
+        rt = _RETAIL.get(key)
+        if rt is None:
+            rt = _RETAIL[key] = RetailTables(spark, sf_dir)
+    return rt
