@@ -71,7 +71,8 @@ def append_batch(spark: SparkSession, out: str, batch: DataFrame) -> tuple[list,
     counts = RG.file_counts(fresh).collect()  # one row per new file
     months = [r[0] for r in fresh.select(F.date_format("fecha", "yyyy-MM")).distinct().collect()]
     FS.write_table(fresh.select(*[f.name for f in S.TRANSACTIONS_FLAT.fields]), flat_path,
-                   partition_by=["id_tienda"], mode="append" if has_flat else "overwrite")
+                   partition_by=["id_tienda"], mode="append" if has_flat else "overwrite",
+                   cluster_by=FS.FLAT_CLUSTER)
     return counts, months
 
 
