@@ -84,11 +84,15 @@ def score_categories(counts: DataFrame, neighbours: DataFrame, target, top_n: in
 def svd_components(counts: DataFrame, n_components: int = 50, cap_rank: bool = True):
     """Right singular vectors of the (uncentred) customer x category count matrix.
 
-    The C x C Gram matrix is tree-aggregated by ``RowMatrix`` (no pairs are emitted) and
-    decomposed on the driver — C is the number of categories. Returns
-    (categories in index order, V as C x r ndarray) or None when r < 1."""
-    from pyspark.mllib.linalg import Vectors as MV
+    Customer rows are built on the JVM: the counts are pivoted on the known category
+    list (one row per customer, at most C columns), assembled into vectors and handed to
+    ``RowMatrix`` as a DataFrame, so no row goes through Python. The C x C Gram matrix
+    is tree-aggregated by ``RowMatrix`` (no pairs are emitted) and decomposed on the
+    driver — C is the number of categories. Returns (categories in index order, V as
+    C x r ndarray) or None when r < 1."""
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
     cats = [r[0] for r in counts.select("nombre_categoria").distinct().orderBy("nombre_categoria").collect()]
     n_rows = counts.select("id_cliente").distinct().count()
@@ -96,12 +100,12 @@ def svd_components(counts: DataFrame, n_components: int = 50, cap_rank: bool = T
     r = min(n_components, len(cats) - 1, n_rows - 1) if cap_rank else min(n_components, len(cats), n_rows)
     if r < 1:
         return None
-    index = {c: i for i, c in enumerate(cats)}
-    size = len(cats)
-    rows = (counts.groupBy("id_cliente")
-            .agg(F.collect_list(F.struct("nombre_categoria", "n")).alias("v"))  # <= C entries
-            .rdd.map(lambda row: MV.sparse(size, sorted((index[e[0]], float(e[1])) for e in row.v))))
-    svd = RowMatrix(rows).computeSVD(r, computeU=False)
+    dims = [f"c{i}" for i in range(len(cats))]
+    wide = (counts.groupBy("id_cliente").pivot("nombre_categoria", cats)
+            .agg(F.first(F.col("n").cast("double"))).na.fill(0.0)
+            .toDF("id_cliente", *dims))
+    vecs = VectorAssembler(inputCols=dims, outputCol="v").transform(wide).select("v")
+    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(vecs, "v")).computeSVD(r, computeU=False)
     return cats, svd.V.toArray()
 
 
