@@ -114,3 +114,18 @@ def test_registry_json_roundtrip(spark, tmpdir_path):
     back = json.loads(RG.registry_document(reg).first().doc)
     assert {k: v["rows"] for k, v in back["processed_files"].items()} == {"102_Tran.csv": 2562327, "103_Tran.csv": 4234392}
     assert back["last_updated"].startswith("2026-06-09T02:47:45.080344")
+
+
+def test_unseen_rows_any_covering_range_is_exact(spark):
+    import datetime as dt
+    schema = "fecha date, id_tienda int, id_cliente long, id_producto long"
+    d = dt.date
+    stored = spark.createDataFrame([(d(2013, 1, 2), 102, 1, 5), (d(2013, 1, 3), 102, 1, 6),
+                                    (d(2013, 3, 1), 103, 2, 7)], schema)
+    batch = spark.createDataFrame([(d(2013, 1, 2), 102, 1, 5), (d(2013, 1, 3), 102, 1, 9),
+                                   (d(2013, 1, 4), 103, 2, 7)], schema)
+    exact = ETL.unseen_rows(batch, stored)
+    wide = ETL.unseen_rows(batch, stored, (d(2012, 1, 1), d(2014, 1, 1)))
+    assert ETL.date_cover(batch) == (d(2013, 1, 2), d(2013, 1, 4))
+    assert sorted(exact.collect()) == sorted(wide.collect())
+    assert sorted(r.id_producto for r in exact.collect()) == [7, 9]

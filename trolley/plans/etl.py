@@ -40,13 +40,26 @@ def new_items(raw: DataFrame, lookup: DataFrame) -> DataFrame:
     return add_calendar(categorize(items, lookup))
 
 
-def unseen_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def date_cover(df: DataFrame) -> tuple:
+    """(first, last) date of ``df``: two values, one aggregate without a shuffle of rows.
+
+    Called on the raw lines of a batch, it covers every item the batch yields (items
+    keep their line's date) without running the explode / key-dedupe shuffle once more
+    just for the bounds."""
+    row = df.agg(F.min("fecha").alias("lo"), F.max("fecha").alias("hi")).first()
+    return (row["lo"], row["hi"])
+
+
+def unseen_rows(batch: DataFrame, stored: DataFrame, bounds: tuple | None = None) -> DataFrame:
     """Rows of ``batch`` whose key is not in ``stored`` (T2). Only the stored rows inside
-    the batch's date range are scanned: the bounds are pushed into the Parquet scan."""
-    bounds = batch.agg(F.min("fecha").alias("lo"), F.max("fecha").alias("hi")).first()  # two dates
-    if bounds["lo"] is None:
+    the batch's date range are scanned: the bounds are pushed into the Parquet scan, and
+    on the (store, date)-clustered table they skip files and row groups. ``bounds`` may be
+    any date range covering the batch (e.g. ``date_cover`` of its raw lines); the anti
+    join itself is on the full key, so a wider range only reads more stored rows."""
+    lo, hi = bounds if bounds is not None else date_cover(batch)
+    if lo is None:
         return batch
-    window = (stored.filter((F.col("fecha") >= F.lit(bounds["lo"])) & (F.col("fecha") <= F.lit(bounds["hi"])))
+    window = (stored.filter((F.col("fecha") >= F.lit(lo)) & (F.col("fecha") <= F.lit(hi)))
               .select(*S.FLAT_KEYS))
     return batch.join(window, S.FLAT_KEYS, "left_anti")
 
@@ -61,12 +74,14 @@ def _month_bounds(months: list[str]) -> list[tuple]:
     return out
 
 
-def append_batch(spark: SparkSession, out: str, batch: DataFrame) -> tuple[list, list[str]]:
+def append_batch(spark: SparkSession, out: str, batch: DataFrame,
+                 bounds: tuple | None = None) -> tuple[list, list[str]]:
     """Append the rows of ``batch`` whose key is not stored yet; returns (registry rows,
-    touched year-months). Re-running a batch appends nothing."""
+    touched year-months). Re-running a batch appends nothing. ``bounds``: a date range
+    covering the batch (see ``unseen_rows``)."""
     flat_path = FS.table_path(out, FLAT)
     has_flat = FS.table_exists(spark, flat_path)
-    fresh = unseen_rows(batch, FS.load_table(spark, out, FLAT)) if has_flat else batch
+    fresh = unseen_rows(batch, FS.load_table(spark, out, FLAT), bounds) if has_flat else batch
     fresh = cut_lineage(fresh.select(*[f.name for f in S.TRANSACTIONS_FLAT.fields], "file_name"))
     counts = RG.file_counts(fresh).collect()  # one row per new file
     months = [r[0] for r in fresh.select(F.date_format("fecha", "yyyy-MM")).distinct().collect()]
@@ -119,11 +134,13 @@ def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product
         return {}
     lookup = product_lookup(FS.read_categories(spark, categories_path),
                             FS.read_product_category(spark, product_category_path))
-    batch = new_items(FS.read_transactions(spark, paths), lookup)
+    raw = FS.read_transactions(spark, paths)
+    batch = new_items(raw, lookup)
     if force:  # rebuild from scratch: rows of files that are gone do not survive
         FS.write_table(batch.limit(0).select(*[f.name for f in S.TRANSACTIONS_FLAT.fields]),
                        FS.table_path(out, FLAT), partition_by=["id_tienda"])
-    counts_rows, months = append_batch(spark, out, batch)
+    has_flat = FS.table_exists(spark, FS.table_path(out, FLAT))
+    counts_rows, months = append_batch(spark, out, batch, date_cover(raw) if has_flat else None)
     outputs = refresh_derived(spark, out, None if force else months)
     rules_path = FS.table_path(out, "association_rules")
     if refresh_rules or force or not FS.table_exists(spark, rules_path):

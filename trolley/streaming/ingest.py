@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley import schemas as S
 from trolley.operators.transform import add_calendar, categorize, explode_baskets
-from trolley.plans.etl import append_batch, new_items, refresh_derived
+from trolley.plans.etl import append_batch, date_cover, new_items, refresh_derived
 from trolley.sources import files as FS
 from trolley.sources import registry_table as RG
 from trolley.session import cut_lineage
@@ -42,7 +42,7 @@ def make_batch_writer(out: str, lookup: DataFrame):
     def write(batch_raw: DataFrame, epoch_id: int) -> None:
         spark = batch_raw.sparkSession
         batch = new_items(batch_raw, lookup)
-        counts, months = append_batch(spark, out, batch)
+        counts, months = append_batch(spark, out, batch, date_cover(batch_raw))
         if not months:
             return
         refresh_derived(spark, out, months)
