@@ -177,7 +177,9 @@ def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5,
     known = tvec.select("target").distinct()
     fill = (known.select("target", F.explode(F.array(*[F.lit(i) for i in smallest])).alias("id_cliente"))
             .filter(F.col("id_cliente") != F.col("target"))
-            .join(dots.select("target", "id_cliente"), ["target", "id_cliente"], "left_anti")
+            # only the listed ids can clash; the filter on a grouping key reaches the scan
+            .join(dots.filter(F.col("id_cliente").isin(smallest)).select("target", "id_cliente"),
+                  ["target", "id_cliente"], "left_anti")
             .withColumn("sim", F.lit(0.0))) if smallest else None
     sims = overlap if fill is None else overlap.unionByName(fill)
     w = Window.partitionBy("target").orderBy(F.desc("sim"), "id_cliente")
