@@ -64,3 +64,15 @@ def test_describe_matches_pandas(spark):
     d = pd.Series(vals).describe()
     assert r["count"] == 7 and r.mean == round(d["mean"], 2) and r.std == round(d["std"], 2)
     assert (r.q1, r.median, r.q3) == (round(d["25%"], 2), round(d["50%"], 2), round(d["75%"], 2))
+
+
+def test_main_store_ties_and_extreme_ids(spark):
+    from trolley.operators import tables as TB
+    rows = [(1, 103), (1, 102), (1, 103), (1, 102),          # tie -> smaller store
+            (2, 2147483647), (2, -2147483648),               # tie at the int extremes
+            (3, 110), (3, 107), (3, 110)]                    # plain majority
+    flat = spark.createDataFrame(rows, "id_cliente long, id_tienda int")
+    got = {r.id_cliente: r.id_tienda for r in TB.main_store(flat).collect()}
+    assert got == {1: 102, 2: -2147483648, 3: 110}
+    plan = TB.main_store(flat)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -13,11 +13,21 @@ from trolley.functions.numeric import round_even
 from trolley.session import cut_lineage
 
 
+# Fixed value: 10^10 exceeds twice the magnitude of any 32-bit store id.
+_STORE_SPAN = 10 ** 10
+
+
 def main_store(flat: DataFrame) -> DataFrame:
-    """Store with most items per customer; ties go to the smallest store id."""
+    """Store with most items per customer; ties go to the smallest store id.
+
+    The order (items desc, store asc) is one exact decimal key, items * 10^10 - store:
+    a long count times 10^10 stays below 10^29, and store ids of any int value differ by
+    less than 10^10. A numeric key keeps ``max_by`` in a hash aggregate (a struct key
+    would force a sort-based one)."""
     per_store = flat.groupBy("id_cliente", "id_tienda").agg(F.count(F.lit(1)).alias("cnt"))
-    return (per_store.groupBy("id_cliente")
-            .agg(F.max_by("id_tienda", F.struct(F.col("cnt"), -F.col("id_tienda"))).alias("id_tienda")))
+    dec = "decimal(38,0)"
+    key = (F.col("cnt").cast(dec) * F.lit(_STORE_SPAN).cast(dec)) - F.col("id_tienda").cast(dec)
+    return per_store.groupBy("id_cliente").agg(F.max_by("id_tienda", key).alias("id_tienda"))
 
 
 def customer_features(flat: DataFrame) -> DataFrame:
