@@ -1,9 +1,11 @@
 """Registered queries of the subpackage and the SQL of those that SQL can express."""
 
-from . import pii, preferences, tokens, url_rules
+from . import langid, mixing, pii, preferences, tokens, url_rules
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": tokens.op4_token_counts,
+    "op5_language_id": langid.op5_language_id,
     "op7_url_filter": url_rules.op7_url_filter,
     "op8_preferences": preferences.op8_preferences,
     "op10_pii": pii.op10_pii,
