@@ -1,14 +1,16 @@
 """Registered queries of the subpackage and the SQL of those that SQL can express."""
 
-from . import langid, mixing, pii, preferences, tokens, url_rules
+from . import cover_tree, html_text, langid, mixing, pii, preferences, tokens, url_rules
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_language_id": langid.op5_language_id,
+    "op6_embedding_dedup": cover_tree.op6_embedding_dedup,
     "op7_url_filter": url_rules.op7_url_filter,
     "op8_preferences": preferences.op8_preferences,
+    "op9_html_text": html_text.op9_html_text,
     "op10_pii": pii.op10_pii,
 }
 
-SQL = {"op7_url_filter": url_rules.SQL, "op8_preferences": preferences.SQL}
+SQL = {"op6_embedding_dedup": cover_tree.SQL, "op7_url_filter": url_rules.SQL, "op8_preferences": preferences.SQL}
