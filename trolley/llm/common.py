@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley.session import scratch_path
@@ -69,3 +70,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     return (e.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .union(e.select("b", "b").distinct()))
+
+
+def roots(linked: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each row of a symmetric boolean matrix."""
+    label = np.arange(len(linked))
+    for start in range(len(linked)):
+        if label[start] == start:
+            seen, front = np.zeros(len(linked), bool), np.zeros(len(linked), bool)
+            front[start] = True
+            while front.any():
+                seen |= front
+                front = linked[front].any(0) & ~seen
+            label[seen] = start
+    return label
+
+
+def link_facts(nodes: DataFrame, found: DataFrame, component: str) -> DataFrame:
+    """Facts of the linked nodes from the counts and spanning forests of all tasks.
+
+    ``nodes(node, rep, n)``: smallest id and number of rows of each node; ``found(node, links,
+    root)``: rows of other nodes linked directly, and a node linked by a path. Result per node:
+    node, rep, n_links (other rows linked directly, copies included) and ``component``
+    (smallest id reachable)."""
+    whole = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    reps = nodes.select("node", "rep").join(whole, "node")
+    reps = reps.join(reps.groupBy("component").agg(F.min("rep").alias("low")), "component").select("node", "low")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    return (nodes.select("node", "rep", "n").join(links, "node", "left").join(reps, "node", "left")
+            .select("node", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias(component)))

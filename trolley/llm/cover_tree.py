@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, stage, table
+from .common import link_facts, roots, stage, table
 
 MARGIN = 1e-9   # pairs this close to a bound are compared exactly
 
@@ -90,20 +90,6 @@ def threshold_links(x: np.ndarray, y: np.ndarray | None, cosine: float) -> np.nd
     return out
 
 
-def roots(linked: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each row of a symmetric boolean matrix."""
-    label = np.arange(len(linked))
-    for start in range(len(linked)):
-        if label[start] == start:
-            seen, front = np.zeros(len(linked), bool), np.zeros(len(linked), bool)
-            front[start] = True
-            while front.any():
-                seen |= front
-                front = linked[front].any(0) & ~seen
-            label[seen] = start
-    return label
-
-
 def unit_rows(rows: pd.Series) -> np.ndarray:
     x = np.array(rows.tolist(), dtype=np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # keeps the norm finite
@@ -205,13 +191,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
                      (me <= them).alias("left"), (me == them).alias("same")))
     found = stage(units.groupBy("grp", "a", "b").applyInPandas(_compare(cosine), "node binary, links long, root binary"), "links")
 
-    whole = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    reps = nodes.select("node", "rep", "n").join(whole, "node")
-    reps = reps.join(reps.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
-    linked = (found.groupBy("node").agg(F.sum("links").alias("links")).join(reps.select("node", "component_id"), "node"))
-    facts = (nodes.select("node", "rep", "n").join(linked, "node", "left")
-             .select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-             .filter("n_links > 0"))
+    facts = link_facts(nodes, found, "component_id").drop("rep").filter("n_links > 0")
     return (rows.select("vec_id", "node").join(facts, "node", "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
