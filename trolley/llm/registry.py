@@ -1,8 +1,10 @@
 """Registered queries of the subpackage and the SQL of those that SQL can express."""
 
-from . import cover_tree, html_text, langid, mixing, pii, preferences, tokens, url_rules
+from . import cover_tree, decontaminate, html_text, langid, mixing, ngram_join, pii, preferences, tokens, url_rules
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_language_id": langid.op5_language_id,
