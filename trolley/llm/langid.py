@@ -156,25 +156,26 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def language(text: Column, spark: SparkSession, model: Model | None) -> Column:
-    """Struct (lang, score); ``und`` and 0 if the text is null or has no letter, or nothing was learned."""
+    """Struct (lang, score, rejected); ``und`` and 0 if the text is null or has no letter, or
+    nothing was learned. Rejected: ``und``, or a score below the model's threshold."""
     # buckets x languages numbers at most
     shared = spark.sparkContext.broadcast((model.langs, model.rows, model.bias) if model else None)
+    cut = model.threshold if model else 0.0
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, rejected boolean")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         parts, letters = shared.value, letter_table()
         for texts in batches:
-            yield pd.DataFrame([predict(t, parts, letters) for t in texts], columns=["lang", "score"])
+            found = pd.DataFrame([predict(t, parts, letters) for t in texts], columns=["lang", "score"])
+            yield found.assign(rejected=(found["lang"] == "und") | (found["score"] < cut))
     return identify(text)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected (``und``, or a score below the model's
-    threshold); columns of these names are replaced. Row for row; repeated rows stay."""
-    cut = model.threshold if model else 0.0
-    return (docs.withColumn("_id", language(F.col(text), docs.sparkSession, model))
-            .withColumn("lang_pred", F.col("_id.lang")).withColumn("score", F.col("_id.score"))
-            .withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < cut)).drop("_id"))
+    """``docs`` with lang_pred, score and rejected; columns of these names are replaced. Row
+    for row; repeated rows stay; empty tables stay empty."""
+    found = docs.withColumn("_id", language(F.col(text), docs.sparkSession, model))
+    return found.withColumns({"lang_pred": F.col("_id.lang"), "score": F.col("_id.score"), "rejected": F.col("_id.rejected")}).drop("_id")
 
 
 def fold(doc_id: Column) -> Column:
