@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from trolley import registry
 
 SLOW_ROWS_ONLY = {"kmeans_segments", "kmeans_centers", "kmeans_elbow", "pca_coordinates", "recommend_customer_svd"}
 
@@ -14,10 +15,14 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(registry.QUERIES) - set(registry.SQL)
     assert missing <= SLOW_ROWS_ONLY
 
 
+def test_entry_holds_every_query_of_the_registry():
+    assert set(registry.QUERIES) <= set(E.queries()) and set(registry.SQL) <= set(E.oracle_sql())
+
+
 @pytest.fixture(scope="module")
 def duck():
     import duckdb
@@ -27,14 +32,14 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_matches_oracle(spark, duck, name):
     import sys, os
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
     from check_oracle import digest
-    df = E.queries()[name](spark, SF_SMALL)
+    df = registry.QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
-    cur = duck.execute(E.oracle_sql()[name])
+    cur = duck.execute(registry.SQL[name])
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
