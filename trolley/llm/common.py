@@ -34,15 +34,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: one row (node, component) per
     node that occurs in an edge, component = smallest node reachable.
 
-    Alternating large-star and small-star steps. Each is a ``min`` aggregate (combined
-    before its shuffle, so a hub holding a third of the edges is no hot group) and a join
-    on the node, which AQE can split. Every round ends in a table in the shared folder.
+    Alternating large-star and small-star steps. Each is a ``min`` aggregate, combined before
+    its shuffle, and a join on the node with its written result: with both sides straight
+    from a shuffle, AQE can split a hub that holds a third of the edges. Every step ends in
+    a table in the shared folder.
     Raises if the edges have not settled after ``max_rounds``; the number of rounds grows
     with the logarithm of the longest path, so this is no limit in practice."""
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select("b", "a")) if large else e  # small star: a > b already
-        low = (both.groupBy("a").agg(F.min("b").alias("m"))
-               .withColumn("m", F.least("a", "m")))
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "low")
         out = both.join(low, "a")
         if large:   # neighbours above the node go to its smallest neighbour
             out = out.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -95,7 +95,8 @@ def link_facts(nodes: DataFrame, found: DataFrame, component: str) -> DataFrame:
     (smallest id reachable)."""
     whole = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     reps = nodes.select("node", "rep").join(whole, "node")
-    reps = reps.join(reps.groupBy("component").agg(F.min("rep").alias("low")), "component").select("node", "low")
+    low = stage(reps.groupBy("component").agg(F.min("rep").alias("low")), "low")  # written, so that AQE can split the join
+    reps = reps.join(low, "component").select("node", "low")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     return (nodes.select("node", "rep", "n").join(links, "node", "left").join(reps, "node", "left")
             .select("node", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias(component)))

@@ -178,8 +178,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
         assign, "node binary, n long, grp string, embedding array<double>, far array<double>, cell int"), "placed")
 
     chunks = F.ceil(F.col("size") / chunk_rows).cast("int")
-    cells = (placed.groupBy("grp", "cell").agg(F.count("*").alias("size"), F.max(F.get("far", F.col("cell"))).alias("radius"))
-             .groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", chunks.alias("chunks"), "radius"))).alias("cells")))
+    cells = stage(placed.groupBy("grp", "cell").agg(F.count("*").alias("size"), F.max(F.get("far", F.col("cell"))).alias("radius"))
+                  .groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", chunks.alias("chunks"), "radius"))).alias("cells")), "cells")
     limit = (2 - 2 * cosine) ** 0.5
     own = F.get(F.filter("cells", lambda c: c["cell"] == F.col("cell")), F.lit(0))["chunks"]
     me, them = F.struct("cell", "chunk"), F.struct(F.col("to.cell").alias("cell"), F.col("to_chunk").alias("chunk"))

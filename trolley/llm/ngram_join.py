@@ -182,11 +182,12 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall:
                                              F.first("bands").alias("bands")).withColumn("k", short), "classes")
 
     members = nodes.select("k", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("k").alias("low"), F.count("*").alias("many")).filter("many > 1")
+    # written tables on the small side of the joins: AQE can then split a hot bucket or group
+    buckets = stage(members.groupBy("band").agg(F.min("k").alias("low"), F.count("*").alias("many")).filter("many > 1").drop("many"), "buckets")
     groups = components(members.join(buckets, "band").filter("k != low").select(F.col("k").alias("a"), F.col("low").alias("b")))
     cand = stage(nodes.drop("bands").join(groups.select(F.col("node").alias("k"), F.col("component").alias("grp")), "k"), "candidates")
-    layout = (cand.groupBy("grp").agg(F.count("*").alias("m"), F.sum("size").alias("total"))
-              .select("grp", F.greatest(F.ceil(F.col("m") / chunk_rows), F.ceil(F.col("total") / chunk_shingles)).cast("int").alias("chunks")))
+    layout = stage(cand.groupBy("grp").agg(F.count("*").alias("m"), F.sum("size").alias("total"))
+                   .select("grp", F.greatest(F.ceil(F.col("m") / chunk_rows), F.ceil(F.col("total") / chunk_shingles)).cast("int").alias("chunks")), "layout")
     dealt = (cand.join(layout, "grp").select("rep", "node", "n", "grp", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")))
 
     def reshingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
