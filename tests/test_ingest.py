@@ -1,15 +1,16 @@
 import os
 
-from pyspark.sql import functions as F
+import pytest
 
+from trolley import schemas as S
 from trolley.plans import etl as ETL
 from trolley.sources import files as FS
 from trolley.sources import registry_table as RG
 
-LINES_A = ["2013-07-01|102|530|20 3 1", "2013-07-01|102|587|6 29 43 21 34", "2013-07-01|102|1|",
-           "2013-07-01|102|2|   ", "2013-07-01|102|7|7 7 8"]
-LINES_B = ["2013-07-02|103|530|20 3", "2013-07-01|102|7|7 8", "2012-12-31|103|9|1"]
-BAD = ["2013-07-01|102", "2013-07-01|102|5|1 2|x|y", "notadate|102|5|1 2", "2013-07-01|102|9|7 x 8"]
+LINES_A = ["2021-03-04|102|811|20 3 1", "2021-03-04|102|902|6 29 44 25 36", "2021-03-04|102|1|",
+           "2021-03-04|102|2|   ", "2021-03-04|102|7|7 7 8"]
+LINES_B = ["2021-03-05|103|811|20 3", "2021-03-04|102|7|7 8", "2020-12-31|103|9|1"]
+BAD = ["2021-03-04|102", "2021-03-04|102|5|1 2|x|y", "notadate|102|5|1 2", "2021-03-04|102|9|7 x 8"]
 
 
 def write(path, name, lines):
@@ -25,7 +26,7 @@ def catalogs(base):
 
 
 def test_validate_counts_every_line(spark, tmpdir_path):
-    write(tmpdir_path, "102_Tran.csv", LINES_A + BAD)
+    write(tmpdir_path, "102_marzo.csv", LINES_A + BAD)
     v = FS.validate(FS.read_raw_lines(spark, tmpdir_path)).first()
     assert (v.n_lines, v.n_wrong_columns, v.n_bad_keys, v.n_bad_products, v.n_valid) == (9, 2, 1, 1, 5)
     assert v.valid_name and v.store_prefix == 102 and not v.accepted
@@ -47,8 +48,8 @@ def test_catalogs_header_optional_last_wins(spark, tmpdir_path):
 
 
 def test_preview(spark, tmpdir_path):
-    write(tmpdir_path, "102_Tran.csv", LINES_A)
-    head, stats = FS.preview_file(spark, os.path.join(tmpdir_path, "102_Tran.csv"))
+    write(tmpdir_path, "102_marzo.csv", LINES_A)
+    head, stats = FS.preview_file(spark, os.path.join(tmpdir_path, "102_marzo.csv"))
     s = stats.first()
     assert head.count() == 5 and s.n_lines == 5 and s.n_columns == 4
 
@@ -56,11 +57,11 @@ def test_preview(spark, tmpdir_path):
 def test_incremental_equals_full_and_rerun_is_noop(spark, tmpdir_path):
     cat_path, pc_path = catalogs(tmpdir_path + "/cat")
     land, out_inc, out_full = tmpdir_path + "/landing", tmpdir_path + "/inc", tmpdir_path + "/full"
-    write(land, "102_Tran.csv", LINES_A)
+    write(land, "102_marzo.csv", LINES_A)
     params = {"sample_frac": 1.0, "min_support": 0.3, "min_confidence": 0.1}
     first = ETL.run_etl(spark, land, cat_path, pc_path, out_inc, rules_params=params)
     assert first["transactions_flat"].count() == 10  # 3 + 5 + (7, 8) after key dedupe
-    write(land, "103_Tran.csv", LINES_B)
+    write(land, "103_marzo.csv", LINES_B)
     ETL.run_etl(spark, land, cat_path, pc_path, out_inc, rules_params=params)
     assert ETL.run_etl(spark, land, cat_path, pc_path, out_inc) == {}
     ETL.run_etl(spark, land, cat_path, pc_path, out_full, rules_params=params)
@@ -70,21 +71,22 @@ def test_incremental_equals_full_and_rerun_is_noop(spark, tmpdir_path):
     assert inc == full and len(inc) == 13
     d_inc = sorted(tuple(r) for r in FS.load_table(spark, out_inc, "daily_summary").collect())
     d_full = sorted(tuple(r) for r in FS.load_table(spark, out_full, "daily_summary").collect())
-    assert d_inc == d_full and len(d_inc) == 3  # 2013-07-01/102 was refreshed, two days added
+    assert d_inc == d_full and len(d_inc) == 3  # 2021-03-04/102 was refreshed, two days added
     from trolley.operators import tables as TB
     stored_pf = sorted(tuple(r) for r in FS.load_table(spark, out_inc, "product_freq").collect())
     direct_pf = sorted(tuple(r) for r in TB.product_freq(FS.load_table(spark, out_inc, "transactions_flat")).collect())
     assert stored_pf == direct_pf
     cats = {r.id_producto: r.nombre_categoria for r in FS.load_table(spark, out_full, "transactions_flat").collect()}
     assert cats[20] == "Frutas" and cats[6] == "Lacteos2" and cats[29] == "SIN CATEGORIA" and cats[3] == "Lacteos2"
-    assert cats[43] == "SIN CATEGORIA" and cats[1] == "Frutas"
+    assert cats[44] == "SIN CATEGORIA" and cats[1] == "Frutas"
     reg = RG.load_registry(spark, out_inc)
-    assert {r.file_name: r.rows for r in reg.collect()} == {"102_Tran.csv": 10, "103_Tran.csv": 3}
+    # the items a file holds, repeats and rows that were stored already included
+    assert {r.file_name: (r.rows, r.rejected) for r in reg.collect()} == {"102_marzo.csv": (11, 0), "103_marzo.csv": (5, 0)}
     st = RG.etl_status(reg).first()
-    assert st.n_files == 2 and st.processed_files == ["102_Tran.csv", "103_Tran.csv"]
+    assert st.n_files == 2 and st.processed_files == ["102_marzo.csv", "103_marzo.csv"]
     tables = FS.load_tables(spark, out_inc)
     counts = {r.table: r.rows for r in FS.table_counts(tables).collect()}
-    assert counts["transactions_flat"] == 13 and counts["customer_features"] == 4  # 530, 587, 7, 9 (1 and 2 only had empty baskets)
+    assert counts["transactions_flat"] == 13 and counts["customer_features"] == 4  # 811, 902, 7, 9 (1 and 2 only had empty baskets)
     assert FS.load_optional(spark, tmpdir_path + "/nothing", tables["association_rules"].schema).count() == 0
 
 
@@ -103,29 +105,68 @@ def test_merge_policies(spark):
 
 def test_registry_json_roundtrip(spark, tmpdir_path):
     import json
-    doc = {"processed_files": {"102_Tran.csv": {"processed_at": "2026-06-09T02:47:44.814976+00:00", "rows": 2562327},
-                               "103_Tran.csv": {"processed_at": "2026-06-09T02:47:45.080344+00:00", "rows": 4234392}},
-           "last_updated": "2026-06-09T02:47:45.080344+00:00"}
-    path = os.path.join(tmpdir_path, "_metadata.json")
+    doc = {"processed_files": {"a.csv": {"processed_at": "2020-02-03T04:05:06.000007+00:00", "rows": 12},
+                               "b.csv": {"processed_at": "2020-02-03T04:05:07.000008+00:00", "rows": 34}},
+           "last_updated": "2020-02-03T04:05:07.000008+00:00"}
+    path = os.path.join(tmpdir_path, "_registry.json")
     with open(path, "w") as fh:
         json.dump(doc, fh, indent=2)
     reg = RG.import_registry_json(spark, path)
-    assert {r.file_name: r.rows for r in reg.collect()} == {"102_Tran.csv": 2562327, "103_Tran.csv": 4234392}
+    assert {r.file_name: r.rows for r in reg.collect()} == {"a.csv": 12, "b.csv": 34}
     back = json.loads(RG.registry_document(reg).first().doc)
-    assert {k: v["rows"] for k, v in back["processed_files"].items()} == {"102_Tran.csv": 2562327, "103_Tran.csv": 4234392}
-    assert back["last_updated"].startswith("2026-06-09T02:47:45.080344")
+    assert {k: v["rows"] for k, v in back["processed_files"].items()} == {"a.csv": 12, "b.csv": 34}
+    assert back["last_updated"].startswith("2020-02-03T04:05:07.000008")
 
 
-def test_unseen_rows_any_covering_range_is_exact(spark):
-    import datetime as dt
-    schema = "fecha date, id_tienda int, id_cliente long, id_producto long"
-    d = dt.date
-    stored = spark.createDataFrame([(d(2013, 1, 2), 102, 1, 5), (d(2013, 1, 3), 102, 1, 6),
-                                    (d(2013, 3, 1), 103, 2, 7)], schema)
-    batch = spark.createDataFrame([(d(2013, 1, 2), 102, 1, 5), (d(2013, 1, 3), 102, 1, 9),
-                                   (d(2013, 1, 4), 103, 2, 7)], schema)
-    exact = ETL.unseen_rows(batch, stored)
-    wide = ETL.unseen_rows(batch, stored, (d(2012, 1, 1), d(2014, 1, 1)))
-    assert ETL.date_cover(batch) == (d(2013, 1, 2), d(2013, 1, 4))
-    assert sorted(exact.collect()) == sorted(wide.collect())
-    assert sorted(r.id_producto for r in exact.collect()) == [7, 9]
+def test_every_file_is_registered_and_rejects_are_kept(spark, tmpdir_path):
+    cat_path, pc_path = catalogs(tmpdir_path + "/cat")
+    land, out = tmpdir_path + "/landing", tmpdir_path + "/out"
+    write(land, "a.csv", LINES_A + BAD)
+    ETL.run_etl(spark, land, cat_path, pc_path, out, refresh_rules=False)
+    write(land, "b.csv", LINES_A)       # no new row
+    write(land, "c.csv", [""])          # no line
+    write(land, "d.csv", BAD[:3])       # no usable line
+    assert ETL.run_etl(spark, land, cat_path, pc_path, out, refresh_rules=False)
+    assert ETL.run_etl(spark, land, cat_path, pc_path, out) == {}
+    reg = {r.file_name: (r.rows, r.rejected) for r in RG.load_registry(spark, out).collect()}
+    assert reg == {"a.csv": (13, 4), "b.csv": (11, 0), "c.csv": (0, 0), "d.csv": (0, 3)}
+    rejects = FS.load_optional(spark, out + "/rejects", S.REJECTS).collect()
+    assert sorted((r.file_name, r.line, r.reason) for r in rejects) == sorted(
+        [("a.csv", x, y) for x, y in zip(BAD, ["columns", "columns", "key", "product"])] + [("d.csv", x, y) for x, y in zip(BAD, ["columns", "columns", "key"])])
+    assert FS.load_table(spark, out, "transactions_flat").count() == 12  # the bad line's usable products too
+
+
+def test_bad_lines_can_fail_the_run(spark, tmpdir_path):
+    cat_path, pc_path = catalogs(tmpdir_path + "/cat")
+    land, out = tmpdir_path + "/landing", tmpdir_path + "/out"
+    write(land, "a.csv", LINES_A + BAD[:1])
+    with pytest.raises(ValueError, match="a.csv"):
+        ETL.run_etl(spark, land, cat_path, pc_path, out, on_bad="fail")
+    assert not FS.table_exists(spark, out + "/transactions_flat") and RG.load_registry(spark, out).count() == 0
+
+
+def test_rerun_after_a_crash_and_force(spark, tmpdir_path):
+    cat_path, pc_path = catalogs(tmpdir_path + "/cat")
+    land, out = tmpdir_path + "/landing", tmpdir_path + "/out"
+    write(land, "a.csv", LINES_A)
+    write(land, "b.csv", LINES_B)
+    lookup = ETL.product_lookup(FS.read_categories(spark, cat_path), FS.read_product_category(spark, pc_path))
+    ETL.append_batch(spark, out, ETL.new_items(FS.read_transactions(spark, land), lookup))  # and then the job dies
+    ETL.run_etl(spark, land, cat_path, pc_path, out, refresh_rules=False)
+    assert FS.load_table(spark, out, "daily_summary").count() == 3 and FS.load_table(spark, out, "transactions_flat").count() == 13
+    other = tmpdir_path + "/other"
+    write(other, "c.csv", ["2022-01-01|110|3|5 6"])
+    ETL.run_etl(spark, other, cat_path, pc_path, out, force=True, refresh_rules=False)
+    assert RG.etl_status(RG.load_registry(spark, out)).first().processed_files == ["c.csv"]
+    assert FS.load_table(spark, out, "transactions_flat").count() == 2 and FS.load_table(spark, out, "daily_summary").count() == 1
+
+
+def test_anti_join_reads_only_the_months_of_the_batch(spark, tmpdir_path):
+    cat_path, pc_path = catalogs(tmpdir_path + "/cat")
+    land, out = tmpdir_path + "/landing", tmpdir_path + "/out"
+    write(land, "a.csv", LINES_A + LINES_B)
+    ETL.run_etl(spark, land, cat_path, pc_path, out, refresh_rules=False)
+    month = FS.load_flat_months(spark, out, ["2020-12"])
+    assert month.count() == 1 and "periodo" in month._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+    batch = FS.load_table(spark, out, "transactions_flat")
+    assert ETL.unseen_rows(batch, batch.filter("id_cliente <> 9")).count() == 1

@@ -65,6 +65,22 @@ def test_no_itemsets_gives_empty_rules_with_schema(spark):
     assert rules.count() == 0 and rules.columns == ["antecedents", "consequents", "support", "confidence", "lift"]
 
 
+def test_a_64_item_itemset(spark):
+    x = list(range(1, 65))
+    sets = [(x, 6)] + [([i for i in x if i != k], 8) for k in x] + [([k], 10) for k in x]
+    fi = spark.createDataFrame(sets, "items array<long>, freq long")
+    rules = RU.association_rules(fi, 20, 0.7).collect()
+    assert sorted((len(r.antecedents), r.consequents[0], r.confidence, r.lift) for r in rules) == [(63, k, 0.75, 1.5) for k in x]
+
+
+def test_consequents_grow_past_one_level(spark):
+    rows = [(i, b) for i, b in enumerate([[1, 2, 3, 4, 5]] * 8 + [[1], [2, 3]])]
+    fi = RU.frequent_itemsets(spark.createDataFrame(rows, "bid long, items array<long>"), 0.5)
+    _, want = brute_force([b for _, b in rows], 0.5, 0.85)
+    got = {(tuple(r.antecedents), tuple(r.consequents)) for r in RU.association_rules(fi, len(rows), 0.85).collect()}
+    assert got == set(want) and max(len(c) for _, c in got) == 4
+
+
 def test_recommend_for_product_and_profile(spark):
     fi = RU.frequent_itemsets(toy_baskets(spark), 0.3)
     rules = RU.association_rules(fi, len(TOY), 0.0)

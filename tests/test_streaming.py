@@ -13,11 +13,11 @@ def test_available_now_ingest_and_rerun(spark, tmpdir_path):
     cat_path, pc_path = catalogs(tmpdir_path + "/cat")
     lookup = product_lookup(FS.read_categories(spark, cat_path), FS.read_product_category(spark, pc_path))
     land, out, ckpt = tmpdir_path + "/landing", tmpdir_path + "/out", tmpdir_path + "/ckpt"
-    write(land, "102_Tran.csv", LINES_A)
+    write(land, "102_marzo.csv", LINES_A)
     q = ST.start_ingest(spark, land, lookup, out, ckpt)
     q.awaitTermination()
     assert FS.load_table(spark, out, "transactions_flat").count() == 10
-    write(land, "103_Tran.csv", LINES_B)
+    write(land, "103_marzo.csv", LINES_B)
     q = ST.start_ingest(spark, land, lookup, out, ckpt)
     q.awaitTermination()
     assert FS.load_table(spark, out, "transactions_flat").count() == 13

@@ -73,16 +73,15 @@ def test_clustered_write_keeps_rows_and_splits_dates(spark, tmpdir_path):
     from trolley.sources import files as FS
     from trolley.sources.testdata import retail
     flat = retail(spark, "/root/testdata/sf0.001").flat
-    path = f"{tmpdir_path}/flat_clustered"
-    FS.write_table(flat, path, partition_by=["id_tienda"], cluster_by=FS.FLAT_CLUSTER)
-    back = spark.read.parquet(path)
+    FS.append_flat(flat, tmpdir_path, "overwrite")
+    back = spark.read.parquet(f"{tmpdir_path}/transactions_flat")
     assert back.count() == flat.count()
     assert back.select(*flat.columns).exceptAll(flat).count() == 0
-    per_file = (back.withColumn("f", F.input_file_name()).groupBy("id_tienda", "f")
+    per_file = (back.withColumn("f", F.input_file_name()).groupBy("periodo", "id_tienda", "f")
                 .agg(F.min("fecha").alias("lo"), F.max("fecha").alias("hi")).collect())
     by_store = {}
     for r in per_file:
-        by_store.setdefault(r.id_tienda, []).append((r.lo, r.hi))
-    for ranges in by_store.values():  # files of a store hold disjoint date ranges
+        by_store.setdefault((r.periodo, r.id_tienda), []).append((r.lo, r.hi))
+    for ranges in by_store.values():  # files of a month and store hold disjoint date ranges
         ranges.sort()
         assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))

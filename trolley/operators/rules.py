@@ -2,15 +2,16 @@
 M1–M4, R8, R9, F13).
 
 Itemsets come from Spark ML's parallel FP-growth. Rules are derived here because
-``FPGrowthModel.associationRules`` only emits one-item consequents: every frequent
-itemset X (|X| >= 2) is split by the bit masks 1 .. 2^|X|-2 into antecedent A and
-consequent X\\A, and both sides' counts are joined back from the itemset table on
-their sorted item arrays. Downward closure guarantees both sides are frequent, so
-the joins are exact and every split is kept."""
+``FPGrowthModel.associationRules`` only emits one-item consequents: the consequents of
+every frequent itemset X grow item by item, in sorted order. Moving an item from the
+antecedent to the consequent never raises the confidence, so only consequents that hold
+the confidence grow on. Counts of both sides are joined from the itemset table on their
+sorted item arrays; downward closure guarantees that they are there."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window, functions as F
@@ -75,21 +76,32 @@ def frequent_itemsets(bk: DataFrame, min_support: float = 0.01, n_baskets: int |
 def association_rules(itemsets: DataFrame, n_baskets: int, min_confidence: float = 0.3,
                       digits: int = 10) -> DataFrame:
     """Every split of every frequent itemset into antecedent -> consequent with
-    confidence >= ``min_confidence``; support, confidence, lift as doubles."""
+    confidence >= ``min_confidence``; support, confidence, lift as doubles. Itemsets (sorted
+    arrays) may have any size; each level is written to the checkpoint folder."""
     fi = itemsets.select("items", "freq")
     n = float(max(n_baskets, 1))
-    mask = F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")).alias("mask")
-    splits = (fi.filter(F.size("items") >= 2).select("items", "freq", mask)
-              .select(F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 1)").alias("antecedents"),
-                      F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 0)").alias("consequents"),
-                      "freq"))
     side = checked_broadcast(fi)
     ante = side.select(F.col("items").alias("antecedents"), F.col("freq").alias("ant_freq"))
     cons = side.select(F.col("items").alias("consequents"), F.col("freq").alias("cons_freq"))
-    rules = (splits.join(ante, "antecedents")
-             .withColumn("confidence", F.col("freq").cast("double") / F.col("ant_freq").cast("double"))
-             .filter(F.col("confidence") >= F.lit(float(min_confidence)))
-             .join(cons, "consequents"))
+    confidence = F.col("freq").cast("double") / F.col("ant_freq").cast("double")
+
+    def held(grown: DataFrame) -> DataFrame:
+        return (grown.withColumn("antecedents", F.array_except("items", "consequents")).join(ante, "antecedents")
+                .withColumn("confidence", confidence).filter(F.col("confidence") >= F.lit(float(min_confidence)))
+                .select("items", "freq", "antecedents", "consequents", "confidence"))
+    longest = fi.agg(F.max(F.size("items"))).first()[0] or 0
+    level = cut_lineage(held(fi.filter(F.size("items") >= 2)
+                             .select("items", "freq", F.explode("items").alias("x")).withColumn("consequents", F.array("x"))))
+    levels = [level]
+    for size in range(2, longest):   # consequents of ``size`` items
+        grown = (level.filter(F.size("items") > size)
+                 .select("items", "freq", "consequents", F.explode(F.filter("items", lambda x: x > F.element_at("consequents", -1))).alias("x"))
+                 .select("items", "freq", F.concat("consequents", F.array("x")).alias("consequents")))
+        level = cut_lineage(held(grown))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    rules = reduce(DataFrame.unionByName, levels).join(cons, "consequents")
     support = F.col("freq").cast("double") / F.lit(n)
     lift = F.col("confidence") / (F.col("cons_freq").cast("double") / F.lit(n))
     return rules.select("antecedents", "consequents",
@@ -99,10 +111,11 @@ def association_rules(itemsets: DataFrame, n_baskets: int, min_confidence: float
 
 
 def compute_association_rules(items: DataFrame, item_col: str = "id_producto",
-                              sample_frac: float = 0.30, min_support: float = 0.01,
+                              sample_frac: float = 1.0, min_support: float = 0.01,
                               min_confidence: float = 0.3, sample: str = "hash",
                               seed: int = 42, keys=BASKET_KEYS) -> DataFrame:
-    """M1 -> A17 -> M2 -> M3 as one job. The baskets are checkpointed into the shared
+    """(M1 ->) A17 -> M2 -> M3 as one job, over all baskets unless the caller asks for a
+    sample. The baskets are checkpointed into the shared
     checkpoint folder: FP-growth and the basket count then read them once each and a
     lost executor re-reads the checkpoint instead of recomputing the flat table."""
     bk = baskets(items, item_col, keys)

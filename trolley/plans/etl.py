@@ -3,129 +3,118 @@
 run_etl(landing, catalog, out):
   1. registry -> files not yet processed (all files with ``force``); none -> {}
   2. catalogs -> one product->category lookup (broadcast after a size check)
-  3. new lines -> explode -> categorise -> calendar -> key dedupe inside the batch
-  4. rows whose key is already stored are removed by an anti-join against the stored
-     flat table restricted to the batch's date range (pushed into the Parquet scan);
-     the new rows are checkpointed once (counts, months and the append all read that
-     checkpoint) and appended to the store-partitioned flat table — the stored table is
-     never read and overwritten by the same job
-  5. derived tables (C5): the daily table is stored partitioned by year-month and only
-     the months the batch touched are recomputed (dynamic partition overwrite, reading
-     just those date ranges of the flat table); customer features and product
-     frequencies depend on all history and are rebuilt
-  6. rules computed when missing or requested
-  7. registry appended last
+  3. lines -> usable rows and rejects; nothing is dropped without a trace: rejects keep file,
+     line and reason, the registry counts them, and ``on_bad="fail"`` stops before any write
+  4. rows -> explode -> categorise -> calendar -> key dedupe inside the batch (checkpointed)
+  5. rows whose key is already stored are removed by an anti-join that reads only the
+     stored months of the batch; the rest is appended to the flat table, which is stored
+     by month and store
+  6. derived tables (C5): daily rows are recomputed for the months of the batch (not of the
+     rows that were new: a run that died after the append is thus repaired by its rerun);
+     customer features and product frequencies depend on all history and are rebuilt
+  7. rules over the whole stored table (``refresh_rules=False`` leaves the stored ones)
+  8. every file read is registered, last
+
+``force`` builds all tables in a new folder and then puts each in place of the old one.
 Dedupe policy 'always' makes file-by-file ingest equal to one full load."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley import schemas as S
 from trolley.operators import rules as RU
 from trolley.operators import tables as TB
 from trolley.operators.transform import add_calendar, categorize, explode_baskets, product_lookup
+from trolley.session import cut_lineage
 from trolley.sources import files as FS
 from trolley.sources import registry_table as RG
-from trolley.session import cut_lineage
 
 FLAT = "transactions_flat"
+DERIVED = ("customer_features", "daily_summary", "product_freq")
 
 
 def new_items(raw: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Raw lines (with file_name) -> categorised, calendar-tagged items, deduped on the key
-    (the first file in name order keeps a repeated key)."""
-    items = explode_baskets(raw.select("fecha", "id_tienda", "id_cliente", "basket_raw", "file_name"))
-    items = (items.groupBy(*S.FLAT_KEYS).agg(F.min("file_name").alias("file_name")))
+    """Raw lines -> categorised, calendar-tagged items, deduped on the key."""
+    items = explode_baskets(raw.select("fecha", "id_tienda", "id_cliente", "basket_raw")).distinct()
     return add_calendar(categorize(items, lookup))
 
 
-def date_cover(df: DataFrame) -> tuple:
-    """(first, last) date of ``df``: two values, one aggregate without a shuffle of rows.
-
-    Called on the raw lines of a batch, it covers every item the batch yields (items
-    keep their line's date) without running the explode / key-dedupe shuffle once more
-    just for the bounds."""
-    row = df.agg(F.min("fecha").alias("lo"), F.max("fecha").alias("hi")).first()
-    return (row["lo"], row["hi"])
-
-
-def unseen_rows(batch: DataFrame, stored: DataFrame, bounds: tuple | None = None) -> DataFrame:
-    """Rows of ``batch`` whose key is not in ``stored`` (T2). Only the stored rows inside
-    the batch's date range are scanned: the bounds are pushed into the Parquet scan, and
-    on the (store, date)-clustered table they skip files and row groups. ``bounds`` may be
-    any date range covering the batch (e.g. ``date_cover`` of its raw lines); the anti
-    join itself is on the full key, so a wider range only reads more stored rows."""
-    lo, hi = bounds if bounds is not None else date_cover(batch)
-    if lo is None:
-        return batch
-    window = (stored.filter((F.col("fecha") >= F.lit(lo)) & (F.col("fecha") <= F.lit(hi)))
-              .select(*S.FLAT_KEYS))
-    return batch.join(window, S.FLAT_KEYS, "left_anti")
-
-
-def _month_bounds(months: list[str]) -> list[tuple]:
-    import datetime as dt
-    out = []
-    for m in months:
-        y, mo = int(m[:4]), int(m[5:7])
-        nxt = dt.date(y + (mo == 12), mo % 12 + 1, 1)
-        out.append((dt.date(y, mo, 1), nxt - dt.timedelta(days=1)))
-    return out
-
-
-def append_batch(spark: SparkSession, out: str, batch: DataFrame,
-                 bounds: tuple | None = None) -> tuple[list, list[str]]:
-    """Append the rows of ``batch`` whose key is not stored yet; returns (registry rows,
-    touched year-months). Re-running a batch appends nothing. ``bounds``: a date range
-    covering the batch (see ``unseen_rows``)."""
-    flat_path = FS.table_path(out, FLAT)
-    has_flat = FS.table_exists(spark, flat_path)
-    fresh = unseen_rows(batch, FS.load_table(spark, out, FLAT), bounds) if has_flat else batch
-    fresh = cut_lineage(fresh.select(*[f.name for f in S.TRANSACTIONS_FLAT.fields], "file_name"))
-    counts = RG.file_counts(fresh).collect()  # one row per new file
-    months = [r[0] for r in fresh.select(F.date_format("fecha", "yyyy-MM")).distinct().collect()]
-    FS.write_table(fresh.select(*[f.name for f in S.TRANSACTIONS_FLAT.fields]), flat_path,
-                   partition_by=["id_tienda"], mode="append" if has_flat else "overwrite",
-                   cluster_by=FS.FLAT_CLUSTER)
-    return counts, months
-
-
-def refresh_daily(spark: SparkSession, out: str, flat: DataFrame, months: list[str] | None) -> None:
-    """Daily table by year-month partitions; with ``months`` only those are recomputed."""
+def batch_months(batch: DataFrame) -> list[str]:
+    """Year-months of the batch (one short text per month)."""
+    return sorted(r[0] for r in batch.select(FS.month_key()).distinct().collect())
+
+
+def unseen_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of ``batch`` whose key is not in ``stored``."""
+    return batch.join(stored.select(*S.FLAT_KEYS), S.FLAT_KEYS, "left_anti")
+
+
+def append_batch(spark: SparkSession, out: str, batch: DataFrame) -> list[str]:
+    """Append the rows of ``batch`` whose key is not stored yet; returns the year-months of
+    the batch. Re-running a batch appends nothing and returns the same months."""
+    batch = cut_lineage(batch)
+    months = batch_months(batch)
+    if not FS.table_exists(spark, FS.table_path(out, FLAT)):
+        FS.append_flat(batch, out, "overwrite")
+    elif months:
+        FS.append_flat(unseen_rows(batch, FS.load_flat_months(spark, out, months)), out, "append")
+    return months
+
+
+def refresh_daily(spark: SparkSession, out: str, months: list[str]) -> None:
+    """Daily table by year-month partitions: those of ``months`` are recomputed from the same
+    months of the flat table; all of them if the table does not exist yet."""
     path = FS.table_path(out, "daily_summary")
-    if months is not None and not months:
-        return
-    if months is None or not FS.table_exists(spark, path):
-        part = flat
-        mode = "static"
+    if FS.table_exists(spark, path):
+        if not months:
+            return
+        part, mode = FS.load_flat_months(spark, out, months), "dynamic"
     else:
-        cond = None
-        for lo, hi in _month_bounds(months):  # pushed into the flat scan as date ranges
-            c = (F.col("fecha") >= F.lit(lo)) & (F.col("fecha") <= F.lit(hi))
-            cond = c if cond is None else cond | c
-        part = flat.filter(cond)
-        mode = "dynamic"
-    daily = TB.daily_summary(part, ordered=False).withColumn("periodo", F.date_format("fecha", "yyyy-MM"))
+        part, mode = FS.load_table(spark, out, FLAT), "static"
+    daily = TB.daily_summary(part, ordered=False).withColumn("periodo", FS.month_key())
     (daily.write.option("partitionOverwriteMode", mode).mode("overwrite")
      .partitionBy("periodo").parquet(path))
 
 
-def refresh_derived(spark: SparkSession, out: str, months: list[str] | None = None) -> dict:
+def refresh_derived(spark: SparkSession, out: str, months: list[str]) -> dict:
     """C5 after an append: daily table for the touched months, the other two in full."""
+    refresh_daily(spark, out, months)
     flat = FS.load_table(spark, out, FLAT)
-    refresh_daily(spark, out, flat, months)
     FS.write_table(TB.customer_features(flat), FS.table_path(out, "customer_features"))
     # one row per customer: its row count is the distinct-customer denominator
     customers = FS.load_table(spark, out, "customer_features")
     FS.write_table(TB.product_freq(flat, total_customers=customers.select(F.count(F.lit(1))).scalar()),
                    FS.table_path(out, "product_freq"))
-    return {name: FS.load_table(spark, out, name)
-            for name in (FLAT, "customer_features", "daily_summary", "product_freq")}
+    return {name: FS.load_table(spark, out, name) for name in (FLAT, *DERIVED)}
+
+
+def record_rejects(spark: SparkSession, out: str, rejects: DataFrame) -> None:
+    """Append the rejected lines of files that have none recorded (a rerun adds nothing)."""
+    path = FS.table_path(out, "rejects")
+    known = FS.load_optional(spark, path, S.REJECTS).select("file_name").distinct()
+    rejects.join(known, "file_name", "left_anti").select(*S.REJECTS.fieldNames()).write.mode("append").parquet(path)
+
+
+def ingest(spark: SparkSession, out: str, lines: DataFrame, files: DataFrame, lookup: DataFrame, on_bad: str = "record") -> dict:
+    """Steps 3 to 6 and 8 for the raw ``lines`` of ``files(file_name)``."""
+    if on_bad not in ("record", "fail"):
+        raise ValueError("on_bad must be 'record' or 'fail'")
+    stats = cut_lineage(FS.file_stats(lines))
+    if on_bad == "fail" and (bad := stats.filter("rejected > 0").orderBy("file_name").first()):
+        raise ValueError(f"{bad['file_name']}: {bad['rejected']} lines are not usable")
+    months = append_batch(spark, out, new_items(FS.typed_transactions(lines), lookup))
+    outputs = refresh_derived(spark, out, months)
+    record_rejects(spark, out, FS.rejects(lines))
+    RG.register_files(RG.registry_rows(files, stats), out)
+    return outputs
 
 
 def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product_category_path: str,
-            out: str, force: bool = False, refresh_rules: bool = False, rules_params: dict | None = None) -> dict:
+            out: str, force: bool = False, refresh_rules: bool = True, rules_params: dict | None = None,
+            on_bad: str = "record") -> dict:
     """Run one incremental ETL step; returns the written tables (S18), ``{}`` if nothing is new."""
     registry = RG.load_registry(spark, out)
     files = RG.list_files(spark, landing_dir) if force else RG.discover_new_files(spark, landing_dir, registry)
@@ -134,19 +123,12 @@ def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product
         return {}
     lookup = product_lookup(FS.read_categories(spark, categories_path),
                             FS.read_product_category(spark, product_category_path))
-    raw = FS.read_transactions(spark, paths)
-    batch = new_items(raw, lookup)
-    if force:  # rebuild from scratch: rows of files that are gone do not survive
-        FS.write_table(batch.limit(0).select(*[f.name for f in S.TRANSACTIONS_FLAT.fields]),
-                       FS.table_path(out, FLAT), partition_by=["id_tienda"])
-    has_flat = FS.table_exists(spark, FS.table_path(out, FLAT))
-    counts_rows, months = append_batch(spark, out, batch, date_cover(raw) if has_flat else None)
-    outputs = refresh_derived(spark, out, None if force else months)
-    rules_path = FS.table_path(out, "association_rules")
-    if refresh_rules or force or not FS.table_exists(spark, rules_path):
-        rules = RU.compute_association_rules(outputs[FLAT], "id_producto", **(rules_params or {}))
-        FS.write_table(rules, rules_path)
-    outputs["association_rules"] = FS.load_optional(spark, rules_path, S.ASSOCIATION_RULES)
-    if counts_rows:
-        RG.register_files(spark.createDataFrame(counts_rows, S.ETL_REGISTRY), out)
-    return outputs
+    base = f"{out.rstrip('/')}-rebuild-{uuid.uuid4().hex}" if force else out
+    outputs = ingest(spark, base, FS.read_raw_lines(spark, paths), files, lookup, on_bad)
+    rules_path = FS.table_path(base, "association_rules")
+    if refresh_rules or not FS.table_exists(spark, rules_path):
+        FS.write_table(RU.compute_association_rules(outputs[FLAT], "id_producto", **(rules_params or {})), rules_path)
+    if force:
+        for name in (FLAT, *DERIVED, "rejects", "association_rules", RG.REGISTRY):
+            FS.replace_table(spark, FS.table_path(base, name), FS.table_path(out, name))
+    return FS.load_tables(spark, out)

@@ -2,14 +2,7 @@
 
 from pyspark.sql import types as T
 
-# Raw transaction line: fecha|id_tienda|id_cliente|basket ("p1 p2 p3"), no header.
-RAW_TRANSACTIONS = T.StructType([
-    T.StructField("fecha", T.StringType()),
-    T.StructField("id_tienda", T.StringType()),
-    T.StructField("id_cliente", T.StringType()),
-    T.StructField("basket_raw", T.StringType()),
-])
-
+# A transaction line is fecha|id_tienda|id_cliente|basket ("p1 p2 p3"), without a header.
 TRANSACTIONS_RAW = T.StructType([
     T.StructField("fecha", T.DateType()),
     T.StructField("id_tienda", T.IntegerType()),
@@ -78,6 +71,13 @@ ETL_REGISTRY = T.StructType([
     T.StructField("file_name", T.StringType()),
     T.StructField("processed_at", T.TimestampType()),
     T.StructField("rows", T.LongType()),
+    T.StructField("rejected", T.LongType()),
+])
+
+REJECTS = T.StructType([
+    T.StructField("file_name", T.StringType()),
+    T.StructField("line", T.StringType()),
+    T.StructField("reason", T.StringType()),
 ])
 
 FLAT_KEYS = ["fecha", "id_tienda", "id_cliente", "id_producto"]

@@ -18,14 +18,14 @@ TABLE_SCHEMAS = {
 
 
 def lines_to_columns(text: DataFrame) -> DataFrame:
-    """Split ``value`` lines on '|' into the four raw columns; a line with another field
-    count keeps its text in ``_corrupt``. Blank lines are skipped (as CSV readers do)."""
+    """Split ``value`` lines on '|' into the four raw columns; ``line`` is the text, also in
+    ``_corrupt`` if the field count is another. Blank lines are skipped (as CSV readers do)."""
     parts = F.split(F.col("value"), r"\|", -1)
     ok = F.size(parts) == 4
     return (text.filter(F.trim("value") != "")
             .select(*[F.when(ok | (F.size(parts) > i), parts[i]).alias(name)
                       for i, name in enumerate(["fecha", "id_tienda", "id_cliente", "basket_raw"])],
-                    F.when(~ok, F.col("value")).alias(CORRUPT), "file_name"))
+                    F.when(~ok, F.col("value")).alias(CORRUPT), F.col("value").alias("line"), "file_name"))
 
 
 def read_raw_lines(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame:
@@ -49,9 +49,39 @@ def read_raw_lines(spark: SparkSession, paths, glob: str = "*.csv") -> DataFrame
     return lines_to_columns(text.select("value", F.col("_metadata.file_name").alias("file_name")))
 
 
+def tokens_of(basket: str = "basket_raw") -> F.Column:
+    """Product tokens of a basket text; a blank basket has one empty token."""
+    return F.split(F.trim(F.coalesce(F.col(basket), F.lit(""))), r"\s+")
+
+
+def line_reason() -> F.Column:
+    """Why a line is not (wholly) usable: ``columns`` (another field count), ``key`` (date or
+    ids do not parse), ``product`` (a token is no integer; the others are used), else null."""
+    bad_key = (F.expr("try_to_date(trim(fecha), 'yyyy-MM-dd')").isNull()
+               | F.expr("try_cast(trim(id_tienda) AS INT)").isNull()
+               | F.expr("try_cast(trim(id_cliente) AS BIGINT)").isNull())
+    bad_token = F.exists(tokens_of(), lambda t: (t != "") & t.try_cast("long").isNull())
+    return (F.when(F.col(CORRUPT).isNotNull(), F.lit("columns")).when(bad_key, F.lit("key"))
+            .when(bad_token, F.lit("product")))
+
+
+def rejects(lines: DataFrame) -> DataFrame:
+    """(file_name, line, reason) of every line that is not wholly usable."""
+    return lines.select("file_name", "line", line_reason().alias("reason")).filter("reason is not null")
+
+
+def file_stats(lines: DataFrame) -> DataFrame:
+    """Per file: ``rows`` (items its usable lines and tokens give, repeats counted) and
+    ``rejected`` (lines that are not wholly usable)."""
+    good = F.size(F.filter(tokens_of(), lambda t: t.try_cast("long").isNotNull())).cast("long")
+    usable = F.col("reason").isNull() | (F.col("reason") == "product")
+    return (lines.withColumn("reason", line_reason()).groupBy("file_name")
+            .agg(F.coalesce(F.sum(F.when(usable, good)), F.lit(0)).alias("rows"), F.count("reason").alias("rejected")))
+
+
 def typed_transactions(lines: DataFrame) -> DataFrame:
-    """transactions_raw: parsed columns; rows whose date or ids do not parse are dropped
-    (``validate`` counts them)."""
+    """transactions_raw: parsed columns of the lines whose fields, date and ids parse; the
+    other lines are in ``rejects``."""
     typed = lines.select(
         F.expr("try_to_date(trim(fecha), 'yyyy-MM-dd')").alias("fecha"),
         F.expr("try_cast(trim(id_tienda) AS INT)").alias("id_tienda"),
@@ -70,18 +100,13 @@ def read_transactions(spark: SparkSession, paths, glob: str = "*.csv") -> DataFr
 def validate(lines: DataFrame) -> DataFrame:
     """S13 over every line (not only the first five): per file, lines, lines with a wrong
     column count, bad date/ids, bad product tokens, and valid lines."""
-    tokens = F.split(F.trim(F.coalesce(F.col("basket_raw"), F.lit(""))), r"\s+")
-    bad_token = F.exists(tokens, lambda t: (t != "") & t.try_cast("long").isNull())
-    wrong_cols = F.col(CORRUPT).isNotNull()
-    bad_key = (F.expr("try_to_date(trim(fecha), 'yyyy-MM-dd')").isNull()
-               | F.expr("try_cast(trim(id_tienda) AS INT)").isNull()
-               | F.expr("try_cast(trim(id_cliente) AS BIGINT)").isNull())
-    return (lines.groupBy("file_name")
+    reason = F.col("reason")
+    return (lines.withColumn("reason", line_reason()).groupBy("file_name")
             .agg(F.count(F.lit(1)).alias("n_lines"),
-                 F.count(F.when(wrong_cols, 1)).alias("n_wrong_columns"),
-                 F.count(F.when(~wrong_cols & bad_key, 1)).alias("n_bad_keys"),
-                 F.count(F.when(~wrong_cols & ~bad_key & bad_token, 1)).alias("n_bad_products"),
-                 F.count(F.when(~wrong_cols & ~bad_key & ~bad_token, 1)).alias("n_valid"))
+                 F.count(F.when(reason == "columns", 1)).alias("n_wrong_columns"),
+                 F.count(F.when(reason == "key", 1)).alias("n_bad_keys"),
+                 F.count(F.when(reason == "product", 1)).alias("n_bad_products"),
+                 F.count(F.when(reason.isNull(), 1)).alias("n_valid"))
             .withColumn("valid_name", F.col("file_name").endswith(".csv"))
             .withColumn("store_prefix", F.nullif(F.regexp_extract("file_name", r"^(\d+)_", 1), F.lit(""))
                         .try_cast("int"))
@@ -98,24 +123,30 @@ def preview_file(spark: SparkSession, path: str, n: int = 10):
     return head, stats
 
 
+def _line_order() -> list[F.Column]:
+    """Order of a catalog's lines: path of the file, block of the file, line of the block.
+    (Row ids alone follow the splits, of which Spark packs the large ones first.)"""
+    return [F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                     F.monotonically_increasing_id().alias("i")).alias("_line")]
+
+
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
     """S3: ``cat_id|cat_name`` with or without a header line; names trimmed; for a
-    repeated id the last line wins (W7)."""
-    raw = (spark.read.schema("cat_id string, cat_name string").option("sep", "|").csv(path)
-           .withColumn("_line", F.monotonically_increasing_id()))
+    repeated id the last line wins (W7), files in path order."""
+    raw = spark.read.schema("cat_id string, cat_name string").option("sep", "|").csv(path)
     typed = (raw.select(F.expr("try_cast(trim(cat_id) AS INT)").alias("cat_id"),
-                        F.trim("cat_name").alias("cat_name"), "_line")
+                        F.trim("cat_name").alias("cat_name"), *_line_order())
              .filter(F.col("cat_id").isNotNull()))
     return typed.groupBy("cat_id").agg(F.max_by("cat_name", "_line").alias("cat_name"))
 
 
 def read_product_category(spark: SparkSession, path: str) -> DataFrame:
-    """Header line, two integer columns taken by position; last line wins per product."""
+    """Header line, two integer columns taken by position; last line wins per product,
+    files in path order."""
     raw = (spark.read.option("sep", "|").option("header", "true").csv(path))
     first, second = raw.columns[:2]
     typed = raw.select(F.col(first).try_cast("long").alias("prod_id"),
-                       F.col(second).try_cast("int").alias("cat_id"),
-                       F.monotonically_increasing_id().alias("_line")).filter(F.col("prod_id").isNotNull())
+                       F.col(second).try_cast("int").alias("cat_id"), *_line_order()).filter(F.col("prod_id").isNotNull())
     return typed.groupBy("prod_id").agg(F.max_by("cat_id", "_line").alias("cat_id"))
 
 
@@ -138,6 +169,21 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def replace_table(spark: SparkSession, new: str, path: str) -> None:
+    """Put the finished table ``new`` in the place of ``path``. The old one is moved aside
+    first and removed last, so a complete table exists at any time."""
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = path + "-old"
+    if fs.exists(at(aside)):
+        fs.delete(at(aside), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(aside))
+    fs.rename(at(new), at(path))
+    fs.delete(at(aside), True)
+
+
 def load_optional(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path`` or an empty frame with ``schema`` when it does not exist."""
     if table_exists(spark, path):
@@ -152,8 +198,25 @@ def load_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     return out
 
 
-# Row order of the stored flat table: store directories, dates clustered inside them.
-FLAT_CLUSTER = ["id_tienda", "fecha"]
+# Layout of the stored flat table: month and store directories, dates clustered inside them.
+FLAT_PARTITIONS = ["periodo", "id_tienda"]
+FLAT_CLUSTER = ["periodo", "id_tienda", "fecha"]
+
+
+def month_key(fecha: str = "fecha") -> F.Column:
+    return F.date_format(fecha, "yyyy-MM")
+
+
+def load_flat_months(spark: SparkSession, base: str, months: list[str]) -> DataFrame:
+    """The stored flat table, only the given year-months (directories of others are not read)."""
+    schema = T.StructType([*S.TRANSACTIONS_FLAT.fields, T.StructField("periodo", T.StringType())])
+    return (spark.read.schema(schema).parquet(table_path(base, "transactions_flat"))
+            .filter(F.col("periodo").isin(months)).select(*S.TRANSACTIONS_FLAT.fieldNames()))
+
+
+def append_flat(df: DataFrame, base: str, mode: str) -> None:
+    write_table(df.select(*S.TRANSACTIONS_FLAT.fieldNames(), month_key().alias("periodo")), table_path(base, "transactions_flat"),
+                partition_by=FLAT_PARTITIONS, mode=mode, cluster_by=FLAT_CLUSTER)
 
 
 def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite",

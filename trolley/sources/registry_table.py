@@ -1,5 +1,6 @@
 """ETL registry of processed files (S9–S12, J4) kept as a Parquet table next to the
-processed tables: one row per (file_name, processed_at, rows)."""
+processed tables: one row per (file_name, processed_at, rows, rejected), also for files
+that brought no row."""
 
 from __future__ import annotations
 
@@ -33,15 +34,18 @@ def store_prefix(file_name) -> F.Column:
     return F.nullif(F.regexp_extract(c, r"^(\d+)_", 1), F.lit("")).try_cast("int")
 
 
-def file_counts(new_flat: DataFrame) -> DataFrame:
-    """S10 rows rule: item rows contributed by each file, stamped with the current time."""
-    return (new_flat.groupBy("file_name").agg(F.count(F.lit(1)).alias("rows"))
-            .select("file_name", F.current_timestamp().alias("processed_at"), F.col("rows").cast("long")))
+def registry_rows(files: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row for every file read, with the items it holds (repeats and rows that are
+    stored already included) and the lines rejected; 0 for files without lines."""
+    return (files.select("file_name").distinct().join(stats, "file_name", "left")
+            .select("file_name", F.current_timestamp().alias("processed_at"),
+                    F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
+                    F.coalesce("rejected", F.lit(0)).cast("long").alias("rejected")))
 
 
-def register_files(counts: DataFrame, base: str) -> None:
+def register_files(rows: DataFrame, base: str) -> None:
     """Append to the registry. Called only after every table write succeeded."""
-    counts.select("file_name", "processed_at", "rows").write.mode("append").parquet(table_path(base, REGISTRY))
+    rows.select(*ETL_REGISTRY.fieldNames()).write.mode("append").parquet(table_path(base, REGISTRY))
 
 
 def etl_status(registry: DataFrame) -> DataFrame:
@@ -73,17 +77,17 @@ def import_registry_json(spark: SparkSession, path: str) -> DataFrame:
     The document holds one entry per processed file, so it is read as file metadata."""
     import json
     doc = json.loads(_read_small_text(spark, path))
-    rows = [(name, str(e.get("processed_at")), int(e.get("rows", 0)))
+    rows = [(name, str(e.get("processed_at")), int(e.get("rows", 0)), int(e.get("rejected", 0)))
             for name, e in (doc.get("processed_files") or {}).items()]
-    df = spark.createDataFrame(rows, "file_name string, processed_at string, rows bigint")
-    return df.select("file_name", F.to_timestamp("processed_at").alias("processed_at"), "rows")
+    df = spark.createDataFrame(rows, "file_name string, processed_at string, rows bigint, rejected bigint")
+    return df.withColumn("processed_at", F.to_timestamp("processed_at"))
 
 
 def registry_document(registry: DataFrame) -> DataFrame:
     """The registry as one JSON document (one row, column ``doc``). The registry holds one
     row per processed file — file metadata, not data rows."""
     ts = F.date_format("processed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    latest = registry.groupBy("file_name").agg(F.max_by(F.struct(ts.alias("processed_at"), "rows"),
+    latest = registry.groupBy("file_name").agg(F.max_by(F.struct(ts.alias("processed_at"), "rows", "rejected"),
                                                         "processed_at").alias("entry"))
     return latest.agg(
         F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("file_name", "entry")))

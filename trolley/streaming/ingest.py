@@ -2,8 +2,8 @@
 
 The landing directory is a file stream source: only files not yet seen by the query's
 checkpoint are read (T1 — the streaming counterpart of the file registry). Each
-micro-batch goes through ``foreachBatch``: explode + categorise, key dedupe against the
-stored flat table (T2), append, rebuild the derived tables (T3). With no watermark any
+micro-batch goes through ``foreachBatch``: the ETL's ingest step, with key dedupe against
+the stored months of the batch (T2), append, derived tables (T3), rejects and registry. With no watermark any
 date is accepted (T4, as the reference). ``weekly_counts`` is an event-time window
 aggregation aligned to Mondays (T5)."""
 
@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley import schemas as S
 from trolley.operators.transform import add_calendar, categorize, explode_baskets
-from trolley.plans.etl import append_batch, date_cover, new_items, refresh_derived
+from trolley.plans.etl import ingest
 from trolley.sources import files as FS
-from trolley.sources import registry_table as RG
 from trolley.session import cut_lineage
 
 
@@ -27,35 +26,33 @@ def static_lookup(lookup: DataFrame) -> DataFrame:
 
 
 def read_landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Typed transaction lines of a landing directory as a stream (with ``file_name``)."""
+    """Raw transaction lines of a landing directory as a stream (with ``file_name``)."""
     reader = spark.readStream.option("pathGlobFilter", "*.csv")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     text = reader.text(landing_dir).select("value", F.col("_metadata.file_name").alias("file_name"))
-    lines = FS.lines_to_columns(text)
-    return FS.typed_transactions(lines)
-
-
-def make_batch_writer(out: str, lookup: DataFrame):
-    """foreachBatch body: idempotent append (re-running a batch appends nothing), then the
-    derived tables of the touched months / of all history are refreshed."""
-    def write(batch_raw: DataFrame, epoch_id: int) -> None:
-        spark = batch_raw.sparkSession
-        batch = new_items(batch_raw, lookup)
-        counts, months = append_batch(spark, out, batch, date_cover(batch_raw))
-        if not months:
-            return
-        refresh_derived(spark, out, months)
-        if counts:
-            RG.register_files(spark.createDataFrame(counts, S.ETL_REGISTRY), out)
+    return FS.lines_to_columns(text)
+
+
+def make_batch_writer(out: str, lookup: DataFrame, on_bad: str = "record"):
+    """foreachBatch body. Re-running a batch appends nothing and repairs derived tables that
+    a lost run left behind; its files may be registered twice. Files without lines give no
+    row of the stream and are not registered here."""
+    def write(lines: DataFrame, epoch_id: int) -> None:
+        lines = lines.persist()     # one read of the batch's files for its several uses
+        try:
+            ingest(lines.sparkSession, out, lines, lines.select("file_name"), lookup, on_bad)
+        finally:
+            lines.unpersist()
     return write
 
 
 def start_ingest(spark: SparkSession, landing_dir: str, lookup: DataFrame, out: str,
-                 checkpoint: str, available_now: bool = True, processing_time: str | None = None):
+                 checkpoint: str, available_now: bool = True, processing_time: str | None = None,
+                 max_files_per_trigger: int | None = None, on_bad: str = "record"):
     """Start the ingest query; ``available_now`` processes what is there and stops."""
-    w = (read_landing_stream(spark, landing_dir).writeStream
-         .foreachBatch(make_batch_writer(out, static_lookup(lookup)))
+    w = (read_landing_stream(spark, landing_dir, max_files_per_trigger).writeStream
+         .foreachBatch(make_batch_writer(out, static_lookup(lookup), on_bad))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
@@ -64,7 +61,7 @@ def start_ingest(spark: SparkSession, landing_dir: str, lookup: DataFrame, out:
 def stream_items(lines: DataFrame, lookup: DataFrame) -> DataFrame:
     """Stateless item rows of a line stream (explode, categorise, calendar), for
     event-time aggregations that must be the only stateful operator of the query."""
-    raw = lines.select("fecha", "id_tienda", "id_cliente", "basket_raw", "file_name")
+    raw = FS.typed_transactions(lines)
     return add_calendar(categorize(explode_baskets(raw), lookup))
 
 
