@@ -98,5 +98,6 @@ def link_facts(nodes: DataFrame, found: DataFrame, component: str) -> DataFrame:
     low = stage(reps.groupBy("component").agg(F.min("rep").alias("low")), "low")  # written, so that AQE can split the join
     reps = reps.join(low, "component").select("node", "low")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    return (nodes.select("node", "rep", "n").join(links, "node", "left").join(reps, "node", "left")
-            .select("node", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias(component)))
+    # written, so that AQE can split the caller's join of a class that holds many rows
+    return stage(nodes.select("node", "rep", "n").join(links, "node", "left").join(reps, "node", "left")
+            .select("node", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias(component)), "facts")
