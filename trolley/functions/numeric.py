@@ -7,12 +7,3 @@ def round_even(c, digits: int) -> Column:
     """Half-to-even rounding as ``rint(x * 10^d) / 10^d`` (Spark's ``round`` is half-up)."""
     scale = float(10 ** digits)
     return F.rint(F.col(c) * scale if isinstance(c, str) else c * scale) / scale
-
-
-def safe_div(num, den) -> Column:
-    """``num / max(den, 1)`` as a double."""
-    return num.cast("double") / F.greatest(den, F.lit(1)).cast("double")
-
-
-def pct(num, den) -> Column:
-    return num.cast("double") / den.cast("double") * 100.0

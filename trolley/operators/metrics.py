@@ -39,10 +39,21 @@ def summary_kpis(flat: DataFrame) -> DataFrame:
              F.countDistinct("nombre_categoria").alias("k"), F.grouping_id().alias("gid")))
     per_date = (g.filter(F.col("gid") == 0).groupBy("fecha")
                 .agg(F.sum("n").alias("n"), F.sum("c").alias("t")))
-    # four numbers and a date: fetched once instead of as repeated scalar subqueries
-    total = g.filter(F.col("gid") == 3).select("n", "c", "k").first()
-    n_total = int(total["n"]) if total else 0
+    total = g.filter(F.col("gid") == 3).select("c", "k").first()
+    return _kpis(per_date, F.lit(int(total["c"]) if total else 0), F.lit(int(total["k"]) if total else 0))
+
+
+def stored_summary_kpis(daily: DataFrame, customers: DataFrame, product_freq: DataFrame) -> DataFrame:
+    """``summary_kpis`` of the whole table from the stored derived tables, without the items."""
+    per_date = daily.groupBy("fecha").agg(F.sum("n_items").alias("n"), F.sum("n_transacciones").alias("t"))
+    return _kpis(cut_lineage(per_date), customers.agg(F.count(F.lit(1))).scalar(),
+                 product_freq.agg(F.countDistinct("nombre_categoria")).scalar())
+
+
+def _kpis(per_date: DataFrame, customers, categories) -> DataFrame:
+    """KPIs from one row per date (items n, transactions t) and the two distinct counts."""
     running = F.sum("n").over(Window.orderBy("fecha").rowsBetween(Window.unboundedPreceding, 0))
+    n_total = per_date.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     mid = (per_date.select("fecha", running.alias("cum"))
            .filter(F.col("cum") > F.lit(n_total // 2))
            .agg(F.min("fecha")).first()[0])
@@ -62,8 +73,7 @@ def summary_kpis(flat: DataFrame) -> DataFrame:
 
     return agg.select(
         "total_items", "total_transacciones",
-        F.lit(int(total["c"]) if total else 0).cast("long").alias("clientes_unicos"),
-        F.lit(int(total["k"]) if total else 0).cast("long").alias("categorias_activas"),
+        customers.cast("long").alias("clientes_unicos"), categories.cast("long").alias("categorias_activas"),
         delta("h1_items", "h2_items").alias("delta_items_pct"),
         delta("h1_trans", "h2_trans").alias("delta_trans_pct"),
     )
@@ -116,6 +126,18 @@ def top_customers(flat: DataFrame, n: int = 10) -> DataFrame:
             .orderBy(F.desc("total_items"), "id_cliente").limit(n))
 
 
+def top_stored_customers(customers: DataFrame, n: int = 10) -> DataFrame:
+    """``top_customers`` of the whole table from the stored customer table."""
+    return (customers.select("id_cliente", F.col("volumen_total").alias("total_items"))
+            .orderBy(F.desc("total_items"), "id_cliente").limit(n))
+
+
+def stored_category_counts(product_freq: DataFrame) -> DataFrame:
+    """``category_counts`` of the whole table from the stored product table."""
+    return (product_freq.groupBy("nombre_categoria").agg(F.sum("frecuencia_absoluta").alias("frecuencia"))
+            .orderBy(F.desc("frecuencia"), "nombre_categoria"))
+
+
 def customer_list(customers: DataFrame) -> DataFrame:
     """Sorted distinct customer ids."""
     return customers.select("id_cliente").distinct().orderBy("id_cliente")
@@ -218,13 +240,17 @@ def correlation_matrix(customers: DataFrame, features=FEATURES, digits: int = 6)
 # ------------------------------------------------------------------ report figures
 
 def dataset_profile(flat: DataFrame) -> DataFrame:
-    return flat.agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.countDistinct("id_cliente").alias("n_clientes"),
+    """R1. Everything but the customers comes from one small pre-aggregate (products by
+    store), the customers from one distinct count: no Expand over the items."""
+    cells = (flat.groupBy("id_producto", "nombre_categoria", "id_tienda")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("fecha").alias("lo"), F.max("fecha").alias("hi")))
+    return cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"),
+        flat.agg(F.countDistinct("id_cliente")).scalar().alias("n_clientes"),
         F.countDistinct("id_producto").alias("n_productos"),
         F.countDistinct("nombre_categoria").alias("n_categorias"),
         F.countDistinct("id_tienda").alias("n_tiendas"),
-        F.min("fecha").alias("fecha_min"), F.max("fecha").alias("fecha_max"))
+        F.min("lo").alias("fecha_min"), F.max("hi").alias("fecha_max"))
 
 
 def store_profile(flat: DataFrame) -> DataFrame:

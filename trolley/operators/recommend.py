@@ -36,10 +36,11 @@ def top_customers_by_items(counts: DataFrame, n: int = 1) -> DataFrame:
             .orderBy(F.desc("total_items"), "id_cliente").limit(n))
 
 
-def customer_category_matrix(flat: DataFrame) -> DataFrame:
-    """A19 wide form (one column per category, 0-filled); for display/export only."""
+def customer_category_matrix(flat: DataFrame, categories: list[str]) -> DataFrame:
+    """A19 wide form (one 0-filled column per given category); for display/export only. The
+    categories come from the catalog, so no pass over the items looks for them."""
     return (customer_category_counts(flat).groupBy("id_cliente")
-            .pivot("nombre_categoria").agg(F.first("n")).na.fill(0))
+            .pivot("nombre_categoria", categories).agg(F.first("n")).na.fill(0))
 
 
 def _lit(v) -> Column:

@@ -87,23 +87,32 @@ def quantile_centers(z: DataFrame, features, k: int, digits: int = Z_DIGITS) ->
     return [[row[f"c{i}_{f}"] for f in features] for i in range(k)]
 
 
-def lloyd_kmeans(z: DataFrame, features, k: int, iterations: int = 5,
+def lloyd_kmeans(z: DataFrame, features, k: int, iterations: int = 300,
                  digits: int = Z_DIGITS) -> tuple[DataFrame, list[list[float]]]:
-    """Deterministic k-means: quantile init, ``iterations`` update steps, then assignment.
+    """Deterministic k-means: quantile init, update steps until no centre moves (at
+    ``digits`` decimals), then assignment.
 
-    Returns (rows with ``cluster`` and ``dist2``, final centres). An empty cluster keeps
+    Returns (rows with ``cluster``, ``dist2`` and ``converged``, final centres);
+    ``converged`` is false if ``iterations`` steps were not enough. An empty cluster keeps
     its previous centre."""
     zcols = [f"z_{f}" for f in features]
     z = cut_lineage(z.select("id_cliente", *features, *zcols))
     centers = quantile_centers(z, features, k, digits)
+    points = z.select(*zcols).persist()     # read once per step
+    converged = False
     for _ in range(iterations):
         label, _d = _assign_expr(zcols, centers)
-        means = (z.select(label.alias("cluster"), *zcols).groupBy("cluster")
+        means = (points.select(label.alias("cluster"), *zcols).groupBy("cluster")
                  .agg(*[round_even(F.avg(c), digits).alias(c) for c in zcols]).collect())  # <= k rows
+        moved = list(centers)
         for row in means:
-            centers[row["cluster"]] = [row[c] for c in zcols]
+            moved[row["cluster"]] = [row[c] for c in zcols]
+        converged, centers = moved == centers, moved
+        if converged:
+            break
+    points.unpersist()
     label, dist2 = _assign_expr(zcols, centers)
-    return z.withColumn("cluster", label).withColumn("dist2", dist2), centers
+    return z.withColumn("cluster", label).withColumn("dist2", dist2).withColumn("converged", F.lit(converged)), centers
 
 
 def _relabel(centers):
@@ -123,12 +132,17 @@ def assemble(z: DataFrame, features, keep=("id_cliente",)) -> DataFrame:
 
 def _fit_all(vec: DataFrame, configs, max_iter: int, tol: float = 1e-4):
     """Fit one KMeans per (k, seed); independent fits run as concurrent Spark jobs."""
+    vec = vec.persist()  # one copy for all fits
+
     def fit(cfg):
         k, seed = cfg
         return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features",
                       predictionCol="raw_cluster").fit(vec)
-    with ThreadPoolExecutor(max_workers=min(FIT_PARALLELISM, len(configs))) as pool:
-        return list(pool.map(fit, configs))
+    try:
+        with ThreadPoolExecutor(max_workers=min(FIT_PARALLELISM, len(configs))) as pool:
+            return list(pool.map(fit, configs))
+    finally:
+        vec.unpersist()
 
 
 def kmeans(z: DataFrame, features, k: int, n_init: int = 10, seed: int = 42,

@@ -17,27 +17,36 @@ from trolley.session import cut_lineage
 _STORE_SPAN = 10 ** 10
 
 
-def main_store(flat: DataFrame) -> DataFrame:
-    """Store with most items per customer; ties go to the smallest store id.
+def _by_store(per_store: DataFrame) -> DataFrame:
+    """Main store from (id_cliente, id_tienda, cnt).
 
     The order (items desc, store asc) is one exact decimal key, items * 10^10 - store:
     a long count times 10^10 stays below 10^29, and store ids of any int value differ by
     less than 10^10. A numeric key keeps ``max_by`` in a hash aggregate (a struct key
     would force a sort-based one)."""
-    per_store = flat.groupBy("id_cliente", "id_tienda").agg(F.count(F.lit(1)).alias("cnt"))
     dec = "decimal(38,0)"
     key = (F.col("cnt").cast(dec) * F.lit(_STORE_SPAN).cast(dec)) - F.col("id_tienda").cast(dec)
     return per_store.groupBy("id_cliente").agg(F.max_by("id_tienda", key).alias("id_tienda"))
 
 
+def main_store(flat: DataFrame) -> DataFrame:
+    """Store with most items per customer; ties go to the smallest store id."""
+    return _by_store(flat.groupBy("id_cliente", "id_tienda").agg(F.count(F.lit(1)).alias("cnt")))
+
+
 def customer_features(flat: DataFrame) -> DataFrame:
-    """Per customer: distinct days, distinct products, items, distinct categories, main store."""
-    feats = (flat.groupBy("id_cliente")
-             .agg(F.countDistinct("fecha").alias("frecuencia"),
-                  F.countDistinct("id_producto").alias("n_productos_distintos"),
-                  F.count(F.lit(1)).alias("volumen_total"),
-                  F.countDistinct("nombre_categoria").alias("n_categorias_distintas")))
-    return (feats.join(main_store(flat), "id_cliente")
+    """Per customer: distinct days, distinct products, items, distinct categories, main store.
+
+    The items are counted once per (customer, day, store) and once per (customer, product,
+    category), combined before each shuffle. All figures come from these counts, so the
+    items are never multiplied by the number of distinct counts (no Expand over them)."""
+    visits = flat.groupBy("id_cliente", "fecha", "id_tienda").agg(F.count(F.lit(1)).alias("n"))
+    bought = flat.groupBy("id_cliente", "id_producto", "nombre_categoria").agg(F.lit(1).alias("one"))
+    days = visits.groupBy("id_cliente").agg(F.countDistinct("fecha").alias("frecuencia"), F.sum("n").alias("volumen_total"))
+    kinds = bought.groupBy("id_cliente").agg(F.countDistinct("id_producto").alias("n_productos_distintos"),
+                                             F.countDistinct("nombre_categoria").alias("n_categorias_distintas"))
+    store = _by_store(visits.groupBy("id_cliente", "id_tienda").agg(F.sum("n").alias("cnt")))
+    return (days.join(kinds, "id_cliente").join(store, "id_cliente")
             .select("id_cliente", "frecuencia", "n_productos_distintos", "volumen_total",
                     "n_categorias_distintas", "id_tienda"))
 
@@ -85,6 +94,11 @@ def top_products(flat: DataFrame, n: int = 10) -> DataFrame:
     return product_freq(flat).orderBy(F.desc("frecuencia_absoluta"), "id_producto").limit(n)
 
 
+def top_stored_products(product_freq: DataFrame, n: int = 10) -> DataFrame:
+    """``top_products`` of the whole table from the stored product table, without the items."""
+    return product_freq.orderBy(F.desc("frecuencia_absoluta"), "id_producto").limit(n)
+
+
 def rows_per_store(flat: DataFrame) -> DataFrame:
     return flat.groupBy("id_tienda").agg(F.count(F.lit(1)).alias("rows"))
 

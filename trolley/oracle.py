@@ -36,17 +36,10 @@ flat AS (
 def q(select: str, *ctes: str) -> str:
     """Adapter CTEs + extra CTEs + final statement."""
     parts = [ADAPTER] + [c.strip() for c in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + select.strip()
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select.strip()
 
 
 def r(expr: str, digits: int) -> str:
     """SQL twin of ``functions.round_even``."""
     scale = float(10 ** digits)
     return f"(round_even(({expr}) * {scale}, 0) / {scale})"
-
-
-ORACLES: dict[str, str] = {}
-
-
-def oracle(name: str, sql: str) -> None:
-    ORACLES[name] = sql

@@ -1,7 +1,9 @@
-"""Composite reports (C1–C3): several outputs of one filtered table.
+"""Composite reports (C1–C3): several outputs of one table.
 
-The filtered flat table is persisted once and feeds every output; the caller
-releases it with ``release(bundle)`` after use."""
+With a store or date filter the outputs come from the filtered items, persisted once;
+``release(bundle)`` lets go of them. Without one, ``stored_summary`` and ``stored_bundle``
+answer from the stored derived tables and never read or persist the item table (but for the
+weekly categories, which no derived table holds)."""
 
 from __future__ import annotations
 
@@ -12,11 +14,19 @@ from trolley.operators import tables as TB
 from trolley.operators.transform import apply_filters, filter_customers_by_store
 
 
+def _filtered(flat: DataFrame, tienda, fecha_ini, fecha_fin) -> tuple[DataFrame, DataFrame | None]:
+    """(items, the persisted base or None): only a filtered table is persisted."""
+    if tienda is None and fecha_ini is None and fecha_fin is None:
+        return flat, None
+    ff = apply_filters(flat, tienda, fecha_ini, fecha_fin).persist()
+    return ff, ff
+
+
 def executive_summary(flat: DataFrame, tienda=None, fecha_ini=None, fecha_fin=None, n: int = 10) -> dict:
     """KPIs, top products, top customers, daily table and category counts."""
-    ff = apply_filters(flat, tienda, fecha_ini, fecha_fin).persist()
+    ff, base = _filtered(flat, tienda, fecha_ini, fecha_fin)
     return {
-        "_base": ff,
+        "_base": base,
         "summary": M.summary_kpis(ff),
         "top_products": TB.top_products(ff, n),
         "top_customers": M.top_customers(ff, n),
@@ -25,18 +35,46 @@ def executive_summary(flat: DataFrame, tienda=None, fecha_ini=None, fecha_fin=No
     }
 
 
+def stored_summary(tables: dict, n: int = 10) -> dict:
+    """C1 of the whole table from the stored tables (``files.load_tables``)."""
+    products, customers, daily = tables["product_freq"], tables["customer_features"], tables["daily_summary"]
+    return {
+        "summary": M.stored_summary_kpis(daily, customers, products),
+        "top_products": TB.top_stored_products(products, n),
+        "top_customers": M.top_stored_customers(customers, n),
+        "daily": stored_daily(daily),
+        "categories": M.stored_category_counts(products),
+    }
+
+
 def analytics_bundle(flat: DataFrame, customers: DataFrame, tienda=None, fecha_ini=None,
                      fecha_fin=None, top_n: int = 5) -> dict:
     """Daily table, weekly category evolution and customer features (main-store filter only)."""
-    ff = apply_filters(flat, tienda, fecha_ini, fecha_fin).persist()
+    ff, base = _filtered(flat, tienda, fecha_ini, fecha_fin)
     return {
-        "_base": ff,
+        "_base": base,
         "daily": daily_text(ff),
         "category_evolution": M.category_evolution(ff, top_n),
         "customer_features": filter_customers_by_store(customers, tienda),
     }
 
 
+def stored_bundle(tables: dict, tienda=None, fecha_ini=None, fecha_fin=None, top_n: int = 5) -> dict:
+    """C2 from the stored tables: filters go to the stored daily table and the month and
+    store directories of the item table."""
+    return {
+        "daily": stored_daily(tables["daily_summary"], tienda, fecha_ini, fecha_fin),
+        "category_evolution": M.category_evolution(apply_filters(tables["transactions_flat"], tienda, fecha_ini, fecha_fin), top_n),
+        "customer_features": filter_customers_by_store(tables["customer_features"], tienda),
+    }
+
+
+def stored_daily(daily: DataFrame, tienda=None, fecha_ini=None, fecha_fin=None) -> DataFrame:
+    """C3 from the stored daily table: filter, dates as ISO text, in order."""
+    return (apply_filters(daily, tienda, fecha_ini, fecha_fin).orderBy("fecha", "id_tienda")
+            .withColumn("fecha", F.date_format("fecha", "yyyy-MM-dd")))
+
+
 def daily_text(flat: DataFrame) -> DataFrame:
     """Daily table with dates as ISO text."""
     return TB.daily_summary(flat).withColumn("fecha", F.date_format("fecha", "yyyy-MM-dd"))

@@ -657,7 +657,6 @@ from trolley.functions.labels import FEATURE_LABELS, LEVEL_LABELS  # noqa: E402
 from trolley.operators import segments as SG  # noqa: E402
 
 SEG_K = 4
-SEG_ITERS = 10
 
 
 def _z(spark, sf):
@@ -667,38 +666,36 @@ def _z(spark, sf):
 
 
 def _lloyd(spark, sf):
-    return SG.lloyd_kmeans(_z(spark, sf), _FEATS, SEG_K, SEG_ITERS)
+    return SG.lloyd_kmeans(_z(spark, sf), _FEATS, SEG_K)
 
 
-def _lloyd_ctes(k: int = SEG_K, iters: int = SEG_ITERS) -> list[str]:
+def _z_ctes() -> list[str]:
     fs = _FEATS
-    ctes = [_CUSTOMER_FEATURES_CTE.strip(),
+    return [_CUSTOMER_FEATURES_CTE.strip(),
             "mom AS (SELECT " + ", ".join(f"avg({f}) AS {f}_mean, stddev_pop({f}) AS {f}_std" for f in fs)
             + " FROM customers)",
-            "zc AS (SELECT c.id_cliente, " + ", ".join(f"c.{f}" for f in fs) + ", " + ", ".join(
+            "zc AS MATERIALIZED (SELECT c.id_cliente, " + ", ".join(f"c.{f}" for f in fs) + ", " + ", ".join(
                 f"CASE WHEN {f}_std > 0 THEN {r(f'(CAST(c.{f} AS DOUBLE) - {f}_mean) / {f}_std', 6)} ELSE 0.0 END AS z_{f}"
-                for f in fs) + " FROM customers c, mom)",
-            "c0 AS (SELECT " + ", ".join(f"{r(f'quantile_cont(z_{f}, {(i + 0.5) / k})', 6)} AS c{i}_{f}"
-                                         for i in range(k) for f in fs) + " FROM zc)"]
-
-    def dist(i, t):
-        return " + ".join(f"((z_{f} - c{t}.c{i}_{f}) * (z_{f} - c{t}.c{i}_{f}))" for f in fs)
-
-    def assign(t):
-        lst = "list_value(" + ", ".join(dist(i, t) for i in range(k)) + ")"
-        return (f"a{t} AS (SELECT zc.*, CAST(list_position({lst}, list_min({lst})) - 1 AS INTEGER) AS cluster, "
-                f"list_min({lst}) AS dist2 FROM zc, c{t})")
-
-    for t in range(iters):
-        ctes.append(assign(t))
-        ctes.append(f"m{t} AS (SELECT cluster, " + ", ".join(f"{r(f'avg(z_{f})', 6)} AS z_{f}" for f in fs)
-                    + f" FROM a{t} GROUP BY cluster)")
-        ctes.append(f"c{t + 1} AS (SELECT " + ", ".join(
-            f"coalesce((SELECT z_{f} FROM m{t} WHERE cluster = {i}), c{t}.c{i}_{f}) AS c{i}_{f}"
-            for i in range(k) for f in fs) + f" FROM c{t})")
-    ctes.append(assign(iters))
-    ctes.append(f"seg AS (SELECT * FROM a{iters})")
-    return ctes
+                for f in fs) + " FROM customers c, mom)"]
+
+
+def _lloyd_ctes(k: int = SEG_K) -> list[str]:
+    """Lloyd steps as a recursion over the list of centres, until none moves."""
+    fs = _FEATS
+    start = "[" + ", ".join("[" + ", ".join(r(f"quantile_cont(z_{f}, {(i + 0.5) / k})", 6) for f in fs) + "]" for i in range(k)) + "]"
+    dists = "[" + ", ".join(" + ".join(f"((z_{f} - c[{i + 1}][{j + 1}]) * (z_{f} - c[{i + 1}][{j + 1}]))" for j, f in enumerate(fs)) for i in range(k)) + "]"
+    means = "[" + ", ".join("[" + ", ".join(
+        f"coalesce({r(f'avg(z_{f}) FILTER (cluster = {i})', 6)}, any_value(c[{i + 1}][{j + 1}]))" for j, f in enumerate(fs)) + "]" for i in range(k)) + "]"
+    return [*_z_ctes(), f"""steps AS (
+  SELECT 0 AS t, {start} AS c, true AS moved FROM zc
+  UNION ALL
+  SELECT t + 1, n, n <> c FROM (
+    SELECT t, any_value(c) AS c, {means} AS n FROM (
+      SELECT t, c, {', '.join(f'z_{f}' for f in fs)}, list_position(d, list_min(d)) - 1 AS cluster
+      FROM (SELECT t, c, {', '.join(f'z_{f}' for f in fs)}, {dists} AS d FROM steps, zc WHERE moved AND t < 300) a) b
+    GROUP BY t) s)""",
+            f"""seg AS (SELECT zc.*, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS cluster, list_min(d) AS dist2
+  FROM (SELECT zc.*, {dists} AS d FROM zc, (SELECT c FROM steps ORDER BY t DESC LIMIT 1) f) zc)"""]
 
 
 def _seg_q(select: str, *extra: str) -> str:
@@ -707,17 +704,18 @@ def _seg_q(select: str, *extra: str) -> str:
 
 @register("standardized_features", q(
     "SELECT id_cliente, " + ", ".join(_FEATS) + ", " + ", ".join(f"z_{f}" for f in _FEATS) + " FROM zc",
-    *_lloyd_ctes()[:3]))
+    *_z_ctes()))
 def standardized_features(spark, sf):
     """P8 + M5: population z-scores (6 dp)."""
     return _z(spark, sf)
 
 
-@register("kmeans_lloyd", _seg_q(f"SELECT id_cliente, cluster, {r('dist2', 6)} AS dist2 FROM seg"))
+@register("kmeans_lloyd", _seg_q(f"SELECT id_cliente, cluster, {r('dist2', 6)} AS dist2, true AS converged FROM seg"))
 def kmeans_lloyd(spark, sf):
-    """Deterministic k-means (k=4, quantile init, 10 Lloyd steps) — label per customer."""
+    """Deterministic k-means (k=4, quantile init, Lloyd steps until no centre moves) —
+    label per customer."""
     seg, _ = _lloyd(spark, sf)
-    return seg.select("id_cliente", "cluster", round_even_col("dist2", 6))
+    return seg.select("id_cliente", "cluster", round_even_col("dist2", 6), "converged")
 
 
 @register("kmeans_lloyd_inertia", _seg_q(f"SELECT count(*) AS n, {r('sum(dist2)', 4)} AS inertia FROM seg"))
@@ -836,12 +834,14 @@ def customer_category_counts(spark, sf):
     return RC.customer_category_counts(_flat(spark, sf))
 
 
-@register("customer_category_matrix", q(
-    "SELECT id_cliente, COALESCE(COLUMNS(* EXCLUDE (id_cliente)), 0) FROM (PIVOT cc ON nombre_categoria USING first(n) GROUP BY id_cliente) p",
-    _CC))
+_CATEGORIES = ["SIN CATEGORIA", *(f"CAT_{i}" for i in range(1, 25))]  # of the test catalog
+
+
+@register("customer_category_matrix", q("SELECT id_cliente, " + ", ".join(
+    f"CAST(sum(CASE WHEN nombre_categoria = '{c}' THEN n ELSE 0 END) AS BIGINT) AS \"{c}\"" for c in _CATEGORIES) + " FROM cc GROUP BY id_cliente", _CC))
 def customer_category_matrix(spark, sf):
     """A19 (wide form): zero-filled customer x category pivot."""
-    return RC.customer_category_matrix(_flat(spark, sf))
+    return RC.customer_category_matrix(_flat(spark, sf), _CATEGORIES)
 
 
 @register("neighbours_exact", q(f"SELECT id_cliente, {r('sim', 10)} AS sim FROM nb", *_SIM_CTES))
@@ -1323,3 +1323,88 @@ def stream_events_weekly(spark, sf):
            .select(F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int")).alias("semana"),
                    "event_type", "n_events", round_even(F.col("v"), 2).alias("total_value")))
     return _complete(agg, scratch_path(spark, f"events-stream-{uuid.uuid4().hex}"))
+
+
+# ---------------------------------------------------------------- reports and stored tables
+
+from trolley.plans import reports as RP  # noqa: E402
+
+_TOP_PRODUCTS_SQL = f"""
+SELECT id_producto, nombre_categoria, count(*) AS frecuencia_absoluta, count(DISTINCT id_cliente) AS n_clientes,
+       {r("CAST(count(DISTINCT id_cliente) AS DOUBLE) / (SELECT count(DISTINCT id_cliente) FROM {t}) * 100.0", 2)} AS pct_clientes,
+       row_number() OVER (ORDER BY count(*) DESC, id_producto) AS pos
+FROM {{t}} GROUP BY 1, 2 ORDER BY frecuencia_absoluta DESC, id_producto LIMIT 10"""
+_REPORT_SQL = {
+    "top_customers": """SELECT id_cliente, count(*) AS total_items, row_number() OVER (ORDER BY count(*) DESC, id_cliente) AS pos
+FROM {t} GROUP BY 1 ORDER BY total_items DESC, id_cliente LIMIT 10""",
+    "daily": """SELECT strftime(fecha, '%Y-%m-%d') AS fecha, id_tienda, count(DISTINCT id_cliente) AS n_transacciones, count(*) AS n_items,
+       count(DISTINCT id_cliente) AS n_clientes, dia_semana, semana, mes, row_number() OVER (ORDER BY d.fecha, id_tienda) AS pos
+FROM {t} d GROUP BY d.fecha, id_tienda, dia_semana, semana, mes""",
+    "categories": """SELECT nombre_categoria, count(*) AS frecuencia, row_number() OVER (ORDER BY count(*) DESC, nombre_categoria) AS pos
+FROM {t} GROUP BY 1""",
+    "top_products": _TOP_PRODUCTS_SQL,
+    "category_evolution": """SELECT strftime(CAST(date_trunc('week', fecha) AS DATE), '%Y-%m-%d') AS semana, nombre_categoria, count(*) AS frecuencia
+FROM {t} WHERE nombre_categoria IN (SELECT nombre_categoria FROM {t} GROUP BY nombre_categoria ORDER BY count(*) DESC, nombre_categoria LIMIT 5)
+GROUP BY 1, 2""",
+    "customer_features": "SELECT * FROM customers WHERE id_tienda = " + str(STORE),
+}
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """``df`` with its row number in output order (O5-O7), so that the order is checked, too.
+    For the small frames of a report only."""
+    from pyspark.sql import Window
+    return (df.withColumn("i", F.monotonically_increasing_id())
+            .withColumn("pos", F.row_number().over(Window.orderBy("i")).cast("long")).drop("i"))
+
+
+def _report(prefix: str, name: str, build: Callable, filtered: bool) -> None:
+    t = "ff" if filtered else "flat"
+    if name == "summary":
+        sql = q(_kpi_sql(t), *([_FF] if filtered else []), *_kpi_ctes(t))
+    else:
+        sql = q(_REPORT_SQL[name].replace("{t}", t), *([_FF] if filtered else []), *([_CUSTOMER_FEATURES_CTE] if name == "customer_features" else []))
+
+    def run(spark, sf):
+        df = build(spark, sf)[name]
+        return _placed(df) if "pos" in sql else df
+    run.__doc__ = f"{prefix}: {name}, {'filtered by store and dates' if filtered else 'whole table'}."
+    register(f"{prefix}_{name}", sql)(run)
+
+
+def _executive(spark, sf):
+    return RP.executive_summary(_flat(spark, sf), STORE, DATE_FROM, DATE_TO)
+
+
+def _stored(spark, sf):
+    return RP.stored_summary(FS.load_tables(spark, _run_two_step_etl(spark, sf)))
+
+
+def _bundle(spark, sf):
+    return RP.analytics_bundle(_flat(spark, sf), TB.customer_features(_flat(spark, sf)), STORE, DATE_FROM, DATE_TO)
+
+
+def _stored_bundle(spark, sf):
+    return RP.stored_bundle(FS.load_tables(spark, _run_two_step_etl(spark, sf)), STORE, DATE_FROM, DATE_TO)
+
+
+for _name in ("summary", "top_products", "top_customers", "daily", "categories"):
+    _report("executive_summary", _name, _executive, True)
+    _report("stored_summary", _name, _stored, False)
+for _name in ("daily", "category_evolution", "customer_features"):
+    _report("analytics_bundle", _name, _bundle, True)
+    _report("stored_bundle", _name, _stored_bundle, True)
+
+
+@register("segmentation_invariants", q("""
+SELECT count(*) AS n_labels, count(DISTINCT id_cliente) AS n_customers, CAST(3 AS BIGINT) AS n_clusters,
+       count(*) AS in_stats, true AS inertia_falls, count(*) AS n_points FROM customers""", _CUSTOMER_FEATURES_CTE))
+def segmentation_invariants(spark, sf):
+    """M6 + M7 + M8 + M15: figures of the segmentation bundle that hold for any start."""
+    out = SG.segmentation_result(TB.customer_features(_flat(spark, sf)), k=3, n_init=3)
+    curve = [row["inercia"] for row in out["elbow"].orderBy("k").collect()]  # seven numbers
+    return out["labels"].agg(
+        F.count(F.lit(1)).alias("n_labels"), F.countDistinct("id_cliente").alias("n_customers"),
+        F.countDistinct("cluster").alias("n_clusters"), out["stats"].agg(F.sum("n_clientes")).scalar().alias("in_stats"),
+        F.lit(all(a >= b for a, b in zip(curve, curve[1:], strict=False))).alias("inertia_falls"),
+        out["pca"].agg(F.count("pca_x")).scalar().alias("n_points"))
