@@ -8,6 +8,8 @@ partial aggregation — no pairs of customers are generated beyond (target, othe
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -149,43 +151,41 @@ def recommend_for_customer(flat: DataFrame, customer_id, top_n: int = 5, n_neigh
     return score_categories(counts, nearest_neighbours(sims, n_neighbors), customer_id, top_n)
 
 
-def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5,
-                            n_neighbors: int = 10, counts: DataFrame | None = None) -> DataFrame:
-    """Exact recommendation for a set of target customers (column ``id_cliente``).
+def _block_neighbours(vectors: DataFrame, block: DataFrame, n_neighbors: int) -> DataFrame:
+    """(target, id_cliente, sim) of the nearest customers of a block of targets.
+
+    The block travels as one array value to every customer row, where all its dot products
+    are computed; a customer and a target are never matched through a shuffle on a category,
+    and ``row_number() <= k`` keeps k rows per target and task before the one shuffle.
+    Customers without a common category take part with similarity 0."""
+    held = block.agg(F.collect_list(F.struct(F.col("id_cliente").alias("target"), "of", F.col("norm").alias("tnorm")))).scalar()
+    dot = F.aggregate("cats", F.lit(0).cast("long"),
+                      lambda acc, e: acc + e["n"] * F.coalesce(F.try_element_at(F.col("t.of"), e["nombre_categoria"]), F.lit(0)))
+    sims = (vectors.select("id_cliente", "norm", "cats", F.explode(held).alias("t")).filter(F.col("id_cliente") != F.col("t.target"))
+            .select(F.col("t.target").alias("target"), "id_cliente",
+                    (dot.cast("double") / (F.col("norm") * F.col("t.tnorm"))).alias("sim")))
+    w = Window.partitionBy("target").orderBy(F.desc("sim"), "id_cliente")
+    return sims.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n_neighbors).drop("rk")
+
+
+def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5, n_neighbors: int = 10,
+                            counts: DataFrame | None = None, block_rows: int = 500) -> DataFrame:
+    """Exact recommendation for a stated set of target customers (column ``id_cliente``),
+    in blocks of about ``block_rows`` targets against all customers.
 
-    Work is (targets x customers sharing a category); targets' vectors are broadcast
-    after a size check; top-k per target uses ``row_number() <= k`` (group-limited
-    before the shuffle). Customers sharing no category have similarity 0; they can only
-    be neighbours of a target with fewer than k overlapping customers, and then they are
-    the smallest ids, all among the 2k+1 smallest ids overall — so only those (a list
-    bounded by the parameter) are added per target, without any pair generation.
-    ``counts`` (from ``stored_counts(flat)``) is reused when given."""
+    A customer is one row: its category counts and norm. ``counts`` (from
+    ``stored_counts(flat)``) is reused when given. Unknown targets give no rows."""
     if counts is None:
         counts = stored_counts(flat)
-    norms = counts.groupBy("id_cliente").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    tvec = checked_broadcast(
-        counts.join(targets.select(F.col("id_cliente")).distinct(), "id_cliente", "left_semi")
-        .select(F.col("id_cliente").alias("target"), "nombre_categoria", F.col("n").alias("tn")))
-    tnorm = norms.select(F.col("id_cliente").alias("target"), F.col("norm").alias("tnorm"))
-    dots = (counts.join(tvec, "nombre_categoria")
-            .filter(F.col("id_cliente") != F.col("target"))
-            .groupBy("target", "id_cliente").agg(F.sum(F.col("n") * F.col("tn")).alias("dot")))
-    overlap = (dots.join(norms, "id_cliente").join(tnorm, "target")
-               .select("target", "id_cliente",
-                       (F.col("dot").cast("double") / (F.col("norm") * F.col("tnorm"))).alias("sim")))
-    smallest = [r.id_cliente for r in norms.select("id_cliente").orderBy("id_cliente")
-                .limit(2 * n_neighbors + 1).collect()]  # at most 2k+1 ids
-    known = tvec.select("target").distinct()
-    fill = (known.select("target", F.explode(F.array(*[F.lit(i) for i in smallest])).alias("id_cliente"))
-            .filter(F.col("id_cliente") != F.col("target"))
-            # only the listed ids can clash; the filter on a grouping key reaches the scan
-            .join(dots.filter(F.col("id_cliente").isin(smallest)).select("target", "id_cliente"),
-                  ["target", "id_cliente"], "left_anti")
-            .withColumn("sim", F.lit(0.0))) if smallest else None
-    sims = overlap if fill is None else overlap.unionByName(fill)
-    w = Window.partitionBy("target").orderBy(F.desc("sim"), "id_cliente")
-    nbrs = sims.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n_neighbors)
-    own = tvec.select("target", "nombre_categoria")
+    entry = F.struct("nombre_categoria", "n")  # at most one per category
+    vectors = cut_lineage(counts.groupBy("id_cliente").agg(F.collect_list(entry).alias("cats"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")))
+    wanted = cut_lineage(vectors.join(targets.select("id_cliente").distinct(), "id_cliente", "left_semi")
+                         .select("id_cliente", F.map_from_entries("cats").alias("of"), "norm"))
+    blocks = max(1, -(-wanted.count() // block_rows))
+    parts = [_block_neighbours(vectors, wanted.filter(F.pmod(F.xxhash64("id_cliente"), F.lit(blocks)) == k), n_neighbors)
+             for k in range(blocks)]
+    nbrs = reduce(DataFrame.unionByName, parts)
+    own = wanted.select(F.col("id_cliente").alias("target"), F.explode(F.map_keys("of")).alias("nombre_categoria"))
     scored = (counts.filter(F.col("n") > 0).join(nbrs, "id_cliente")
               .join(own, ["target", "nombre_categoria"], "left_anti")
               .groupBy("target", "nombre_categoria").agg(F.sum("sim").alias("score"))

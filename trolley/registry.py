@@ -866,6 +866,20 @@ def recommend_customer_exact(spark, sf):
     return RC.recommend_for_customer(flat, _target(counts), 5, 10, method="exact", counts=counts)
 
 
+@register("recommend_customer_exact_small", q(f"""
+SELECT nombre_categoria AS categoria, {r('score', 4)} AS score FROM (
+  SELECT c.nombre_categoria, sum(nb.sim) AS score FROM nb JOIN cc c USING (id_cliente)
+  WHERE c.n > 0 AND c.nombre_categoria NOT IN (SELECT nombre_categoria FROM tv)
+  GROUP BY 1) s
+ORDER BY score DESC, categoria LIMIT 5""", *[c.replace("ORDER BY count(*) DESC, 1 LIMIT 1", "ORDER BY count(*), 1 LIMIT 1") for c in _SIM_CTES]))
+def recommend_customer_exact_small(spark, sf):
+    """M13 (exact cosine) for the customer with fewest items, who lacks many categories."""
+    flat = _flat(spark, sf)
+    counts = RC.stored_counts(flat)
+    target = counts.groupBy("id_cliente").agg(F.sum("n").alias("n")).orderBy("n", "id_cliente").first()["id_cliente"]
+    return RC.recommend_for_customer(flat, int(target), 5, 10, method="exact", counts=counts)
+
+
 @register("recommend_customer_svd")
 def recommend_customer_svd(spark, sf):
     """M11 + M13 as the reference: rank-min(50, C-1, N-1) SVD, cosine, 10 neighbours (rows-only)."""
@@ -874,7 +888,7 @@ def recommend_customer_svd(spark, sf):
     return RC.recommend_for_customer(flat, _target(counts), 5, 10, method="svd", counts=counts)
 
 
-@register("recommend_customers_batch", q(f"""
+_BATCH_SQL = q(f"""
 SELECT target AS id_cliente, nombre_categoria AS categoria, score, rank FROM (
   SELECT target, nombre_categoria, score,
          row_number() OVER (PARTITION BY target ORDER BY score DESC, nombre_categoria) AS rank
@@ -897,7 +911,10 @@ WHERE rank <= 5""", _CC,
               FROM (SELECT tg.target, nr.id_cliente FROM tg, nr WHERE nr.id_cliente <> tg.target) c
               LEFT JOIN dts d ON d.target = c.target AND d.id_cliente = c.id_cliente
               JOIN nr n1 ON n1.id_cliente = c.id_cliente JOIN nr n2 ON n2.id_cliente = c.target) x
-            WHERE rk <= 10)"""))
+            WHERE rk <= 10)""")
+
+
+@register("recommend_customers_batch", _BATCH_SQL)
 def recommend_customers_batch(spark, sf):
     """Exact recommendations for the 5 customers with most items at once."""
     flat = _flat(spark, sf)
@@ -906,6 +923,18 @@ def recommend_customers_batch(spark, sf):
     return RC.recommend_for_customers(flat, targets, 5, 10, counts=counts).withColumn("rank", F.col("rank").cast("long"))
 
 
+@register("recommend_customers_batch_small", _BATCH_SQL.replace(
+    "SELECT id_cliente AS target FROM flat GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5",
+    "SELECT id_cliente AS target FROM flat GROUP BY 1 ORDER BY count(*), 1 LIMIT 5"))
+def recommend_customers_batch_small(spark, sf):
+    """The 5 customers with fewest items, in two blocks."""
+    flat = _flat(spark, sf)
+    counts = RC.stored_counts(flat)
+    targets = counts.groupBy("id_cliente").agg(F.sum("n").alias("n")).orderBy("n", "id_cliente").limit(5)
+    return (RC.recommend_for_customers(flat, targets, 5, 10, counts=counts, block_rows=3)
+            .withColumn("rank", F.col("rank").cast("long")))
+
+
 # ---------------------------------------------------------------- phase 6: files, ETL, streaming
 
 import uuid  # noqa: E402
