@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trolley import schemas as S
 from trolley.oracle import q, r
 from trolley.operators import tables as TB
 from trolley.operators.transform import add_calendar, apply_filters, categorize, explode_baskets, \
@@ -536,7 +537,7 @@ def association_rules_types_sampled(spark, sf):
 
 
 def _levelwise_ctes(item_sql: str, frac: float, flat_filter: str = "TRUE") -> list[str]:
-    """Itemsets of size <= 3 by level-wise self-joins (exact when no 4-itemset is
+    """Itemsets of size <= 4 by level-wise self-joins (exact when no 5-itemset is
     frequent, which holds for the item universes used with it)."""
     where = "TRUE" if frac >= 1.0 else _SAMPLE_SQL.format(t=RU.hash_sample_threshold(frac))
     join = "JOIN part p ON f.id_producto = p.p_partkey" if "p." in item_sql else ""
@@ -554,8 +555,13 @@ def _levelwise_ctes(item_sql: str, frac: float, flat_filter: str = "TRUE") -> li
                 JOIN p1 b ON a.fecha = b.fecha AND a.id_tienda = b.id_tienda AND a.id_cliente = b.id_cliente AND a.item < b.item
                 JOIN p1 c ON a.fecha = c.fecha AND a.id_tienda = c.id_tienda AND a.id_cliente = c.id_cliente AND b.item < c.item
                 GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT m FROM mc))""",
+        """f4 AS (SELECT a.item AS i1, b.item AS i2, c.item AS i3, d.item AS i4, count(*) AS freq FROM p1 a
+                JOIN p1 b ON a.fecha = b.fecha AND a.id_tienda = b.id_tienda AND a.id_cliente = b.id_cliente AND a.item < b.item
+                JOIN p1 c ON a.fecha = c.fecha AND a.id_tienda = c.id_tienda AND a.id_cliente = c.id_cliente AND b.item < c.item
+                JOIN p1 d ON a.fecha = d.fecha AND a.id_tienda = d.id_tienda AND a.id_cliente = d.id_cliente AND c.item < d.item
+                GROUP BY 1, 2, 3, 4 HAVING count(*) >= (SELECT m FROM mc))""",
         """fi AS (SELECT [i1] AS items, freq FROM f1 UNION ALL SELECT [i1, i2], freq FROM f2
-                UNION ALL SELECT [i1, i2, i3], freq FROM f3)""",
+                UNION ALL SELECT [i1, i2, i3], freq FROM f3 UNION ALL SELECT [i1, i2, i3, i4], freq FROM f4)""",
     ]
 
 
@@ -566,15 +572,20 @@ def association_rules_brands(spark, sf):
                                                    sample_frac=1.0, min_support=0.01, min_confidence=0.1))
 
 
-# support and confidence at which single products of the test tables still form rules
-PRODUCT_RULES = {"min_support": 0.0001, "min_confidence": 0.05}
-_PRODUCT_CTES = [c.replace("ceil(0.01 * n)", "ceil(0.0001 * n)") for c in _levelwise_ctes("f.id_producto", 1.0)]
+def _product_rules(spark, sf) -> dict:
+    """Parameters at which single products form rules at any size of the test tables: sets
+    that at least two baskets hold."""
+    n = _flat(spark, sf).select(*S.BASKET_KEYS).distinct().count()
+    return {"min_support": 1.5 / max(n, 1), "min_confidence": 0.05}
+
+
+_PRODUCT_CTES = [c.replace("ceil(0.01 * n)", "2") for c in _levelwise_ctes("f.id_producto", 1.0)]
 
 
 @register("association_rules_products", _rules_sql(0.05, _PRODUCT_CTES))
 def association_rules_products(spark, sf):
     """M3 over all product baskets, at a support that pairs of products reach."""
-    return _rules_txt(RU.compute_association_rules(_flat(spark, sf), "id_producto", **PRODUCT_RULES))
+    return _rules_txt(RU.compute_association_rules(_flat(spark, sf), "id_producto", **_product_rules(spark, sf)))
 
 
 @register("rules_display", _rules_sql(0.05, _PRODUCT_CTES, """
@@ -584,7 +595,7 @@ SELECT array_to_string(list_transform(antecedents, lambda x: concat('P', x)), ',
     .replace("SELECT array_to_string(antecedents, '|') AS antecedents, array_to_string(consequents, '|') AS consequents,", "SELECT antecedents, consequents,"))
 def rules_display(spark, sf):
     """rules of products as display texts."""
-    return RU.rules_display(RU.compute_association_rules(_flat(spark, sf), "id_producto", **PRODUCT_RULES))
+    return RU.rules_display(RU.compute_association_rules(_flat(spark, sf), "id_producto", **_product_rules(spark, sf)))
 
 
 _TYPE_RULES = _type_baskets_ctes(1.0)
@@ -939,7 +950,6 @@ def recommend_customers_batch_small(spark, sf):
 
 import uuid  # noqa: E402
 
-from trolley import schemas as S  # noqa: E402
 from trolley.plans import etl as ETL  # noqa: E402
 from trolley.session import scratch_path  # noqa: E402
 from trolley.sources import files as FS  # noqa: E402
@@ -1037,7 +1047,7 @@ def _run_two_step_etl(spark, sf) -> str:
     raw = retail(spark, sf).raw
     steps = [(_lines(raw.filter("fecha < '1998-01-01'")), None),
              (_lines(raw.filter("fecha >= '1997-07-01'")).unionByName(_bad_lines(raw)), None),
-             (_lines(raw.filter("year(fecha) = 1995")).repartition(1).unionByName(_lines(raw.limit(0))), PRODUCT_RULES)]
+             (_lines(raw.filter("year(fecha) = 1995")).repartition(1).unionByName(_lines(raw.limit(0))), _product_rules(spark, sf))]
     for lines, params in steps:
         _drop_files(lines, landing)
         if not ETL.run_etl(spark, landing, cat_path, pc_path, out, rules_params=params):
