@@ -243,7 +243,7 @@ def _hits(text: Column, spark: SparkSession, index: Index, words_at_once: int =
                     block, held = [], 0
             out += contaminated(block, index) if block else []
             yield pd.Series([[dict(zip(names, h, strict=True)) for h in found] for found in out], dtype=object)
-    return hits(text)
+    return hits.asNondeterministic()(text)   # else a filter on the result runs it once more
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "hits", item_id: str = "item_id",

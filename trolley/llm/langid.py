@@ -168,7 +168,7 @@ def language(text: Column, spark: SparkSession, model: Model | None) -> Column:
         for texts in batches:
             found = pd.DataFrame([predict(t, parts, letters) for t in texts], columns=["lang", "score"])
             yield found.assign(rejected=(found["lang"] == "und") | (found["score"] < cut))
-    return identify(text)
+    return identify.asNondeterministic()(text)   # else a filter on the result runs it once more
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

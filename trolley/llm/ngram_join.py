@@ -171,9 +171,11 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall:
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes, chars = MinHash(bands, length), word_table()
         for texts in batches:
-            sets = [shingle_set(t, chars, words) for t in texts]
-            yield pd.DataFrame({"node": [set_id(s) if len(s) else None for s in sets], "size": [len(s) for s in sets],
-                                "bands": [hashes.band_hashes(s) if len(s) else None for s in sets]})
+            out = []    # one text at a time: the sets of a whole batch would be large
+            for t in texts:
+                s = shingle_set(t, chars, words)
+                out.append((set_id(s), len(s), hashes.band_hashes(s)) if len(s) else (None, 0, None))
+            yield pd.DataFrame(out, columns=["node", "size", "bands"])
     signed = stage(rows.select("doc_id", sign("text").alias("s"))
                    .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("s.node")).alias("node"), "s.size", "s.bands"), "signed")
     # the first 7 bytes name a node among candidates: a clash only adds a candidate
