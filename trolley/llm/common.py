@@ -24,6 +24,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+TEXT_BATCH = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``TEXT_BATCH`` rows where they are larger: ten
+    thousand rows of whole texts at once are too much for a Python worker. The setting holds
+    for the session, as plans read it only when they run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
+        spark.conf.set(key, str(TEXT_BATCH))
+
+
 def others(df: DataFrame, names: set[str]) -> list[str]:
     """Columns of ``df`` whose names do not clash with ``names`` (case-insensitively)."""
     taken = {n.lower() for n in names}

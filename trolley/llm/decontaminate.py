@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import bounded_batches, table
 from .ngram_join import word_hashes, word_table
 
 HIT = "struct<item_id:bigint,n_words:int,distance:int,last_word:int>"
@@ -225,6 +225,7 @@ def contaminated(texts: list[np.ndarray], index: Index) -> list[list[tuple[int,
 
 
 def _hits(text: Column, spark: SparkSession, index: Index, words_at_once: int = 500_000) -> Column:
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((index.ids, index.words, index.vocabulary, index.pairs, index.own, [vars(c) for c in index.classes], index.rate))
 
     @F.pandas_udf(f"array<{HIT}>")

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -158,6 +158,7 @@ def extract_text(pages: DataFrame, page: str = "html", into: str = "text") -> Da
     """``pages`` with the string column ``into`` (replacing one of that name): the main text of
     the whole html. Null, empty and textless pages give an empty text. Row for row; repeated
     rows stay repeated; pages are read whole and nothing is capped."""
+    bounded_batches(pages.sparkSession)
     return pages.withColumn(into, extracted(F.col(page)))
 
 

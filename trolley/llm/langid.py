@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 GRAMS = (1, 2, 3, 4)
 
@@ -158,6 +158,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 def language(text: Column, spark: SparkSession, model: Model | None) -> Column:
     """Struct (lang, score, rejected); ``und`` and 0 if the text is null or has no letter, or
     nothing was learned. Rejected: ``und``, or a score below the model's threshold."""
+    bounded_batches(spark)
     # buckets x languages numbers at most
     shared = spark.sparkContext.broadcast((model.langs, model.rows, model.bias) if model else None)
     cut = model.threshold if model else 0.0

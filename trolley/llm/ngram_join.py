@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley.plans.joins import checked_broadcast
 
-from .common import components, link_facts, roots, stage, table
+from .common import bounded_batches, components, link_facts, roots, stage, table
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,6 +164,7 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall:
     Copies and repeated rows are counted through their class, not as pairs. ``recall`` is the
     chance that a pair just at the threshold shares a band; pairs of a candidate group are
     verified whether they share one or not. Other columns are ignored."""
+    bounded_batches(docs.sparkSession)
     bands, length = choose_bands(threshold, recall)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 

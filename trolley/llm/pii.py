@@ -15,7 +15,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 KINDS = ["email", "ip", "card", "phone", "login", "iban", "ssn"]
 BASE = KINDS[:4]
@@ -142,11 +142,13 @@ def redacted(text: Column) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with the span array ``into`` (replacing a column of that name). One row per
     row, repeated rows stay; null and empty texts have no spans; texts are read whole."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(into, pii_spans(F.col(text)))
 
 
 def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` redacted; other columns, rows and null texts stay as they are."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(text, redacted(F.col(text)))
 
 

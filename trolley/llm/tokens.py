@@ -16,7 +16,7 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 MARK = "▁"
 PRETOKENS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -68,6 +68,7 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", into: str
     """``docs`` with a long column ``into``: the number of tokens of the whole text, as the
     library counts it without begin, end or special tokens. Null and empty texts count 0.
     An existing column of that name is replaced; repeated rows stay; no row, no result."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(whole_tokens(model_file))  # at most the vocabulary
 
     @F.pandas_udf("long")
