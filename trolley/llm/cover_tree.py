@@ -189,7 +189,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
              .withColumn("to_chunk", F.explode(F.sequence(F.lit(0), F.col("to.chunks") - 1)))
              .select("node", "n", "embedding", "grp", F.least(me, them).alias("a"), F.greatest(me, them).alias("b"),
                      (me <= them).alias("left"), (me == them).alias("same")))
-    found = stage(units.groupBy("grp", "a", "b").applyInPandas(_compare(cosine), "node binary, links long, root binary"), "links")
+    # dealt by unit: a shuffle on the group alone would do for Spark, and put a hot label in one task
+    found = stage(units.repartition("grp", "a", "b").groupBy("grp", "a", "b").applyInPandas(_compare(cosine), "node binary, links long, root binary"), "links")
 
     facts = link_facts(nodes, found, "component_id").drop("rep").filter("n_links > 0")
     return (rows.select("vec_id", "node").join(facts, "node", "left")
