@@ -74,10 +74,11 @@ def _keys(docs: DataFrame, doc_id: str, source: str, text: str, seed: int) -> li
             F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 64 - KEY_BITS).alias("_key")]
 
 
-def plan_mix(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 64,
-             seed: int = 7, max_sources: int = 10_000, max_blocks: int = 65_536, max_units: int = 2_048,
+def plan_mix(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int | None = None,
+             seed: int = 7, shard_words: int = 20_000_000, max_sources: int = 10_000, max_blocks: int = 65_536, max_units: int = 2_048,
              block_docs: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Plan tables of the mix of ``sized(_source, _size, _key)``: per source (_source, _bits,
+    """Plan tables of the mix of ``sized(_source, _size, _key)``, over ``shards`` output shards
+    (None: 64, or more so that a shard has about ``shard_words`` words): per source (_source, _bits,
     _at, _cut, _picked, _shard, source_size, target) and per drawn block (_source, _block,
     _shards). Raises beyond ``max_sources`` sources."""
     spark = sized.sparkSession
@@ -153,6 +154,7 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
                 need[i] -= n
         open_ = [i for i in wide if low[i] < high[i]]
 
+    shards = shards or max(64, int(sum(target) / shard_words))
     counts = split_tree([len(d) for d in drawn], shards, rng) if names else np.zeros((1, 0), int)
     block_rows: list[tuple] = []
     source_rows: list[tuple] = []
