@@ -116,6 +116,21 @@ def test_html_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "long text of the article " * 8
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<div class="elementor-widget-container"><p>{LONG}</div>', LONG.strip()), (f'<div class="layout no-sidebar"><p>{LONG}</div>', LONG.strip()),
+    ('<article class="post comments-open"><p>a</article>', "a"), ('<section id="related-work"><p>a</section><p>b', "a\nb"),
+    ('<h2 id="social-impact">T</h2><p>b', "T\nb"), ('<section class=related><h2 class=social>T</h2><p>a</section>b', "T\na\nb"),
+    ("<div data-id=menu data-testid='ad' title='x class=\"ad\"'>a</div><p>b", "a\nb"), (f"<div class=widget><p>{LONG}</div><p>x", f"{LONG.strip()}\nx"),
+    ('<p class="ad">buy<p>main</p><p>main</p>', "main\nmain"), ("<ul><li class=ad>buy<li>one<li>two</ul><p>x", "one\ntwo\nx"),
+    ("<dl><dt>a<dd class=ad>x<dt>b<dd>c</dl>", "a\nb\nc"), ("<table><tr><td class=ad>x<td>y<tr><td>z</table>", "y\nz"),
+    ("<div><span class=ad>buy</div><p>main text</p>", "main text"), ("<div class='ad'>buy<div>now</div>x</div><p>the main text</p>", "the main text")])
+def test_html_marks(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a", 5)] * 2 + [(None, None, 5)], "page_id long, html string, text int")
     assert sorted(r["text"] for r in html_text.extract_text(pages).collect()) == ["", "a", "a"]

@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element; scripts, styles, comments and elements
-whose tag or class marks them as navigation, header, footer, advert, form, notice, sharing
-or reader comments become empty lines, as do lines that are nothing but links. The lengths of
+whose tag or a whole value of class, id or role marks them as navigation, header, footer,
+advert, form, notice, sharing or reader comments become empty lines, as do lines that are
+nothing but links. The lengths of
 the lines are summed over a sliding window. A block of text begins at a surge point, where
 the sum rises over a threshold, and ends at a dive point, where a whole window is empty; the
 text between is kept. Where the page has an ``article`` or ``main`` element, lines outside
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +25,12 @@ from .common import bounded_batches, table
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)", re.S)
-HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTR = re.compile(r"([^\s=\"'/]++)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 # Elements whose content is no text, elements that are no main text, elements
-# that begin and end a line, elements without content, and words of class, id or role.
+# that begin and end a line, elements without content, values of class, id or role, elements
+# that these never strip, elements that end an open p, and for elements with an optional end
+# tag: the elements that their start ends, and those that bound it.
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select option".split())
 APART = frozenset("nav header footer aside form menu button dialog fieldset".split())
 BLOCK = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset
@@ -41,28 +45,125 @@ HINTS = frozenset("""ad ads adv advert advertisement adsense banner sponsor spon
 EDGES = frozenset("article main section nav header footer aside h1 body".split())
 
 
-def is_apart(tag: str, attrs: str, in_main: bool) -> bool:
-    if tag in APART:
-        return not (tag == "header" and in_main)  # an article's own heading
-    if tag in ("html", "body", "head", "main") or not attrs:
+KEPT = frozenset("html body head main article section h1 h2 h3 h4 h5 h6".split())
+ENDS_P = BLOCK - frozenset("body br caption head html legend tbody td tfoot th thead tr".split())
+CELLS = frozenset("table caption td th button".split())
+TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
+IMPLIED = {
+    "li": (("li",), CELLS | {"ul", "ol", "menu", "dir"}),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), CELLS | {"dl"})),
+    **dict.fromkeys(("td", "th"), (("td", "th", "caption"), frozenset(["table"]))),
+    "tr": (("tr", "caption"), frozenset(["table"])),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", "caption"), frozenset(["table"]))),
+}
+
+
+def marked(tag: str, attrs: str, in_main: bool) -> bool:
+    """Does a whole value of class, id or role mark the element as no main text."""
+    if tag in KEPT or not attrs:
         return False
-    words = {w for m in HINT.finditer(attrs) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & HINTS) or ("header" in words and not in_main and tag != "article")
+    words = {w for m in ATTR.finditer(attrs) if m[1].lower() in ("class", "id", "role") for w in (m[2] or m[3] or m[4] or "").lower().split()}
+    return bool(words & HINTS) or ("header" in words and not in_main)
+
+
+def tokens_of(page: str) -> list[tuple[str, str, str, bool]]:
+    """(text before the tag, tag, attributes, closing) of every tag outside raw elements and
+    comments; the last has no tag."""
+    out: list[tuple[str, str, str, bool]] = []
+    parts: list[str] = []
+    at, raw_until = 0, -1
+    for m in TOKEN.finditer(page):
+        if m.start() < raw_until:
+            continue
+        parts.append(page[at:m.start()])
+        at = m.end()
+        if not m[2]:
+            continue
+        closing, tag, attrs = bool(m[1]), m[2].lower(), m[3] or ""
+        if tag in RAW and not closing:
+            if not attrs.rstrip().endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(page, at)
+                at = raw_until = end.end() if end else len(page)
+            continue
+        out.append(("".join(parts), tag, attrs, closing))
+        parts.clear()
+    return [*out, ("".join(parts) + page[at:], "", "", False)]
+
+
+def ends_of(tokens: list[tuple[str, str, str, bool]]) -> dict[int, tuple[int, bool]]:
+    """Per start tag (place in ``tokens``): the place where its element ends, and whether that
+    is its own end tag. A missing end tag is implied as HTML does for p, li, dt, dd and the
+    parts of a table; any other unclosed element ends with its parent or at the next landmark."""
+    ends: dict[int, tuple[int, bool]] = {}
+    stack: list[tuple[str, int]] = []
+    where: dict[str, list[int]] = {}        # places on the stack by tag
+    edges = [k for k, t in enumerate(tokens) if t[1] in EDGES]
+
+    def top(names) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
+    def pop(to: int, k: int, own: bool, implied: bool) -> None:
+        """End the elements from the stack's place ``to`` up at token ``k``."""
+        while len(stack) > to:
+            tag, start = stack.pop()
+            if not tag:
+                continue
+            where[tag].pop()
+            mine = len(stack) == to
+            end = k
+            if not (mine and (own or implied)) and tag not in IMPLIED and tag != "p":
+                nxt = bisect_right(edges, start)
+                end = min(k, edges[nxt]) if nxt < len(edges) else k
+            ends[start] = (end, mine and own)
+
+    for k, (_, tag, attrs, closing) in enumerate(tokens):
+        if closing:
+            at = top((tag,))
+            if at < 0 or tag not in TABLE and at < top(CELLS - {tag}):
+                continue
+            if tag not in BLOCK and any(stack[j][0] in BLOCK for j in range(at + 1, len(stack))):
+                ends[stack[at][1]] = (k, True)      # a wrongly nested inline element ends alone
+                stack[at] = ("", -1)
+                where[tag].pop()
+            else:
+                pop(at, k, True, False)
+        elif tag and tag not in EMPTY and not attrs.rstrip().endswith("/"):
+            if tag in ENDS_P and (at := top(("p",))) > top(CELLS):
+                pop(at, k, False, True)
+            if tag in IMPLIED and (at := top(IMPLIED[tag][0])) > top(IMPLIED[tag][1]):
+                pop(at, k, False, True)
+            where.setdefault(tag, []).append(len(stack))
+            stack.append((tag, k))
+        elif tag in ENDS_P and (at := top(("p",))) > top(CELLS):
+            pop(at, k, False, True)
+    pop(0, len(tokens) - 1, False, False)
+    return ends
+
+
+def plain_sizes(tokens: list[tuple[str, str, str, bool]], ends: dict[int, tuple[int, bool]]) -> list[int]:
+    """Characters of text outside links and elements that are no main text by their tag, up to
+    each token."""
+    out, total, until = [], 0, -1
+    for k, (text, tag, _, closing) in enumerate(tokens):
+        if k > until:
+            total += len(" ".join(text.split()))
+        out.append(total)
+        if k >= until and not closing and k in ends and (tag == "a" or tag in APART and tag != "header"):
+            until = ends[k][0]
+    return out
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in main element, has text besides links) of every line; stripped lines are empty."""
-    tokens = list(TOKEN.finditer(page))
-    closers: dict[str, list[int]] = {}
-    for m in tokens:
-        if m[1]:
-            closers.setdefault(m[2].lower(), []).append(m.start())
+    """(text, in main element, has text besides links) of every line; stripped lines are empty.
+    Values of class, id and role strip no element that holds more than half of the text."""
+    tokens = tokens_of(page)
+    ends = ends_of(tokens)
+    sizes = plain_sizes(tokens, ends)
     lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     plain = False
-    skip, skip_depth, skip_closed = "", 0, True     # the stripped element that is open
+    until = -1                  # the token that ends the stripped element
     main_depth = link_depth = 0
-    at = 0
 
     def flush() -> None:
         nonlocal plain
@@ -70,35 +171,16 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         parts.clear()
         plain = False
 
-    def add(text: str) -> None:
-        nonlocal plain
-        if text and not skip:
+    for k, (text, tag, attrs, closing) in enumerate(tokens):
+        if k < until:
+            continue
+        if k > until and text:
             parts.append(text)
             plain = plain or (not link_depth and not text.isspace())
-
-    raw_until = -1
-    for m in tokens:
-        if m.start() < raw_until:
-            continue
-        add(page[at:m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        closing, tag, attrs = bool(m[1]), m[2].lower(), m[3] or ""
-        if tag in RAW and not closing:
-            if not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(page, at)
-                at = raw_until = end.end() if end else len(page)
-            continue
-        if skip and not skip_closed and tag in EDGES and not (closing and tag == skip):
-            skip = ""       # an unclosed stripped element ends at the next landmark
-        if skip:
-            if tag == skip:
-                skip_depth += -1 if closing else 1
-                if skip_depth == 0:
-                    skip = ""
-                    lines.append(("", main_depth > 0, False))
-            continue
+        if k == until:
+            lines.append(("", main_depth > 0, False))
+            if own:
+                continue
         if tag in BLOCK:
             flush()
         if closing:
@@ -107,20 +189,18 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             elif tag == "a":
                 link_depth = 0
             continue
-        if tag in EMPTY or attrs.rstrip().endswith("/"):
+        if k not in ends:
             continue
-        if is_apart(tag, attrs, main_depth > 0):
+        apart = tag in APART and not (tag == "header" and main_depth)    # an article's own heading
+        if apart or marked(tag, attrs, main_depth > 0) and 2 * (sizes[ends[k][0]] - sizes[k]) <= sizes[-1]:
             if tag not in BLOCK:
                 flush()
-            skip, skip_depth = tag, 1
-            closed = closers.get(tag, [])
-            skip_closed = bool(closed) and closed[-1] > m.start()
+            until, own = ends[k]
             lines.append(("", main_depth > 0, False))
         elif tag in MAIN:
             main_depth += 1
         elif tag == "a":
             link_depth = 1
-    add(page[at:])
     flush()
     return lines
 
