@@ -131,6 +131,20 @@ def test_html_marks(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_html_surge_and_dive():
+    menu, foot = "".join(f"<div>{w}</div>" for w in ("Home", "News", "Sports", "About us")), "<div>&copy; 2020 Example</div>"
+    body = ["Title", LONG, "Yes.", "No.", "Why?", "Because.", LONG, "The end."]
+    text = "\n".join(x.strip() for x in body)
+    flat = "".join(f"<p>{x}</p>" for x in body)
+    assert html_text.main_text(f"{menu}<div>{flat}</div>{foot}") == text
+    assert html_text.main_text(f"<ul><li>{'<li>'.join(body[2:6])}</ul>{flat}<div><p>We use small files.</div>{foot}") == text
+    items = "".join(f"<li>{x}</li>" for x in body[2:6])
+    assert html_text.main_text(f"<p>{LONG}</p><ul>{items}</ul><p>{LONG}</p>") == "\n".join(x.strip() for x in body[1:7])
+    assert html_text.main_text(f"<pre>{'x' * 50_000}</pre><div><div><p>{LONG}</div></div>") == "x" * 50_000 + "\n" + LONG.strip()
+    assert html_text.main_text(f"{menu}{foot}") == "Home\nNews\nSports\nAbout us\n© 2020 Example"
+    assert html_text.main_text(f"<main><p>a</p><div>{flat}</div>{menu}</main>{foot}") == f"a\n{text}\nHome\nNews\nSports\nAbout us"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a", 5)] * 2 + [(None, None, 5)], "page_id long, html string, text int")
     assert sorted(r["text"] for r in html_text.extract_text(pages).collect()) == ["", "a", "a"]

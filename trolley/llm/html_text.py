@@ -5,9 +5,10 @@ whose tag or a whole value of class, id or role marks them as navigation, header
 advert, form, notice, sharing or reader comments become empty lines, as do lines that are
 nothing but links. The lengths of
 the lines are summed over a sliding window. A block of text begins at a surge point, where
-the sum rises over a threshold, and ends at a dive point, where a whole window is empty; the
-text between is kept. Where the page has an ``article`` or ``main`` element, lines outside
-have no length."""
+the sum reaches a threshold taken from the page's own sums, and ends at a dive point, where
+it falls below half of that or a whole window is empty; the text between is kept. Where the
+page has an ``article`` or ``main`` element, that decides instead: lines outside have no
+length, and any line inside is a surge."""
 
 from __future__ import annotations
 
@@ -205,9 +206,23 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return lines
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 1) -> str:
-    """Kept lines joined by a line feed. A block needs a window sum of ``surge`` characters to
-    begin and ends where ``window`` lines in a row are empty."""
+def surge_of(size: np.ndarray, sums: np.ndarray, share: float, enough: int) -> float:
+    """``share`` of the window sum that half of the text's characters lie below, but at most
+    ``enough`` characters, so that a giant line does not outweigh ordinary paragraphs."""
+    order = np.argsort(sums, kind="stable")
+    total = np.cumsum(size[order])
+    if not len(total) or not total[-1]:
+        return 1.0
+    return max(1.0, min(float(enough), share * float(sums[order[np.searchsorted(total, total[-1] / 2)]])))
+
+
+def main_text(page: str | None, window: int = 3, share: float = 0.25, enough: int = 120) -> str:
+    """Kept lines joined by a line feed. Without an ``article`` or ``main`` element, a block
+    begins where the window sum of a line and those after reaches the page's surge (see
+    surge_of), and ends where that of a line and those before falls below half of it or
+    ``window`` lines in a row are empty. Lines between a dive and a next surge without such a
+    gap are kept: short paragraphs and lists inside a text. Inside ``article`` or ``main``
+    every line with text besides links is a surge."""
     if not page:
         return ""
     lines = lines_of(page)
@@ -215,14 +230,23 @@ def main_text(page: str | None, window: int = 3, surge: int = 1) -> str:
     size = np.array([len(text) if plain and (in_main or not within) else 0 for text, in_main, plain in lines])
     sums = np.convolve(size, np.ones(window, dtype=int))[:len(size)]     # of a line and those before
     ahead = np.convolve(size, np.ones(window, dtype=int))[window - 1:]   # of a line and those after
-    kept, inside = [], False
+    surge = 1.0 if within else surge_of(size, sums, share, enough)
+    kept: list[str] = []
+    low: list[str] | None = None        # lines since the dive; none before the first surge
+    inside = False
     for k, (text, in_main, _) in enumerate(lines):
-        if not inside and size[k] and ahead[k] >= surge:
-            inside = True
-        elif inside and sums[k] == 0:
+        if sums[k] == 0:
+            inside, low = False, None
+        elif size[k] and ahead[k] >= surge:
+            kept += low or []
+            inside, low = True, []
+        elif sums[k] < surge / 2:
             inside = False
-        if inside and text and (in_main or not within):
-            kept.append(text)
+        if text and (in_main or not within):
+            if inside:
+                kept.append(text)
+            elif low is not None:
+                low.append(text)
     return "\n".join(kept)
 
 
