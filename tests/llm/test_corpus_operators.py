@@ -173,6 +173,31 @@ def test_contamination_against_brute_force(spark):
     assert decontaminate.find_contamination(docs, bench.limit(0)).filter("size(hits) > 0").count() == 0
 
 
+def test_long_benchmark_items(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(4000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([65, 130, 250, 500, 1000, 1000, 3000] * 3)]
+    rows = []
+    for i, t in items:
+        for far in (0, 1, 2):    # exact, at the largest distance, beyond it
+            put, edits = t.split(), int(0.2 * len(t.split()))
+            at = rng.sample(range(len(put)), (0, edits, edits * 3 // 2)[far])
+            for p in sorted(at, reverse=True):
+                put[p:p + 1] = [[], ["new"], [put[p], "more"]][rng.randrange(3)]
+            rows.append((i, " ".join(rng.choices(words, k=50) + put + rng.choices(words, k=50)), far))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, far int")
+    for options in ({}, {"block_chars": 20_000}):
+        got = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), **options).collect()
+        for r in got:
+            hits = {h["item_id"]: h["distance"] for h in r["hits"]}
+            n = len(items[r["doc_id"]][1].split())
+            assert set(hits) == (set() if r["far"] == 2 else {r["doc_id"]}), (r["doc_id"], r["far"], n)
+            assert r["far"] or hits[r["doc_id"]] == 0
+    for n, edits, most in ((64, 12, 64), (65, 13, 64), (1000, 200, 64), (333, 66, 50)):
+        parts = decontaminate.segments_of(n, edits, most)
+        assert sum(p[1] for p in parts) == n and max(p[1] for p in parts) <= most and sum(p[2] + 1 for p in parts) > edits
+
+
 def test_decontaminate_query_finds_planted_items(spark):
     docs, bench = (pd.read_parquet(f"{MID}/{t}.parquet") for t in ("documents", "benchmark"))
     exact = {(d, i) for d, t in zip(docs.doc_id, docs.text) for i, x in zip(bench.item_id, bench.text) if x in t}

@@ -8,6 +8,8 @@ takes the words at a few random places of the copy as a key. A window that start
 of a document and an item with a common key are a candidate; candidates are verified with the
 exact edit distance. The number of repetitions is set by simulated edits of the items
 themselves, so that a passage at the largest allowed distance is found with the target recall.
+It grows with the length, so long items are cut into segments: one of them holds no more than
+its share of the edits, and a candidate of any is verified on the whole item.
 
 Windows with too few words or word pairs of the items are left out first. This loses nothing:
 within the distance, a passage has at most one foreign word and two foreign pairs per edit."""
@@ -29,16 +31,16 @@ HIT = "struct<item_id:bigint,n_words:int,distance:int,last_word:int>"
 
 @dataclass
 class LengthClass:
-    """Items with between ``shortest`` and 1.25 times as many words."""
+    """Segments with between ``shortest`` and 1.25 times as many words."""
     shortest: int
-    edits: int                  # most edits allowed for an item of the class
-    items: list[int]
-    known: np.ndarray           # per word number: is it in an item of the class
-    pairs: np.ndarray           # per pair number: is it in an item of the class
-    bits: np.ndarray            # (repetitions, steps, word numbers): does the walk move on
+    edits: int                  # most edits looked for in a segment of the class
+    items: list[int]            # its segments
+    known: np.ndarray           # per word number: is it in a segment of the class
+    pairs: np.ndarray           # per pair number: is it in a segment of the class
+    bits: np.ndarray            # (repetitions, steps, 2): factor and summand of the hash that gives the walk's bits
     places: np.ndarray          # (repetitions, samples): steps that make up the key
-    keys: list[np.ndarray]      # per repetition: sorted keys of the items
-    owners: list[np.ndarray]    # per repetition: the items of these keys
+    keys: list[np.ndarray]      # per repetition: sorted keys of the segments
+    owners: list[np.ndarray]    # per repetition: the segments of these keys
 
 
 @dataclass
@@ -47,7 +49,8 @@ class Index:
     words: list[list[int]]      # items as word numbers (1 and up; 0 is any other word)
     vocabulary: np.ndarray      # sorted word hashes
     pairs: np.ndarray           # sorted a * (words + 1) + b of adjacent word numbers; pair 0 is any other
-    own: list[np.ndarray]       # pair numbers of each item
+    segments: list[tuple[int, int, int, int]]   # item, first word, words and most edits of each segment
+    own: list[np.ndarray]       # pair numbers of each segment
     classes: list[LengthClass]
     rate: float
 
@@ -61,10 +64,20 @@ def walk(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: np.nda
         word = numbers[at]
         if step in sampled:
             key = key * np.uint64(size) + word.astype(np.uint64)
-        at = np.minimum(at + bits[step][word], ends)
+        move = (bits[step, 0] * word.astype(np.uint64) + bits[step, 1]) >> np.uint64(63)    # a hash of (repetition, step, word)
+        at = np.minimum(at + move.astype(np.int64), ends)
     return key
 
 
+def segments_of(n: int, edits: int, most_words: int) -> list[tuple[int, int, int]]:
+    """First word, words and most edits of the parts of about equal length, at most
+    ``most_words`` words each, into which an item of ``n`` words is cut. Of ``edits`` edits at
+    least one part gets no more than its share."""
+    parts = -(-n // most_words)
+    cuts = [n * j // parts for j in range(parts + 1)]
+    return [(a, b - a, edits // parts) for a, b in zip(cuts, cuts[1:])]
+
+
 def edited(item: list[int], edits: int, rng: np.random.Generator) -> list[int]:
     """The item after ``edits`` random deletions, insertions and changes of a word."""
     out = list(item)
@@ -89,28 +102,30 @@ def padded(seqs: list[list[int]], room: int) -> tuple[np.ndarray, np.ndarray, np
     return np.array(flat, dtype=np.int32), np.array(starts), np.array(ends)
 
 
-def build_index(items: list[tuple[int, str | None]], rate: float, recall: float, samples: int, most: int, min_words: int, seed: int) -> Index:
-    """Index of (item_id, text); items with fewer than ``min_words`` words are left out."""
+def build_index(items: list[tuple[int, str | None]], rate: float, recall: float, samples: int, most: int, min_words: int, seed: int, segment_words: int = 64) -> Index:
+    """Index of (item_id, text); items with fewer than ``min_words`` words are left out. Longer
+    items than ``segment_words`` are looked for by their segments."""
     chars = word_table()
     hashed = [(i, word_hashes(t, chars)) for i, t in items if i is not None and t]
     hashed = [(i, h) for i, h in hashed if len(h) >= min_words]
     vocabulary = np.unique(np.concatenate([h for _, h in hashed])) if hashed else np.zeros(0, np.uint64)
     words = [(np.searchsorted(vocabulary, h) + 1).tolist() for _, h in hashed]
     rng, size, classes = np.random.default_rng(seed), len(vocabulary) + 1, []
-    adjacent = [np.array(w[:-1], dtype=np.int64) * size + np.array(w[1:], dtype=np.int64) for w in words]
+    segments = [(k, *g) for k, w in enumerate(words) for g in segments_of(len(w), int(rate * len(w)), segment_words)]
+    parts = [words[k][a:a + n] for k, a, n, _ in segments]
+    adjacent = [np.array(w[:-1], dtype=np.int64) * size + np.array(w[1:], dtype=np.int64) for w in parts]
     pairs = np.unique(np.concatenate(adjacent)) if words else np.zeros(0, np.int64)
-    left = sorted(range(len(words)), key=lambda k: len(words[k]))
+    left = sorted(range(len(parts)), key=lambda k: len(parts[k]))
     while left:
-        shortest = len(words[left[0]])
-        mine = [k for k in left if len(words[k]) <= shortest * 1.25]
+        shortest = len(parts[left[0]])
+        mine = [k for k in left if len(parts[k]) <= shortest * 1.25]
         left = left[len(mine):]
-        longest = len(words[mine[-1]])
         steps = 2 * shortest
-        bits = rng.integers(0, 2, (most, steps, size), dtype=np.int8)
+        bits = rng.integers(0, 2 ** 64, (most, steps, 2), dtype=np.uint64)
         places = np.sort(np.array([rng.choice(steps, min(samples, steps), replace=False) for _ in range(most)]), axis=1)
         some = [mine[k] for k in rng.integers(len(mine), size=256)]
-        whole = padded([words[k] for k in some], steps)
-        changed = padded([edited(words[k], int(rate * len(words[k])), rng) for k in some], steps)
+        whole = padded([parts[k] for k in some], steps)
+        changed = padded([edited(parts[k], segments[k][3], rng) for k in some], steps)
         missed = np.ones(len(some), dtype=bool)
         used = 0
         while used < most and missed.mean() > 1 - recall:
@@ -120,17 +135,17 @@ def build_index(items: list[tuple[int, str | None]], rate: float, recall: float,
             raise ValueError(f"the recall needs more than {most} repetitions")
         known, known_pairs = np.zeros(size, dtype=bool), np.zeros(len(pairs) + 1, dtype=bool)
         for k in mine:
-            known[words[k]] = True
+            known[parts[k]] = True
             known_pairs[np.searchsorted(pairs, adjacent[k]) + 1] = True
         keys, owners = [], []
-        own = padded([words[k] for k in mine], steps)
+        own = padded([parts[k] for k in mine], steps)
         for t in range(used):
             key = walk(*own, bits[t], places[t], size)
             order = np.argsort(key, kind="stable")
             keys.append(key[order])
             owners.append(np.array(mine)[order])
-        classes.append(LengthClass(shortest, int(rate * longest), mine, known, known_pairs, bits[:used], places[:used], keys, owners))
-    return Index([i for i, _ in hashed], words, vocabulary, pairs, [np.searchsorted(pairs, a) + 1 for a in adjacent], classes, rate)
+        classes.append(LengthClass(shortest, max(segments[k][3] for k in mine), mine, known, known_pairs, bits[:used].copy(), places[:used], keys, owners))
+    return Index([i for i, _ in hashed], words, vocabulary, pairs, segments, [np.searchsorted(pairs, a) + 1 for a in adjacent], classes, rate)
 
 
 def closest(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -174,7 +189,7 @@ def contaminated(texts: list[np.ndarray], index: Index) -> list[list[tuple[int,
     pairs = np.zeros(len(flat), dtype=np.int32)
     if len(index.pairs):
         pairs[at] = np.where(index.pairs[where] == pair, where + 1, 0)
-    found: set[tuple[int, int, int]] = set()
+    found: set[tuple[int, int, int]] = set()    # text, item, place of its first word if nothing moved
     for c in index.classes:
         starts = np.arange(len(flat))
         for member, width, least in ((c.pairs[pairs], c.shortest - 1, c.shortest - 1 - 2 * c.edits),
@@ -195,22 +210,25 @@ def contaminated(texts: list[np.ndarray], index: Index) -> list[list[tuple[int,
                 owner = c.owners[t][lo[more] + rank]
                 for k in np.unique(owner).tolist():
                     cand.setdefault(k, []).append(starts[more[owner == k]])
-        for k, parts in cand.items():       # the same bound for the pairs of the item itself
-            at, n = np.unique(np.concatenate(parts)), len(index.words[k])
+        for k, parts in cand.items():       # the same bound for the pairs of the segment itself
+            item, offset, n, most = index.segments[k]
+            at = np.unique(np.concatenate(parts))
             own, times = np.unique(index.own[k], return_counts=True)
             local = np.zeros(len(index.pairs) + 1, dtype=np.int64)
             local[own] = np.arange(1, len(own) + 1)
             inside = local[pairs[np.minimum(at[:, None] + np.arange(n - 1), last[doc[at]][:, None])]]
             inside += np.arange(len(at))[:, None] * (len(own) + 1)
             counts = np.bincount(inside.ravel(), minlength=len(at) * (len(own) + 1)).reshape(len(at), -1)[:, 1:]
-            at = at[np.minimum(counts, times).sum(1) >= n - 1 - 2 * int(index.rate * n)]
-            found.update((int(d), k, int(x)) for d, x in zip(doc[at], at, strict=True))
+            at = at[np.minimum(counts, times).sum(1) >= n - 1 - 2 * most]
+            found.update((int(d), item, int(x) - offset) for d, x in zip(doc[at], at, strict=True))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     reach: tuple[int, int, int] = (-1, -1, -1)
+    cut = {k: most for k, offset, _, most in index.segments if offset}
     for d, k, start in sorted(found):       # overlapping windows are searched together
         item = index.words[k]
         edits = int(index.rate * len(item))
-        lo, hi = max(first[d], start - edits), min(last[d], start + len(item) + edits)
+        slack = edits if k not in cut else edits + cut[k]   # a segment may also be found that far from its place
+        lo, hi = max(first[d], start - slack), min(last[d], start + len(item) + slack)
         if reach[:2] == (d, k):
             if hi <= reach[2]:
                 continue
@@ -226,12 +244,12 @@ def contaminated(texts: list[np.ndarray], index: Index) -> list[list[tuple[int,
 
 def _hits(text: Column, spark: SparkSession, index: Index, words_at_once: int = 500_000) -> Column:
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast((index.ids, index.words, index.vocabulary, index.pairs, index.own, [vars(c) for c in index.classes], index.rate))
+    shared = spark.sparkContext.broadcast((index.ids, index.words, index.vocabulary, index.pairs, index.segments, index.own, [vars(c) for c in index.classes], index.rate))
 
     @F.pandas_udf(f"array<{HIT}>")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids, words, vocabulary, pairs, own, classes, rate = shared.value
-        index, chars = Index(ids, words, vocabulary, pairs, own, [LengthClass(**c) for c in classes], rate), word_table()
+        ids, words, vocabulary, pairs, segments, own, classes, rate = shared.value
+        index, chars = Index(ids, words, vocabulary, pairs, segments, own, [LengthClass(**c) for c in classes], rate), word_table()
         names = ("item_id", "n_words", "distance", "last_word")
         for texts in batches:
             out: list[list] = []
@@ -249,7 +267,8 @@ def _hits(text: Column, spark: SparkSession, index: Index, words_at_once: int =
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "hits", item_id: str = "item_id",
                        item_text: str = "text", rate: float = 0.2, recall: float = 0.99, samples: int = 2, most: int = 64,
-                       min_words: int = 5, block_items: int = 2_000, seed: int = 17) -> DataFrame:
+                       min_words: int = 5, block_items: int = 2_000, seed: int = 17,
+                       block_chars: int = 1_000_000) -> DataFrame:
     """``docs`` with ``into``: array of (item_id, n_words, distance, last_word) of the items of
     which the text holds a passage with at most ``rate`` times n_words word edits, by item_id
     order within each block of items; last_word is the number of words up to the passage's end.
@@ -258,11 +277,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     keys. Null, empty and wordless texts have no hits; items with null id or text and items
     with fewer than ``min_words`` words (common phrases) are not looked for. Repeated items
     are found each; repeated rows stay; an existing column ``into`` is replaced. The benchmark
-    is a query set: it is read and broadcast in blocks of about ``block_items`` items, each
-    block against all rows."""
+    is a query set: it is read and broadcast in blocks of about ``block_items`` items or
+    ``block_chars`` characters, whichever is less, each block against all rows. Long items are
+    found by the segment that holds least edits and verified whole."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, -(-items.count() // block_items))
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-chars // block_chars))
     arrays = []
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
