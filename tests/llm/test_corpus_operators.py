@@ -316,6 +316,15 @@ def test_dual_traversal():
         assert (cover_tree.threshold_links(x, None, 0.93) == want).all()
 
 
+def test_join_repeated_rows_with_near_copies(spark):
+    rng = random.Random(10)
+    base = [rng.choice([f"w{k}" for k in range(300)]) for _ in range(150)]
+    a, b = " ".join(base), " ".join(base[:-1] + ["other"])
+    check_join(spark, [1, 1, 2], [a, a, b])
+    other = " ".join(f"v{k}" for k in range(60))
+    check_join(spark, [1] * 300 + [2, 3, 1, 1, 4] + [5] * 40, [a] * 200 + [a.upper()] * 100 + [b, b, other, b, other + " x"] + [b + " end"] * 40, chunk_rows=2)
+
+
 # pipeline
 
 def test_pipeline_against_brute_force(spark):

@@ -194,14 +194,19 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall:
     dealt = (cand.join(layout, "grp").select("rep", "node", "n", "grp", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")))
 
     def reshingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chars = word_table()
+        chars, seen = word_table(), set()
         for b in batches:
+            b = b[[bytes(k) not in seen for k in b["node"]]]    # rows may repeat
             b["shingles"] = [shingle_set(t, chars, words).view(np.int64) for t in b["text"]]
-            b = b[[set_id(s.view(np.uint64)) == bytes(k) for s, k in zip(b["shingles"], b["node"], strict=True)]]  # ids may repeat
+            b = b[[set_id(s.view(np.uint64)) == bytes(k) for s, k in zip(b["shingles"], b["node"], strict=True)]]  # ids may repeat with other texts
+            b = b[~b["node"].map(bytes).duplicated()]
+            seen.update(map(bytes, b["node"]))
             yield b.drop(columns="text")
     sets = (rows.join(checked_broadcast(dealt, 250_000), F.col("doc_id") == F.col("rep"))
             .select("node", "n", "grp", "chunks", "chunk", "text")
-            .mapInPandas(reshingle, "node binary, n long, grp long, chunks int, chunk int, shingles array<long>"))
+            .mapInPandas(reshingle, "node binary, n long, grp long, chunks int, chunk int, shingles array<long>")
+            # one row per class: a row that repeats its representative was read by several tasks
+            .groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "grp", "chunks", "chunk", "shingles"))))
     units = (sets.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .select("node", "n", "shingles", "grp", F.least("chunk", "to").alias("a"), F.greatest("chunk", "to").alias("b"),
                      (F.col("chunk") <= F.col("to")).alias("left"), (F.col("chunk") == F.col("to")).alias("same")))
