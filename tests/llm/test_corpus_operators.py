@@ -367,3 +367,13 @@ def test_pipeline_edge_rows(spark):
             assert out.columns == docs.columns and out.count() <= frame.count()
     once = corpus_pipeline.near_duplicates(spark, docs, SF_SMALL).filter(f"doc_id = {base[0]['doc_id']}").count()
     assert once <= 1
+
+
+def test_join_rows_repeated_over_many_batches(spark):
+    """A text repeated over several Arrow batches of one task beside a near copy: each copy
+    counts, none stops the query."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text)] * 3500 + [(2, text + " extra"), (3, "other words that stand for themselves alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = ngram_join.near_texts(docs).groupBy("doc_id", "n_links", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(1, 3500, 1, True, 3500), (2, 3500, 1, False, 1), (3, 0, 3, True, 1)}

@@ -196,11 +196,14 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall:
     def reshingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chars, seen = word_table(), set()
         for b in batches:
-            b = b[[bytes(k) not in seen for k in b["node"]]]    # rows may repeat
-            b["shingles"] = [shingle_set(t, chars, words).view(np.int64) for t in b["text"]]
-            b = b[[set_id(s.view(np.uint64)) == bytes(k) for s, k in zip(b["shingles"], b["node"], strict=True)]]  # ids may repeat with other texts
-            b = b[~b["node"].map(bytes).duplicated()]
+            b = b.loc[np.array([bytes(k) not in seen for k in b["node"]], dtype=bool)]    # rows may repeat
+            b = b.assign(shingles=[shingle_set(t, chars, words).view(np.int64) for t in b["text"]])
+            mine = [set_id(s.view(np.uint64)) == bytes(k) for s, k in zip(b["shingles"], b["node"], strict=True)]  # ids may repeat with other texts
+            b = b.loc[np.array(mine, dtype=bool)]
+            b = b.loc[~b["node"].map(bytes).duplicated().to_numpy(dtype=bool)]
             seen.update(map(bytes, b["node"]))
+            if not len(b):
+                continue
             yield b.drop(columns="text")
     sets = (rows.join(checked_broadcast(dealt, 250_000), F.col("doc_id") == F.col("rep"))
             .select("node", "n", "grp", "chunks", "chunk", "text")
