@@ -45,3 +45,14 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
+
+
+def test_entry_without_a_library_of_the_operators():
+    """Where a library of the training-data operators is missing, all other queries remain."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['sentencepiece'] = None; import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == [str(len(registry.QUERIES)), str(len(registry.SQL))]
