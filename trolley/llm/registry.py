@@ -1,6 +1,7 @@
 """Registered queries of the subpackage and the SQL of those that SQL can express."""
 
-from . import cover_tree, decontaminate, html_text, langid, mixing, ngram_join, pii, preferences, tokens, url_rules
+from . import cover_tree, decontaminate, html_text, langid, merkle, mixing, ngram_join, pii, preferences, token_align, \
+    tokens, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -13,6 +14,9 @@ QUERIES = {
     "op8_preferences": preferences.op8_preferences,
     "op9_html_text": html_text.op9_html_text,
     "op10_pii": pii.op10_pii,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_token_alignment": token_align.op12_token_alignment,
 }
 
-SQL = {"op6_embedding_dedup": cover_tree.SQL, "op7_url_filter": url_rules.SQL, "op8_preferences": preferences.SQL}
+SQL = {"op6_embedding_dedup": cover_tree.SQL, "op7_url_filter": url_rules.SQL, "op8_preferences": preferences.SQL,
+       "op11_merkle": merkle.SQL}
