@@ -170,7 +170,7 @@ WITH RECURSIVE crc_table AS (
   SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY n) AS v
   FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n) s),
 d AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
-        lambda c, b: xor(c >> 8, (SELECT v FROM crc_table)[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 7 = 0 AS hit FROM documents),
+        lambda c, b: xor(c >> 8, v[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 7 = 0 AS hit FROM documents, crc_table),
 leaves AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("(n_chars + CAST(hit AS INTEGER))")} AS changed,
              dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d),
 placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
