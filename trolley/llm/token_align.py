@@ -29,9 +29,12 @@ from .common import bounded_batches, others, stage, table
 
 MARK = "▁"
 PAIR_BITS = 20          # a pair is one long: id of A times 2^20 plus id of B
-REMEMBERED = 300_000    # chunks whose tokens a task keeps; it starts anew beyond
-BLOCK_BYTES = 4_000_000     # text that is merged at once (a longer text is merged alone)
-CUT = re.compile(r"(?<=\S)(?= )")
+REMEMBERED = 250_000    # words whose tokens a task keeps; it starts anew beyond
+TOGETHER = 30_000       # characters of new words that are encoded at once
+BLOCK_CHARS = 500_000     # text that is merged at once (a longer text is merged alone)
+CUT = re.compile(r"(?<=\S)(?= )")     # before a space that follows a character
+# a space after white space of any kind
+NO_CUTS = [chr(c) + " " for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
 PROBES = ("a", " a  b ", "a\n\n b\n", "x\n  y \t z", "1 2,3 's don't  !", "né ü 😀  　 字字 字")
 NEW = [("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("groups", "string"),
        ("pairs", "array<long>"), ("times", "array<long>")]
@@ -62,8 +65,8 @@ class ByteLevel:
         self.cuts = (conf.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                      and not pre.get("add_prefix_space") and all(t["special"] for t in conf.get("added_tokens") or []))
 
-    def encode(self, spaced: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast(spaced, add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.lib.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
 
 
 class Pieces:
@@ -78,53 +81,89 @@ class Pieces:
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", t) for i, t in enumerate(names)
                             if not (self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_byte(i)))
 
-    def encode(self, spaced: list[str]) -> list[list[int]]:
-        mark = [self.lib.piece_to_id(MARK)]    # the last space of a text: alone it would be an empty text
-        return [ids if t != " " else mark for t, ids in
-                zip(spaced, self.lib.encode([t[1:] for t in spaced], num_threads=1, add_bos=False, add_eos=False), strict=True)]
+    def encode(self, text: str) -> list[int]:
+        return self.lib.encode(text, add_bos=False, add_eos=False) if text else [self.lib.piece_to_id(MARK)]
+
+
+def words_of(text: str) -> list[str]:
+    """The text in parts that were each preceded by a space after a character (the first by the
+    space that is put before the text); a run of spaces stays with the part behind it."""
+    spaced = " " + text
+    if any(c in spaced for c in NO_CUTS):
+        return [c[1:] for c in CUT.split(spaced)]
+    return text.split(" ")
 
 
 class Encoder:
-    """Ids of whole texts by either library. Where neither lets a token cross from a character
-    into a following space, a text is the sum of its chunks, and each chunk is encoded once."""
+    """Ids of whole texts by either library, as 32-bit numbers in bytes. Where neither lets a
+    token cross from a character into a following space, a text is the sum of its words with
+    the space before each: new words are encoded many at once and remembered."""
 
     def __init__(self, a: bytes, b: bytes):
         self.sides = (ByteLevel(a), Pieces(b))
         self.length = [np.array([len(t) for t in s.tokens], dtype=np.int64) for s in self.sides]
         if max(map(len, self.length)) >= 1 << PAIR_BITS:
             raise ValueError(f"vocabularies of 2^{PAIR_BITS} ids and more are not supported")
-        self.known: list[dict[str, tuple]] = [{}, {}]
-        self.wrong: set[str] = set()    # chunks whose tokens do not spell them
+        self.known: list[dict[str, bytes]] = [{}, {}]
+        self.wrong: set[str] = set()    # words whose tokens do not spell them
         self.cuts = all(s.cuts for s in self.sides) and all(
-            s.encode([" " + p])[0] == list(chain.from_iterable(s.encode(CUT.split(" " + p)))) for s in self.sides for p in PROBES)
+            s.encode(p) == list(chain.from_iterable(s.encode(w) for w in words_of(p))) for s in self.sides for p in PROBES)
 
-    def spells(self, side: int, ids, spaced: str) -> bool:
-        return b"".join(map(self.sides[side].tokens.__getitem__, ids)) == spaced.encode()
+    def spells(self, side: int, ids, text: str) -> bool:
+        return b"".join(map(self.sides[side].tokens.__getitem__, ids)) == b" " + text.encode()
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known[0]]
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known[0]]
         if new and len(self.known[0]) + len(new) > REMEMBERED:
-            self.known, self.wrong, new = [{}, {}], set(), list(chunks)
-        for side, known in enumerate(self.known):
-            for c, ids in zip(new, self.sides[side].encode(new) if new else [], strict=True):
-                known[c] = tuple(ids)
-                if not self.spells(side, ids, c):
-                    self.wrong.add(c)
-
-    def encode(self, texts: list[str]) -> list[tuple | None]:
-        """(ids of A, ids of B) per non-empty text; None where either does not spell the text."""
-        spaced = [" " + t for t in texts]
+            self.known, self.wrong, new = [{}, {}], set(), list(words)
+        some, held = [], 0
+        for w in new:
+            if not w or w[-1].isspace():    # the last word of a text: what follows would join it
+                self.learn_alone([w])
+                continue
+            some.append(w)
+            held += len(w) + 1
+            if held > TOGETHER:
+                self.learn_together(some)
+                some, held = [], 0
+        if some:
+            self.learn_together(some)
+
+    def learn_alone(self, words: list[str]) -> None:
+        for w in words:
+            for side, s in enumerate(self.sides):
+                ids = s.encode(w)
+                self.known[side][w] = np.array(ids, dtype=np.int32).tobytes()
+                if not self.spells(side, ids, w):
+                    self.wrong.add(w)
+
+    def learn_together(self, words: list[str]) -> None:
+        text = " ".join(words)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        for side, s in enumerate(self.sides):
+            ids = s.encode(text)
+            flat = np.array(ids, dtype=np.int32)
+            stops = np.cumsum(self.length[side][flat])
+            at = np.minimum(np.searchsorted(stops, ends), len(stops) - 1)
+            if not self.spells(side, ids, text) or (stops[at] != ends).any():
+                return self.learn_alone(words)
+            raw, cut = flat.tobytes(), (4 * np.append(0, at + 1)).tolist()
+            self.known[side].update((w, raw[x:y]) for w, x, y in zip(words, cut[:-1], cut[1:], strict=True))
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of A and B per non-empty text; None where either does not spell the text."""
         if not self.cuts:
-            both = zip(*(s.encode(spaced) for s in self.sides), strict=True)
-            return [ids if all(self.spells(k, ids[k], t) for k in (0, 1)) else None for ids, t in zip(both, spaced, strict=True)]
-        parts = [CUT.split(t) for t in spaced]
+            both = [[s.encode(t) for s in self.sides] for t in texts]
+            return [tuple(np.array(i, dtype=np.int32).tobytes() for i in ids) if all(self.spells(k, ids[k], t) for k in (0, 1)) else None
+                    for ids, t in zip(both, texts, strict=True)]
+        parts = [words_of(t) for t in texts]
         self.learn(set(chain.from_iterable(parts)))
         a, b = (k.__getitem__ for k in self.known)
         out = []
-        for p, t in zip(parts, spaced, strict=True):
-            ids = list(chain.from_iterable(map(a, p))), list(chain.from_iterable(map(b, p)))
-            fine = self.wrong.isdisjoint(p) if self.wrong else True
-            out.append(ids if fine or all(self.spells(k, ids[k], t) for k in (0, 1)) else None)
+        for p, t in zip(parts, texts, strict=True):
+            ids = b"".join(map(a, p)), b"".join(map(b, p))
+            fine = not self.wrong or self.wrong.isdisjoint(p)
+            out.append(ids if fine or all(self.spells(k, np.frombuffer(ids[k], np.int32).tolist(), t) for k in (0, 1)) else None)
         return out
 
 
@@ -175,22 +214,23 @@ def digit_table(size: int) -> np.ndarray:
     return digits
 
 
-def spelled_groups(side: list, ends: list, cuts: np.ndarray, lasts: np.ndarray, digits: list) -> tuple[bytes, np.ndarray]:
+def spelled_groups(side: list, lasts_of: list, lasts: np.ndarray, digits: list) -> tuple[bytes, np.ndarray]:
     """All groups as text (``a1,a2|b1;a3|b2,b3``), texts behind each other, and the number of
-    bytes of each text. ``cuts``: ends of the groups, ``lasts``: ends of the texts."""
-    group = [np.searchsorted(cuts, e) for e in ends]
-    below = [np.searchsorted(g, np.arange(len(cuts) + 1)) for g in group]   # tokens of earlier groups
-    places = [np.arange(len(side[0])) + below[1][group[0]], np.arange(len(side[1])) + below[0][group[1] + 1]]
+    bytes of each text. ``lasts_of``: per side, the last token of each group; ``lasts``: the
+    last group of each text."""
+    sizes = [np.diff(np.append(-1, x)) for x in lasts_of]       # tokens of each group
+    before = [np.append(0, x + 1) for x in lasts_of]            # tokens before each group
+    places = [np.arange(len(side[0])) + np.repeat(before[1][:-1], sizes[0]), np.arange(len(side[1])) + np.repeat(before[0][1:], sizes[1])]
     width = max(d.shape[1] for d in digits)
     out = np.zeros((len(side[0]) + len(side[1]), width + 1), dtype=np.uint8)
-    for ids, place, d, g, mark in zip(side, places, digits, group, b"|;", strict=True):
+    out[:, width] = ord(",")
+    for ids, place, d, last, mark in zip(side, places, digits, lasts_of, b"|;", strict=True):
         out[place, width - d.shape[1]:width] = d[ids]
-        last = np.append(g[1:] != g[:-1], True)
-        out[place, width] = np.where(last, mark, ord(","))
-    text_last = below[0][np.searchsorted(cuts, lasts) + 1] + below[1][np.searchsorted(cuts, lasts) + 1] - 1
-    out[text_last, width] = 0
+        out[place[last], width] = mark
+    ends = places[1][lasts_of[1][lasts]]
+    out[ends, width] = 0
     shown = out != 0
-    total = np.cumsum(shown.sum(1))[text_last]
+    total = np.cumsum(shown.sum(1))[ends]
     return out[shown].tobytes(), np.diff(np.append(0, total))
 
 
@@ -203,15 +243,14 @@ def align_block(texts: list[str | None], encoder: Encoder, digits: list, piece:
     pairs = times = np.zeros(0, np.int64)
     if coded:
         rows = np.array([k for k, _ in coded])
-        side = [np.fromiter(chain.from_iterable(ids[s] for _, ids in coded), dtype=np.int64) for s in (0, 1)]
-        counts = [np.array([len(ids[s]) for _, ids in coded]) for s in (0, 1)]
-        ends = [np.cumsum(encoder.length[s][side[s]]) for s in (0, 1)]
-        lasts = ends[0][np.cumsum(counts[0]) - 1]
-        end, i, j, shared = overlaps(ends[0], ends[1], piece)
-        text = np.searchsorted(lasts, end)
+        side = [np.frombuffer(b"".join(ids[s] for _, ids in coded), dtype=np.int32).astype(np.int64) for s in (0, 1)]
+        counts = [np.array([len(ids[s]) // 4 for _, ids in coded]) for s in (0, 1)]
+        end, i, j, shared = overlaps(*(np.cumsum(encoder.length[s][side[s]]) for s in (0, 1)), piece)
+        text = np.repeat(np.arange(len(rows)), counts[0])[i]
+        lasts = np.flatnonzero(np.append(np.diff(text[shared]) > 0, True))
         n[0, rows], n[1, rows] = counts
         n[2, rows], n[3, rows] = np.bincount(text[shared], minlength=len(rows)), np.bincount(text, minlength=len(rows))
-        spelled, size = spelled_groups(side, ends, end[shared], lasts, digits)
+        spelled, size = spelled_groups(side, [i[shared], j[shared]], lasts, digits)
         at = np.append(0, np.cumsum(size))
         for k, row in enumerate(rows.tolist()):
             groups[row] = spelled[at[k]:at[k + 1]].decode()
@@ -251,7 +290,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", keep: l
             texts, start, held = batch.column(batch.num_columns - 1).to_pylist(), 0, 0
             for k, t in enumerate(texts):
                 held += len(t or "")
-                if held < BLOCK_BYTES and k + 1 < len(texts):
+                if held < BLOCK_CHARS and k + 1 < len(texts):
                     continue
                 columns = align_block(texts[start:k + 1], encoder, digits, piece)
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, k + 1 - start).columns[:-1], *columns.values()], names=[*keep, *names])
