@@ -29,8 +29,8 @@ from .common import bounded_batches, others, stage, table
 
 MARK = "▁"
 PAIR_BITS = 20          # a pair is one long: id of A times 2^20 plus id of B
-REMEMBERED = 250_000    # words whose tokens a task keeps; it starts anew beyond
-TOGETHER = 30_000       # characters of new words that are encoded at once
+REMEMBERED = 150_000    # words whose tokens a task keeps, and as many that it used before these
+TOGETHER = 4_000        # new words that are encoded at once
 BLOCK_CHARS = 500_000     # text that is merged at once (a longer text is merged alone)
 CUT = re.compile(r"(?<=\S)(?= )")     # before a space that follows a character
 # a space after white space of any kind
@@ -105,6 +105,7 @@ class Encoder:
         if max(map(len, self.length)) >= 1 << PAIR_BITS:
             raise ValueError(f"vocabularies of 2^{PAIR_BITS} ids and more are not supported")
         self.known: list[dict[str, bytes]] = [{}, {}]
+        self.before: list[dict[str, bytes]] = [{}, {}]
         self.wrong: set[str] = set()    # words whose tokens do not spell them
         self.cuts = all(s.cuts for s in self.sides) and all(
             s.encode(p) == list(chain.from_iterable(s.encode(w) for w in words_of(p))) for s in self.sides for p in PROBES)
@@ -112,22 +113,20 @@ class Encoder:
     def spells(self, side: int, ids, text: str) -> bool:
         return b"".join(map(self.sides[side].tokens.__getitem__, ids)) == b" " + text.encode()
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str], last: set[str]) -> None:
+        """Tokens of ``words`` into ``known``. Words of ``last`` end in white space, which what
+        follows would join, so each is encoded alone."""
         new = [w for w in words if w not in self.known[0]]
         if new and len(self.known[0]) + len(new) > REMEMBERED:
-            self.known, self.wrong, new = [{}, {}], set(), list(words)
-        some, held = [], 0
-        for w in new:
-            if not w or w[-1].isspace():    # the last word of a text: what follows would join it
-                self.learn_alone([w])
-                continue
-            some.append(w)
-            held += len(w) + 1
-            if held > TOGETHER:
-                self.learn_together(some)
-                some, held = [], 0
-        if some:
-            self.learn_together(some)
+            self.before, self.known, new = self.known, [{}, {}], list(words)
+        used = [w for w in new if w in self.before[0]]
+        for known, before in zip(self.known, self.before, strict=True):
+            known.update((w, before[w]) for w in used)
+        new = [w for w in new if w not in self.known[0]]
+        self.learn_alone([w for w in new if w in last])
+        new = [w for w in new if w not in last] if last else new
+        for k in range(0, len(new), TOGETHER):
+            self.learn_together(new[k:k + TOGETHER])
 
     def learn_alone(self, words: list[str]) -> None:
         for w in words:
@@ -139,7 +138,7 @@ class Encoder:
 
     def learn_together(self, words: list[str]) -> None:
         text = " ".join(words)
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), dtype=np.int64) + 1)
         for side, s in enumerate(self.sides):
             ids = s.encode(text)
             flat = np.array(ids, dtype=np.int32)
@@ -148,7 +147,7 @@ class Encoder:
             if not self.spells(side, ids, text) or (stops[at] != ends).any():
                 return self.learn_alone(words)
             raw, cut = flat.tobytes(), (4 * np.append(0, at + 1)).tolist()
-            self.known[side].update((w, raw[x:y]) for w, x, y in zip(words, cut[:-1], cut[1:], strict=True))
+            self.known[side].update(zip(words, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of A and B per non-empty text; None where either does not spell the text."""
@@ -157,7 +156,7 @@ class Encoder:
             return [tuple(np.array(i, dtype=np.int32).tobytes() for i in ids) if all(self.spells(k, ids[k], t) for k in (0, 1)) else None
                     for ids, t in zip(both, texts, strict=True)]
         parts = [words_of(t) for t in texts]
-        self.learn(set(chain.from_iterable(parts)))
+        self.learn(set(chain.from_iterable(parts)), {p[-1] for p in parts if not p[-1] or p[-1][-1].isspace()})
         a, b = (k.__getitem__ for k in self.known)
         out = []
         for p, t in zip(parts, texts, strict=True):
@@ -254,11 +253,11 @@ def align_block(texts: list[str | None], encoder: Encoder, digits: list, piece:
         at = np.append(0, np.cumsum(size))
         for k, row in enumerate(rows.tolist()):
             groups[row] = spelled[at[k]:at[k + 1]].decode()
-        pair = side[0][i] << PAIR_BITS | side[1][j]
-        order = np.lexsort((pair, text))
-        pair, text = pair[order], text[order]
-        first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])))
-        pairs, times = pair[first], np.diff(np.append(first, len(pair)))
+        # one number per overlap, the text in front: a block has fewer than 2^23 texts
+        key = np.sort(text << 2 * PAIR_BITS | side[0][i] << PAIR_BITS | side[1][j])
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        pairs, times = key[first] & (1 << 2 * PAIR_BITS) - 1, np.diff(np.append(first, len(key)))
+        text = key >> 2 * PAIR_BITS
         sizes[rows] = np.bincount(text[first], minlength=len(rows))
     offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
     lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for v in (pairs, times)]
