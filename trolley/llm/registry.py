@@ -1,7 +1,7 @@
 """Registered queries of the subpackage and the SQL of those that SQL can express."""
 
-from . import cover_tree, decontaminate, html_text, langid, merkle, mixing, ngram_join, pii, preferences, token_align, \
-    tokens, url_rules
+from . import cover_tree, decontaminate, html_text, langid, merkle, mixing, ngram_join, pii, preferences, substring_dedup, \
+    token_align, tokens, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,7 +16,8 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_merkle": merkle.op11_merkle,
     "op12_token_alignment": token_align.op12_token_alignment,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 
 SQL = {"op6_embedding_dedup": cover_tree.SQL, "op7_url_filter": url_rules.SQL, "op8_preferences": preferences.SQL,
-       "op11_merkle": merkle.SQL}
+       "op11_merkle": merkle.SQL, "op13_substring_dedup": substring_dedup.SQL}
