@@ -34,7 +34,7 @@ from trolley.session import scratch_path
 
 from .common import bounded_batches, others, stage, table
 
-PART_BYTES = 16_000_000     # text of one part (a longer text is a part of its own)
+PART_BYTES = 12_000_000     # text of one part (a longer text is a part of its own)
 BLOCK_BYTES = 16_000_000    # text whose windows meet in one block of the merged sketch
 GRAM = 7
 NULL_ID = 2 ** 63 - 1       # a null id is larger than any
@@ -63,8 +63,9 @@ class Part:
         self.digests = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in number), dtype=np.uint64).reshape(-1, 2)
         self.first = np.cumsum(self.lengths) - self.lengths
         windows = np.maximum(self.lengths - width + 1, 0)
-        self.doc = np.repeat(np.arange(len(texts)), windows)
-        self.starts = np.arange(len(self.doc)) + np.repeat(self.first - (np.cumsum(windows) - windows), windows)
+        small = np.int32 if len(self.ids) < 2 ** 31 else np.int64
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), windows)
+        self.starts = np.arange(len(self.doc), dtype=small) + np.repeat((self.first - (np.cumsum(windows) - windows)).astype(small), windows)
 
     def signs(self) -> np.ndarray:
         """Per window, the least hash of its grams."""
@@ -204,7 +205,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", tex
     name = f"parts_{uuid.uuid4().hex}"
     buckets = min(100_000, max(spark.sparkContext.defaultParallelism, -(-2 * size // part_bytes)))
     (given.mapInArrow(deal, f"_part long, {fields}").write.bucketBy(buckets, "_part").sortBy("_part")
-     .option("path", scratch_path(spark, name)).saveAsTable(name))
+     .option("compression", "zstd").option("path", scratch_path(spark, name)).saveAsTable(name))
     parts = spark.table(name)
 
     def sketch(docs: pa.Table) -> pa.Table:
@@ -216,28 +217,24 @@ def remove_repeats(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", tex
 
     def exact(docs: pa.Table, info: pa.Table) -> pa.Table:
         if not info.num_rows or not docs.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("part", "a", "b", "low")})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("part", "k", "a", "b", "low")})
         part = Part(docs["_text"].to_pylist(), width)
         digests, low, _ = grouped(part, repeated(part, info, blocks), ids_of(docs))
-        return pa.table({"part": np.full(len(low), docs["_part"][0].as_py()), "a": digests[:, 0], "b": digests[:, 1], "low": low})
+        return pa.table({"part": np.full(len(low), docs["_part"][0].as_py()), "k": np.arange(len(low)), "a": digests[:, 0], "b": digests[:, 1], "low": low})
     groups = (parts.select("_part", "_id", "_text").groupBy("_part").cogroup(hits.groupBy("part"))
-              .applyInArrow(exact, "part long, a long, b long, low long"))
+              .applyInArrow(exact, "part long, k long, a long, b long, low long"))
     # a part sends a window once, so a group has at most as many rows as there are parts
     least = F.min("low").over(Window.partitionBy("a", "b"))
-    lows = groups.withColumn("least", least).filter("least < low").select("part", "a", "b", "least")
+    lows = groups.withColumn("least", least).filter("least < low").select("part", "k", "least")
 
     def cut(docs: pa.Table, info: pa.Table) -> pa.Table:
         texts = docs["_text"].to_pylist()
         part, ids = Part(texts, width), ids_of(docs)
         windows = repeated(part, info, blocks)
-        digests, low, which = grouped(part, windows, ids)
+        _, low, which = grouped(part, windows, ids)
         smaller = info.filter(pc.is_valid(info["least"])) if info.num_rows else info
-        if smaller.num_rows:    # windows that a smaller id of another part holds
-            a, b = smaller["a"].to_numpy(), smaller["b"].to_numpy()
-            at = np.searchsorted(digests[:, 0], a)
-            while (other := digests[at, 1] != b).any():     # same first half
-                at += other
-            low[at] = smaller["least"].to_numpy()
+        if smaller.num_rows:    # windows that a smaller id of another part holds, by their place among the digests
+            low[smaller["k"].to_numpy()] = smaller["least"].to_numpy()
         gone = part.starts[windows[low[which] < ids[part.doc[windows]]]]
         edge = np.zeros(len(part.ids) + 1, np.int64)
         np.add.at(edge, gone, 1)
@@ -251,8 +248,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", tex
         return pa.table([*(docs[f"{c}"] for c in names), pa.array(part.lengths), pa.array(removed), pa.array(kept, pa.string())],
                         names=[*names, "n_words", "n_removed", "kept"])
     null = lambda kind: F.lit(None).cast(kind)
-    info = hits.select("part", "block", "hashes", *(null("long").alias(c) for c in ("a", "b", "least"))).unionByName(
-        lows.select("part", null("long").alias("block"), null("binary").alias("hashes"), "a", "b", "least"))
+    info = hits.select("part", "block", "hashes", *(null("long").alias(c) for c in ("k", "least"))).unionByName(
+        lows.select("part", null("long").alias("block"), null("binary").alias("hashes"), "k", "least"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
     return (parts.groupBy("_part").cogroup(info.groupBy("part"))
             .applyInArrow(cut, ", ".join([*([schema] if schema else []), "n_words long, n_removed long, kept string"])))
