@@ -6,6 +6,7 @@ from trolley import schemas as S
 from trolley.plans import etl as ETL
 from trolley.sources import files as FS
 from trolley.sources import registry_table as RG
+from trolley.sources.versions import Version
 
 LINES_A = ["2021-03-04|102|811|20 3 1", "2021-03-04|102|902|6 29 44 25 36", "2021-03-04|102|1|",
            "2021-03-04|102|2|   ", "2021-03-04|102|7|7 7 8"]
@@ -87,7 +88,7 @@ def test_incremental_equals_full_and_rerun_is_noop(spark, tmpdir_path):
     tables = FS.load_tables(spark, out_inc)
     counts = {r.table: r.rows for r in FS.table_counts(tables).collect()}
     assert counts["transactions_flat"] == 13 and counts["customer_features"] == 4  # 811, 902, 7, 9 (1 and 2 only had empty baskets)
-    assert FS.load_optional(spark, tmpdir_path + "/nothing", tables["association_rules"].schema).count() == 0
+    assert FS.load_optional(spark, out_full, "nothing", tables["association_rules"].schema).count() == 0
 
 
 def test_merge_policies(spark):
@@ -130,7 +131,7 @@ def test_every_file_is_registered_and_rejects_are_kept(spark, tmpdir_path):
     assert ETL.run_etl(spark, land, cat_path, pc_path, out) == {}
     reg = {r.file_name: (r.rows, r.rejected) for r in RG.load_registry(spark, out).collect()}
     assert reg == {"a.csv": (13, 4), "b.csv": (11, 0), "c.csv": (0, 0), "d.csv": (0, 3)}
-    rejects = FS.load_optional(spark, out + "/rejects", S.REJECTS).collect()
+    rejects = FS.load_optional(spark, out, "rejects", S.REJECTS).collect()
     assert sorted((r.file_name, r.line, r.reason) for r in rejects) == sorted(
         [("a.csv", x, y) for x, y in zip(BAD, ["columns", "columns", "key", "product"])] + [("d.csv", x, y) for x, y in zip(BAD, ["columns", "columns", "key"])])
     assert FS.load_table(spark, out, "transactions_flat").count() == 12  # the bad line's usable products too
@@ -142,7 +143,7 @@ def test_bad_lines_can_fail_the_run(spark, tmpdir_path):
     write(land, "a.csv", LINES_A + BAD[:1])
     with pytest.raises(ValueError, match="a.csv"):
         ETL.run_etl(spark, land, cat_path, pc_path, out, on_bad="fail")
-    assert not FS.table_exists(spark, out + "/transactions_flat") and RG.load_registry(spark, out).count() == 0
+    assert not FS.has_table(spark, out, "transactions_flat") and RG.load_registry(spark, out).count() == 0
 
 
 def test_rerun_after_a_crash_and_force(spark, tmpdir_path):
@@ -151,7 +152,9 @@ def test_rerun_after_a_crash_and_force(spark, tmpdir_path):
     write(land, "a.csv", LINES_A)
     write(land, "b.csv", LINES_B)
     lookup = ETL.product_lookup(FS.read_categories(spark, cat_path), FS.read_product_category(spark, pc_path))
-    ETL.append_batch(spark, out, ETL.new_items(FS.read_transactions(spark, land), lookup))  # and then the job dies
+    died = Version(spark, out)
+    ETL.append_batch(died, ETL.new_items(FS.read_transactions(spark, land), lookup))  # and then the job dies
+    assert not FS.has_table(spark, out, "transactions_flat")
     ETL.run_etl(spark, land, cat_path, pc_path, out, refresh_rules=False)
     assert FS.load_table(spark, out, "daily_summary").count() == 3 and FS.load_table(spark, out, "transactions_flat").count() == 13
     other = tmpdir_path + "/other"
@@ -166,7 +169,7 @@ def test_anti_join_reads_only_the_months_of_the_batch(spark, tmpdir_path):
     land, out = tmpdir_path + "/landing", tmpdir_path + "/out"
     write(land, "a.csv", LINES_A + LINES_B)
     ETL.run_etl(spark, land, cat_path, pc_path, out, refresh_rules=False)
-    month = FS.load_flat_months(spark, out, ["2020-12"])
-    assert month.count() == 1 and "periodo" in month._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+    month = Version(spark, out).load("transactions_flat", S.TRANSACTIONS_FLAT, ["2020-12"])
+    assert month.count() == 1 and all("periodo=2020-12" in f for f in month.inputFiles())
     batch = FS.load_table(spark, out, "transactions_flat")
     assert ETL.unseen_rows(batch, batch.filter("id_cliente <> 9")).count() == 1

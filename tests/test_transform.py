@@ -73,7 +73,7 @@ def test_clustered_write_keeps_rows_and_splits_dates(spark, tmpdir_path):
     from trolley.sources import files as FS
     from trolley.sources.testdata import retail
     flat = retail(spark, "/root/testdata/sf0.001").flat
-    FS.append_flat(flat, tmpdir_path, "overwrite")
+    FS.store_flat(flat, tmpdir_path)
     back = spark.read.parquet(f"{tmpdir_path}/transactions_flat")
     assert back.count() == flat.count()
     assert back.select(*flat.columns).exceptAll(flat).count() == 0

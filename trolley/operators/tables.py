@@ -17,7 +17,7 @@ from trolley.session import cut_lineage
 _STORE_SPAN = 10 ** 10
 
 
-def _by_store(per_store: DataFrame) -> DataFrame:
+def main_of_counts(per_store: DataFrame) -> DataFrame:
     """Main store from (id_cliente, id_tienda, cnt).
 
     The order (items desc, store asc) is one exact decimal key, items * 10^10 - store:
@@ -31,7 +31,7 @@ def _by_store(per_store: DataFrame) -> DataFrame:
 
 def main_store(flat: DataFrame) -> DataFrame:
     """Store with most items per customer; ties go to the smallest store id."""
-    return _by_store(flat.groupBy("id_cliente", "id_tienda").agg(F.count(F.lit(1)).alias("cnt")))
+    return main_of_counts(flat.groupBy("id_cliente", "id_tienda").agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def customer_features(flat: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def customer_features(flat: DataFrame) -> DataFrame:
     days = visits.groupBy("id_cliente").agg(F.countDistinct("fecha").alias("frecuencia"), F.sum("n").alias("volumen_total"))
     kinds = bought.groupBy("id_cliente").agg(F.countDistinct("id_producto").alias("n_productos_distintos"),
                                              F.countDistinct("nombre_categoria").alias("n_categorias_distintas"))
-    store = _by_store(visits.groupBy("id_cliente", "id_tienda").agg(F.sum("n").alias("cnt")))
+    store = main_of_counts(visits.groupBy("id_cliente", "id_tienda").agg(F.sum("n").alias("cnt")))
     return (days.join(kinds, "id_cliente").join(store, "id_cliente")
             .select("id_cliente", "frecuencia", "n_productos_distintos", "volumen_total",
                     "n_categorias_distintas", "id_tienda"))
@@ -63,6 +63,12 @@ def daily_summary(flat: DataFrame, ordered: bool = True) -> DataFrame:
     return df.orderBy("fecha", "id_tienda") if ordered else df
 
 
+def with_share(counts: DataFrame, total) -> DataFrame:
+    """Product counts with the % of ``total`` customers (2 dp)."""
+    return counts.select("id_producto", "nombre_categoria", "frecuencia_absoluta", "n_clientes",
+                         round_even(F.col("n_clientes").cast("double") / total * 100.0, 2).alias("pct_clientes"))
+
+
 def product_freq(flat: DataFrame, ordered: bool = False, total_customers=None) -> DataFrame:
     """Per product: items, distinct customers, % of the customers of ``flat`` (2 dp).
 
@@ -83,9 +89,7 @@ def product_freq(flat: DataFrame, ordered: bool = False, total_customers=None) -
         row = g.filter(F.col("gid") == 3).select("n_clientes").first()
         total = F.lit(int(row[0]) if row else 0)
         grouped = g.filter(F.col("gid") == 0).drop("gid")
-    df = grouped.withColumn("pct_clientes",
-                            round_even(F.col("n_clientes").cast("double") / total * 100.0, 2))
-    df = df.select("id_producto", "nombre_categoria", "frecuencia_absoluta", "n_clientes", "pct_clientes")
+    df = with_share(grouped, total)
     return df.orderBy(F.desc("frecuencia_absoluta"), "id_producto") if ordered else df
 
 

@@ -9,31 +9,29 @@ run_etl(landing, catalog, out):
   5. rows whose key is already stored are removed by an anti-join that reads only the
      stored months of the batch; the rest is appended to the flat table, which is stored
      by month and store
-  6. derived tables (C5): daily rows are recomputed for the months of the batch (not of the
-     rows that were new: a run that died after the append is thus repaired by its rerun);
-     customer features and product frequencies depend on all history and are rebuilt
+  6. derived tables (C5) are raised by the appended rows (``plans.incremental``)
   7. rules over the whole stored table (``refresh_rules=False`` leaves the stored ones)
-  8. every file read is registered, last
+  8. every file read is registered
+  9. one manifest publishes all tables of the run (``sources.versions``): readers see the whole
+     run or nothing, and a run that dies is simply run again
 
-``force`` builds all tables in a new folder and then puts each in place of the old one.
+``force`` builds a version from no table and publishes it the same way.
 Dedupe policy 'always' makes file-by-file ingest equal to one full load."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley import schemas as S
 from trolley.operators import rules as RU
-from trolley.operators import tables as TB
 from trolley.operators.transform import add_calendar, categorize, explode_baskets, product_lookup
+from trolley.plans import incremental
 from trolley.session import cut_lineage
 from trolley.sources import files as FS
 from trolley.sources import registry_table as RG
+from trolley.sources.versions import Version
 
-FLAT = "transactions_flat"
-DERIVED = ("customer_features", "daily_summary", "product_freq")
+FLAT = incremental.FLAT
 
 
 def new_items(raw: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -52,70 +50,30 @@ def unseen_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return batch.join(stored.select(*S.FLAT_KEYS), S.FLAT_KEYS, "left_anti")
 
 
-def append_batch(spark: SparkSession, out: str, batch: DataFrame) -> list[str]:
-    """Append the rows of ``batch`` whose key is not stored yet; returns the year-months of
-    the batch. Re-running a batch appends nothing and returns the same months."""
+def append_batch(v: Version, batch: DataFrame) -> None:
+    """Append the rows of ``batch`` whose key is not stored yet."""
     batch = cut_lineage(batch)
-    months = batch_months(batch)
-    if not FS.table_exists(spark, FS.table_path(out, FLAT)):
-        FS.append_flat(batch, out, "overwrite")
-    elif months:
-        FS.append_flat(unseen_rows(batch, FS.load_flat_months(spark, out, months)), out, "append")
-    return months
-
-
-def refresh_daily(spark: SparkSession, out: str, months: list[str]) -> None:
-    """Daily table by year-month partitions: those of ``months`` are recomputed from the same
-    months of the flat table; all of them if the table does not exist yet."""
-    path = FS.table_path(out, "daily_summary")
-    if FS.table_exists(spark, path):
-        if not months:
-            return
-        part, mode = FS.load_flat_months(spark, out, months), "dynamic"
-    else:
-        part, mode = FS.load_table(spark, out, FLAT), "static"
-    daily = TB.daily_summary(part, ordered=False).withColumn("periodo", FS.month_key())
-    (daily.write.option("partitionOverwriteMode", mode).mode("overwrite")
-     .partitionBy("periodo").parquet(path))
-
-
-def refresh_derived(spark: SparkSession, out: str, months: list[str]) -> dict:
-    """C5 after an append: daily table for the touched months, the other two in full."""
-    refresh_daily(spark, out, months)
-    flat = FS.load_table(spark, out, FLAT)
-    FS.write_table(TB.customer_features(flat), FS.table_path(out, "customer_features"))
-    # one row per customer: its row count is the distinct-customer denominator
-    customers = FS.load_table(spark, out, "customer_features")
-    FS.write_table(TB.product_freq(flat, total_customers=customers.select(F.count(F.lit(1))).scalar()),
-                   FS.table_path(out, "product_freq"))
-    return {name: FS.load_table(spark, out, name) for name in (FLAT, *DERIVED)}
-
-
-def record_rejects(spark: SparkSession, out: str, rejects: DataFrame) -> None:
-    """Append the rejected lines of files that have none recorded (a rerun adds nothing)."""
-    path = FS.table_path(out, "rejects")
-    known = FS.load_optional(spark, path, S.REJECTS).select("file_name").distinct()
-    rejects.join(known, "file_name", "left_anti").select(*S.REJECTS.fieldNames()).write.mode("append").parquet(path)
-
-
-def ingest(spark: SparkSession, out: str, lines: DataFrame, files: DataFrame, lookup: DataFrame, on_bad: str = "record") -> dict:
+    FS.append_flat(v, unseen_rows(batch, v.load(FLAT, S.TRANSACTIONS_FLAT, batch_months(batch))))
+
+
+def ingest(v: Version, lines: DataFrame, files: DataFrame, lookup: DataFrame, on_bad: str = "record") -> None:
     """Steps 3 to 6 and 8 for the raw ``lines`` of ``files(file_name)``."""
     if on_bad not in ("record", "fail"):
         raise ValueError("on_bad must be 'record' or 'fail'")
     stats = cut_lineage(FS.file_stats(lines))
     if on_bad == "fail" and (bad := stats.filter("rejected > 0").orderBy("file_name").first()):
         raise ValueError(f"{bad['file_name']}: {bad['rejected']} lines are not usable")
-    months = append_batch(spark, out, new_items(FS.typed_transactions(lines), lookup))
-    outputs = refresh_derived(spark, out, months)
-    record_rejects(spark, out, FS.rejects(lines))
-    RG.register_files(RG.registry_rows(files, stats), out)
-    return outputs
+    append_batch(v, new_items(FS.typed_transactions(lines), lookup))
+    incremental.refresh(v)
+    v.append("rejects", FS.rejects(lines).select(*S.REJECTS.fieldNames()), merge=lambda parts: v.load("rejects", S.REJECTS))
+    RG.register_files(v, RG.registry_rows(files, stats))
 
 
 def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product_category_path: str,
             out: str, force: bool = False, refresh_rules: bool = True, rules_params: dict | None = None,
             on_bad: str = "record") -> dict:
-    """Run one incremental ETL step; returns the written tables (S18), ``{}`` if nothing is new."""
+    """Run one incremental ETL step; returns the published tables (S18), ``{}`` if nothing is new.
+    ``rules_params`` may name the ``item`` column of the rules (the product by default)."""
     registry = RG.load_registry(spark, out)
     files = RG.list_files(spark, landing_dir) if force else RG.discover_new_files(spark, landing_dir, registry)
     paths = [r.path for r in files.select("path").orderBy("path").collect()]  # file names only
@@ -123,12 +81,10 @@ def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product
         return {}
     lookup = product_lookup(FS.read_categories(spark, categories_path),
                             FS.read_product_category(spark, product_category_path))
-    base = f"{out.rstrip('/')}-rebuild-{uuid.uuid4().hex}" if force else out
-    outputs = ingest(spark, base, FS.read_raw_lines(spark, paths), files, lookup, on_bad)
-    rules_path = FS.table_path(base, "association_rules")
-    if refresh_rules or not FS.table_exists(spark, rules_path):
-        FS.write_table(RU.compute_association_rules(outputs[FLAT], "id_producto", **(rules_params or {})), rules_path)
-    if force:
-        for name in (FLAT, *DERIVED, "rejects", "association_rules", RG.REGISTRY):
-            FS.replace_table(spark, FS.table_path(base, name), FS.table_path(out, name))
+    v = Version(spark, out, fresh=force)
+    ingest(v, FS.read_raw_lines(spark, paths), files, lookup, on_bad)
+    if refresh_rules or "association_rules" not in v.tables:
+        params = {"item_col": "id_producto", **(rules_params or {})}
+        v.replace("association_rules", RU.compute_association_rules(v.load(FLAT, S.TRANSACTIONS_FLAT), **params))
+    v.commit()
     return FS.load_tables(spark, out)

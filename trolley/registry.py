@@ -572,20 +572,22 @@ def association_rules_brands(spark, sf):
                                                    sample_frac=1.0, min_support=0.01, min_confidence=0.1))
 
 
-def _product_rules(spark, sf) -> dict:
-    """Parameters at which single products form rules at any size of the test tables: sets
-    that at least two baskets hold."""
-    n = _flat(spark, sf).select(*S.BASKET_KEYS).distinct().count()
-    return {"min_support": 1.5 / max(n, 1), "min_confidence": 0.05}
+# Fixture of the product rules: products in thirty lines (id modulo 30), so that at the fixed
+# support of 0.01 pairs of lines form rules at any size of the test tables.
+_LINES = 30
+_PRODUCT_CTES = _levelwise_ctes(f"(f.id_producto % {_LINES})", 1.0)
+_CATEGORY_CTES = _levelwise_ctes("f.nombre_categoria", 1.0)
 
 
-_PRODUCT_CTES = [c.replace("ceil(0.01 * n)", "2") for c in _levelwise_ctes("f.id_producto", 1.0)]
+def _product_line_rules(spark, sf) -> DataFrame:
+    items = _flat(spark, sf).select(*S.BASKET_KEYS, (F.col("id_producto") % _LINES).alias("id_producto"))
+    return RU.compute_association_rules(items, "id_producto", min_support=0.01, min_confidence=0.05)
 
 
 @register("association_rules_products", _rules_sql(0.05, _PRODUCT_CTES))
 def association_rules_products(spark, sf):
-    """M3 over all product baskets, at a support that pairs of products reach."""
-    return _rules_txt(RU.compute_association_rules(_flat(spark, sf), "id_producto", **_product_rules(spark, sf)))
+    """M3 over all product baskets, products in thirty lines."""
+    return _rules_txt(_product_line_rules(spark, sf))
 
 
 @register("rules_display", _rules_sql(0.05, _PRODUCT_CTES, """
@@ -595,7 +597,7 @@ SELECT array_to_string(list_transform(antecedents, lambda x: concat('P', x)), ',
     .replace("SELECT array_to_string(antecedents, '|') AS antecedents, array_to_string(consequents, '|') AS consequents,", "SELECT antecedents, consequents,"))
 def rules_display(spark, sf):
     """rules of products as display texts."""
-    return RU.rules_display(RU.compute_association_rules(_flat(spark, sf), "id_producto", **_product_rules(spark, sf)))
+    return RU.rules_display(_product_line_rules(spark, sf))
 
 
 _TYPE_RULES = _type_baskets_ctes(1.0)
@@ -951,8 +953,10 @@ def recommend_customers_batch_small(spark, sf):
 import uuid  # noqa: E402
 
 from trolley.plans import etl as ETL  # noqa: E402
+from trolley.plans import incremental  # noqa: E402
 from trolley.session import scratch_path  # noqa: E402
 from trolley.sources import files as FS  # noqa: E402
+from trolley.sources.versions import Version  # noqa: E402
 from trolley.sources import registry_table as RG  # noqa: E402
 from trolley.streaming import ingest as ST  # noqa: E402
 
@@ -1047,7 +1051,7 @@ def _run_two_step_etl(spark, sf) -> str:
     raw = retail(spark, sf).raw
     steps = [(_lines(raw.filter("fecha < '1998-01-01'")), None),
              (_lines(raw.filter("fecha >= '1997-07-01'")).unionByName(_bad_lines(raw)), None),
-             (_lines(raw.filter("year(fecha) = 1995")).repartition(1).unionByName(_lines(raw.limit(0))), _product_rules(spark, sf))]
+             (_lines(raw.filter("year(fecha) = 1995")).repartition(1).unionByName(_lines(raw.limit(0))), {"item_col": "nombre_categoria", "min_support": 0.01, "min_confidence": 0.05})]
     for lines, params in steps:
         _drop_files(lines, landing)
         if not ETL.run_etl(spark, landing, cat_path, pc_path, out, rules_params=params):
@@ -1112,7 +1116,7 @@ FROM (SELECT DISTINCT fecha, id_tienda, id_cliente FROM items) b"""))
 def etl_rejects(spark, sf):
     """S2 + F2: lines that were not wholly usable, by reason, as the ETL recorded them."""
     out = _run_two_step_etl(spark, sf)
-    return FS.load_optional(spark, FS.table_path(out, "rejects"), S.REJECTS).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return FS.load_optional(spark, out, "rejects", S.REJECTS).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("etl_status", q(f"""
@@ -1130,13 +1134,17 @@ def etl_status(spark, sf):
 
 @register("etl_rerun_after_crash", q("SELECT fecha, id_tienda, n_transacciones, n_items, n_clientes, dia_semana, semana, mes FROM daily", _DAILY_CTE))
 def etl_rerun_after_crash(spark, sf):
-    """C4 + T3: a run dies after the append; its rerun finds no new row and still brings the
-    daily table up to date."""
+    """C4 + T3: a run dies after its appends and before it publishes them; readers see no table
+    of it, and its rerun brings all of them."""
     base, dirs = _landing(spark, sf)
     cat_path, pc_path = _write_catalogs(spark, sf, base)
     out = base + "/processed"
     lookup = ETL.product_lookup(FS.read_categories(spark, cat_path), FS.read_product_category(spark, pc_path))
-    ETL.append_batch(spark, out, ETL.new_items(FS.read_transactions(spark, dirs[0]), lookup))  # and no more
+    died = Version(spark, out)
+    ETL.append_batch(died, ETL.new_items(FS.read_transactions(spark, dirs[0]), lookup))
+    incremental.refresh(died)      # and no more
+    if FS.has_table(spark, out, "transactions_flat"):
+        raise RuntimeError("a run that was not published is seen")
     ETL.run_etl(spark, dirs[0], cat_path, pc_path, out, refresh_rules=False)
     return FS.load_table(spark, out, "daily_summary")
 
@@ -1239,7 +1247,7 @@ UNION ALL SELECT 'customer_features', count(DISTINCT id_cliente) FROM flat
 UNION ALL SELECT 'daily_summary', count(*) FROM (SELECT DISTINCT fecha, id_tienda FROM flat) d
 UNION ALL SELECT 'product_freq', count(*) FROM (SELECT DISTINCT id_producto, nombre_categoria FROM flat) p
 UNION ALL SELECT 'association_rules', (SELECT count(*) FROM rules)
-UNION ALL SELECT 'registry_rows', """ + _FILE_ROWS, *_PRODUCT_CTES,
+UNION ALL SELECT 'registry_rows', """ + _FILE_ROWS, *_CATEGORY_CTES,
     *_rules_sql_tail(0.05)[1], f"rules AS ({_rules_sql_tail(0.05)[0].strip()})"))
 def etl_table_counts(spark, sf):
     """S5 + S6 + S10 + S17 after the ETL runs: rows per stored table, and the items the

@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trolley import schemas as S
+from trolley.sources import versions
 
 CORRUPT = "_corrupt"
 TABLE_SCHEMAS = {
@@ -150,51 +151,32 @@ def read_product_category(spark: SparkSession, path: str) -> DataFrame:
     return typed.groupBy("prod_id").agg(F.max_by("cat_id", "_line").alias("cat_id"))
 
 
-def table_path(base: str, name: str) -> str:
-    """Any Hadoop URI (file:, hdfs:, s3a:, gs:, abfs:) works as the base."""
-    return base.rstrip("/") + "/" + name
-
-
 def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A processed table with its declared schema (storage-only partition columns,
-    such as the year-month of the daily table, are dropped)."""
-    schema = TABLE_SCHEMAS[name]
-    return spark.read.schema(schema).parquet(table_path(base, name)).select(*schema.fieldNames())
+    """A processed table of the newest published version, with its declared schema
+    (storage-only partition columns, such as the year-month, are dropped)."""
+    return _load(spark, base, versions.manifest(spark, base), name)
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+def _load(spark: SparkSession, base: str, manifest: dict, name: str) -> DataFrame:
+    if name not in manifest["tables"]:
+        raise FileNotFoundError(f"no table {name} under {base}")
+    return versions.read(spark, base, versions.folders(manifest["tables"], name), TABLE_SCHEMAS[name])
 
 
-def replace_table(spark: SparkSession, new: str, path: str) -> None:
-    """Put the finished table ``new`` in the place of ``path``. The old one is moved aside
-    first and removed last, so a complete table exists at any time."""
-    jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside = path + "-old"
-    if fs.exists(at(aside)):
-        fs.delete(at(aside), True)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(aside))
-    fs.rename(at(new), at(path))
-    fs.delete(at(aside), True)
+def has_table(spark: SparkSession, base: str, name: str) -> bool:
+    return name in versions.manifest(spark, base)["tables"]
 
 
-def load_optional(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table at ``path`` or an empty frame with ``schema`` when it does not exist."""
-    if table_exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def load_optional(spark: SparkSession, base: str, name: str, schema) -> DataFrame:
+    """The table, or an empty frame with ``schema`` when there is none."""
+    return versions.read(spark, base, versions.folders(versions.manifest(spark, base)["tables"], name), schema)
 
 
 def load_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """S5 + S6: the four processed tables and the optional rules table."""
-    out = {name: load_table(spark, base, name) for name in TABLE_SCHEMAS}
-    out["association_rules"] = load_optional(spark, table_path(base, "association_rules"), S.ASSOCIATION_RULES)
+    """S5 + S6: the four processed tables and the optional rules table, all of one version."""
+    of = versions.manifest(spark, base)
+    out = {name: _load(spark, base, of, name) for name in TABLE_SCHEMAS}
+    out["association_rules"] = versions.read(spark, base, versions.folders(of["tables"], "association_rules"), S.ASSOCIATION_RULES)
     return out
 
 
@@ -207,33 +189,23 @@ def month_key(fecha: str = "fecha") -> F.Column:
     return F.date_format(fecha, "yyyy-MM")
 
 
-def load_flat_months(spark: SparkSession, base: str, months: list[str]) -> DataFrame:
-    """The stored flat table, only the given year-months (directories of others are not read)."""
-    schema = T.StructType([*S.TRANSACTIONS_FLAT.fields, T.StructField("periodo", T.StringType())])
-    return (spark.read.schema(schema).parquet(table_path(base, "transactions_flat"))
-            .filter(F.col("periodo").isin(months)).select(*S.TRANSACTIONS_FLAT.fieldNames()))
-
-
-def append_flat(df: DataFrame, base: str, mode: str) -> None:
-    write_table(df.select(*S.TRANSACTIONS_FLAT.fieldNames(), month_key().alias("periodo")), table_path(base, "transactions_flat"),
-                partition_by=FLAT_PARTITIONS, mode=mode, cluster_by=FLAT_CLUSTER)
+def append_flat(v: versions.Version, df: DataFrame) -> None:
+    """Add items to the flat table, stored by month and store.
 
+    Rows are range-partitioned on month, store and date (Spark samples the key range, so a
+    store that holds a third of all rows is split by date over many tasks) and sorted within
+    each task: a task writes few, date-contiguous files inside one store's folder, whose
+    min/max statistics let date filters skip files and row groups."""
+    keyed = lambda x: x.select(*S.TRANSACTIONS_FLAT.fieldNames(), month_key().alias("periodo"))
+    v.append("transactions_flat", keyed(df), by=FLAT_PARTITIONS, cluster_by=FLAT_CLUSTER,
+             merge=lambda parts: keyed(v.load("transactions_flat", S.TRANSACTIONS_FLAT, parts)))
 
-def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite",
-                cluster_by=None) -> None:
-    """Parquet write; the flat table is partitioned by store so store filters prune.
 
-    ``cluster_by`` range-partitions the rows on those columns before the write (Spark
-    samples the key range, so a store holding a third of all rows is split by date over
-    many tasks) and sorts within each task: every task writes few, date-contiguous files
-    inside one store directory, whose min/max statistics let date filters skip files and
-    row groups. Without it, each input task would write one small file per store."""
-    if cluster_by:
-        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def store_flat(df: DataFrame, base: str) -> None:
+    """The flat table alone, as a new version of the tables under ``base``."""
+    v = versions.Version(df.sparkSession, base, fresh=True)
+    append_flat(v, df)
+    v.commit()
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -7,14 +7,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley.schemas import ETL_REGISTRY
-from trolley.sources.files import load_optional, table_path
+from trolley.sources.files import load_optional
+from trolley.sources.versions import Version
 
 REGISTRY = "_registry"
 
 
 def load_registry(spark: SparkSession, base: str) -> DataFrame:
     """The registry, empty when none was written yet."""
-    return load_optional(spark, table_path(base, REGISTRY), ETL_REGISTRY)
+    return load_optional(spark, base, REGISTRY, ETL_REGISTRY)
 
 
 def list_files(spark: SparkSession, landing_dir: str, glob: str = "*.csv") -> DataFrame:
@@ -43,9 +44,9 @@ def registry_rows(files: DataFrame, stats: DataFrame) -> DataFrame:
                     F.coalesce("rejected", F.lit(0)).cast("long").alias("rejected")))
 
 
-def register_files(rows: DataFrame, base: str) -> None:
-    """Append to the registry. Called only after every table write succeeded."""
-    rows.select(*ETL_REGISTRY.fieldNames()).write.mode("append").parquet(table_path(base, REGISTRY))
+def register_files(v: Version, rows: DataFrame) -> None:
+    """Append to the registry, published together with the tables of the run."""
+    v.append(REGISTRY, rows.select(*ETL_REGISTRY.fieldNames()), merge=lambda parts: v.load(REGISTRY, ETL_REGISTRY))
 
 
 def etl_status(registry: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from trolley import schemas as S
 from trolley.operators.transform import add_calendar, categorize, explode_baskets
 from trolley.plans.etl import ingest
 from trolley.sources import files as FS
+from trolley.sources.versions import Version
 from trolley.session import cut_lineage
 
 
@@ -34,14 +35,21 @@ def read_landing_stream(spark: SparkSession, landing_dir: str, max_files_per_tri
     return FS.lines_to_columns(text)
 
 
-def make_batch_writer(out: str, lookup: DataFrame, on_bad: str = "record"):
-    """foreachBatch body. Re-running a batch appends nothing and repairs derived tables that
-    a lost run left behind; its files may be registered twice. Files without lines give no
+def make_batch_writer(out: str, lookup: DataFrame, on_bad: str = "record", stream: str | None = None):
+    """foreachBatch body. Every micro-batch is one published version, which also holds the
+    number of the batch under the name ``stream``: a batch that is run again after its version
+    was published does nothing, so its rows and files count once. Files without lines give no
     row of the stream and are not registered here."""
     def write(lines: DataFrame, epoch_id: int) -> None:
+        v = Version(lines.sparkSession, out)
+        if stream is not None and v.streams.get(stream, -1) >= epoch_id:
+            return
         lines = lines.persist()     # one read of the batch's files for its several uses
         try:
-            ingest(lines.sparkSession, out, lines, lines.select("file_name"), lookup, on_bad)
+            ingest(v, lines, lines.select("file_name"), lookup, on_bad)
+            if stream is not None:
+                v.streams[stream] = epoch_id
+            v.commit()
         finally:
             lines.unpersist()
     return write
@@ -50,9 +58,10 @@ def make_batch_writer(out: str, lookup: DataFrame, on_bad: str = "record"):
 def start_ingest(spark: SparkSession, landing_dir: str, lookup: DataFrame, out: str,
                  checkpoint: str, available_now: bool = True, processing_time: str | None = None,
                  max_files_per_trigger: int | None = None, on_bad: str = "record"):
-    """Start the ingest query; ``available_now`` processes what is there and stops."""
+    """Start the ingest query; ``available_now`` processes what is there and stops. The stream
+    goes by the path of its checkpoint."""
     w = (read_landing_stream(spark, landing_dir, max_files_per_trigger).writeStream
-         .foreachBatch(make_batch_writer(out, static_lookup(lookup), on_bad))
+         .foreachBatch(make_batch_writer(out, static_lookup(lookup), on_bad, checkpoint))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
