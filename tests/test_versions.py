@@ -75,7 +75,7 @@ def test_a_batch_reads_its_own_months_and_buckets_only(spark, shop, monkeypatch)
     write(land, "b.csv", ["2021-02-03|102|7|1 3 50", "2021-02-04|102|7|77"])
     run()
     mine = spark.range(1).selectExpr(f"pmod(xxhash64(7L), {incremental.BUCKETS}) as b").first()["b"]
-    parts = {"transactions_flat": ["2021-02"], "visits": ["2021-02"], "bought": [mine], "customer_stores": [mine]}
+    parts = {"daily_customers": ["2021-02"], "daily_categories": ["2021-02"], "customer_numbers": [mine], "transactions_flat": ["2021-02"], "visits": ["2021-02"], "bought": [mine], "customer_stores": [mine]}
     for name, wanted in parts.items():
         assert [p for n, p in seen if n == name] and all(p == wanted for n, p in seen if n == name), name
     # the whole customer table is only counted, the whole product table is one row per product
@@ -174,3 +174,24 @@ def test_empty_landing_file_first(spark, shop):
     write(land, "b.csv", LINES_A)
     run()
     check_against_rebuild(spark, out)
+
+
+@pytest.mark.parametrize("tienda,ini,fin", [(None, None, None), (102, None, None), (103, "2021-02-01", "2021-03-03"), (None, "2021-01-05", "2021-01-05"), (999, None, None)])
+def test_measures_equal_the_item_scan(spark, shop, tienda, ini, fin):
+    from trolley.operators import metrics as M
+    from trolley.operators.transform import apply_filters
+    from trolley.plans import reports as RP
+    land, out, run = shop
+    for name, lines in (("a", lines_of(1, 60, ("01", "02"), 70)), ("b", lines_of(2, 60, ("02", "03"), 90))):
+        write(land, name + ".csv", lines)
+        run()
+    measures = incremental.load_measures(spark, out)
+    report = RP.measured_report(measures, tienda, ini, fin, top_n=2)
+    items = apply_filters(FS.load_table(spark, out, FLAT), tienda, ini, fin)
+    assert rows(report["summary"]) == rows(M.summary_kpis(items))
+    assert rows(report["categories"]) == rows(M.category_counts(items)) and rows(report["category_evolution"]) == rows(M.category_evolution(items, 2))
+    assert rows(report["daily"]) == rows(RP.daily_text(items))
+    for df in measures.values():
+        assert not any(FLAT in f for f in df.inputFiles())
+    numbers = [r["numero"] for r in Version(spark, out).load("customer_numbers", incremental.NUMBERS).collect()]
+    assert len(set(numbers)) == len(numbers) == FS.load_table(spark, out, "customer_features").count()

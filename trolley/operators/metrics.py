@@ -50,6 +50,16 @@ def stored_summary_kpis(daily: DataFrame, customers: DataFrame, product_freq: Da
                  product_freq.agg(F.countDistinct("nombre_categoria")).scalar())
 
 
+def measured_kpis(daily: DataFrame, daily_customers: DataFrame, daily_categories: DataFrame) -> DataFrame:
+    """``summary_kpis`` of any stores and dates from the tables by day and store (filtered by the
+    caller), without the items. Customers are counted in the union of their bitmaps: one
+    ``or`` per 32,768 customers, merged before its shuffle."""
+    per_date = daily.groupBy("fecha").agg(F.sum("n_items").alias("n"), F.sum("n_transacciones").alias("t"))
+    customers = (daily_customers.groupBy("tramo").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("c"))
+                 .agg(F.coalesce(F.sum("c"), F.lit(0))).scalar())
+    return _kpis(cut_lineage(per_date), customers, daily_categories.agg(F.countDistinct("nombre_categoria")).scalar())
+
+
 def _kpis(per_date: DataFrame, customers, categories) -> DataFrame:
     """KPIs from one row per date (items n, transactions t) and the two distinct counts."""
     running = F.sum("n").over(Window.orderBy("fecha").rowsBetween(Window.unboundedPreceding, 0))
@@ -86,6 +96,12 @@ def category_counts(flat: DataFrame, ordered: bool = True) -> DataFrame:
     return df.orderBy(F.desc("frecuencia"), "nombre_categoria") if ordered else df
 
 
+def measured_category_counts(daily_categories: DataFrame) -> DataFrame:
+    """``category_counts`` from the items per day, store and category."""
+    return (daily_categories.groupBy("nombre_categoria").agg(F.sum("n").alias("frecuencia"))
+            .orderBy(F.desc("frecuencia"), "nombre_categoria"))
+
+
 def top_categories(flat: DataFrame, top_n: int) -> DataFrame:
     """The ``top_n`` categories by items; ties by ascending name."""
     return category_counts(flat, ordered=False).orderBy(F.desc("frecuencia"), "nombre_categoria").limit(top_n)
@@ -97,8 +113,18 @@ def category_evolution(flat: DataFrame, top_n: int = 5) -> DataFrame:
     One scan: items per (week, category) first; the category totals and the top-N come
     from that small result, which is then semi-joined to the top-N list (at most
     ``top_n`` rows — a parameter — so broadcasting it is bounded)."""
-    weekly = cut_lineage(flat.groupBy(week_start(F.col("fecha")).alias("semana_d"), "nombre_categoria")
-                         .agg(F.count(F.lit(1)).alias("frecuencia")))
+    return _top_weeks(flat.groupBy(week_start(F.col("fecha")).alias("semana_d"), "nombre_categoria")
+                      .agg(F.count(F.lit(1)).alias("frecuencia")), top_n)
+
+
+def measured_category_evolution(daily_categories: DataFrame, top_n: int = 5) -> DataFrame:
+    """``category_evolution`` from the items per day, store and category."""
+    return _top_weeks(daily_categories.groupBy(week_start(F.col("fecha")).alias("semana_d"), "nombre_categoria")
+                      .agg(F.sum("n").alias("frecuencia")), top_n)
+
+
+def _top_weeks(weekly: DataFrame, top_n: int) -> DataFrame:
+    weekly = cut_lineage(weekly)
     top = (weekly.groupBy("nombre_categoria").agg(F.sum("frecuencia").alias("total"))
            .orderBy(F.desc("total"), "nombre_categoria").limit(top_n).select("nombre_categoria"))
     return (weekly.join(F.broadcast(top), "nombre_categoria", "left_semi")

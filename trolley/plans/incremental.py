@@ -8,19 +8,26 @@ Items per customer and store are additive. So a run reads and writes:
 
 * flat table and visits: the months of the batch;
 * bought, customer_stores, customer_features: the buckets of its customers;
-* product_freq: the table itself, one row per product and category.
+* product_freq: the table itself, one row per product and category;
+* daily_customers, daily_categories: the months of the batch.
+
+The last two make distinct counts mergeable over any stores and dates. Every customer gets a
+number when first seen (``customer_numbers``, by bucket, without gaps inside a bucket); a day
+and store holds its customers as bitmaps over these numbers, one per 32,768 of them. The union
+of the bitmaps of some days and stores counts their customers exactly, without the items.
 
 History outside these is not read. The tables equal those of ``operators.tables`` over all items."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from trolley import schemas as S
 from trolley.operators import tables as TB
 from trolley.plans.joins import checked_broadcast
 from trolley.session import cut_lineage
 from trolley.sources import files as FS
+from trolley.sources import versions
 from trolley.sources.versions import Version
 
 FLAT = "transactions_flat"
@@ -29,7 +36,10 @@ _ITEM = {f.name: f for f in S.TRANSACTIONS_FLAT.fields}
 VISITS = T.StructType([_ITEM[c] for c in ("id_cliente", "fecha", "id_tienda")])
 BOUGHT = T.StructType([_ITEM[c] for c in ("id_cliente", "id_producto", "nombre_categoria")])
 STORES = T.StructType([_ITEM["id_cliente"], _ITEM["id_tienda"], T.StructField("n", T.LongType())])
-COUNTS = ["frecuencia", "n_productos_distintos", "volumen_total", "n_categorias_distintas"]
+NUMBERS = T.StructType([_ITEM["id_cliente"], T.StructField("numero", T.LongType())])
+DAY = [_ITEM["fecha"], _ITEM["id_tienda"]]
+DAILY_CUSTOMERS = T.StructType([*DAY, T.StructField("tramo", T.LongType()), T.StructField("bits", T.BinaryType())])
+DAILY_CATEGORIES = T.StructType([*DAY, _ITEM["nombre_categoria"], T.StructField("n", T.LongType())])
 
 
 def bucket_of(customer: str, buckets: int) -> Column:
@@ -53,6 +63,17 @@ def raised(old: DataFrame, keys: list[str], counts: dict[str, DataFrame]) -> Dat
     return whole.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in names))
 
 
+def number_customers(v: Version, customers: DataFrame, touched: list[int], buckets: int) -> None:
+    """Numbers for the customers of ``customers(id_cliente, cubo)`` that have none: bucket + 1,
+    bucket + 1 + buckets, ... in the order of their ids after those that the bucket has."""
+    stored = v.load("customer_numbers", NUMBERS, touched).withColumn("cubo", bucket_of("id_cliente", buckets))
+    new = customers.join(stored.select("id_cliente"), "id_cliente", "left_anti")
+    taken = F.broadcast(stored.groupBy("cubo").agg(F.count(F.lit(1)).alias("taken")))      # one row per bucket
+    at = F.coalesce("taken", F.lit(0)) + F.row_number().over(Window.partitionBy("cubo").orderBy("id_cliente")) - 1
+    v.append("customer_numbers", new.join(taken, "cubo", "left").select("id_cliente", (at * buckets + F.col("cubo") + 1).cast("long").alias("numero"), "cubo"),
+             by=["cubo"], merge=lambda parts: v.load("customer_numbers", NUMBERS, parts).withColumn("cubo", bucket_of("id_cliente", buckets)))
+
+
 def refresh(v: Version, buckets: int = BUCKETS) -> None:
     """Bring the derived tables up to the rows that ``v`` has appended to the flat table."""
     months = sorted(v.written.get(FLAT, {}))
@@ -70,6 +91,15 @@ def refresh(v: Version, buckets: int = BUCKETS) -> None:
     visits = added.select(*VISITS.fieldNames()).distinct()
     old_visits = cut_lineage(v.load("visits", VISITS, months).join(own, "id_cliente", "left_semi"))
     days = unseen(visits, old_visits, ["id_cliente", "fecha"])
+    number_customers(v, customers, touched, buckets)
+    numbered = (visits.join(v.load("customer_numbers", NUMBERS, touched), "id_cliente")
+                .groupBy("fecha", "id_tienda", F.bitmap_bucket_number("numero").alias("tramo"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position("numero")).alias("bits")))
+    bits = (v.load("daily_customers", DAILY_CUSTOMERS, months).unionByName(numbered)
+            .groupBy("fecha", "id_tienda", "tramo").agg(F.bitmap_or_agg("bits").alias("bits")))
+    v.replace("daily_customers", bits.withColumn("periodo", FS.month_key()), by=["periodo"], parts=months)
+    kinds = raised(v.load("daily_categories", DAILY_CATEGORIES, months), ["fecha", "id_tienda", "nombre_categoria"], {"n": added})
+    v.replace("daily_categories", kinds.withColumn("periodo", FS.month_key()), by=["periodo"], parts=months)
     v.append("visits", unseen(visits, old_visits, VISITS.fieldNames()).withColumn("periodo", FS.month_key()), by=["periodo"],
              merge=lambda parts: v.load("visits", VISITS, parts).withColumn("periodo", FS.month_key()))
 
@@ -93,3 +123,12 @@ def refresh(v: Version, buckets: int = BUCKETS) -> None:
     products = raised(v.load("product_freq", S.PRODUCT_FREQ), ["id_producto", "nombre_categoria"],
                       {"frecuencia_absoluta": added, "n_clientes": new_bought})
     v.replace("product_freq", TB.with_share(products, total))
+
+
+MEASURES = {"daily_summary": S.DAILY_SUMMARY, "daily_customers": DAILY_CUSTOMERS, "daily_categories": DAILY_CATEGORIES}
+
+
+def load_measures(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The tables by day and store that filtered reports are answered from, of one version."""
+    of = versions.manifest(spark, base)["tables"]
+    return {name: versions.read(spark, base, versions.folders(of, name), schema) for name, schema in MEASURES.items()}

@@ -3,7 +3,8 @@
 With a store or date filter the outputs come from the filtered items, persisted once;
 ``release(bundle)`` lets go of them. Without one, ``stored_summary`` and ``stored_bundle``
 answer from the stored derived tables and never read or persist the item table (but for the
-weekly categories, which no derived table holds)."""
+weekly categories). ``measured_report`` answers filtered reports, weekly categories included,
+from the tables by day and store."""
 
 from __future__ import annotations
 
@@ -69,6 +70,19 @@ def stored_bundle(tables: dict, tienda=None, fecha_ini=None, fecha_fin=None, top
     }
 
 
+def measured_report(measures: dict, tienda=None, fecha_ini=None, fecha_fin=None, top_n: int = 5) -> dict:
+    """KPIs, daily table, category counts and weekly categories of any store and dates from the
+    tables by day and store (``incremental.load_measures``); the items are not read."""
+    daily, customers, categories = (apply_filters(measures[name], tienda, fecha_ini, fecha_fin)
+                                    for name in ("daily_summary", "daily_customers", "daily_categories"))
+    return {
+        "summary": M.measured_kpis(daily, customers, categories),
+        "daily": stored_daily(daily),
+        "categories": M.measured_category_counts(categories),
+        "category_evolution": M.measured_category_evolution(categories, top_n),
+    }
+
+
 def stored_daily(daily: DataFrame, tienda=None, fecha_ini=None, fecha_fin=None) -> DataFrame:
     """C3 from the stored daily table: filter, dates as ISO text, in order."""
     return (apply_filters(daily, tienda, fecha_ini, fecha_fin).orderBy("fecha", "id_tienda")

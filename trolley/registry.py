@@ -954,7 +954,7 @@ import uuid  # noqa: E402
 
 from trolley.plans import etl as ETL  # noqa: E402
 from trolley.plans import incremental  # noqa: E402
-from trolley.session import scratch_path  # noqa: E402
+from trolley.session import cut_lineage, scratch_path  # noqa: E402
 from trolley.sources import files as FS  # noqa: E402
 from trolley.sources.versions import Version  # noqa: E402
 from trolley.sources import registry_table as RG  # noqa: E402
@@ -1413,7 +1413,9 @@ def _report(prefix: str, name: str, build: Callable, filtered: bool) -> None:
         sql = q(_REPORT_SQL[name].replace("{t}", t), *([_FF] if filtered else []), *([_CUSTOMER_FEATURES_CTE] if name == "customer_features" else []))
 
     def run(spark, sf):
-        df = build(spark, sf)[name]
+        bundle = build(spark, sf)
+        df = cut_lineage(bundle[name])      # small; the persisted items are then let go
+        RP.release(bundle)
         return _placed(df) if "pos" in sql else df
     run.__doc__ = f"{prefix}: {name}, {'filtered by store and dates' if filtered else 'whole table'}."
     register(f"{prefix}_{name}", sql)(run)
@@ -1435,6 +1437,12 @@ def _stored_bundle(spark, sf):
     return RP.stored_bundle(FS.load_tables(spark, _run_two_step_etl(spark, sf)), STORE, DATE_FROM, DATE_TO)
 
 
+def _measured(spark, sf):
+    return RP.measured_report(incremental.load_measures(spark, _run_two_step_etl(spark, sf)), STORE, DATE_FROM, DATE_TO)
+
+
+for _name in ("summary", "daily", "categories", "category_evolution"):
+    _report("measured_report", _name, _measured, True)
 for _name in ("summary", "top_products", "top_customers", "daily", "categories"):
     _report("executive_summary", _name, _executive, True)
     _report("stored_summary", _name, _stored, False)
