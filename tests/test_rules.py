@@ -98,3 +98,18 @@ def test_hash_sample_is_deterministic_and_close_to_fraction(spark):
     n1, n2 = a.count(), RU.hash_sample(df.repartition(7), 0.3).count()
     assert n1 == n2 and abs(n1 / 20000 - 0.3) < 0.02
     assert RU.hash_sample_threshold(0.3) == "4ccccccd"
+
+
+def test_exact_sample_has_the_exact_size_and_is_stable(spark):
+    import datetime as dt
+    import hashlib
+    from trolley.operators import rules as RU
+    rows = [(dt.date(2021, 1, 1 + k % 28), 102 + k % 3, k, k % 7) for k in range(997)]
+    df = spark.createDataFrame(rows, "fecha date, id_tienda int, id_cliente long, x int")
+    digest = lambda r: hashlib.md5(f"{r[0].isoformat()}|{r[1]}|{r[2]}".encode()).hexdigest()[:15]
+    for frac in (0.0, 0.001, 0.3, 0.5, 0.999, 1.0):
+        want = sorted(sorted(rows, key=digest)[:round(frac * 997)])
+        for parts in (1, 9):
+            assert sorted(tuple(r) for r in RU.exact_sample(df.repartition(parts), frac).collect()) == want
+    same = spark.createDataFrame([rows[0]] * 10 + rows[1:6], df.schema)     # equal digests
+    assert RU.exact_sample(same, 0.5).count() == 8 and RU.exact_sample(df.limit(0), 0.5).count() == 0

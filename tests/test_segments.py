@@ -69,3 +69,23 @@ def test_pca_ratios_and_result_bundle(spark):
     assert all(0 <= x <= 1 for x in r) and sum(r) <= 1.0001
     assert out["stats"].agg(F.sum("n_clientes")).first()[0] == 60
     assert out["interpretation"].filter(F.col("interpretacion").contains("Frecuencia de Compra: ")).count() == 3
+
+
+def test_many_fits_at_once_equal_single_fits(spark):
+    z = SG.standardize(customers(spark), FEATS)
+    starts = {(k, s): SG.forgy_centers(z, FEATS, k, s) for k in (2, 3, 5) for s in (1, 2)} | {("q", 3): SG.quantile_centers(z, FEATS, 3)}
+    fits = SG.lloyd_many(z, FEATS, starts)
+    seg, centers = SG.lloyd_kmeans(z, FEATS, 3)
+    assert fits["q", 3][0] == centers and fits["q", 3][1]
+    assert abs(fits["q", 3][2] - seg.agg(F.sum("dist2")).first()[0]) < 1e-9
+    import numpy as np
+    points = z.select(*[f"z_{f}" for f in FEATS]).toPandas().to_numpy()
+    for (k, _), (c, converged, inertia) in fits.items():
+        d2 = ((points[:, None, :] - np.array(c)[None, :, :]) ** 2).sum(axis=2)
+        assert converged and abs(d2.min(axis=1).sum() - inertia) < 1e-6
+        for j in range(len(c)):     # a converged centre is the mean of its rows
+            own = points[d2.argmin(axis=1) == j]
+            assert not len(own) or np.abs(own.mean(axis=0) - c[j]).max() < 1e-5
+    assert SG.lloyd_many(z, FEATS, {}) == {}
+    table = SG.elbow_table(spark, SG.elbow_fits(z, FEATS, k_max=4)).collect()
+    assert [r.k for r in table] == [2, 3, 4] and all(a.inercia >= b.inercia for a, b in zip(table, table[1:]))

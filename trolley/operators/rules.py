@@ -60,6 +60,38 @@ def hash_sample(df: DataFrame, frac: float, keys=BASKET_KEYS) -> DataFrame:
     return df.filter(digest < F.lit(hash_sample_threshold(frac)))
 
 
+SAMPLE_BITS = 60    # of the key digest
+LEVEL_BITS = 15     # buckets of one histogram level: 2^15
+
+
+def exact_sample(df: DataFrame, frac: float, keys=BASKET_KEYS) -> DataFrame:
+    """M1 with an exact size: the ``round(frac * n)`` rows (half to even) with the smallest key
+    digests, ties by the keys. Reruns and other partitionings give the same rows.
+
+    The digest of the last row is found by histogram refinement: a level counts the rows of the
+    bucket that holds it by their next 15 bits, so four levels of at most 32,768 counts each
+    replace a global sort. Then one filter selects the rows."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k) for k in keys])), 1, SAMPLE_BITS // 4), 16, 10).cast("long")
+    hashed = cut_lineage(df.withColumn("_h", digest))
+    n = hashed.count()
+    left = round(frac * n)
+    if left >= n or left <= 0:
+        return hashed.drop("_h") if left else hashed.limit(0).drop("_h")
+    low, bits = 0, SAMPLE_BITS      # the last row's digest is within [low, low + 2^bits)
+    while bits:
+        bits -= LEVEL_BITS
+        at = F.shiftright(F.col("_h") - low, bits).alias("at")
+        inside = hashed.filter(F.col("_h").between(low, low + (1 << bits + LEVEL_BITS) - 1))
+        running = F.sum("c").over(Window.orderBy("at"))     # over one row per bucket
+        row = (inside.groupBy(at).agg(F.count(F.lit(1)).alias("c")).withColumn("run", running)
+               .filter(F.col("run") >= left).orderBy("at").first())
+        low, left = low + (row["at"] << bits), left - (row["run"] - row["c"])
+    below = hashed.filter(F.col("_h") < low)
+    last = (hashed.filter(F.col("_h") == low)       # rows with the same 60 bits: one, as good as always
+            .withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy(*keys))).filter(F.col("_r") <= left).drop("_r"))
+    return below.unionByName(last).drop("_h")
+
+
 def random_sample(df: DataFrame, frac: float, seed: int = 42) -> DataFrame:
     return df if frac >= 1.0 else df.sample(withReplacement=False, fraction=frac, seed=seed)
 
@@ -115,11 +147,13 @@ def compute_association_rules(items: DataFrame, item_col: str = "id_producto",
                               min_confidence: float = 0.3, sample: str = "hash",
                               seed: int = 42, keys=BASKET_KEYS) -> DataFrame:
     """(M1 ->) A17 -> M2 -> M3 as one job, over all baskets unless the caller asks for a
-    sample. The baskets are checkpointed into the shared
+    sample (``hash``: by digest; ``exact``: of exact size; ``random``). The baskets are checkpointed into the shared
     checkpoint folder: FP-growth and the basket count then read them once each and a
     lost executor re-reads the checkpoint instead of recomputing the flat table."""
     bk = baskets(items, item_col, keys)
-    bk = hash_sample(bk, sample_frac, keys) if sample == "hash" else random_sample(bk, sample_frac, seed)
+    if sample_frac < 1.0:
+        bk = (hash_sample(bk, sample_frac, keys) if sample == "hash" else exact_sample(bk, sample_frac, keys) if sample == "exact"
+              else random_sample(bk, sample_frac, seed))
     bk = cut_lineage(bk)
     n = bk.count()
     fi = cut_lineage(frequent_itemsets(bk, min_support, n))

@@ -115,6 +115,81 @@ def lloyd_kmeans(z: DataFrame, features, k: int, iterations: int = 300,
     return z.withColumn("cluster", label).withColumn("dist2", dist2).withColumn("converged", F.lit(converged)), centers
 
 
+def _nearest(zcols, fits):
+    """Array over ``fits`` (lists of centres) of (fit, cluster, dist2): the nearest centre under
+    each, the first on ties. The centres are one constant, so the generated code stays the same
+    from step to step."""
+    point = F.array(*zcols)
+
+    def of_fit(centers, i):
+        d = F.transform(centers, lambda c: F.aggregate(F.zip_with(point, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+        return F.transform(F.array(d), lambda d: F.struct(i.alias("fit"), (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("cluster"),
+                                                          F.array_min(d).alias("dist2")))[0]
+    return F.transform(F.lit([[list(map(float, c)) for c in centers] for centers in fits]), of_fit)
+
+
+def lloyd_many(z: DataFrame, features, starts: dict, iterations: int = 300, digits: int = Z_DIGITS) -> dict:
+    """Lloyd steps of many fits at once: ``starts`` maps a name to its first centres; the result
+    maps it to (centres, converged, inertia).
+
+    One scan per step serves all fits that still move: a row is assigned under every one of
+    them, and the means of all (fit, cluster) pairs come from one aggregate, combined before
+    its shuffle. So the scans are those of the slowest fit, plus one for the inertias. Only the
+    centres of the fits pass through the driver."""
+    zcols = [f"z_{f}" for f in features]
+    points = cut_lineage(z.select(*zcols)).persist()
+    names = list(starts)
+    now, moving = {n: [list(map(float, c)) for c in starts[n]] for n in names}, list(names)
+    for _ in range(iterations):
+        if not moving:
+            break
+        means = (points.select(F.explode(_nearest(zcols, [now[n] for n in moving])).alias("at"), *zcols).groupBy("at.fit", "at.cluster")
+                 .agg(*[round_even(F.avg(c), digits).alias(c) for c in zcols]).collect())   # <= sum of k rows
+        after = {n: list(now[n]) for n in moving}
+        for row in means:
+            after[moving[row["fit"]]][row["cluster"]] = [row[c] for c in zcols]
+        moving = [n for n in moving if after[n] != now[n]]
+        now |= after
+    sums = {r["fit"]: r["s"] for r in points.select(F.explode(_nearest(zcols, [now[n] for n in names])).alias("at"))
+            .groupBy("at.fit").agg(F.sum("at.dist2").alias("s")).collect()} if names else {}     # one row per fit
+    points.unpersist()
+    return {n: (now[n], n not in moving, float(sums.get(i, 0.0))) for i, n in enumerate(names)}
+
+
+def forgy_centers(z: DataFrame, features, k: int, seed: int) -> list[list[float]]:
+    """``k`` rows as first centres: those with the smallest digests of seed and customer."""
+    zcols = [f"z_{f}" for f in features]
+    order = F.md5(F.concat_ws("|", F.lit(seed), "id_cliente"))
+    return [[row[c] for c in zcols] for row in z.select("id_cliente", *zcols).orderBy(order, "id_cliente").limit(k).collect()]
+
+
+def elbow_fits(z: DataFrame, features, k_max: int = 8, seeds=(1, 2)) -> dict:
+    """Fits of k = 2 .. ``k_max`` from the quantile start (seed 0) and from seeded rows, all in
+    the scans of the slowest one: (k, seed) -> (centres, converged, inertia)."""
+    z = cut_lineage(z.select("id_cliente", *[f"z_{f}" for f in features]))
+    ks = range(2, min(k_max, z.count()) + 1)
+    starts = {(k, 0): quantile_centers(z, features, k) for k in ks} | {(k, s): forgy_centers(z, features, k, s) for k in ks for s in seeds}
+    return lloyd_many(z, features, starts)
+
+
+def elbow_table(spark, fits: dict) -> DataFrame:
+    """M7: the least inertia (2 dp) of each k."""
+    best = {k: min(f[2] for (x, _), f in fits.items() if x == k) for k, _ in fits}
+    return spark.createDataFrame(sorted(best.items()), "k int, inercia double").withColumn("inercia", round_even(F.col("inercia"), 2))
+
+
+def best_fit(fits: dict, k: int) -> list[list[float]]:
+    """M6: the centres of the fit of ``k`` with the least inertia (the first seed on ties),
+    ordered by their coordinates."""
+    centers = min(((f[2], seed, f[0]) for (x, seed), f in fits.items() if x == k), key=lambda t: t[:2])[2]
+    return sorted(centers)
+
+
+def assign(z: DataFrame, features, centers) -> DataFrame:
+    """``z`` with the label of the nearest centre (the first on ties)."""
+    return z.withColumn("cluster", _assign_expr([f"z_{f}" for f in features], centers)[0])
+
+
 def _relabel(centers):
     """Old cluster id -> new id ordered by the first coordinate (then the others)."""
     order = sorted(range(len(centers)), key=lambda i: tuple(centers[i]))

@@ -514,6 +514,20 @@ def raw_baskets_sampled(spark, sf):
         "fecha", "id_tienda", "id_cliente", _txt("items"))
 
 
+@register("raw_baskets_exact_sample", q(f"""
+SELECT fecha, id_tienda, id_cliente,
+       array_to_string(list_sort(list_distinct(list_transform(string_split(basket_raw, ' '), lambda t: CAST(t AS BIGINT)))), '|') AS items
+FROM (SELECT *, row_number() OVER (ORDER BY substr(md5(concat_ws('|', fecha, id_tienda, id_cliente)), 1, 15), fecha, id_tienda, id_cliente) AS rn,
+             count(*) OVER () AS n FROM raw) s
+WHERE rn <= round_even(0.3 * n, 0)""",
+    """raw AS (SELECT fecha, id_tienda, id_cliente, string_agg(CAST(id_producto AS VARCHAR), ' ') AS basket_raw
+              FROM items GROUP BY fecha, id_tienda, id_cliente)"""))
+def raw_baskets_exact_sample(spark, sf):
+    """M1: a sample of exactly 30 % of the baskets."""
+    return RU.exact_sample(RU.raw_baskets(retail(spark, sf).raw), 0.3).select(
+        "fecha", "id_tienda", "id_cliente", _txt("items"))
+
+
 @register("frequent_itemsets_types", q(
     """SELECT array_to_string(items, '|') AS items, freq,
               CAST(freq AS DOUBLE) / CAST((SELECT n FROM nb) AS DOUBLE) AS support FROM fi""",
@@ -785,6 +799,109 @@ def segment_profile(spark, sf):
     return SG.segment_profile(seg, _FEATS)
 
 
+_SEEDS = (1, 2)
+
+
+def _fits_ctes(ks=tuple(range(2, 9))) -> list[str]:
+    """Lloyd steps of all fits (k, seed) as one recursion: seed 0 starts at quantiles, the others
+    at the rows with the smallest digests."""
+    fs = _FEATS
+    point = "[" + ", ".join(f"z_{f}" for f in fs) + "]"
+    quantiles = " UNION ALL ".join(
+        f"SELECT {k} AS k, 0 AS seed, [" + ", ".join("[" + ", ".join(r(f"quantile_cont(z_{f}, {(i + 0.5) / k})", 6) for f in fs) + "]" for i in range(k))
+        + "] AS c FROM zc" for k in ks)
+    rows = " UNION ALL ".join(
+        f"SELECT k, {s} AS seed, list(p ORDER BY h, id_cliente) AS c FROM (SELECT id_cliente, {point} AS p, md5(concat_ws('|', {s}, id_cliente)) AS h, "
+        f"row_number() OVER (ORDER BY md5(concat_ws('|', {s}, id_cliente)), id_cliente) AS rn FROM zc) x, unnest([{', '.join(map(str, ks))}]) AS u(k) WHERE rn <= k GROUP BY k" for s in _SEEDS)
+    dist = "list_transform(c, lambda x: " + " + ".join(f"((z_{f} - x[{j + 1}]) * (z_{f} - x[{j + 1}]))" for j, f in enumerate(fs)) + ")"
+    means = "[" + ", ".join("[" + ", ".join(
+        f"coalesce({r(f'avg(z_{f}) FILTER (cluster = {i})', 6)}, any_value(c[{i + 1}][{j + 1}]))" for j, f in enumerate(fs)) + "]" for i in range(max(ks))) + "]"
+    zs = ", ".join(f"z_{f}" for f in fs)
+    return [*_z_ctes(), f"starts AS (SELECT * FROM ({quantiles}) q UNION ALL SELECT * FROM ({rows}) w)", f"""steps AS (
+  SELECT 0 AS t, k, seed, c, true AS moved FROM starts
+  UNION ALL
+  SELECT t + 1, k, seed, n, n <> c FROM (
+    SELECT t, k, seed, any_value(c) AS c, list_slice({means}, 1, k) AS n FROM (
+      SELECT t, k, seed, c, {zs}, list_position(d, list_min(d)) - 1 AS cluster
+      FROM (SELECT t, k, seed, c, {zs}, {dist} AS d FROM steps, zc WHERE moved AND t < 300) a) b
+    GROUP BY t, k, seed) s)""",
+            "final AS (SELECT k, seed, arg_max(c, t) AS c FROM steps GROUP BY k, seed)",
+            f"costs AS (SELECT k, seed, any_value(c) AS c, sum(list_min({dist})) AS inertia FROM final, zc GROUP BY k, seed)",
+            "best AS (SELECT k, list_sort(arg_min(c, inertia)) AS c, min(inertia) AS inertia FROM costs GROUP BY k)"]
+
+
+def _fits(spark, sf) -> dict:
+    return SG.elbow_fits(_z(spark, sf), _FEATS, seeds=_SEEDS)
+
+
+@register("elbow_one_scan", q(f"SELECT CAST(k AS INTEGER) AS k, {r('inertia', 2)} AS inercia FROM best", *_fits_ctes()))
+def elbow_one_scan(spark, sf):
+    """M7: inertia for k = 2..8, the least of three starts each; 21 fits in the scans of one."""
+    return SG.elbow_table(spark, _fits(spark, sf))
+
+
+_BEST3 = ["b3 AS (SELECT c FROM best WHERE k = 3)",
+          "lab AS (SELECT zc.*, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS cluster FROM (SELECT zc.*, list_transform(c, lambda x: "
+          + " + ".join(f"((z_{f} - x[{j + 1}]) * (z_{f} - x[{j + 1}]))" for j, f in enumerate(_FEATS)) + ") AS d FROM zc, b3) zc)"]
+
+
+def _best3(spark, sf):
+    z = _z(spark, sf)
+    fits = SG.elbow_fits(z, _FEATS, k_max=3, seeds=_SEEDS)
+    return z, SG.best_fit(fits, 3)
+
+
+@register("kmeans_best_labels", q("SELECT id_cliente, cluster FROM lab", *_fits_ctes((3,)), *_BEST3))
+def kmeans_best_labels(spark, sf):
+    """M6 + J9: label per customer of the best of three k=3 fits from stated starts."""
+    z, centers = _best3(spark, sf)
+    return SG.assign(z, _FEATS, centers).select("id_cliente", "cluster")
+
+
+@register("kmeans_best_centers", q("SELECT CAST(i - 1 AS INTEGER) AS cluster, " + ", ".join(
+    r(f"c[i][{j + 1}] * (SELECT {f}_std FROM mom) + (SELECT {f}_mean FROM mom)", 4) + f" AS {f}" for j, f in enumerate(_FEATS))
+    + " FROM b3, unnest(range(1, 4)) AS u(i)", *_fits_ctes((3,)), *_BEST3))
+def kmeans_best_centers(spark, sf):
+    """M9: centres of that fit in feature units."""
+    z, centers = _best3(spark, sf)
+    return SG.centers_original_units(z, centers, _FEATS).select("cluster", *[round_even_col(f, 4) for f in _FEATS])
+
+
+def _pca_ctes(squarings: int = 40) -> list[str]:
+    """The two leading eigenvectors of the covariances by repeated squaring: M <- M M / trace
+    tends to the projector on the leading one; the second is that of the matrix without it."""
+    fs, d = _FEATS, len(_FEATS)
+    at = lambda m, i, j: f"{m}[{i * d + j + 1}]"
+    cells = [(i, j) for i in range(d) for j in range(d)]
+    square = "[" + ", ".join(" + ".join(f"{at('m', i, k)} * {at('m', k, j)}" for k in range(d)) for i, j in cells) + "]"
+    trace = lambda m: " + ".join(at(m, i, i) for i in range(d))
+
+    def leading(name: str, source: str) -> list[str]:
+        # the column of the projector with the largest diagonal, of length one
+        diagonal = "[" + ", ".join(at("m", i, i) for i in range(d)) + "]"
+        norm = f"sqrt({' + '.join(f'v[{i + 1}] * v[{i + 1}]' for i in range(d))})"
+        return [f"""{name}_p AS (SELECT 0 AS t, m FROM {source}
+  UNION ALL SELECT t + 1, list_transform(s, lambda x: x / ({trace('s')})) FROM (SELECT t, {square} AS s FROM {name}_p WHERE t < {squarings}) q)""",
+                f"{name}_c AS (SELECT list_slice(m, ({d} * (list_position({diagonal}, list_max({diagonal})) - 1)) + 1, {d} * list_position({diagonal}, list_max({diagonal}))) AS v FROM {name}_p WHERE t = {squarings})",
+                f"{name}_n AS (SELECT list_transform(v, lambda x: x / {norm}) AS v FROM {name}_c)",
+                # its largest loading is positive
+                f"""{name} AS (SELECT list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))])) AS v FROM {name}_n)"""]
+    cov = "cov AS (SELECT [" + ", ".join(f"covar_samp(z_{fs[i]}, z_{fs[j]})" for i, j in cells) + "] AS m FROM zc)"
+    value = " + ".join(f"{at('m', i, j)} * v[{i + 1}] * v[{j + 1}]" for i, j in cells)
+    rest = "rest AS (SELECT [" + ", ".join(f"{at('m', i, j)} - lam * v[{i + 1}] * v[{j + 1}]" for i, j in cells) + f"] AS m FROM (SELECT m, v, {value} AS lam FROM cov, e1) q)"
+    return [cov, *leading("e1", "cov"), rest, *leading("e2", "rest")]
+
+
+@register("pca_best_coordinates", q("SELECT id_cliente, cluster, " + ", ".join(
+    r(" + ".join(f"z_{f} * {e}.v[{j + 1}]" for j, f in enumerate(_FEATS)), 3) + f" AS {name}" for e, name in (("e1", "pca_x"), ("e2", "pca_y")))
+    + " FROM lab, e1, e2", *_fits_ctes((3,)), *_BEST3, *_pca_ctes()))
+def pca_best_coordinates(spark, sf):
+    """M8 + F22 + J9: 2-D coordinates (3 dp) of the customers with their label."""
+    z, centers = _best3(spark, sf)
+    coords, _ = SG.pca_2d(SG.assign(z, _FEATS, centers), _FEATS)
+    return coords.select("id_cliente", "cluster", round_even_col("pca_x", 3), round_even_col("pca_y", 3))
+
+
 @register("kmeans_segments")
 def kmeans_segments(spark, sf):
     """M6: Spark ML KMeans, k=3 (API default), best of 10 seeds; label per customer (rows-only)."""
