@@ -170,3 +170,42 @@ def test_language_edge_cases(spark):
     assert langid.fit(docs.limit(0)) is None
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
     assert langid.identify(docs.limit(0), model).count() == 0
+
+
+PARA = "<p>" + "text words here " * 30 + "</p>"
+PARA_TEXT = ("text words here " * 30).strip()
+
+
+@pytest.mark.parametrize("page,want", [
+    # link lists, table rows and headings inside the text
+    (f"<article>{PARA}<h2>See</h2><ul><li><a href=x>ref 1</a><li><a href=y>ref 2</a></ul></article>", f"{PARA_TEXT}\nSee\nref 1\nref 2"),
+    (f"<div><table><tr><td><a href=1>a1</a></td><td><a href=2>a2</a></td></tr></table>{PARA}<p>end.</p></div>", f"a1\na2\n{PARA_TEXT}\nend."),
+    # size saves no advert, and compound values mark one
+    (f"<div class=advert>{'buy now ' * 400}</div><article>{PARA}</article>", PARA_TEXT),
+    (f"<article>{PARA}<div class='ad-banner'>buy</div><section id=comments>{PARA}</section><div class='x cookie-notice'>c</div>"
+     f"<div class=comments-section>{PARA}</div><p>end.</p></article>", f"{PARA_TEXT}\nend."),
+    # values that only contain such words, and frames of the whole page, mark none
+    (f"<div class='layout no-sidebar'><div class=elementor-widget-container>{PARA}</div></div>", PARA_TEXT),
+    (f"<div class=sidebar><main>{PARA}</main></div>", PARA_TEXT),
+    (f"<article class='post comments-open'>{PARA}<section id=related-work><p>More.</p>{PARA}</section></article>", f"{PARA_TEXT}\nMore.\n{PARA_TEXT}"),
+    # no article: title and intro stay, menu and copyright lines go
+    (f"<div><a href=1>a</a> <a href=2>b</a></div><div>x</div><nav>n</nav><h1>Title</h1><p>Short intro.</p>{PARA}<p>end.</p><div>© 2020 {'rights ' * 60}</div>",
+     f"Title\nShort intro.\n{PARA_TEXT}\nend."),
+    (f"<article>tiny</article><form>f</form><form>f</form><form>f</form><div>{PARA}{PARA}</div>", f"{PARA_TEXT}\n{PARA_TEXT}"),
+    ("<div>" * 3000 + PARA + "</div>" * 3000, PARA_TEXT),
+])
+def test_line_blocks_decide(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_pages_without_their_article_tag_give_the_same_text():
+    import duckdb
+    pages = [r[0] for r in duckdb.sql("select html from '/root/testdata/sf0.1/pages.parquet'").fetchall()]
+    for page in pages:
+        if page:
+            assert html_text.main_text(re.sub(r"(</?)(article|main)\b", r"\1div", page)) == html_text.main_text(page)
+
+
+def test_very_long_pages_of_many_blocks():
+    blocks = "".join(f"<p>paragraph {k} with some words of its own and a few more</p>" for k in range(30_000))
+    assert html_text.main_text(f"<nav>menu</nav><div>{blocks}</div><footer>f</footer>").count("\n") == 29_999

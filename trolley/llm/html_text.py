@@ -1,14 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block element; scripts, styles, comments and elements
-whose tag or a whole value of class, id or role marks them as navigation, header, footer,
-advert, form, notice, sharing or reader comments become empty lines, as do lines that are
-nothing but links. The lengths of
-the lines are summed over a sliding window. A block of text begins at a surge point, where
-the sum reaches a threshold taken from the page's own sums, and ends at a dive point, where
-it falls below half of that or a whole window is empty; the text between is kept. Where the
-page has an ``article`` or ``main`` element, that decides instead: lines outside have no
-length, and any line inside is a surge."""
+Markup is stripped to lines, one per block element. Scripts, styles, comments and elements whose
+tag, class, id or role says navigation, header, footer, advert, form, notice, sharing or reader
+comments are cut out and leave a gap, as do copyright lines outside an article where there is other text. A line that is
+nothing but links has no length. The lengths of the lines are summed over a sliding window. A block of text
+begins at a surge point, where the sum reaches a threshold taken from the page's own sums, and
+ends at a dive point, where it falls below half of that or a whole window is empty; the text
+between is kept. This decides on every page. A block then takes in the other lines of the
+elements it begins in (a section, a plain div, the article around them; not the body): headings, short
+paragraphs, lists of links and table rows between or after its paragraphs. An ``article`` without a
+surge is no main text."""
 
 from __future__ import annotations
 
@@ -29,8 +30,10 @@ TOKEN = re.compile(
 ATTR = re.compile(r"([^\s=\"'/]++)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 # Elements whose content is no text, elements that are no main text, elements
-# that begin and end a line, elements without content, values of class, id or role, elements
-# that these never strip, elements that end an open p, and for elements with an optional end
+# that begin and end a line, elements without content, values of class, id or role, words that
+# may stand beside these in a compound value, values that mark a section, headings, elements that a
+# marked one does not hold, elements
+# that hold lines together, elements that values never strip, elements that end an open p, and for elements with an optional end
 # tag: the elements that their start ends, and those that bound it.
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select option".split())
 APART = frozenset("nav header footer aside form menu button dialog fieldset".split())
@@ -42,11 +45,21 @@ MAIN = frozenset(["article", "main"])
 HINTS = frozenset("""ad ads adv advert advertisement adsense banner sponsor sponsored promo promotion cookie cookies
     consent gdpr notice popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pager pagination
     footer comment comments disqus respond share sharing social related recommended subscribe newsletter signup login
-    search widget masthead toolbar contentinfo complementary alert dialog""".split())
+    search masthead toolbar contentinfo complementary alert dialog""".split())
+GLUE = frozenset("""section sections container wrapper wrap box block list area inner outer bar unit slot top bottom left right
+    site page global primary secondary content holder panel region group links link text form buttons item items policy message""".split())
+OF_SECTION = frozenset("ad ads advert advertisement comment comments disqus respond sidebar newsletter subscribe cookie cookies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+GAP = ("", -1, -1, 0, False, -1)
+LANDMARKS = frozenset("article main h1".split())
+HOLDERS = frozenset("article div main section".split())
+LISTS = frozenset("ul ol dl menu dir table".split())
+ENOUGH = 120    # characters in a window that are text on any page
+NOTICE = re.compile(r"(?:copyright\s*)?(?:©|\(c\)\s)|copyright\s+\d{4}\b", re.I)
 EDGES = frozenset("article main section nav header footer aside h1 body".split())
 
 
-KEPT = frozenset("html body head main article section h1 h2 h3 h4 h5 h6".split())
+KEPT = frozenset("html body head main article h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK - frozenset("body br caption head html legend tbody td tfoot th thead tr".split())
 CELLS = frozenset("table caption td th button".split())
 TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
@@ -60,11 +73,19 @@ IMPLIED = {
 
 
 def marked(tag: str, attrs: str, in_main: bool) -> bool:
-    """Does a whole value of class, id or role mark the element as no main text."""
+    """Does a value of class, id or role mark the element as no main text: as a whole, or as a
+    compound of such words and words of place and shape only (``ad-banner``, ``comments-section``,
+    but not ``no-sidebar``, ``related-work`` or ``comments-open``)."""
     if tag in KEPT or not attrs:
         return False
-    words = {w for m in ATTR.finditer(attrs) if m[1].lower() in ("class", "id", "role") for w in (m[2] or m[3] or m[4] or "").lower().split()}
-    return bool(words & HINTS) or ("header" in words and not in_main)
+    for m in ATTR.finditer(attrs):
+        if m[1].lower() in ("class", "id", "role"):
+            for value in (m[2] or m[3] or m[4] or "").lower().split():
+                words = [w for w in re.split(r"[-_]+", value) if w]
+                hints = [w for w in words if w in (OF_SECTION if tag == "section" else HINTS) or w == "header" and not in_main]
+                if hints and len(hints) + sum(w in GLUE for w in words if w not in hints) == len(words):
+                    return True
+    return False
 
 
 def tokens_of(page: str) -> list[tuple[str, str, str, bool]]:
@@ -141,68 +162,92 @@ def ends_of(tokens: list[tuple[str, str, str, bool]]) -> dict[int, tuple[int, bo
     return ends
 
 
-def plain_sizes(tokens: list[tuple[str, str, str, bool]], ends: dict[int, tuple[int, bool]]) -> list[int]:
-    """Characters of text outside links and elements that are no main text by their tag, up to
-    each token."""
-    out, total, until = [], 0, -1
-    for k, (text, tag, _, closing) in enumerate(tokens):
-        if k > until:
-            total += len(" ".join(text.split()))
-        out.append(total)
-        if k >= until and not closing and k in ends and (tag == "a" or tag in APART and tag != "header"):
-            until = ends[k][0]
-    return out
-
-
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in main element, has text besides links) of every line; stripped lines are empty.
-    Values of class, id and role strip no element that holds more than half of the text."""
+def lines_of(page: str) -> list[tuple[str, int, int, int, bool, int]]:
+    """(text, element that holds it, the list or table in that it is in, or else the element,
+    length, is a heading, article or main element around it) of every line; one that is nothing but links has no length. Where
+    articles and main elements hold a fifth of all lengths or more, the lines outside are cut out. An element is known
+    by the place of its start tag, -1 where only the body holds the line. What was cut out is an
+    empty line. A marked element that holds an article, a main element or a first heading is a
+    frame of the page and is not cut out."""
     tokens = tokens_of(page)
     ends = ends_of(tokens)
-    sizes = plain_sizes(tokens, ends)
-    lines: list[tuple[str, bool, bool]] = []
+    marks = [k for k, t in enumerate(tokens) if t[1] in LANDMARKS and not t[3]]
+    lines: list[tuple[str, int, int, int, bool, int]] = []
+    within: list[bool] = []
+    notices: list[int] = []
     parts: list[str] = []
-    plain = False
-    until = -1                  # the token that ends the stripped element
-    main_depth = link_depth = 0
+    plain = heading = False
+    until = -1                  # the token that ends the element that is cut out
+    link_until = heading_until = -1
+    main_depth = 0
+    holders: list[tuple[int, int]] = [(-1, len(tokens))]     # (place of the start, of the end)
+    groups, frames = list(holders), list(holders)       # lists and tables, too; articles and main elements only
 
     def flush() -> None:
-        nonlocal plain
-        lines.append((" ".join(html.unescape("".join(parts)).split()), main_depth > 0, plain))
+        nonlocal plain, heading
+        text = " ".join(html.unescape("".join(parts)).split())
+        if text:
+            if not main_depth and NOTICE.match(text):
+                notices.append(len(lines))
+            lines.append((text, holders[-1][0], groups[-1][0], len(text) if plain else 0, heading, frames[-1][0]))
+            within.append(main_depth > 0)
         parts.clear()
-        plain = False
+        plain = heading = False
+
+    def gap() -> None:
+        lines.append(GAP)
+        within.append(False)
 
     for k, (text, tag, attrs, closing) in enumerate(tokens):
         if k < until:
             continue
         if k > until and text:
             parts.append(text)
-            plain = plain or (not link_depth and not text.isspace())
+            if not text.isspace():
+                plain, heading = plain or k > link_until, heading or k <= heading_until
         if k == until:
-            lines.append(("", main_depth > 0, False))
+            gap()
             if own:
                 continue
         if tag in BLOCK:
             flush()
+        for open_ in (holders, groups, frames):
+            while open_[-1][1] <= k and len(open_) > 1:
+                open_.pop()
         if closing:
             if tag in MAIN and main_depth:
                 main_depth -= 1
-            elif tag == "a":
-                link_depth = 0
             continue
         if k not in ends:
             continue
         apart = tag in APART and not (tag == "header" and main_depth)    # an article's own heading
-        if apart or marked(tag, attrs, main_depth > 0) and 2 * (sizes[ends[k][0]] - sizes[k]) <= sizes[-1]:
+        if not apart and marked(tag, attrs, main_depth > 0):
+            at = bisect_right(marks, k)
+            apart = at == len(marks) or marks[at] >= ends[k][0]
+        if apart:
             if tag not in BLOCK:
                 flush()
             until, own = ends[k]
-            lines.append(("", main_depth > 0, False))
-        elif tag in MAIN:
-            main_depth += 1
+            gap()
         elif tag == "a":
-            link_depth = 1
+            link_until = ends[k][0]
+        else:
+            if tag in MAIN:
+                main_depth += 1
+                frames.append((k, ends[k][0]))
+            if tag in HOLDERS:
+                holders.append((k, ends[k][0]))
+                groups.append(holders[-1])
+            elif tag in LISTS:
+                groups.append((k, ends[k][0]))
+            elif tag in HEADINGS:
+                heading_until = ends[k][0]
     flush()
+    if sum(line[3] for line in lines) - sum(lines[k][3] for k in notices) >= ENOUGH:    # beside any text
+        for k in notices:
+            lines[k] = GAP
+    if 5 * sum(line[3] for line, x in zip(lines, within, strict=True) if x) >= max(1, sum(line[3] for line in lines)):
+        lines = [line if x else GAP for line, x in zip(lines, within, strict=True)]
     return lines
 
 
@@ -216,38 +261,43 @@ def surge_of(size: np.ndarray, sums: np.ndarray, share: float, enough: int) -> f
     return max(1.0, min(float(enough), share * float(sums[order[np.searchsorted(total, total[-1] / 2)]])))
 
 
-def main_text(page: str | None, window: int = 3, share: float = 0.25, enough: int = 120) -> str:
-    """Kept lines joined by a line feed. Without an ``article`` or ``main`` element, a block
-    begins where the window sum of a line and those after reaches the page's surge (see
-    surge_of), and ends where that of a line and those before falls below half of it or
-    ``window`` lines in a row are empty. Lines between a dive and a next surge without such a
-    gap are kept: short paragraphs and lists inside a text. Inside ``article`` or ``main``
-    every line with text besides links is a surge."""
+def main_text(page: str | None, window: int = 3, share: float = 0.25, enough: int = ENOUGH) -> str:
+    """Kept lines joined by a line feed. A block begins where the window sum of a line and those
+    after it in its element, list or table (for a heading, in any) reaches the page's surge (see surge_of), and ends where that of a line and those before
+    (in the same element, list or table, if it is in one) falls below half of it or ``window`` lines in a row have no length. Lines between a dive and
+    a next surge without such a gap are kept, and so are all lines of an element (article, main,
+    section, div) that directly holds a line at which a block surges."""
     if not page:
         return ""
     lines = lines_of(page)
-    within = any(in_main and text and plain for text, in_main, plain in lines)
-    size = np.array([len(text) if plain and (in_main or not within) else 0 for text, in_main, plain in lines])
+    size = np.array([line[3] for line in lines], dtype=np.int64)
+    if not size.any():
+        return ""
     sums = np.convolve(size, np.ones(window, dtype=int))[:len(size)]     # of a line and those before
-    ahead = np.convolve(size, np.ones(window, dtype=int))[window - 1:]   # of a line and those after
-    surge = 1.0 if within else surge_of(size, sums, share, enough)
-    kept: list[str] = []
-    low: list[str] | None = None        # lines since the dive; none before the first surge
+    mine = np.array([sum(n for _, _, g, n, *_ in lines[max(0, k - window + 1):k + 1] if g == line[2] or line[2] < 0)
+                     for k, line in enumerate(lines)], dtype=np.int64)      # the same, inside the line's element
+    surge = surge_of(size, mine, share, enough)
+    keep, holders = np.zeros(len(lines), bool), set()
+    low: list[int] | None = None        # lines since the dive; none before the first surge
     inside = False
-    for k, (text, in_main, _) in enumerate(lines):
+    for k, (text, holder, group, _, heading, frame) in enumerate(lines):
+        # of a line and those after: a menu entry does not surge with the text behind its element
+        own = sum(n for _, _, g, n, *_ in lines[k:k + window] if heading or g == group)
         if sums[k] == 0:
             inside, low = False, None
-        elif size[k] and ahead[k] >= surge:
-            kept += low or []
+        elif size[k] and own >= surge:
+            keep[low or []] = True
             inside, low = True, []
-        elif sums[k] < surge / 2:
+            holders |= {holder, frame}
+        elif mine[k] < surge / 2:
             inside = False
-        if text and (in_main or not within):
+        if text:
             if inside:
-                kept.append(text)
+                keep[k] = True
             elif low is not None:
-                low.append(text)
-    return "\n".join(kept)
+                low.append(k)
+    holders.discard(-1)
+    return "\n".join(text for k, (text, holder, _, _, _, frame) in enumerate(lines) if text and (keep[k] or holder in holders or frame in holders))
 
 
 def extracted(page: Column) -> Column:
