@@ -377,3 +377,17 @@ def test_join_rows_repeated_over_many_batches(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = ngram_join.near_texts(docs).groupBy("doc_id", "n_links", "component_id", "kept").count().collect()
     assert {tuple(r) for r in got} == {(1, 3500, 1, True, 3500), (2, 3500, 1, False, 1), (3, 0, 3, True, 1)}
+
+
+def test_pipeline_keeps_unlinked_texts_under_one_id(spark):
+    words = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, "s", "en", 1, words("a")), (1, "s", "en", 1, words("b")), (2, "s", "en", 1, words("c")),
+            (3, "s", "en", 1, words("d")), (3, "s", "en", 2, words("d") + " more"), (4, "s", "en", 1, words("e")), (5, "s", "en", 1, words("e")),
+            (6, "s", "en", 1, words("f")), (6, "s", "en", 1, words("f")), (None, "s", "en", 1, words("a")), (7, "s", "en", 1, None), (7, "s", "en", 1, None), (8, "s", "en", 1, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(3)
+    got = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF_SMALL).collect()), key=str)
+    one_of_3 = [r for r in got if r[0] == 3]
+    assert len(one_of_3) == 1 and one_of_3[0] in rows
+    want = [r for r in rows if r[0] not in (3, 5)]
+    want.remove(rows[7])
+    assert sorted((r for r in got if r[0] != 3), key=str) == sorted(want, key=str)

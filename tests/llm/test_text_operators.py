@@ -209,3 +209,39 @@ def test_pages_without_their_article_tag_give_the_same_text():
 def test_very_long_pages_of_many_blocks():
     blocks = "".join(f"<p>paragraph {k} with some words of its own and a few more</p>" for k in range(30_000))
     assert html_text.main_text(f"<nav>menu</nav><div>{blocks}</div><footer>f</footer>").count("\n") == 29_999
+
+
+def test_texts_without_a_letter_are_undetermined():
+    model = langid.train([("the cat sat on the mat " * 5, "en"), ("der hund und die katze " * 5, "de")] * 10)
+    parts, letters = (model.langs, model.rows, model.bias), langid.letter_table()
+    for text in ("😀😀", "𝟙𝟚𝟛", "\u0301", "123 ²!", "", None, "\U000E0100"):
+        assert langid.predict(text, parts, letters) == ("und", 0.0)
+    assert langid.predict("𐐷𐐯 the cat", parts, letters)[0] in model.langs and langid.predict("the cat", parts, letters)[0] == "en"
+
+
+def test_language_forward_pass_by_hand():
+    """Scores of a model again by loops over words: mean of the subwords' rows, then softmax."""
+    import math
+    import unicodedata
+    model = langid.train([("the cat sat on the mat " * 5, "en"), ("der hund und die katze " * 5, "de")] * 10, buckets=1 << 10)
+    letters = langid.letter_table()
+    for text in ("the cat", "die Katze, the mat!", "x", "und\nso"):
+        words = ["".join(ch.lower() for ch in w) for w in re.split(r"[^\w]|[\d_]", text) if w]
+        grams = []
+        for w in words:
+            marked = "\0" + w + "\0"
+            for n in langid.GRAMS:
+                grams += [marked[i:i + n] for i in range(len(marked) - n + 1) if marked[i:i + n].strip("\0") or n > 2]
+
+        def bucket(g):
+            # the hash of a gram: that of its first character, then one step per character
+            mask = 0xFFFFFFFF
+            h = ord(g[0]) * 0x9E3779B1 & mask
+            for n, ch in enumerate(g[1:], 2):
+                h = (h * 0x85EBCA6B & mask) ^ (ord(ch) * 0xC2B2AE35 + n & mask)
+            h = (h ^ h >> 15) * 0x2C1B3C6D & mask
+            return (h ^ h >> 13) & len(model.rows) - 1
+        z = [sum(float(model.rows[bucket(g)][k]) for g in grams) / len(grams) + float(model.bias[k]) for k in range(2)]
+        score = [math.exp(x) / sum(map(math.exp, z)) for x in z]
+        lang, got = langid.predict(text, (model.langs, model.rows, model.bias), letters)
+        assert lang == model.langs[score.index(max(score))] and got == pytest.approx(max(score), rel=1e-4)

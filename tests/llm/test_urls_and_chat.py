@@ -116,3 +116,22 @@ def test_pairs_against_brute_force(spark):
         want += [(p, "prompt", t, r, 0) for t, r, _ in side["chosen"][:n]]
         want += [(p, s, t, r, int(r == "assistant")) for s in side for t, r, _ in side[s][n:]]
     assert got == sorted(want)
+
+
+def test_registered_pairs_share_a_prompt(spark):
+    turns = spark.read.parquet(SF_SMALL + "/conversations.parquet").toPandas()
+    got = preferences.op8_preferences(spark, SF_SMALL).toPandas()
+    answer = turns[turns.role == "assistant"].sort_values("turn").groupby("conv_id").text.last()
+    ids = sorted(answer.index)
+    for conv, rows in turns.groupby("conv_id"):
+        mine = got[got.pair_id == conv]
+        if conv not in answer.index:
+            assert set(mine.part) == {"prompt"}
+            continue
+        other = answer.get(conv + 1, answer[ids[0]])
+        last = rows[rows.role == "assistant"].turn.max()
+        prompt = rows[rows.turn < last] if other != answer[conv] else rows
+        assert sorted(mine[mine.part == "prompt"].turn) == sorted(prompt.turn)
+        if other != answer[conv]:
+            assert [x for x in mine[(mine.part == "rejected") & (mine.train == 1)].rendered] == [f"<|im_start|>assistant\n{other}<|im_end|>\n"]
+    assert (got.part == "prompt").sum() > len(answer) / 2

@@ -103,13 +103,13 @@ def link_facts(nodes: DataFrame, found: DataFrame, component: str) -> DataFrame:
 
     ``nodes(node, rep, n)``: smallest id and number of rows of each node; ``found(node, links,
     root)``: rows of other nodes linked directly, and a node linked by a path. Result per node:
-    node, rep, n_links (other rows linked directly, copies included) and ``component``
-    (smallest id reachable)."""
+    node, rep, n_links (other rows linked directly, copies included), ``component`` (smallest
+    id reachable) and root (smallest node reachable, null for a node without links)."""
     whole = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     reps = nodes.select("node", "rep").join(whole, "node")
     low = stage(reps.groupBy("component").agg(F.min("rep").alias("low")), "low")  # written, so that AQE can split the join
-    reps = reps.join(low, "component").select("node", "low")
+    reps = reps.join(low, "component").select("node", "low", F.col("component").alias("root"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     # written, so that AQE can split the caller's join of a class that holds many rows
     return stage(nodes.select("node", "rep", "n").join(links, "node", "left").join(reps, "node", "left")
-            .select("node", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias(component)), "facts")
+            .select("node", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("low", "rep").alias(component), "root"), "facts")

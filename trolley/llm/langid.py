@@ -45,6 +45,9 @@ def subwords(text: str, letters: np.ndarray, buckets: int) -> np.ndarray:
     cp = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
     c = np.zeros(len(cp) + 2, dtype=np.uint32)
     c[1:-1] = np.where(cp < 0x10000, letters[np.minimum(cp, 0xFFFF)], cp)
+    for far in np.unique(cp[cp >= 0x10000]).tolist():       # beyond the table
+        if unicodedata.category(chr(far))[0] not in "LM":
+            c[1:-1][cp == far] = 0
     inside = c > 0
     out = []
     h = c * np.uint32(0x9E3779B1)
@@ -117,7 +120,7 @@ def train(samples: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16,
 
 def predict(text: str | None, parts: tuple[list[str], np.ndarray, np.ndarray] | None, letters: np.ndarray) -> tuple[str, float]:
     """Language and score of a text by (langs, rows, bias) of a model."""
-    if not text or not parts:
+    if not text or not parts or not any(map(str.isalpha, text)):    # marks alone are no letters
         return "und", 0.0
     langs, rows, bias = parts
     idx = subwords(text, letters, len(rows))

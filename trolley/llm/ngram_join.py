@@ -154,10 +154,13 @@ def _verify(threshold: float):
 
 
 def near_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.9999, doc_id: str = "doc_id", text: str = "text",
-               chunk_rows: int = 512, chunk_shingles: int = 262_144) -> DataFrame:
+               chunk_rows: int = 512, chunk_shingles: int = 262_144, keys: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest id with the same shingle set),
     n_links (other rows with a Jaccard similarity of at least ``threshold``), component_id
-    (smallest id reachable by links) and kept (doc_id = component_id).
+    (smallest id reachable by links) and kept (doc_id = component_id). With ``keys`` also
+    text_key (binary digest of the text) and group_key (binary, the same for the rows of a
+    group of linked texts and for no others; null where a row links with nothing by rule):
+    they tell rows apart whose ids clash.
 
     Words are runs of letters, marks, digits and underscores, lower-cased; for texts with
     fewer see shingle_set. Null and blank texts and rows with a null id link with nothing.
@@ -177,8 +180,9 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall:
                 s = shingle_set(t, chars, words)
                 out.append((set_id(s), len(s), hashes.band_hashes(s)) if len(s) else (None, 0, None))
             yield pd.DataFrame(out, columns=["node", "size", "bands"])
-    signed = stage(rows.select("doc_id", sign("text").alias("s"))
-                   .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("s.node")).alias("node"), "s.size", "s.bands"), "signed")
+    text_key = [F.unhex(F.sha2("text", 256)).alias("text_key")] if keys else []
+    signed = stage(rows.select("doc_id", *text_key, sign("text").alias("s"))
+                   .select("doc_id", *(["text_key"] if keys else []), F.when(F.col("doc_id").isNotNull(), F.col("s.node")).alias("node"), "s.size", "s.bands"), "signed")
     # the first 7 bytes name a node among candidates: a clash only adds a candidate
     short = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long").alias("k")
     nodes = stage(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"),
@@ -215,9 +219,10 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall:
                      (F.col("chunk") <= F.col("to")).alias("left"), (F.col("chunk") == F.col("to")).alias("same")))
     found = stage(units.groupBy("grp", "a", "b").applyInPandas(_verify(threshold), "node binary, links long, root binary"), "links")
     facts = link_facts(nodes, found, "component_id").withColumnRenamed("rep", "class_id")
-    return (signed.select("doc_id", "node").join(facts, "node", "left")
-            .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                    F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_rows = signed.drop("size", "bands").join(facts, "node", "left")
+    return (of_rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                    F.coalesce("component_id", "doc_id").alias("component_id"),
+                    *(["text_key", F.coalesce("root", "node").alias("group_key")] if keys else []))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 

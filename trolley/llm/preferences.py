@@ -59,19 +59,40 @@ def format_preferences(turns: DataFrame) -> DataFrame:
                     F.when(~common & F.col("role").eqNullSafe(F.lit("assistant")), F.lit(1)).otherwise(F.lit(0)).alias("train")))
 
 
+def with_rejected(turns: DataFrame) -> DataFrame:
+    """Pairs from conversations without preference labels: each conversation is the chosen side
+    of the pair of its id; the rejected side is the same turns with the text of its last
+    assistant turn taken from another conversation, the one with the next id, or where that has
+    none, the first one that has. So every turn before the answer is shared.
+
+    A conversation without an assistant turn, and one whose answer equals the other's, has equal
+    sides and is all prompt. Several assistant rows under the last number are all replaced; the
+    text taken is the greatest of such. Null ids form one pair."""
+    answers = turns.filter("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)).alias("turn"), "text")).alias("a"))
+    first = answers.filter("conv_id is not null").agg(F.min_by("a.text", "conv_id")).scalar()
+    other = answers.select((F.col("conv_id") - 1).alias("of"), F.col("a.text").alias("answer"), F.lit(True).alias("found"))
+    last = answers.join(other, F.col("conv_id") == F.col("of"), "left").select(
+        F.col("conv_id").alias("own"), F.col("a.turn").alias("last"), F.when(F.col("found"), F.col("answer")).otherwise(first).alias("answer"))
+    both = turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").join(last, F.col("pair_id").eqNullSafe(F.col("own")), "left")
+    here = (F.col("role") == "assistant") & (F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)) == F.col("last"))
+    side = lambda name, text: F.struct(F.lit(name).alias("side"), text.alias("text"))
+    sides = F.array(side("chosen", F.col("text")), side("rejected", F.when(here, F.col("answer")).otherwise(F.col("text"))))
+    return both.select("pair_id", "turn", "role", F.explode(sides).alias("s")).select("pair_id", "turn", "role", "s.side", "s.text")
+
+
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no preference labels: conversations 2k and 2k+1 are taken as the chosen
-    and the rejected one of pair k."""
-    c = table(spark, sf_dir, "conversations")
-    return format_preferences(c.select(
-        F.floor(F.col("conv_id") / 2).alias("pair_id"),
-        F.when(F.pmod(F.col("conv_id"), F.lit(2)) == 1, F.lit("rejected")).otherwise(F.lit("chosen")).alias("side"),
-        "turn", "role", "text"))
+    """The table has no preference labels; see with_rejected."""
+    return format_preferences(with_rejected(table(spark, sf_dir, "conversations")))
 
 
 SQL = """
-WITH t AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 1 THEN 'rejected' ELSE 'chosen' END AS side,
-  turn, role, text FROM conversations),
+WITH answers AS (SELECT conv_id, max(turn) AS turn, arg_max(text, struct_pack(a := turn, b := text)) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+last AS (SELECT a.conv_id, a.turn, CASE WHEN b.conv_id IS NOT NULL THEN b.text ELSE (SELECT arg_min(text, conv_id) FROM answers) END AS answer
+  FROM answers a LEFT JOIN answers b ON b.conv_id = a.conv_id + 1),
+t AS (SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
+  UNION ALL
+  SELECT c.conv_id, 'rejected', c.turn, role, CASE WHEN role = 'assistant' AND c.turn = l.turn THEN l.answer ELSE c.text END
+  FROM conversations c LEFT JOIN last l ON l.conv_id = c.conv_id),
 g AS (SELECT pair_id, turn, list(struct_pack(role := role, text := text) ORDER BY role, text) FILTER (side = 'chosen') AS c,
   list(struct_pack(role := role, text := text) ORDER BY role, text) FILTER (side = 'rejected') AS r FROM t GROUP BY ALL),
 cuts AS (SELECT pair_id, min(turn) AS cut FROM g WHERE c IS DISTINCT FROM r GROUP BY pair_id)
