@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley.llm import common, decontaminate, langid, mixing, ngram_join, pii
-from trolley.plans.joins import checked_broadcast
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,20 +22,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, the one with the smallest id. An
-    id is one document: of rows that repeat an id the smallest stays. Null ids stay."""
-    ids = (ngram_join.near_texts(docs).filter("doc_id is not null").groupBy("doc_id")
-           .agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
-    ids = common.stage(ids.filter("not kept or n > 1"), "ids")
-    more = ids.filter("kept")
-    once = docs.join(checked_broadcast(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
-    least = (docs.join(checked_broadcast(more.select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
-             .groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    """One document of each group of linked texts stays, the one with the smallest id (of rows
+    that repeat it the smallest one). Rows whose ids clash are told apart by their texts, so
+    texts that are not linked all stay. Null ids, null and blank texts stay as they are."""
+    rows = ngram_join.near_texts(docs, keys=True)
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    groups = common.stage(rows.filter("group_key is not null").groupBy("group_key").agg(F.count("*").alias("n"), first).filter("n > 1"), "groups")
+    gone = common.stage(rows.join(groups.select("group_key"), "group_key", "left_semi").groupBy("doc_id", "text_key").agg(F.lit(1).alias("x")), "grouped")
+    key = F.unhex(F.sha2("text", 256))
+    same = lambda side: (docs["doc_id"] == side["doc_id"]) & (key == side["text_key"])
+    once = docs.join(gone, same(gone), "left_anti")
+    keep = groups.select("first.*")
+    least = (docs.join(keep, same(keep), "left_semi")
+             .groupBy(F.col("doc_id").alias("_id"), key.alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
     return once.unionByName(least)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go. Null, empty and wordless texts hold
+    none and stay; repeated rows are judged alike; other columns are kept."""
     found = decontaminate.find_contamination(docs, common.table(spark, sf_dir, "benchmark"), into="_hits")
     return found.filter(F.size("_hits") == 0).select(*docs.columns)
 
@@ -48,7 +52,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per draw of a document, with draw, shard and shard_order; sources come near
-    their target words."""
+    their target words. A null source is one source, a null text has no words, repeated rows
+    are documents of their own; columns named like the three new ones are replaced."""
     return mixing.mix(docs)
 
 
