@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley.llm import common, decontaminate, langid, mixing, ngram_join, pii
+from trolley.plans.joins import checked_broadcast
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = common.stage(rows.join(groups.select("group_key"), "group_key", "left_semi").groupBy("doc_id", "text_key").agg(F.lit(1).alias("x")), "grouped")
     key = F.unhex(F.sha2("text", 256))
     same = lambda side: (docs["doc_id"] == side["doc_id"]) & (key == side["text_key"])
+    # checked by rows and bytes: beyond the bounds both joins shuffle the texts
+    gone, keep = checked_broadcast(gone), checked_broadcast(common.stage(groups.select("first.*"), "first"))
     once = docs.join(gone, same(gone), "left_anti")
-    keep = groups.select("first.*")
     least = (docs.join(keep, same(keep), "left_semi")
              .groupBy(F.col("doc_id").alias("_id"), key.alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
     return once.unionByName(least)
