@@ -32,6 +32,11 @@ def customer_label(cid: Column) -> Column:
     return F.concat(F.lit("Cliente "), cid.cast("string"))
 
 
+def store_label(store) -> Column:
+    """'Tienda 102'."""
+    return F.concat(F.lit("Tienda "), store.cast("string"))
+
+
 def rule_text(items: Column) -> Column:
     """[3, 21] -> 'P3, P21'."""
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("P"), x.cast("string"))), ", ")

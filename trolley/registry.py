@@ -1358,6 +1358,13 @@ def top_products_labels(spark, sf):
                       "frecuencia_absoluta")
 
 
+@register("store_labels", q("SELECT concat('Tienda ', id_tienda) AS label, count(*) AS \"rows\" FROM flat GROUP BY id_tienda"))
+def store_labels(spark, sf):
+    """F11 + A24: items per store under the store's display label."""
+    from trolley.functions.labels import store_label
+    return TB.rows_per_store(_flat(spark, sf)).select(store_label(F.col("id_tienda")).alias("label"), "rows")
+
+
 @register("etl_table_counts", q("""
 SELECT 'transactions_flat' AS "table", count(*) AS "rows" FROM flat
 UNION ALL SELECT 'customer_features', count(DISTINCT id_cliente) FROM flat
