@@ -56,7 +56,8 @@ def append_batch(v: Version, batch: DataFrame) -> None:
     FS.append_flat(v, unseen_rows(batch, v.load(FLAT, S.TRANSACTIONS_FLAT, batch_months(batch))))
 
 
-def ingest(v: Version, lines: DataFrame, files: DataFrame, lookup: DataFrame, on_bad: str = "record") -> None:
+def ingest(v: Version, lines: DataFrame, files: DataFrame, lookup: DataFrame, on_bad: str = "record",
+           customer_buckets: int = incremental.BUCKETS) -> None:
     """Steps 3 to 6 and 8 for the raw ``lines`` of ``files(file_name)``."""
     if on_bad not in ("record", "fail"):
         raise ValueError("on_bad must be 'record' or 'fail'")
@@ -64,16 +65,17 @@ def ingest(v: Version, lines: DataFrame, files: DataFrame, lookup: DataFrame, on
     if on_bad == "fail" and (bad := stats.filter("rejected > 0").orderBy("file_name").first()):
         raise ValueError(f"{bad['file_name']}: {bad['rejected']} lines are not usable")
     append_batch(v, new_items(FS.typed_transactions(lines), lookup))
-    incremental.refresh(v)
+    incremental.refresh(v, customer_buckets)
     v.append("rejects", FS.rejects(lines).select(*S.REJECTS.fieldNames()), merge=lambda parts: v.load("rejects", S.REJECTS))
     RG.register_files(v, RG.registry_rows(files, stats))
 
 
 def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product_category_path: str,
             out: str, force: bool = False, refresh_rules: bool = True, rules_params: dict | None = None,
-            on_bad: str = "record") -> dict:
+            on_bad: str = "record", customer_buckets: int = incremental.BUCKETS) -> dict:
     """Run one incremental ETL step; returns the published tables (S18), ``{}`` if nothing is new.
-    ``rules_params`` may name the ``item`` column of the rules (the product by default)."""
+    ``rules_params`` may name the ``item_col`` of the rules (the product by default);
+    ``customer_buckets`` counts for the first run of a store."""
     registry = RG.load_registry(spark, out)
     files = RG.list_files(spark, landing_dir) if force else RG.discover_new_files(spark, landing_dir, registry)
     paths = [r.path for r in files.select("path").orderBy("path").collect()]  # file names only
@@ -82,7 +84,7 @@ def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product
     lookup = product_lookup(FS.read_categories(spark, categories_path),
                             FS.read_product_category(spark, product_category_path))
     v = Version(spark, out, fresh=force)
-    ingest(v, FS.read_raw_lines(spark, paths), files, lookup, on_bad)
+    ingest(v, FS.read_raw_lines(spark, paths), files, lookup, on_bad, customer_buckets)
     if refresh_rules or "association_rules" not in v.tables:
         params = {"item_col": "id_producto", **(rules_params or {})}
         v.replace("association_rules", RU.compute_association_rules(v.load(FLAT, S.TRANSACTIONS_FLAT), **params))
