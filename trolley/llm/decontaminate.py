@@ -11,11 +11,15 @@ themselves, so that a passage at the largest allowed distance is found with the
 It grows with the length, so long items are cut into segments: one of them holds no more than
 its share of the edits, and a candidate of any is verified on the whole item.
 
+Items so short that no edit is allowed are looked for by their exact words. Characters of scripts
+written without spaces are words of their own.
+
 Windows with too few words or word pairs of the items are left out first. This loses nothing:
 within the distance, a passage has at most one foreign word and two foreign pairs per edit."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +32,15 @@ from .ngram_join import word_hashes, word_table
 
 HIT = "struct<item_id:bigint,n_words:int,distance:int,last_word:int>"
 
+# Thai and Lao, Burmese, Khmer, Han with radicals and kana
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf"
+                      "\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+
+
+def hashed_words(text: str, chars: np.ndarray) -> np.ndarray:
+    """Hashes of the text's words; a character of an unspaced script is a word."""
+    return word_hashes(text if text.isascii() else UNSPACED.sub(r" \1 ", text), chars)
+
 
 @dataclass
 class LengthClass:
@@ -106,7 +119,7 @@ def build_index(items: list[tuple[int, str | None]], rate: float, recall: float,
     """Index of (item_id, text); items with fewer than ``min_words`` words are left out. Longer
     items than ``segment_words`` are looked for by their segments."""
     chars = word_table()
-    hashed = [(i, word_hashes(t, chars)) for i, t in items if i is not None and t]
+    hashed = [(i, hashed_words(t, chars)) for i, t in items if i is not None and t]
     hashed = [(i, h) for i, h in hashed if len(h) >= min_words]
     vocabulary = np.unique(np.concatenate([h for _, h in hashed])) if hashed else np.zeros(0, np.uint64)
     words = [(np.searchsorted(vocabulary, h) + 1).tolist() for _, h in hashed]
@@ -190,6 +203,7 @@ def contaminated(texts: list[np.ndarray], index: Index) -> list[list[tuple[int,
     if len(index.pairs):
         pairs[at] = np.where(index.pairs[where] == pair, where + 1, 0)
     found: set[tuple[int, int, int]] = set()    # text, item, place of its first word if nothing moved
+    best: dict[tuple[int, int], tuple[int, int]] = {}
     for c in index.classes:
         starts = np.arange(len(flat))
         for member, width, least in ((c.pairs[pairs], c.shortest - 1, c.shortest - 1 - 2 * c.edits),
@@ -220,8 +234,13 @@ def contaminated(texts: list[np.ndarray], index: Index) -> list[list[tuple[int,
             inside += np.arange(len(at))[:, None] * (len(own) + 1)
             counts = np.bincount(inside.ravel(), minlength=len(at) * (len(own) + 1)).reshape(len(at), -1)[:, 1:]
             at = at[np.minimum(counts, times).sum(1) >= n - 1 - 2 * most]
+            words = index.words[item]
+            if n == len(words) and int(index.rate * n) == 0:    # no edit is allowed: the first exact place of each text
+                at = at[(numbers[np.minimum(at[:, None] + np.arange(n), last[doc[at]][:, None])] == np.array(words)).all(1)]
+                texts_with, place = np.unique(doc[at], return_index=True)
+                best.update(((int(d), item), (0, int(at[x] - first[d]) + n)) for d, x in zip(texts_with, place, strict=True))
+                continue
             found.update((int(d), item, int(x) - offset) for d, x in zip(doc[at], at, strict=True))
-    best: dict[tuple[int, int], tuple[int, int]] = {}
     reach: tuple[int, int, int] = (-1, -1, -1)
     cut = {k: most for k, offset, _, most in index.segments if offset}
     for d, k, start in sorted(found):       # overlapping windows are searched together
@@ -255,7 +274,7 @@ def _hits(text: Column, spark: SparkSession, index: Index, words_at_once: int =
             out: list[list] = []
             block, held = [], 0
             for t in texts:
-                block.append(word_hashes(t, chars) if t else np.zeros(0, np.uint64))
+                block.append(hashed_words(t, chars) if t else np.zeros(0, np.uint64))
                 held += len(block[-1])
                 if held > words_at_once:
                     out += contaminated(block, index)
@@ -267,15 +286,16 @@ def _hits(text: Column, spark: SparkSession, index: Index, words_at_once: int =
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "hits", item_id: str = "item_id",
                        item_text: str = "text", rate: float = 0.2, recall: float = 0.99, samples: int = 2, most: int = 64,
-                       min_words: int = 5, block_items: int = 2_000, seed: int = 17,
+                       min_words: int = 1, block_items: int = 2_000, seed: int = 17,
                        block_chars: int = 1_000_000) -> DataFrame:
     """``docs`` with ``into``: array of (item_id, n_words, distance, last_word) of the items of
     which the text holds a passage with at most ``rate`` times n_words word edits, by item_id
     order within each block of items; last_word is the number of words up to the passage's end.
 
     ``recall`` holds for passages at the largest distance; exact passages always share all
-    keys. Null, empty and wordless texts have no hits; items with null id or text and items
-    with fewer than ``min_words`` words (common phrases) are not looked for. Repeated items
+    keys. Items of fewer than 1 / ``rate`` words are found by their exact words only. Null, empty
+    and wordless texts have no hits; items with null id or text, without a word or with fewer
+    than ``min_words`` words are not looked for. Repeated items
     are found each; repeated rows stay; an existing column ``into`` is replaced. The benchmark
     is a query set: it is read and broadcast in blocks of about ``block_items`` items or
     ``block_chars`` characters, whichever is less, each block against all rows. Long items are

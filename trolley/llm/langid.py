@@ -2,9 +2,10 @@
 trained by stochastic gradient descent in numpy, with calibrated rejection.
 
 Training uses a bounded sample (``per_lang`` documents per language, one window of at most
-``window`` characters each). Prediction reads every text whole: the averaged embedding times
-the softmax weights is an average of one row per subword, so the model that goes to the
-executors is one (buckets x languages) table."""
+``window`` characters each). Prediction reads every text whole. The averaged
+embedding times the softmax weights is an average of one row per subword, so the model that
+goes to the executors is one (buckets x languages) table, or, with more languages than
+dimensions, the embeddings and the weights, which hardly grow with the languages."""
 
 from __future__ import annotations
 
@@ -16,7 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import bounded_batches, table
+from trolley.plans.joins import checked_broadcast
+
+from .common import bounded_batches, stage, table
 
 GRAMS = (1, 2, 3, 4)
 
@@ -27,6 +30,11 @@ class Model:
     rows: np.ndarray        # (buckets, langs): embedding times weights, over the temperature
     bias: np.ndarray
     threshold: float        # below this score a prediction is rejected
+    weights: np.ndarray | None = None   # (dim, langs): if given, ``rows`` are the embeddings alone
+
+    @property
+    def parts(self) -> tuple:
+        return self.langs, self.rows, self.bias, self.weights
 
 
 def letter_table() -> np.ndarray:
@@ -102,8 +110,10 @@ def train(samples: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16,
             w -= lr * np.outer(h, g)
             b -= lr * g
             emb[u] = rows - lr * share * len(u) ** 0.5 * back
-    table_ = emb @ w
-    logits = np.array([(table_[u] * share).sum(0) + b for u, share, _ in check])
+    folded = len(langs) <= dim
+    table_, head = (emb @ w, None) if folded else (emb, w)
+    held = [(table_[u] * share).sum(0) for u, share, _ in check]
+    logits = np.array([(x if folded else x @ head) + b for x in held])
     truth = np.array([y for *_, y in check])
 
     def probs(t: float) -> np.ndarray:
@@ -115,44 +125,54 @@ def train(samples: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16,
     p = probs(best)
     right = np.sort(p.max(1)[p.argmax(1) == truth])
     threshold = min(0.5, float(right[int(allowed * len(right))])) if len(right) else 0.0
-    return Model(langs, (table_ / best).astype(np.float32), (b / best).astype(np.float32), threshold)
+    bias = (b / best).astype(np.float32)
+    if folded:
+        return Model(langs, (table_ / best).astype(np.float32), bias, threshold)
+    return Model(langs, emb, bias, threshold, (w / best).astype(np.float32))
 
 
-def predict(text: str | None, parts: tuple[list[str], np.ndarray, np.ndarray] | None, letters: np.ndarray) -> tuple[str, float]:
-    """Language and score of a text by (langs, rows, bias) of a model."""
+def predict(text: str | None, parts: tuple | None, letters: np.ndarray) -> tuple[str, float]:
+    """Language and score of a text by (langs, rows, bias[, weights]) of a model."""
     if not text or not parts or not any(map(str.isalpha, text)):    # marks alone are no letters
         return "und", 0.0
-    langs, rows, bias = parts
+    langs, rows, bias, *more = parts
     idx = subwords(text, letters, len(rows))
     if not len(idx):
         return "und", 0.0
-    z = rows[idx].mean(0, dtype=np.float64) + bias
+    if len(idx) > len(rows):    # a very long text
+        z = np.bincount(idx, minlength=len(rows)) @ rows.astype(np.float64) / len(idx)
+    else:
+        z = rows[idx].mean(0, dtype=np.float64)
+    z = (z if not more or more[0] is None else z @ more[0]) + bias
     p = np.exp(z - z.max())
     k = int(p.argmax())
     return langs[k], float(p[k] / p.sum())
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 600, max_langs: int = 256,
-        window: int = 1000, **options) -> Model | None:
-    """Model fitted on at most ``per_lang`` rows (smallest seeded hash of ``key``) for each of
-    the ``max_langs`` most frequent languages, one window of ``window`` characters of each
-    text. Rows with a null language, key or text are not used."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 600,
+        most_rows: int = 150_000, window: int = 1000, **options) -> Model | None:
+    """Model fitted on at most ``per_lang`` rows (smallest seeded hash of ``key``) of each
+    language, one window of ``window`` characters of each text. Beyond ``most_rows`` /
+    ``per_lang`` languages each has fewer rows, one at least. Rows with a null language, key or
+    text are not used."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang)).count().orderBy(F.desc("count"), F.col(lang)).limit(max_langs).collect()}
-    if not counts:
-        return None
     h = F.xxhash64(F.lit(5), F.col(key))
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(min(10**6, int(1.3 * 10**6 * per_lang / n) + 1))).otherwise(share)
+    counts = stage(rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.min(h).alias("least")), "languages")
+    n_langs = counts.count()
+    if not n_langs:
+        return None
+    per_lang = max(1, min(per_lang, most_rows // n_langs))
     start = F.pmod(F.xxhash64(F.lit(6), F.col(key)), F.greatest(F.length(text) - window, F.lit(0)) + 1).cast("int") + 1
-    sample = (rows.filter(F.pmod(h, F.lit(10**6)) < share)
-              .select(F.col(lang).alias("l"), h.alias("h"), F.substring(F.col(text), start, F.lit(window)).alias("t"))
-              .orderBy("h", "l", "t").limit(2 * per_lang * len(counts)).collect())
-    seen: dict[str, int] = dict.fromkeys(counts, 0)
+    # more than per_lang rows by their hash's share, and the row of the least hash
+    drawn = (F.pmod(h, F.lit(10**6)) < F.floor(F.lit(1.3 * 10**6 * per_lang) / F.col("n")) + 1) | (h == F.col("least"))
+    sample = (rows.join(checked_broadcast(counts), F.col(lang) == F.col("l")).filter(drawn)
+              .select("l", h.alias("h"), F.substring(F.col(text), start, F.lit(window)).alias("t"))
+              .groupBy("l", "h").agg(F.min("t").alias("t"))     # rows that repeat a key count once
+              .orderBy("h", "l", "t").limit(2 * per_lang * n_langs).collect())
+    seen: dict[str, int] = {}
     samples = []
     for r in sample:
-        seen[r["l"]] += 1
+        seen[r["l"]] = seen.get(r["l"], 0) + 1
         if seen[r["l"]] <= per_lang:  # every third sample is short, for short texts
             samples.append((r["t"][:40 + abs(r["h"]) % 100] if seen[r["l"]] % 3 == 0 else r["t"], r["l"]))
     return train(samples, **options)
@@ -162,8 +182,8 @@ def language(text: Column, spark: SparkSession, model: Model | None) -> Column:
     """Struct (lang, score, rejected); ``und`` and 0 if the text is null or has no letter, or
     nothing was learned. Rejected: ``und``, or a score below the model's threshold."""
     bounded_batches(spark)
-    # buckets x languages numbers at most
-    shared = spark.sparkContext.broadcast((model.langs, model.rows, model.bias) if model else None)
+    # at most dim numbers a bucket and a language
+    shared = spark.sparkContext.broadcast(model.parts if model else None)
     cut = model.threshold if model else 0.0
 
     @F.pandas_udf("lang string, score double, rejected boolean")
