@@ -1,8 +1,9 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 
-from trolley.operators import recommend as RC
+from trolley.operators import neighbours, recommend as RC
 
 SCHEMA = "fecha date, id_tienda int, id_cliente long, id_producto long, nombre_categoria string"
 CATS = ["A", "B", "C", "D", "E"]
@@ -82,3 +83,35 @@ def test_full_rank_svd_cosine_equals_exact(spark):
     a = {r.id_cliente: r.sim for r in RC.cosine_to_target(exact, 3).collect()}
     b = {r.id_cliente: r.sim for r in RC.cosine_to_target(reduced, 3).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+@pytest.mark.parametrize("options", [{}, {"pivots": 3, "chunk": 4, "width": 0.3}])
+def test_all_neighbours_against_brute_force(spark, options):
+    """Clusters, many equal customers, proportional and disjoint counts, ties; whatever the cells."""
+    rng = np.random.default_rng(8)
+    rows = [(c, f"k{c % 4 * 5 + d}", int(n)) for c in range(60) for d, n in enumerate(rng.integers(0, 4, 5)) if n]
+    rows += [(100 + c, "k1", 2) for c in range(25)] + [(200 + c, "k30", c + 1) for c in range(3)] + [(300, "k2", 0), (None, "k1", 5)]
+    counts = spark.createDataFrame(rows, "id_cliente long, nombre_categoria string, n long")
+    got = {}
+    for r in neighbours.all_neighbours(counts, 7, **options).orderBy("target", "rank").collect():
+        got.setdefault(r["target"], []).append((r["id_cliente"], r["sim"]))
+    of = {}
+    for c, k, n in rows:
+        if c is not None and n:
+            of.setdefault(c, {})[k] = n
+    norm = {c: np.sqrt(sum(n * n for n in v.values())) for c, v in of.items()}
+    for t in of:
+        sims = [(-sum(n * of[c].get(k, 0) for k, n in of[t].items()) / (norm[t] * norm[c]), c) for c in of if c != t]
+        assert got[t] == [(c, -s) for s, c in sorted(sims)[:7]], t
+    assert set(got) == set(of)
+    assert 0 <= neighbours.pruned_share(counts, 7, **options) < 1
+    assert neighbours.all_neighbours(counts.limit(0), 7).count() == 0
+    assert neighbours.all_neighbours(counts.filter("id_cliente = 200"), 7).count() == 0
+
+
+def test_clustered_customers_are_pruned(spark):
+    """Twelve groups of customers without a common category: most pairs are never looked at."""
+    rng = np.random.default_rng(9)
+    rows = [(c, f"k{c % 12}_{d}", int(n)) for c in range(480) for d, n in enumerate(rng.integers(1, 30, 3))]
+    counts = spark.createDataFrame(rows, "id_cliente long, nombre_categoria string, n long")
+    assert neighbours.pruned_share(counts, 5) > 0.7

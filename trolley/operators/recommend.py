@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trolley.functions.numeric import round_even
+from trolley.operators.neighbours import all_neighbours
 from trolley.plans.joins import checked_broadcast
 from trolley.session import cut_lineage
 
@@ -186,6 +187,12 @@ def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5,
              for k in range(blocks)]
     nbrs = reduce(DataFrame.unionByName, parts)
     own = wanted.select(F.col("id_cliente").alias("target"), F.explode(F.map_keys("of")).alias("nombre_categoria"))
+    return score_targets(counts, nbrs, own, top_n)
+
+
+def score_targets(counts: DataFrame, nbrs: DataFrame, own: DataFrame, top_n: int = 5) -> DataFrame:
+    """W5 of many targets: best categories by the summed similarity of the neighbours
+    (target, id_cliente, sim) that bought them, without those in ``own`` (target, nombre_categoria)."""
     scored = (counts.filter(F.col("n") > 0).join(nbrs, "id_cliente")
               .join(own, ["target", "nombre_categoria"], "left_anti")
               .groupBy("target", "nombre_categoria").agg(F.sum("sim").alias("score"))
@@ -196,6 +203,13 @@ def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5,
                     "score", "rank"))
 
 
+def recommend_for_all(counts: DataFrame, top_n: int = 5, n_neighbors: int = 10) -> DataFrame:
+    """M14 for every customer: exact neighbours by the pruned join, then the scores."""
+    nbrs = cut_lineage(all_neighbours(counts, n_neighbors).drop("rank"))
+    own = counts.filter(F.col("n") > 0).select(F.col("id_cliente").alias("target"), "nombre_categoria")
+    return score_targets(counts, nbrs, own, top_n)
+
+
 def cosine_matrix_check(counts_pd, target_idx: int) -> np.ndarray:
     """Brute-force cosine row for tests (small fixtures only)."""
     m = np.asarray(counts_pd, dtype=float)

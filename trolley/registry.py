@@ -1065,6 +1065,24 @@ def recommend_customers_batch_small(spark, sf):
             .withColumn("rank", F.col("rank").cast("long")))
 
 
+_TOP_TARGETS = "SELECT id_cliente AS target FROM flat GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5"
+_ALL_SQL = _BATCH_SQL.replace(_TOP_TARGETS, "SELECT id_cliente AS target FROM flat GROUP BY 1")
+
+
+@register("neighbours_all", _ALL_SQL[:_ALL_SQL.index("SELECT target AS id_cliente")]
+          + f"SELECT target, id_cliente, {r('sim', 10)} AS sim, rk AS rank FROM nbs")
+def neighbours_all(spark, sf):
+    """M12 for every customer: pruned exact cosine join."""
+    return (RC.all_neighbours(RC.stored_counts(_flat(spark, sf)), 10)
+            .select("target", "id_cliente", round_even_col("sim", 10), "rank"))
+
+
+@register("recommend_customers_all", _ALL_SQL)
+def recommend_customers_all(spark, sf):
+    """M14 for every customer."""
+    return RC.recommend_for_all(RC.stored_counts(_flat(spark, sf)), 5, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
 # ---------------------------------------------------------------- phase 6: files, ETL, streaming
 
 import uuid  # noqa: E402
