@@ -115,3 +115,25 @@ def test_clustered_customers_are_pruned(spark):
     rows = [(c, f"k{c % 12}_{d}", int(n)) for c in range(480) for d, n in enumerate(rng.integers(1, 30, 3))]
     counts = spark.createDataFrame(rows, "id_cliente long, nombre_categoria string, n long")
     assert neighbours.pruned_share(counts, 5) > 0.7
+
+
+def test_many_distinct_customers_meet_as_matrices(spark):
+    """A chunk of targets meets its members in one product, categories in slices, over several blocks."""
+    rng = np.random.default_rng(10)
+    n = rng.integers(0, 6, (1200, 9)) * (rng.random((1200, 9)) < 0.7)
+    n[:, 0] += 1
+    left = tuple(np.concatenate(x) for x in zip(*((np.full(k.size, r), k, n[r][k]) for r, k in ((r, np.flatnonzero(n[r])) for r in range(1200))), strict=True))
+    whole, neighbours.COLUMNS = neighbours.COLUMNS, 4
+    try:
+        assert (neighbours.dots(left, 1200, left, 1200) == n @ n.T).all()
+    finally:
+        neighbours.COLUMNS = whole
+    rows = [(int(c), f"k{d}", int(n[c, d])) for c in range(1200) for d in np.flatnonzero(n[c])]
+    counts = spark.createDataFrame(rows, "id_cliente long, nombre_categoria string, n long")
+    got = {}
+    for r in neighbours.all_neighbours(counts, 5, chunk=40).orderBy("target", "rank").collect():
+        got.setdefault(r["target"], []).append(r["id_cliente"])
+    norm = np.sqrt((n * n).sum(1))
+    far = -((n @ n.T) / (norm[:, None] * norm))
+    np.fill_diagonal(far, np.inf)
+    assert all(got[c] == np.lexsort((np.arange(1200), far[c]))[:5].tolist() for c in range(1200))

@@ -2,77 +2,303 @@
 
 Customers with equal counts are one class, and a class offers its k + 1 smallest ids, which are
 all that ties can call for. Classes go to the nearest of a bounded number of pivots; a ring is
-the classes of a pivot within a range of angles. The angle between two vectors is at least the
-difference of their angles to a pivot, so a ring whose bound lies below a class's k-th
-similarity so far (from its own chunk, or from the farthest that the nearest rings can lie) is
-skipped whole. Rings are cut in chunks of bounded size;
-a class meets a chunk as one row, from which k + 1 neighbours come out: no pairs are written."""
+the classes of a pivot within a range of angles, and is cut in chunks of bounded size. The angle
+between two vectors is at least the difference of their angles to a pivot, so a chunk whose bound
+lies below a class's k-th similarity so far is skipped whole.
+
+Consecutive chunks make up a block, one row of a table. A block first meets itself; the bounds
+found there tell which other blocks it has to meet, and these are sent to it one behind the other.
+A chunk of targets and the chunks it meets are multiplied as matrices of counts (the integer dot
+products are exact), and only the k + 1 nearest of each target are kept: no pairs are written."""
 
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window, functions as F
 
+from trolley.plans.joins import checked_broadcast
 from trolley.session import cut_lineage
 
 SLACK = 1e-6    # rounding of acos near 1 is far below this
+BLOCKS = 64     # blocks of a table that has no more than BLOCK classes in each
+BLOCK = 128     # most chunks of a block
+COLUMNS = 2048  # categories that are multiplied at once
+CELLS = 1 << 20     # cells of a matrix of targets and rings that are sorted at once
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])    # executors need no copy of the repository
+
+PACKED = "block int, cls array<string>, chunk binary, size binary, cat binary, n binary, norm binary, ids binary, n_ids binary"
+
+
+def _bytes(values, kind) -> bytes:
+    return np.ascontiguousarray(values, dtype=kind).tobytes()
+
+
+def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Length of each list of a column and all values behind each other."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.diff(whole.offsets.to_numpy()), whole.flatten()
+
+
+def pack(table: pa.Table) -> pa.Table:
+    """The classes of one block, in the order of their chunks, as one row."""
+    table = table.sort_by([("at", "ascending"), ("cls", "ascending")])
+    size, entries = _lists(table["cats"])
+    n_ids, ids = _lists(table["ids"])
+    return pa.table({"block": table["block"].slice(0, 1).cast(pa.int32()), "cls": pa.array([table["cls"].to_pylist()], pa.list_(pa.string())),
+                     **{name: pa.array([_bytes(v, kind)], pa.binary()) for name, v, kind in (
+                         ("chunk", table["at"], np.int32), ("size", size, np.int32), ("cat", entries.field("c"), np.int32),
+                         ("n", entries.field("n"), np.int64), ("norm", table["norm"], np.float64), ("ids", ids, np.int64), ("n_ids", n_ids, np.int32))}})
+
+
+class Block:
+    """The classes of a packed row; ``chunk``: the number of each one's chunk, ascending."""
+
+    def __init__(self, row: dict):
+        of = lambda name, kind: np.frombuffer(row[name], dtype=kind)
+        self.chunk, self.norm = of("chunk", np.int32), of("norm", np.float64)
+        self.start = np.append(0, np.cumsum(of("size", np.int32), dtype=np.int64))
+        self.cat, self.n = of("cat", np.int32), of("n", np.int64)
+        self.first_id = np.append(0, np.cumsum(of("n_ids", np.int32), dtype=np.int64))
+        self.ids = of("ids", np.int64)
+        at = np.flatnonzero(np.append(True, np.diff(self.chunk) != 0))
+        self.runs = {int(c): (int(a), int(b)) for c, a, b in zip(self.chunk[at], at, np.append(at[1:], len(self.chunk)), strict=True)}
+
+    def __len__(self) -> int:
+        return len(self.norm)
+
+    def entries(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, category, count) of the classes from ``low`` to ``high``."""
+        a, b = self.start[low], self.start[high]
+        return np.repeat(np.arange(high - low), np.diff(self.start[low:high + 1])), self.cat[a:b], self.n[a:b]
+
+
+def dots(left: tuple, n_left: int, right: tuple, n_right: int) -> np.ndarray:
+    """Dot products of two sets of entries, over the categories that both have."""
+    shared = np.intersect1d(left[1], right[1])
+    out = np.zeros((n_left, n_right))
+    for k in range(0, len(shared), COLUMNS):
+        some = shared[k:k + COLUMNS]
+        sides = []
+        for (row, cat, n), rows in ((left, n_left), (right, n_right)):
+            at = np.minimum(np.searchsorted(some, cat), len(some) - 1)
+            fits = some[at] == cat
+            dense = np.zeros((rows, len(some)))
+            dense[row[fits], at[fits]] = n[fits]
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    return out
+
 
+def angles_to(block: Block, pivots: Block) -> np.ndarray:
+    """Angle of every class to every pivot."""
+    out = np.empty((len(block), len(pivots)))
+    for low in range(0, len(block), 4096):
+        high = min(low + 4096, len(block))
+        cosine = dots(block.entries(low, high), high - low, pivots.entries(0, len(pivots)), len(pivots))
+        out[low:high] = np.arccos(np.minimum(1.0, cosine / (block.norm[low:high, None] * pivots.norm)))
+    return out
 
-def _cosine(cats: Column, norm: Column, of: Column, other_norm: Column) -> Column:
-    """Cosine of a row's entries and a map of counts; the integer dot product is exact."""
-    dot = F.aggregate(cats, F.lit(0).cast("long"),
-                      lambda acc, e: acc + e["n"] * F.coalesce(F.try_element_at(of, e["nombre_categoria"]), F.lit(0)))
-    return dot.cast("double") / (norm * other_norm)
 
+class Nearest:
+    """The nearest ids of the classes of a block so far: ``far`` is minus the similarity, by
+    row ascending, ties by id."""
 
-def _best(k: int) -> Column:
-    """The ``k`` + 1 nearest ids of the chunk as (far, id): far is minus the similarity."""
-    found = F.transform("members", lambda m: F.transform(
-        m["ids"], lambda i: F.struct((-_cosine(F.col("cats"), F.col("norm"), m["of"], m["norm"])).alias("far"), i.alias("id"))))
-    return F.slice(F.array_sort(F.flatten(found)), 1, k + 1)
+    def __init__(self, block: Block, pivots: Block, chunks: dict, k: int):
+        self.block, self.k, self.angles, self.looked = block, k, angles_to(block, pivots), 0
+        self.far, self.id = np.full((len(block), k + 1), np.inf), np.zeros((len(block), k + 1), dtype=np.int64)
+        self.bound = self._by_rings(chunks)     # minus a similarity that k + 1 ids are known to reach
 
+    def _by_rings(self, chunks: dict) -> np.ndarray:
+        """The k + 1 nearest lie within the first chunks that hold as many, seen from their far ends."""
+        out = np.zeros(len(self.block))
+        some = np.argsort(-chunks["size"], kind="stable")[:4096]    # fewer chunks only loosen the bound
+        step = max(1, CELLS // max(1, len(some)))
+        for low in range(0, len(out), step):
+            far = self.angles[low:low + step][:, chunks["cell"][some]] + chunks["hi"][some]
+            order = np.argsort(far, axis=1)
+            held = np.cumsum(chunks["size"][some][order], axis=1) > self.k
+            at = np.argmax(held, axis=1)[:, None]
+            reach = np.take_along_axis(far, np.take_along_axis(order, at, 1), 1)[:, 0]
+            out[low:low + step] = np.where(held.any(1) & (reach < math.pi / 2), -np.cos(np.minimum(reach, math.pi / 2)), 0.0)
+        return out
 
-def _prepared(counts: DataFrame, k: int, pivots: int, chunk: int, width: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Customers (id_cliente, cls), classes with their surviving ``rings`` and chunks of members."""
-    entry = F.struct("nombre_categoria", "n")   # at most one per category
-    vectors = (counts.filter("n > 0").groupBy("id_cliente")
-               .agg(F.array_sort(F.collect_list(entry)).alias("cats"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")))
+    def open(self, low: int, high: int, chunks: dict, which: np.ndarray) -> np.ndarray:
+        """Chunks of ``which`` that may hold one of the nearest of a class from ``low`` to ``high``."""
+        at = self.angles[low:high][:, chunks["cell"][which]]
+        near = np.cos(np.maximum(0.0, np.maximum(at - chunks["hi"][which], chunks["lo"][which] - at)))
+        limit = -np.minimum(self.far[low:high, -1], self.bound[low:high]) - SLACK
+        return which[(near >= limit[:, None]).any(0)]
+
+    def meet(self, low: int, high: int, other: Block, chunks) -> None:
+        """Take in the classes of some chunks of ``other`` for the classes from ``low`` to ``high``."""
+        runs = [other.runs[int(c)] for c in chunks]
+        for group in self._grouped(runs):
+            self._meet(low, high, other, group)
+
+    @staticmethod
+    def _grouped(runs: list) -> Iterator[list]:
+        group, held = [], 0
+        for a, b in runs:
+            if group and held + b - a > 8192:
+                yield group
+                group, held = [], 0
+            group.append((a, b))
+            held += b - a
+        if group:
+            yield group
+
+    def _meet(self, low: int, high: int, other: Block, runs: list) -> None:
+        members = np.concatenate([np.arange(a, b) for a, b in runs])
+        members = members[np.argsort(other.ids[other.first_id[members]], kind="stable")]    # ties: smaller id
+        sizes = (other.start[members + 1] - other.start[members])
+        take = np.repeat(other.start[members] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+        dot = dots(self.block.entries(low, high), high - low, (np.repeat(np.arange(len(members)), sizes), other.cat[take], other.n[take]), len(members))
+        far = -(dot / (self.block.norm[low:high, None] * other.norm[members]))
+        self.looked += far.size
+        k = self.k
+        limit = np.minimum(self.far[low:high, -1], np.where(self.bound[low:high] < 0, self.bound[low:high] + SLACK, np.inf))
+        mask = far <= limit[:, None]
+        many = np.flatnonzero(mask.sum(1) > k + 1)
+        if len(many):   # k + 1 classes by (far, smallest id) hold the k + 1 nearest ids
+            least = np.partition(far[many], k, axis=1)[:, k:k + 1]
+            under, tied = far[many] < least, far[many] == least
+            mask[many] = under | tied & (np.cumsum(tied, axis=1) <= k + 1 - under.sum(1, keepdims=True))
+        row, column = np.nonzero(mask)
+        if not len(row):
+            return
+        n_ids = np.diff(other.first_id)[members[column]]
+        at = np.repeat(other.first_id[members[column]] - np.append(0, np.cumsum(n_ids)[:-1]), n_ids) + np.arange(n_ids.sum())
+        touched = np.unique(row)
+        place = np.searchsorted(touched, row)
+        rows = np.concatenate([np.repeat(place, n_ids), np.repeat(np.arange(len(touched)), k + 1)])
+        fars = np.concatenate([np.repeat(far[row, column], n_ids), self.far[low + touched].ravel()])
+        ids = np.concatenate([other.ids[at], self.id[low + touched].ravel()])
+        order = np.lexsort((ids, fars, rows))
+        begin = np.searchsorted(rows[order], np.arange(len(touched)))
+        best = order[begin[:, None] + np.arange(k + 1)]
+        self.far[low + touched], self.id[low + touched] = fars[best], ids[best]
+
+
+def _tables(counts: DataFrame, k: int, pivots: int, chunk: int, width: float):
+    """Customers (id_cliente, cls), packed blocks, the facts of the chunks and the pivots."""
+    kinds = counts.filter("n > 0").select("nombre_categoria").distinct()
+    number = F.row_number().over(Window.orderBy("nombre_categoria")).alias("c")    # one row per category
+    numbered = counts.filter("n > 0").join(checked_broadcast(cut_lineage(kinds.select("nombre_categoria", number))), "nombre_categoria")
+    vectors = (numbered.groupBy("id_cliente")
+               .agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("cats"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")))
     vectors = cut_lineage(vectors.withColumn("cls", F.sha2(F.to_json("cats"), 256)))
     smallest = F.row_number().over(Window.partitionBy("cls").orderBy("id_cliente"))
     classes = cut_lineage(vectors.withColumn("rk", smallest).filter(F.col("rk") <= k + 1).groupBy("cls")
                           .agg(F.array_sort(F.collect_list("id_cliente")).alias("ids"), F.first("cats").alias("cats"), F.first("norm").alias("norm")))
-    some = classes.orderBy(F.xxhash64("cls"), "cls").limit(pivots)
-    held = some.agg(F.collect_list(F.struct(F.map_from_entries("cats").alias("of"), "norm"))).scalar()
-    angles = F.transform("pivots", lambda p: F.acos(F.least(F.lit(1.0), _cosine(F.col("cats"), F.col("norm"), p["of"], p["norm"]))))
-    placed = classes.withColumn("pivots", held).withColumn("angles", angles).drop("pivots").withColumn("angle", F.array_min("angles"))
-    placed = cut_lineage(placed.withColumn("cell", F.array_position("angles", F.col("angle")).cast("int"))
-                         .withColumn("ring", F.floor(F.col("angle") / width).cast("int")))
+    some = pack(classes.orderBy(F.xxhash64("cls"), "cls").limit(pivots).select("*", F.lit(0).alias("block"), F.lit(0).alias("at")).toArrow()
+                ).to_pylist() if not classes.isEmpty() else []     # no more than ``pivots`` rows
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = Block(some[0])
+            table = pa.table({**{c: batch[c] for c in batch.schema.names}, "block": pa.array(np.zeros(len(batch), np.int32)), "at": pa.array(np.arange(len(batch), dtype=np.int32))})
+            angles = angles_to(Block(pack(table).to_pylist()[0]), of) if len(batch) else np.zeros((0, 1))
+            cell = angles.argmin(1)
+            angle = angles[np.arange(len(batch)), cell]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.floor(angle / width).astype(np.int32)), pa.array(angle)],
+                                             names=[*batch.schema.names, "cell", "ring", "angle"])
+    placed = cut_lineage(classes.mapInArrow(place, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in classes.schema)}, cell int, ring int, angle double"))
     # pivots x pi/2/width rows at most
-    rings = cut_lineage(placed.groupBy("cell", "ring").agg(F.count("*").alias("size"), F.min("angle").alias("lo"), F.max("angle").alias("hi")))
-    parts = F.ceil(F.col("size") / chunk)
-    dealt = cut_lineage(placed.join(F.broadcast(rings.select("cell", "ring", "size")), ["cell", "ring"])
-                        .withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).drop("size"))
-    member = F.struct("ids", F.map_from_entries("cats").alias("of"), "norm")
-    chunks = cut_lineage(dealt.groupBy("cell", "ring", "part").agg(F.collect_list(member).alias("members")))
-    near = dealt.join(chunks, ["cell", "ring", "part"]).withColumn("best", _best(k))
-    reached = F.when(F.size("best") > k, -F.element_at("best", k + 1)["far"]).otherwise(F.lit(0.0))
-    none = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0.0).alias("far"))
-    farthest = F.array_sort(F.transform("rings", lambda r: F.struct((F.element_at("angles", r["cell"]) + r["hi"]).alias("far"), r["size"].alias("size"))))
-    # the k + 1 nearest lie within the first rings that hold as many
-    within = F.aggregate(farthest, none, lambda a, r: F.when(a["held"] > k, a).otherwise(
-        F.struct((a["held"] + r["size"]).alias("held"), r["far"].alias("far"))))
-    by_rings = F.when((F.col("within.held") > k) & (F.col("within.far") < math.pi / 2), F.cos("within.far")).otherwise(F.lit(0.0))
-    all_rings = rings.agg(F.collect_list(F.struct("cell", "ring", "size", "lo", "hi"))).scalar()
-
-    def open_(r: Column) -> Column:
-        at = F.element_at("angles", r["cell"])
-        return F.cos(F.greatest(F.lit(0.0), at - r["hi"], r["lo"] - at)) >= F.col("reached") - SLACK
-    # written before the test of the rings, which would else work it out for each of them
-    bounded = cut_lineage(near.withColumn("reached", reached).withColumn("rings", all_rings).withColumn("within", within)
-                          .select("cls", "cats", "norm", "angles", F.greatest("reached", by_rings).alias("reached")))
-    targets = cut_lineage(bounded.withColumn("rings", all_rings).select("cls", "cats", "norm", F.filter("rings", open_).alias("rings")))
-    return vectors.select("id_cliente", "cls"), targets, chunks
+    rings = F.broadcast(cut_lineage(placed.groupBy("cell", "ring").agg(F.count("*").alias("held"))))
+    dealt = placed.join(rings, ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("held") / chunk)).cast("int")).drop("held")
+    facts = dealt.groupBy("cell", "ring", "part").agg(F.count("*").alias("size"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).toArrow()
+    facts = facts.sort_by([(c, "ascending") for c in ("cell", "ring", "part")])     # one row per chunk
+    chunks = {c: facts[c].to_numpy() for c in ("cell", "ring", "part", "size", "lo", "hi")}
+    most = max(chunk, min(BLOCK * chunk, int(chunks["size"].sum()) // BLOCKS))
+    chunks["block"] = (np.cumsum(chunks["size"]) - chunks["size"]) // most
+    where = [(int(a), int(b), int(c), i, int(d)) for i, (a, b, c, d) in enumerate(zip(*(chunks[x] for x in ("cell", "ring", "part", "block")), strict=True))]
+    at = F.broadcast(counts.sparkSession.createDataFrame(where, "cell int, ring int, part int, at int, block int"))
+    blocks = cut_lineage(dealt.join(at, ["cell", "ring", "part"]).select("block", "at", "cls", "cats", "norm", "ids").groupBy("block").applyInArrow(pack, PACKED))
+    return vectors.select("id_cliente", "cls"), blocks, chunks, some
+
+
+FOUND = "looked long, meets array<int>, far binary, near binary"
+
+
+def _within(blocks: DataFrame, chunks: dict, pivots: list, k: int) -> DataFrame:
+    """Blocks with the nearest of their classes among themselves and the other blocks to meet."""
+    shared = blocks.sparkSession.sparkContext.broadcast((chunks, pivots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, pivots = shared.value
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                block, number = Block(row.to_pylist()[0]), row["block"][0].as_py()
+                best = Nearest(block, Block(pivots[0]), chunks, k)
+                own, meets = np.array(list(block.runs)), set()
+                for c, (low, high) in block.runs.items():
+                    best.meet(low, high, block, [c])
+                    best.meet(low, high, block, (x for x in best.open(low, high, chunks, own) if x != c))
+                others = np.flatnonzero(chunks["block"] != number)
+                for low, high in block.runs.values():
+                    for k0 in range(0, len(others), 4096):
+                        meets.update(chunks["block"][best.open(low, high, chunks, others[k0:k0 + 4096])].tolist())
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([best.looked], pa.int64()), pa.array([sorted(meets)], pa.list_(pa.int32())),
+                                                  pa.array([best.far.tobytes()], pa.binary()), pa.array([best.id.tobytes()], pa.binary())],
+                                                 names=[*row.schema.names, "looked", "meets", "far", "near"])
+    return cut_lineage(blocks.mapInArrow(run, f"{PACKED}, {FOUND}"))
+
+
+def _met(blocks: DataFrame, chunks: dict, pivots: list, k: int) -> DataFrame:
+    """(cls, top, looked) of every class: its k + 1 nearest ids as (far, id), and the number of
+    pairs that its block has looked at (with its first class)."""
+    shared = blocks.sparkSession.sparkContext.broadcast((chunks, pivots))
+    packed = ["chunk", "size", "cat", "n", "norm", "ids", "n_ids"]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("cls", "array<string>"), ("looked", "long"), ("far", "binary"), ("near", "binary"))]
+    targets = blocks.select(F.col("block").alias("target"), F.lit(-1).alias("member"), *packed, "cls", "looked", "far", "near")
+    wanted = blocks.select(F.col("block").alias("target"), F.explode("meets").alias("member"))
+    members = wanted.join(blocks.select(F.col("block").alias("member"), *packed), "member").select("target", "member", *packed, *none)
+    # a target and the blocks it meets follow each other; only one of them is held at a time
+    stream = targets.unionByName(members).repartition("target").sortWithinPartitions("target", "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, pivots = shared.value
+        best = names = None
+
+        def result() -> pa.RecordBatch:
+            looked = np.zeros(len(names), dtype=np.int64)
+            looked[0] = best.looked
+            known = np.isfinite(best.far)
+            offsets = np.append(0, np.cumsum(known.sum(1))).astype(np.int32)
+            top = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(best.far[known]), pa.array(best.id[known])], ["far", "id"]))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), top, pa.array(looked)], names=["cls", "top", "looked"])
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["member"] < 0:
+                    if best is not None:
+                        yield result()
+                    block, names = Block(row), row["cls"]
+                    best = Nearest(block, Block(pivots[0]), chunks, k)
+                    best.looked = row["looked"]
+                    best.far, best.id = (np.frombuffer(row[c], dtype=t).reshape(-1, k + 1).copy() for c, t in (("far", np.float64), ("near", np.int64)))
+                else:
+                    other = Block(row)
+                    which = np.array(list(other.runs))
+                    for low, high in block.runs.values():
+                        best.meet(low, high, other, best.open(low, high, chunks, which))
+        if best is not None:
+            yield result()
+    return stream.mapInArrow(run, "cls string, top array<struct<far: double, id: long>>, looked long")
+
+
+def _nearest_of_classes(counts: DataFrame, k: int, pivots: int, chunk: int, width: float) -> tuple[DataFrame, DataFrame]:
+    """Customers (id_cliente, cls) and the nearest of every class."""
+    customers, blocks, chunks, some = _tables(counts.filter("id_cliente is not null"), k, pivots, chunk, width)
+    return customers, _met(_within(blocks, chunks, some, k), chunks, some, k)
 
 
 def all_neighbours(counts: DataFrame, n_neighbors: int = 10, pivots: int = 64, chunk: int = 256, width: float = 0.1) -> DataFrame:
@@ -82,19 +308,14 @@ def all_neighbours(counts: DataFrame, n_neighbors: int = 10, pivots: int = 64, c
     with a null customer are no customers.
 
     ``pivots``, ``chunk`` and ``width`` change the work, never the result."""
-    customers, targets, chunks = _prepared(counts.filter("id_cliente is not null"), n_neighbors, pivots, chunk, width)
-    met = (targets.select("cls", "cats", "norm", F.explode("rings").alias("r")).select("cls", "cats", "norm", "r.cell", "r.ring")
-           .join(chunks, ["cell", "ring"]).select("cls", F.explode(_best(n_neighbors)).alias("b")).select("cls", "b"))
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("b"))
-    top = (met.withColumn("rk", rank).filter(F.col("rk") <= n_neighbors + 1)
-           .groupBy("cls").agg(F.array_sort(F.collect_list("b")).alias("top")))
+    customers, met = _nearest_of_classes(counts, n_neighbors, pivots, chunk, width)
     mine = F.slice(F.filter("top", lambda b: b["id"] != F.col("id_cliente")), 1, n_neighbors)
-    return (customers.join(top, "cls").select(F.col("id_cliente").alias("target"), F.posexplode(mine).alias("at", "b"))
+    return (customers.join(met, "cls").select(F.col("id_cliente").alias("target"), F.posexplode(mine).alias("at", "b"))
             .select("target", F.col("b.id").alias("id_cliente"), (-F.col("b.far")).alias("sim"), (F.col("at") + 1).cast("long").alias("rank")))
 
 
 def pruned_share(counts: DataFrame, n_neighbors: int = 10, pivots: int = 64, chunk: int = 256, width: float = 0.1) -> float:
     """Share of all pairs of classes that ``all_neighbours`` never looks at."""
-    _, targets, _ = _prepared(counts.filter("id_cliente is not null"), n_neighbors, pivots, chunk, width)
-    n, met = targets.agg(F.count("*"), F.sum(F.aggregate("rings", F.lit(0).cast("long"), lambda a, r: a + r["size"]))).first()
-    return 1 - met / (n * n) if n else math.nan
+    _, met = _nearest_of_classes(counts, n_neighbors, pivots, chunk, width)
+    n, looked = met.agg(F.count("*"), F.sum("looked")).first()
+    return 1 - looked / (n * n) if n else math.nan
