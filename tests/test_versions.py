@@ -195,3 +195,12 @@ def test_measures_equal_the_item_scan(spark, shop):
         assert not any(FLAT in f for f in df.inputFiles())
     numbers = [r["numero"] for r in Version(spark, out).load("customer_numbers", incremental.NUMBERS).collect()]
     assert len(set(numbers)) == len(numbers) == FS.load_table(spark, out, "customer_features").count()
+
+
+def test_day_bitmaps_are_made_behind_the_shuffle(spark):
+    """What is shuffled are numbers: no aggregate (of 4 KB bitmaps) lies below the exchange."""
+    visits = spark.range(3000).selectExpr("date_add(DATE '2020-01-01', CAST(id % 7 AS INT)) AS fecha", "CAST(id % 2 AS INT) AS id_tienda", "id * 50 + 1 AS numero")
+    found = incremental.day_bitmaps(visits)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan[plan.rindex("Exchange"):]
+    assert found.selectExpr("sum(bitmap_count(bits))").first()[0] == 3000

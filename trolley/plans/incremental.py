@@ -76,6 +76,14 @@ def number_customers(v: Version, customers: DataFrame, touched: list[int], bucke
              by=["cubo"], merge=lambda parts: v.load("customer_numbers", NUMBERS, parts).withColumn("cubo", bucket_of("id_cliente", buckets)))
 
 
+def day_bitmaps(visits: DataFrame) -> DataFrame:
+    """Customers of a day and store of ``visits(fecha, id_tienda, numero)`` as bitmaps. The numbers
+    are shuffled and not bitmaps: with many customers, every visit of a task has one of 4 KB."""
+    at = visits.select("fecha", "id_tienda", F.bitmap_bucket_number("numero").alias("tramo"), F.bitmap_bit_position("numero").alias("bit"))
+    keys = ["fecha", "id_tienda", "tramo"]
+    return at.repartition(*keys).groupBy(*keys).agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
 def refresh(v: Version, buckets: int = BUCKETS) -> None:
     """Bring the derived tables up to the rows that ``v`` has appended to the flat table."""
     months = sorted(v.written.get(FLAT, {}))
@@ -94,9 +102,7 @@ def refresh(v: Version, buckets: int = BUCKETS) -> None:
     old_visits = cut_lineage(v.load("visits", VISITS, months).join(own, "id_cliente", "left_semi"))
     days = unseen(visits, old_visits, ["id_cliente", "fecha"])
     number_customers(v, customers, touched, buckets)
-    numbered = (visits.join(v.load("customer_numbers", NUMBERS, touched), "id_cliente")
-                .groupBy("fecha", "id_tienda", F.bitmap_bucket_number("numero").alias("tramo"))
-                .agg(F.bitmap_construct_agg(F.bitmap_bit_position("numero")).alias("bits")))
+    numbered = day_bitmaps(visits.join(v.load("customer_numbers", NUMBERS, touched), "id_cliente"))
     bits = (v.load("daily_customers", DAILY_CUSTOMERS, months).unionByName(numbered)
             .groupBy("fecha", "id_tienda", "tramo").agg(F.bitmap_or_agg("bits").alias("bits")))
     v.replace("daily_customers", bits.withColumn("periodo", FS.month_key()), by=["periodo"], parts=months)
