@@ -1,4 +1,5 @@
 import itertools
+import random
 import datetime as dt
 
 from trolley.operators import rules as RU
@@ -113,3 +114,19 @@ def test_exact_sample_has_the_exact_size_and_is_stable(spark):
             assert sorted(tuple(r) for r in RU.exact_sample(df.repartition(parts), frac).collect()) == want
     same = spark.createDataFrame([rows[0]] * 10 + rows[1:6], df.schema)     # equal digests
     assert RU.exact_sample(same, 0.5).count() == 8 and RU.exact_sample(df.limit(0), 0.5).count() == 0
+
+
+def test_support_as_a_number_of_baskets(spark):
+    """Sets that two baskets hold form rules, whatever the number of baskets."""
+    rows = [(dt.date(2020, 1, 1), 1, c, p) for c in range(500) for p in ((1, 2) if c in (7, 9) else (3, 4) if c == 8 else (c + 10,))]
+    items = spark.createDataFrame(rows, "fecha date, id_tienda int, id_cliente long, id_producto long")
+    found = RU.compute_association_rules(items, min_baskets=2, min_confidence=0.05).collect()
+    assert sorted((r["antecedents"], r["consequents"], r["support"]) for r in found) == [([1], [2], 0.004), ([2], [1], 0.004)]
+
+
+def test_sets_of_two_baskets_equal_fp_growth(spark):
+    rng = random.Random(5)
+    bk = spark.createDataFrame([(sorted(rng.sample(range(40), rng.randint(1, 7))),) for _ in range(120)], "items array<long>")
+    few = {(tuple(r["items"]), r["freq"], r["support"]) for r in RU.itemsets_of_few(bk, 2, 120).collect()}
+    assert few == {(tuple(r["items"]), r["freq"], r["support"]) for r in RU.frequent_itemsets(bk, 1.5 / 120, 120).collect()}
+    assert any(len(items) > 2 for items, _, _ in few)

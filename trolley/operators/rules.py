@@ -105,6 +105,26 @@ def frequent_itemsets(bk: DataFrame, min_support: float = 0.01, n_baskets: int |
         (F.col("freq").cast("double") / F.lit(float(max(n, 1)))).alias("support"))
 
 
+def itemsets_of_few(bk: DataFrame, least: int, n_baskets: int) -> DataFrame:
+    """``frequent_itemsets`` that at least ``least`` baskets hold, where that is so few that almost
+    every item is frequent: items and pairs are counted, and FP-growth gets what frequent pairs
+    leave of each basket. The items of a larger set are pairwise frequent in every basket that holds it."""
+    held = cut_lineage(bk.select(F.monotonically_increasing_id().alias("b"), "items"))
+    counted = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= least)
+    ones = counted(held.select(F.explode("items").alias("x")), "x")
+    pair = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = held.select("b", F.explode(pair).alias("p")).select("b", "p.x", "p.y")
+    twos = cut_lineage(counted(pairs, "x", "y"))
+    left = (pairs.join(twos.select("x", "y"), ["x", "y"]).groupBy("b")
+            .agg(F.array_sort(F.array_union(F.collect_set("x"), F.collect_set("y"))).alias("items")).filter(F.size("items") >= 3))
+    left = cut_lineage(left)
+    found = (ones.select(F.array("x").alias("items"), "freq")).unionByName(twos.select(F.array("x", "y").alias("items"), "freq"))
+    n = left.count()
+    if n >= least:
+        found = found.unionByName(frequent_itemsets(left, (least - 0.5) / n, n).select("items", "freq").filter(F.size("items") >= 3))
+    return found.withColumn("support", F.col("freq").cast("double") / F.lit(float(max(n_baskets, 1))))
+
+
 def association_rules(itemsets: DataFrame, n_baskets: int, min_confidence: float = 0.3,
                       digits: int = 10) -> DataFrame:
     """Every split of every frequent itemset into antecedent -> consequent with
@@ -145,18 +165,19 @@ def association_rules(itemsets: DataFrame, n_baskets: int, min_confidence: float
 def compute_association_rules(items: DataFrame, item_col: str = "id_producto",
                               sample_frac: float = 1.0, min_support: float = 0.01,
                               min_confidence: float = 0.3, sample: str = "hash",
-                              seed: int = 42, keys=BASKET_KEYS) -> DataFrame:
+                              seed: int = 42, keys=BASKET_KEYS, min_baskets: int | None = None) -> DataFrame:
     """(M1 ->) A17 -> M2 -> M3 as one job, over all baskets unless the caller asks for a
     sample (``hash``: by digest; ``exact``: of exact size; ``random``). The baskets are checkpointed into the shared
     checkpoint folder: FP-growth and the basket count then read them once each and a
-    lost executor re-reads the checkpoint instead of recomputing the flat table."""
+    lost executor re-reads the checkpoint instead of recomputing the flat table.
+    ``min_baskets`` states the support as a number of baskets instead of a share."""
     bk = baskets(items, item_col, keys)
     if sample_frac < 1.0:
         bk = (hash_sample(bk, sample_frac, keys) if sample == "hash" else exact_sample(bk, sample_frac, keys) if sample == "exact"
               else random_sample(bk, sample_frac, seed))
     bk = cut_lineage(bk)
     n = bk.count()
-    fi = cut_lineage(frequent_itemsets(bk, min_support, n))
+    fi = cut_lineage(frequent_itemsets(bk, min_support, n) if min_baskets is None else itemsets_of_few(bk, min_baskets, n))
     return association_rules(fi, n, min_confidence)
 
 
