@@ -137,3 +137,13 @@ def test_many_distinct_customers_meet_as_matrices(spark):
     far = -((n @ n.T) / (norm[:, None] * norm))
     np.fill_diagonal(far, np.inf)
     assert all(got[c] == np.lexsort((np.arange(1200), far[c]))[:5].tolist() for c in range(1200))
+
+
+def test_svd_similarities_in_the_row_equal_the_long_form(spark):
+    counts = RC.stored_counts(flat(spark))
+    want = {r.id_cliente: r.sim for r in RC.cosine_to_target(RC.svd_vectors(counts, 2), 3).collect()}
+    sims = RC.svd_similarities(counts, 3, 2)
+    got = {r.id_cliente: r.sim for r in sims.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert "Exchange" not in sims._jdf.queryExecution().executedPlan().toString()
+    assert RC.svd_similarities(counts, 10 ** 9, 2).count() == 0

@@ -88,29 +88,62 @@ def score_categories(counts: DataFrame, neighbours: DataFrame, target, top_n: in
 def svd_components(counts: DataFrame, n_components: int = 50, cap_rank: bool = True):
     """Right singular vectors of the (uncentred) customer x category count matrix.
 
-    Customer rows are built on the JVM: the counts are pivoted on the known category
-    list (one row per customer, at most C columns), assembled into vectors and handed to
+    Customer rows are built on the JVM: the counts are put in order of the known category
+    list (one row per customer, C values), made vectors and handed to
     ``RowMatrix`` as a DataFrame, so no row goes through Python. The C x C Gram matrix
     is tree-aggregated by ``RowMatrix`` (no pairs are emitted) and decomposed on the
     driver — C is the number of categories. Returns (categories in index order, V as
     C x r ndarray) or None when r < 1."""
-    from pyspark.ml.feature import VectorAssembler
+    cats = _categories(counts)
+    rows = customer_vectors(counts, cats)
+    v = _right_vectors(rows, rows.count(), len(cats), n_components, cap_rank)
+    return None if v is None else (cats, v)
+
+
+def _categories(counts: DataFrame) -> list[str]:
+    return [r[0] for r in counts.select("nombre_categoria").distinct().orderBy("nombre_categoria").collect()]
+
+
+def _right_vectors(rows: DataFrame, n_rows: int, n_cats: int, n_components: int, cap_rank: bool):
+    from pyspark.ml.functions import array_to_vector
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
-    cats = [r[0] for r in counts.select("nombre_categoria").distinct().orderBy("nombre_categoria").collect()]
-    n_rows = counts.select("id_cliente").distinct().count()
     # the reference keeps at most C-1 and N-1 components; cap_rank=False allows full rank
-    r = min(n_components, len(cats) - 1, n_rows - 1) if cap_rank else min(n_components, len(cats), n_rows)
+    r = min(n_components, n_cats - 1, n_rows - 1) if cap_rank else min(n_components, n_cats, n_rows)
     if r < 1:
         return None
-    dims = [f"c{i}" for i in range(len(cats))]
-    wide = (counts.groupBy("id_cliente").pivot("nombre_categoria", cats)
-            .agg(F.first(F.col("n").cast("double"))).na.fill(0.0)
-            .toDF("id_cliente", *dims))
-    vecs = VectorAssembler(inputCols=dims, outputCol="v").transform(wide).select("v")
-    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(vecs, "v")).computeSVD(r, computeU=False)
-    return cats, svd.V.toArray()
+    vecs = rows.select(array_to_vector("v").alias("v"))
+    return RowMatrix(MLUtils.convertVectorColumnsFromML(vecs, "v")).computeSVD(r, computeU=False).V.toArray()
+
+
+def customer_vectors(counts: DataFrame, cats: list[str]) -> DataFrame:
+    """(id_cliente, v): the counts of a customer by ``cats``, 0 where it has none. The counts of a
+    customer are shuffled once and become one row."""
+    wide = (counts.select("id_cliente", "nombre_categoria", F.col("n").cast("double").alias("n")).repartition("id_cliente")
+            .groupBy("id_cliente").pivot("nombre_categoria", cats).agg(F.first("n")).na.fill(0.0, cats).toDF("id_cliente", *(f"c{i}" for i in range(len(cats)))))
+    return wide.select("id_cliente", F.array(*(f"c{i}" for i in range(len(cats)))).alias("v"))
+
+
+def svd_similarities(counts: DataFrame, target, n_components: int = 50, cap_rank: bool = True) -> DataFrame | None:
+    """``cosine_to_target`` of the reduced vectors. A customer's coordinates are worked out in its
+    row and neither shuffled nor spread over rows; only the target's leave it."""
+    cats = _categories(counts)
+    rows = cut_lineage(customer_vectors(counts, cats))
+    v = _right_vectors(rows, rows.count(), len(cats), n_components, cap_rank)
+    if v is None:
+        return None
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    at = F.transform(F.lit(v.T.tolist()), lambda axis: dot(F.col("v"), axis))
+    t = _lit(target)
+    own = rows.filter(F.col("id_cliente") == t).select(at.alias("at")).first()
+    if own is None:
+        return counts.sparkSession.createDataFrame([], "id_cliente long, sim double")
+    theirs = F.lit(list(own["at"]))
+    placed = rows.filter(F.col("id_cliente") != t).select("id_cliente", at.alias("at"))
+    denom = F.sqrt(dot(F.col("at"), F.col("at"))) * F.sqrt(dot(theirs, theirs))
+    return placed.select("id_cliente", denom.alias("d"), dot(F.col("at"), theirs).alias("dot")).select(
+        "id_cliente", F.when(F.col("d") > 0, F.col("dot") / F.col("d")).otherwise(F.lit(0.0)).alias("sim"))
 
 
 def svd_vectors(counts: DataFrame, n_components: int = 50, cap_rank: bool = True) -> DataFrame | None:
@@ -142,13 +175,12 @@ def recommend_for_customer(flat: DataFrame, customer_id, top_n: int = 5, n_neigh
     if counts is None:
         counts = stored_counts(flat)
     if method == "exact":
-        vectors = counts.select("id_cliente", F.col("nombre_categoria").alias("dim"),
-                                F.col("n").cast("double").alias("val"))
+        sims = cosine_to_target(counts.select("id_cliente", F.col("nombre_categoria").alias("dim"),
+                                              F.col("n").cast("double").alias("val")), customer_id)
     else:
-        vectors = svd_vectors(counts, n_components)
-        if vectors is None:
+        sims = svd_similarities(counts, customer_id, n_components)
+        if sims is None:
             return flat.sparkSession.createDataFrame([], "categoria string, score double")
-    sims = cosine_to_target(vectors, customer_id)
     return score_categories(counts, nearest_neighbours(sims, n_neighbors), customer_id, top_n)
 
 
