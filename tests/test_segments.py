@@ -89,3 +89,12 @@ def test_many_fits_at_once_equal_single_fits(spark):
     assert SG.lloyd_many(z, FEATS, {}) == {}
     table = SG.elbow_table(spark, SG.elbow_fits(z, FEATS, k_max=4)).collect()
     assert [r.k for r in table] == [2, 3, 4] and all(a.inercia >= b.inercia for a, b in zip(table, table[1:]))
+
+
+def test_sums_of_a_batch_of_points(spark):
+    import pandas as pd
+    points = [(0.0, 0.0), (1.0, 0.0), (0.5, 0.0), (4.0, 4.0)]
+    fits = [[[0.0, 0.0], [1.0, 0.0]], [[4.0, 4.0]]]
+    (out,) = SG._batch_sums(fits)([pd.DataFrame(points)])
+    got = {(r.fit, r.cluster): (r.n, r.s, r.dist2) for r in out.itertuples()}     # ties: the first centre
+    assert got == {(0, 0): (2, [0.5, 0.0], 0.25), (0, 1): (2, [5.0, 4.0], 25.0), (1, 0): (4, [5.5, 4.0], 32.0 + 25.0 + 12.25 + 16.0)}

@@ -115,17 +115,27 @@ def lloyd_kmeans(z: DataFrame, features, k: int, iterations: int = 300,
     return z.withColumn("cluster", label).withColumn("dist2", dist2).withColumn("converged", F.lit(converged)), centers
 
 
-def _nearest(zcols, fits):
-    """Array over ``fits`` (lists of centres) of (fit, cluster, dist2): the nearest centre under
-    each, the first on ties. The centres are one constant, so the generated code stays the same
-    from step to step."""
-    point = F.array(*zcols)
+_SUMS = "fit int, cluster int, n long, s array<double>, dist2 double"
 
-    def of_fit(centers, i):
-        d = F.transform(centers, lambda c: F.aggregate(F.zip_with(point, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-        return F.transform(F.array(d), lambda d: F.struct(i.alias("fit"), (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("cluster"),
-                                                          F.array_min(d).alias("dist2")))[0]
-    return F.transform(F.lit([[list(map(float, c)) for c in centers] for centers in fits]), of_fit)
+
+def _batch_sums(fits):
+    """For batches of points: per fit (a list of centres) and cluster the points whose nearest
+    centre (the first on ties) it is: their number, sums of coordinates and of squared distances."""
+    import numpy as np
+    import pandas as pd
+
+    def of(batches):
+        for batch in batches:
+            points, out = batch.to_numpy(dtype=float), []
+            for i, centers in enumerate(fits):
+                d = np.stack([sum((points[:, j] - c) ** 2 for j, c in enumerate(center)) for center in centers])
+                label = d.argmin(axis=0)
+                for k in range(len(centers)):
+                    mine = label == k
+                    if n := int(mine.sum()):
+                        out.append((i, k, n, points[mine].sum(axis=0).tolist(), float(d[k][mine].sum())))
+            yield pd.DataFrame(out, columns=["fit", "cluster", "n", "s", "dist2"])
+    return of
 
 
 def lloyd_many(z: DataFrame, features, starts: dict, iterations: int = 300, digits: int = Z_DIGITS) -> dict:
@@ -143,15 +153,15 @@ def lloyd_many(z: DataFrame, features, starts: dict, iterations: int = 300, digi
     for _ in range(iterations):
         if not moving:
             break
-        means = (points.select(F.explode(_nearest(zcols, [now[n] for n in moving])).alias("at"), *zcols).groupBy("at.fit", "at.cluster")
-                 .agg(*[round_even(F.avg(c), digits).alias(c) for c in zcols]).collect())   # <= sum of k rows
+        means = (points.mapInPandas(_batch_sums([now[n] for n in moving]), _SUMS).groupBy("fit", "cluster")
+                 .agg(*[round_even(F.sum(F.col("s")[j]) / F.sum("n"), digits).alias(c) for j, c in enumerate(zcols)]).collect())   # <= sum of k rows
         after = {n: list(now[n]) for n in moving}
         for row in means:
             after[moving[row["fit"]]][row["cluster"]] = [row[c] for c in zcols]
         moving = [n for n in moving if after[n] != now[n]]
         now |= after
-    sums = {r["fit"]: r["s"] for r in points.select(F.explode(_nearest(zcols, [now[n] for n in names])).alias("at"))
-            .groupBy("at.fit").agg(F.sum("at.dist2").alias("s")).collect()} if names else {}     # one row per fit
+    sums = {r["fit"]: r["s"] for r in points.mapInPandas(_batch_sums([now[n] for n in names]), _SUMS)
+            .groupBy("fit").agg(F.sum("dist2").alias("s")).collect()} if names else {}     # one row per fit
     points.unpersist()
     return {n: (now[n], n not in moving, float(sums.get(i, 0.0))) for i, n in enumerate(names)}
 
