@@ -130,3 +130,14 @@ def test_sets_of_two_baskets_equal_fp_growth(spark):
     few = {(tuple(r["items"]), r["freq"], r["support"]) for r in RU.itemsets_of_few(bk, 2, 120).collect()}
     assert few == {(tuple(r["items"]), r["freq"], r["support"]) for r in RU.frequent_itemsets(bk, 1.5 / 120, 120).collect()}
     assert any(len(items) > 2 for items, _, _ in few)
+
+
+def test_items_of_few_pairs_are_not_paired_again(spark, monkeypatch):
+    """{1, 2, 3} comes twice; 8 and 9 have one frequent pair only, so no larger set holds them."""
+    seen = []
+    fit = RU.frequent_itemsets
+    monkeypatch.setattr(RU, "frequent_itemsets", lambda bk, *a: seen.extend(r["items"] for r in bk.collect()) or fit(bk, *a))
+    made = [[1, 2, 3, 8, 9], [1, 2, 3], [8, 9, 4], [4, 5]]
+    got = RU.itemsets_of_few(spark.createDataFrame([(b,) for b in made], "items array<long>"), 2, len(made)).collect()
+    assert sorted((r["items"], r["freq"]) for r in got) == [([1], 2), ([1, 2], 2), ([1, 2, 3], 2), ([1, 3], 2), ([2], 2), ([2, 3], 2), ([3], 2), ([4], 2), ([8], 2), ([8, 9], 2), ([9], 2)]
+    assert sorted(seen) == [[1, 2, 3], [1, 2, 3]]

@@ -204,3 +204,39 @@ def test_day_bitmaps_are_made_behind_the_shuffle(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan[plan.rindex("Exchange"):]
     assert found.selectExpr("sum(bitmap_count(bits))").first()[0] == 3000
+
+
+def test_a_table_without_folders_costs_no_join(spark, tmpdir_path):
+    from trolley.plans.joins import static_max_rows
+    nothing = versions.read(spark, tmpdir_path, [], incremental.VISITS)
+    assert static_max_rows(nothing) == 0 and nothing.schema.simpleString() == incremental.VISITS.simpleString()
+
+
+def test_only_months_that_are_stored_are_looked_up(spark, shop, monkeypatch):
+    land, out, run = shop
+    first, second = lines_of(5, 40, ("01", "02")), lines_of(6, 40, ("03", "04"))
+    write(land, "a.csv", first)
+    run()
+    met = []
+    look = ETL.unseen_rows
+    monkeypatch.setattr(ETL, "unseen_rows", lambda batch, stored: met.append(sorted({r.fecha.month for r in batch.collect()})) or look(batch, stored))
+    write(land, "b.csv", second + first[:20])
+    run()
+    assert met and met[0] and set(met[0]) <= {1, 2}
+    check_against_rebuild(spark, out)
+
+
+def test_unseen_keys_take_one_shuffle_and_nulls_are_equal(spark):
+    schema = "a long, b string"
+    new = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, None), (None, "y"), (None, "z")], schema)
+    stored = spark.createDataFrame([(2, None), (None, "y"), (9, "q")], schema)
+    got = incremental.unseen(new, stored, ["a", "b"])
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, "x"), (3, None), (None, "z")]))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_many_customers_are_not_joined_before_the_lookup(spark, monkeypatch):
+    stored, own = spark.range(9).toDF("id_cliente"), spark.range(3, 30).toDF("id_cliente")
+    assert rows(incremental.of_customers(stored, own)) == [(c,) for c in range(3, 9)]
+    monkeypatch.setattr(incremental, "checked_broadcast", lambda df: df)
+    assert incremental.of_customers(stored, own) is stored

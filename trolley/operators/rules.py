@@ -108,14 +108,20 @@ def frequent_itemsets(bk: DataFrame, min_support: float = 0.01, n_baskets: int |
 def itemsets_of_few(bk: DataFrame, least: int, n_baskets: int) -> DataFrame:
     """``frequent_itemsets`` that at least ``least`` baskets hold, where that is so few that almost
     every item is frequent: items and pairs are counted, and FP-growth gets what frequent pairs
-    leave of each basket. The items of a larger set are pairwise frequent in every basket that holds it."""
+    leave of each basket. The items of a larger set are pairwise frequent in every basket that holds
+    it, so each is in two frequent pairs at least; only such items are paired a second time."""
     held = cut_lineage(bk.select(F.monotonically_increasing_id().alias("b"), "items"))
     counted = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= least)
     ones = counted(held.select(F.explode("items").alias("x")), "x")
-    pair = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    pairs = held.select("b", F.explode(pair).alias("p")).select("b", "p.x", "p.y")
-    twos = cut_lineage(counted(pairs, "x", "y"))
-    left = (pairs.join(twos.select("x", "y"), ["x", "y"]).groupBy("b")
+
+    def pairs(df: DataFrame) -> DataFrame:
+        each = df.filter(F.size("items") > 1).select("b", "items", F.posexplode("items").alias("i", "x"))
+        return each.select("b", "x", F.explode(F.expr("slice(items, i + 2, size(items))")).alias("y"))
+    twos = cut_lineage(counted(pairs(held), "x", "y"))
+    often = (twos.select(F.explode(F.array("x", "y")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("x"))
+    few = (held.select("b", F.explode("items").alias("x")).join(checked_broadcast(cut_lineage(often)), "x", "left_semi")
+           .groupBy("b").agg(F.array_sort(F.collect_list("x")).alias("items")).filter(F.size("items") >= 3))
+    left = (pairs(few).join(checked_broadcast(twos.select("x", "y")), ["x", "y"]).groupBy("b")
             .agg(F.array_sort(F.array_union(F.collect_set("x"), F.collect_set("y"))).alias("items")).filter(F.size("items") >= 3))
     left = cut_lineage(left)
     found = (ones.select(F.array("x").alias("items"), "freq")).unionByName(twos.select(F.array("x", "y").alias("items"), "freq"))

@@ -6,8 +6,8 @@ run_etl(landing, catalog, out):
   3. lines -> usable rows and rejects; nothing is dropped without a trace: rejects keep file,
      line and reason, the registry counts them, and ``on_bad="fail"`` stops before any write
   4. rows -> explode -> categorise -> calendar -> key dedupe inside the batch (checkpointed)
-  5. rows whose key is already stored are removed by an anti-join that reads only the
-     stored months of the batch; the rest is appended to the flat table, which is stored
+  5. rows whose key is already stored are removed by an anti-join of the months that the batch
+     and the table share; the rest is appended to the flat table, which is stored
      by month and store
   6. derived tables (C5) are raised by the appended rows (``plans.incremental``)
   7. rules over the whole stored table (``refresh_rules=False`` leaves the stored ones)
@@ -53,7 +53,11 @@ def unseen_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def append_batch(v: Version, batch: DataFrame) -> None:
     """Append the rows of ``batch`` whose key is not stored yet."""
     batch = cut_lineage(batch)
-    FS.append_flat(v, unseen_rows(batch, v.load(FLAT, S.TRANSACTIONS_FLAT, batch_months(batch))))
+    months = batch_months(batch)
+    again = [m for m in months if m in v.tables.get(FLAT, {})]     # a key in any other month is new
+    stored = v.load(FLAT, S.TRANSACTIONS_FLAT, months)
+    seen_month = F.coalesce(FS.month_key().isin(again), F.lit(False))
+    FS.append_flat(v, batch.filter(~seen_month).unionByName(unseen_rows(batch.filter(seen_month), stored)) if again else batch)
 
 
 def ingest(v: Version, lines: DataFrame, files: DataFrame, lookup: DataFrame, on_bad: str = "record",

@@ -49,9 +49,17 @@ def bucket_of(customer: str, buckets: int) -> Column:
 
 
 def unseen(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct ``keys`` of ``rows`` that ``stored`` does not have."""
-    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
-    return rows.select(*keys).distinct().alias("x").join(stored.select(*keys).alias("y"), same, "left_anti")
+    """Distinct ``keys`` of ``rows`` that ``stored`` does not have: one shuffle of both, combined
+    before it."""
+    both = rows.select(*keys, F.lit(False).alias("held")).unionByName(stored.select(*keys, F.lit(True).alias("held")))
+    return both.groupBy(*keys).agg(F.max("held").alias("held")).filter("not held").drop("held")
+
+
+def of_customers(stored: DataFrame, customers: DataFrame) -> DataFrame:
+    """Rows of ``stored`` of these customers. Where they are too many to broadcast it is ``stored``
+    itself: to leave rows out would shuffle as much as to look keys up in all of them."""
+    own = checked_broadcast(customers)
+    return stored if own is customers else cut_lineage(stored.join(own, "id_cliente", "left_semi"))
 
 
 def raised(old: DataFrame, keys: list[str], counts: dict[str, DataFrame]) -> DataFrame:
@@ -96,10 +104,10 @@ def refresh(v: Version, buckets: int = BUCKETS) -> None:
 
     customers = cut_lineage(added.select("id_cliente").distinct().withColumn("cubo", bucket_of("id_cliente", buckets)))
     touched = sorted(r[0] for r in customers.select("cubo").distinct().collect())     # at most the number of buckets
-    own = checked_broadcast(customers.select("id_cliente"))
+    own = customers.select("id_cliente")
 
     visits = added.select(*VISITS.fieldNames()).distinct()
-    old_visits = cut_lineage(v.load("visits", VISITS, months).join(own, "id_cliente", "left_semi"))
+    old_visits = of_customers(v.load("visits", VISITS, months), own)
     days = unseen(visits, old_visits, ["id_cliente", "fecha"])
     number_customers(v, customers, touched, buckets)
     numbered = day_bitmaps(visits.join(v.load("customer_numbers", NUMBERS, touched), "id_cliente"))
@@ -111,7 +119,7 @@ def refresh(v: Version, buckets: int = BUCKETS) -> None:
     v.append("visits", unseen(visits, old_visits, VISITS.fieldNames()).withColumn("periodo", FS.month_key()), by=["periodo"],
              merge=lambda parts: v.load("visits", VISITS, parts).withColumn("periodo", FS.month_key()))
 
-    old_bought = cut_lineage(v.load("bought", BOUGHT, touched).join(own, "id_cliente", "left_semi"))
+    old_bought = of_customers(v.load("bought", BOUGHT, touched), own)
     with_bucket = lambda df: df.withColumn("cubo", bucket_of("id_cliente", buckets))
     v.append("bought", with_bucket(unseen(added, old_bought, BOUGHT.fieldNames())), by=["cubo"], cluster_by=["cubo", "id_cliente"],
              merge=lambda parts: with_bucket(v.load("bought", BOUGHT, parts)))

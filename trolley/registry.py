@@ -1184,7 +1184,7 @@ def _run_two_step_etl(spark, sf) -> str:
     base = scratch_path(spark, f"etl-{uuid.uuid4().hex}")
     cat_path, pc_path = _write_catalogs(spark, sf, base)
     landing, out = base + "/landing", base + "/processed"
-    raw = retail(spark, sf).raw
+    raw = cut_lineage(retail(spark, sf).raw)       # read by every step
     steps = [(_lines(raw.filter("fecha < '1998-01-01'")), None),
              (_lines(raw.filter("fecha >= '1997-07-01'")).unionByName(_bad_lines(raw)), None),
              (_lines(raw.filter("year(fecha) = 1995")).repartition(1).unionByName(_lines(raw.limit(0))), {"min_baskets": 2, "min_confidence": 0.05})]

@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trolley import schemas as S
+from trolley.operators.transform import add_calendar
 from trolley.sources import versions
 
 CORRUPT = "_corrupt"
@@ -195,9 +196,12 @@ def append_flat(v: versions.Version, df: DataFrame) -> None:
     Rows are range-partitioned on month, store and date (Spark samples the key range, so a
     store that holds a third of all rows is split by date over many tasks) and sorted within
     each task: a task writes few, date-contiguous files inside one store's folder, whose
-    min/max statistics let date filters skip files and row groups."""
-    keyed = lambda x: x.select(*S.TRANSACTIONS_FLAT.fieldNames(), month_key().alias("periodo"))
-    v.append("transactions_flat", keyed(df), by=FLAT_PARTITIONS, cluster_by=FLAT_CLUSTER,
+    min/max statistics let date filters skip files and row groups. What follows from the date is
+    not shuffled but worked out again behind it."""
+    def keyed(x: DataFrame) -> DataFrame:
+        ranged = x.select(*S.FLAT_KEYS, "nombre_categoria").repartitionByRange(F.trunc("fecha", "MM"), "id_tienda", "fecha")
+        return add_calendar(ranged).select(*S.TRANSACTIONS_FLAT.fieldNames(), month_key().alias("periodo")).sortWithinPartitions(*FLAT_CLUSTER)
+    v.append("transactions_flat", keyed(df), by=FLAT_PARTITIONS,
              merge=lambda parts: keyed(v.load("transactions_flat", S.TRANSACTIONS_FLAT, parts)))
 
 

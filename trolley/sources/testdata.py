@@ -66,10 +66,15 @@ class RetailTables:
     @cached_property
     def items(self) -> DataFrame:
         """Undeduplicated item rows (fecha, id_tienda, id_cliente, id_producto)."""
+        return self.order_items.drop("o_orderkey")
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        """``items`` with the key of their order."""
         li = self.t("lineitem").select("l_orderkey", "l_partkey")
         o = self.t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         return (li.join(o, li.l_orderkey == o.o_orderkey)
-                .select(F.to_date("o_orderdate").alias("fecha"),
+                .select("o_orderkey", F.to_date("o_orderdate").alias("fecha"),
                         store_of(F.col("o_orderkey")).alias("id_tienda"),
                         F.col("o_custkey").alias("id_cliente"),
                         F.col("l_partkey").alias("id_producto")))
@@ -100,10 +105,13 @@ class RetailTables:
 
     @cached_property
     def raw(self) -> DataFrame:
-        """transactions_raw: one basket line per (day, store, customer), products as text."""
-        return (self.items.groupBy("fecha", "id_tienda", "id_cliente")
-                .agg(F.concat_ws(" ", F.collect_list(F.col("id_producto").cast("string")))
-                     .alias("basket_raw")))
+        """transactions_raw: one basket line per (day, store, customer), products as text. The items
+        of an order become one text where its join has put them; only these are shuffled."""
+        text = F.concat_ws(" ", F.collect_list("t")).alias("t")
+        keys = ["fecha", "id_tienda", "id_cliente"]
+        return (self.order_items.withColumn("t", F.col("id_producto").cast("string"))
+                .groupBy("o_orderkey", *keys).agg(text).groupBy(*keys)
+                .agg(F.concat_ws(" ", F.collect_list(F.nullif("t", F.lit("")))).alias("basket_raw")))
 
 
 _RETAIL: dict[tuple, RetailTables] = {}

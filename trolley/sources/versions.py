@@ -17,7 +17,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 MANIFESTS = "_versions"
 WHOLE = "all"       # the only part of a table without a part column
@@ -75,8 +75,8 @@ def folders(tables: dict, name: str, parts=None) -> list[str]:
 
 def read(spark: SparkSession, base: str, names: list[str], schema: T.StructType) -> DataFrame:
     """The rows of some folders with the columns of ``schema``; none for no folder."""
-    if not names:
-        return spark.createDataFrame([], schema)
+    if not names:       # a filter the optimizer sees through: joins and unions with it are dropped
+        return spark.range(1).filter("false").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
     table = names[0].split("/")[0]      # the folders of a run and of its parts are partition columns below it
     return (spark.read.schema(schema).option("basePath", _join(base, table)).parquet(*[_join(base, f) for f in names])
             .select(*schema.fieldNames()))
