@@ -141,3 +141,22 @@ def test_items_of_few_pairs_are_not_paired_again(spark, monkeypatch):
     got = RU.itemsets_of_few(spark.createDataFrame([(b,) for b in made], "items array<long>"), 2, len(made)).collect()
     assert sorted((r["items"], r["freq"]) for r in got) == [([1], 2), ([1, 2], 2), ([1, 2, 3], 2), ([1, 3], 2), ([2], 2), ([2, 3], 2), ([3], 2), ([4], 2), ([8], 2), ([8, 9], 2), ([9], 2)]
     assert sorted(seen) == [[1, 2, 3], [1, 2, 3]]
+
+
+def test_fp_growth_gets_frequent_items_only(spark, monkeypatch):
+    got, real = [], RU.FPGrowth.fit
+    monkeypatch.setattr(RU.FPGrowth, "fit", lambda self, df: got.append(sorted(tuple(sorted(r["items"])) for r in df.collect())) or real(self, df))
+    bk = spark.createDataFrame([([1, 2, 9],), ([1, 2, 8],), ([1, 7],), ([6],)], "items array<long>")
+    assert sorted((tuple(r["items"]), r["freq"], r["support"]) for r in RU.frequent_itemsets(bk, 0.5).collect()) == [
+        ((1,), 3, 0.75), ((1, 2), 2, 0.5), ((2,), 2, 0.5)]
+    assert got == [[(), (1,), (1, 2), (1, 2)]]
+    assert [(tuple(r["items"]), r["freq"]) for r in RU.frequent_itemsets(bk, 0.75).collect()] == [((1,), 3)]
+    assert RU.frequent_itemsets(bk, 1.0).count() == 0 and len(got) == 1     # nothing to grow: not run
+    monkeypatch.setattr(RU, "MOST_FREQUENT", 1)
+    assert RU.frequent_itemsets(bk, 0.5).count() == 3 and (6,) in got[-1]
+
+
+def test_a_null_basket_does_not_count_as_filled(spark):
+    bk = spark.createDataFrame([([1],), ([1, 2],), ([2],), (None,)], "items array<long>")
+    found = {tuple(r["items"]): (r["freq"], r["support"]) for r in RU.frequent_itemsets(bk, 0.6).collect()}
+    assert found == {(1,): (2, 0.5), (2,): (2, 0.5)}

@@ -240,3 +240,56 @@ def test_many_customers_are_not_joined_before_the_lookup(spark, monkeypatch):
     assert rows(incremental.of_customers(stored, own)) == [(c,) for c in range(3, 9)]
     monkeypatch.setattr(incremental, "checked_broadcast", lambda df: df)
     assert incremental.of_customers(stored, own) is stored
+
+
+def test_a_product_whose_category_changes_counts_once(spark, tmpdir_path):
+    land, out = tmpdir_path + "/landing", tmpdir_path + "/out"
+    for n, (category, line) in enumerate([("1", "2021-01-01|102|7|20 21"), ("2", "2021-01-02|102|7|20 22"), ("2", "2021-01-03|102|8|20"), ("2", "2021-01-03|102|7|20")]):
+        cat, pc = f"{tmpdir_path}/cat{n}", f"{tmpdir_path}/pc{n}"
+        write(cat, "c.csv", ["1|ONE", "2|TWO"])
+        write(pc, "p.csv", ["prod|cat", f"20|{category}", "21|1", "22|1"])
+        write(land, f"{n}.csv", [line])
+        assert ETL.run_etl(spark, land, cat, pc, out, refresh_rules=False)
+        check_against_rebuild(spark, out)
+    customers = {r["id_cliente"]: r for r in FS.load_table(spark, out, "customer_features").collect()}
+    assert (customers[7]["n_productos_distintos"], customers[7]["n_categorias_distintas"]) == (3, 2)
+
+
+def test_products_of_one_category_are_counted_without_a_shuffle(spark):
+    def bought(rows):
+        return spark.createDataFrame(rows, incremental.BOUGHT)
+
+    def counted(new, old):
+        pairs = bought(new + old).groupBy("id_producto", "nombre_categoria").count()
+        return incremental.new_products(bought(new), bought(old), pairs)
+    one = counted([(1, 10, "a"), (1, 11, "b"), (2, 10, "a")], [(3, 10, "a")])
+    assert rows(one) == [(1, 10), (1, 11), (2, 10)]
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    several = counted([(1, 10, "a"), (1, 10, "b"), (2, 10, "b"), (3, 10, "b"), (3, 11, "a")], [(2, 10, "a")])
+    assert rows(several) == [(1, 10), (3, 10), (3, 11)]
+
+
+def test_bought_is_ranged_and_made_distinct_in_one_shuffle(spark):
+    keys = ["cubo", "id_cliente", "id_producto", "nombre_categoria"]
+    schema = "cubo int, id_cliente long, id_producto long, nombre_categoria string"
+    new = spark.createDataFrame([(0, 1, 5, "a"), (0, 1, 5, "a"), (0, 1, 6, None), (1, 2, 5, "a"), (None, None, 5, "a")], schema)
+    old = spark.createDataFrame([(1, 2, 5, "a"), (0, 1, 6, None), (0, 9, 9, "z")], schema)
+    left = incremental.unseen_in_ranges(new, old, keys, 3)
+    assert left._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(map(tuple, left.collect()), key=str) == [(0, 1, 5, "a"), (None, None, 5, "a")]
+
+
+def test_visits_are_made_distinct_once(spark, shop, monkeypatch):
+    land, out, run = shop
+    seen, real = [], incremental.unseen
+
+    def recorded(new, stored, keys):
+        if "fecha" in keys:
+            seen.append({f.split("/out/")[1].split("/")[0] for f in new.inputFiles()})
+        return real(new, stored, keys)
+    monkeypatch.setattr(incremental, "unseen", recorded)
+    for name, seed in (("a", 1), ("b", 2)):
+        write(land, name + ".csv", lines_of(seed, 40))
+        run()
+    assert seen == [{FLAT}, {"visits"}] * 2
+    check_against_rebuild(spark, out)

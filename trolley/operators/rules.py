@@ -96,13 +96,29 @@ def random_sample(df: DataFrame, frac: float, seed: int = 42) -> DataFrame:
     return df if frac >= 1.0 else df.sample(withReplacement=False, fraction=frac, seed=seed)
 
 
+MOST_FREQUENT = 10_000      # frequent items that are looked for in the baskets as one array
+
+
 def frequent_itemsets(bk: DataFrame, min_support: float = 0.01, n_baskets: int | None = None) -> DataFrame:
-    """(items sorted, freq, support) of every itemset with support >= ``min_support``."""
-    n = n_baskets if n_baskets is not None else bk.count()
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(bk.select("items"))
+    """(items sorted, freq, support) of every itemset with support >= ``min_support``.
+
+    Items are counted first. With less than two frequent ones there is no larger set and FP-growth
+    is not run; else it gets the frequent items of each basket (of all of them, where they are too
+    many for one array). The other items are in no frequent set."""
+    total, filled = bk.agg(F.count(F.lit(1)), F.count("items")).first()
+    n = n_baskets if n_baskets is not None else total
+    support = (F.col("freq").cast("double") / F.lit(float(max(n, 1)))).alias("support")
+    ones = cut_lineage(bk.select(F.explode("items").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("freq"))
+                       .filter(F.col("freq") >= math.ceil(min_support * filled)))
+    frequent = ones.count()
+    if frequent < 2:
+        return ones.select(F.array("x").alias("items"), "freq", support)
+    held = bk.select("items")
+    if frequent <= MOST_FREQUENT:
+        held = held.select(F.array_intersect("items", ones.select(F.collect_list("x")).scalar()).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(held)
     return model.freqItemsets.select(
-        F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq"),
-        (F.col("freq").cast("double") / F.lit(float(max(n, 1)))).alias("support"))
+        F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq"), support)
 
 
 def itemsets_of_few(bk: DataFrame, least: int, n_baskets: int) -> DataFrame:

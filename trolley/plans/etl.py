@@ -85,8 +85,8 @@ def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product
     paths = [r.path for r in files.select("path").orderBy("path").collect()]  # file names only
     if not paths:
         return {}
-    lookup = product_lookup(FS.read_categories(spark, categories_path),
-                            FS.read_product_category(spark, product_category_path))
+    lookup = cut_lineage(product_lookup(FS.read_categories(spark, categories_path),
+                                        FS.read_product_category(spark, product_category_path)))    # measured, then joined
     v = Version(spark, out, fresh=force)
     ingest(v, FS.read_raw_lines(spark, paths), files, lookup, on_bad, customer_buckets)
     if refresh_rules or "association_rules" not in v.tables:

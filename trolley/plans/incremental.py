@@ -55,6 +55,28 @@ def unseen(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.max("held").alias("held")).filter("not held").drop("held")
 
 
+def unseen_in_ranges(rows: DataFrame, stored: DataFrame, keys: list[str], ranged: int) -> DataFrame:
+    """``unseen`` rows laid out by ranges of the first ``ranged`` keys and sorted by them, in one
+    shuffle: equal rows are in the same range, so they meet where they will be written."""
+    both = rows.select(*keys, F.lit(False).alias("held")).unionByName(stored.select(*keys, F.lit(True).alias("held")))
+    by = keys[:ranged]
+    return (both.repartitionByRange(*by).groupBy(*keys).agg(F.max("held").alias("held"))
+            .filter("not held").drop("held").sortWithinPartitions(*by))
+
+
+def new_products(new_bought: DataFrame, old_bought: DataFrame, products: DataFrame) -> DataFrame:
+    """(customer, product) once for each of ``new_bought`` that ``old_bought`` does not have. A product
+    of one category (``products``: a row for each product and category, of all runs) has one row for
+    a customer, which is new itself; only products of several categories are looked up."""
+    keys = ["id_cliente", "id_producto"]
+    several = cut_lineage(products.groupBy("id_producto").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id_producto"))
+    if several.isEmpty():
+        return new_bought.select(*keys)
+    several = checked_broadcast(several)
+    again = unseen(new_bought.join(several, "id_producto", "left_semi"), old_bought.join(several, "id_producto", "left_semi"), keys)
+    return new_bought.join(several, "id_producto", "left_anti").select(*keys).unionByName(again)
+
+
 def of_customers(stored: DataFrame, customers: DataFrame) -> DataFrame:
     """Rows of ``stored`` of these customers. Where they are too many to broadcast it is ``stored``
     itself: to leave rows out would shuffle as much as to look keys up in all of them."""
@@ -106,28 +128,30 @@ def refresh(v: Version, buckets: int = BUCKETS) -> None:
     touched = sorted(r[0] for r in customers.select("cubo").distinct().collect())     # at most the number of buckets
     own = customers.select("id_cliente")
 
-    visits = added.select(*VISITS.fieldNames()).distinct()
     old_visits = of_customers(v.load("visits", VISITS, months), own)
-    days = unseen(visits, old_visits, ["id_cliente", "fecha"])
+    v.append("visits", unseen(added, old_visits, VISITS.fieldNames()).withColumn("periodo", FS.month_key()), by=["periodo"],
+             merge=lambda parts: v.load("visits", VISITS, parts).withColumn("periodo", FS.month_key()))
+    new_visits = v.added("visits", VISITS)     # written: read instead of made distinct once more
+    days = unseen(new_visits, old_visits, ["id_cliente", "fecha"])
     number_customers(v, customers, touched, buckets)
-    numbered = day_bitmaps(visits.join(v.load("customer_numbers", NUMBERS, touched), "id_cliente"))
+    numbered = day_bitmaps(new_visits.join(v.load("customer_numbers", NUMBERS, touched), "id_cliente"))   # stored visits have their bits
     bits = (v.load("daily_customers", DAILY_CUSTOMERS, months).unionByName(numbered)
             .groupBy("fecha", "id_tienda", "tramo").agg(F.bitmap_or_agg("bits").alias("bits")))
     v.replace("daily_customers", bits.withColumn("periodo", FS.month_key()), by=["periodo"], parts=months)
     kinds = raised(v.load("daily_categories", DAILY_CATEGORIES, months), ["fecha", "id_tienda", "nombre_categoria"], {"n": added})
     v.replace("daily_categories", kinds.withColumn("periodo", FS.month_key()), by=["periodo"], parts=months)
-    v.append("visits", unseen(visits, old_visits, VISITS.fieldNames()).withColumn("periodo", FS.month_key()), by=["periodo"],
-             merge=lambda parts: v.load("visits", VISITS, parts).withColumn("periodo", FS.month_key()))
 
     old_bought = of_customers(v.load("bought", BOUGHT, touched), own)
     with_bucket = lambda df: df.withColumn("cubo", bucket_of("id_cliente", buckets))
-    v.append("bought", with_bucket(unseen(added, old_bought, BOUGHT.fieldNames())), by=["cubo"], cluster_by=["cubo", "id_cliente"],
-             merge=lambda parts: with_bucket(v.load("bought", BOUGHT, parts)))
+    v.append("bought", unseen_in_ranges(with_bucket(added), with_bucket(old_bought), ["cubo", *BOUGHT.fieldNames()], 3), by=["cubo"],
+             merge=lambda parts: with_bucket(v.load("bought", BOUGHT, parts)).repartitionByRange("cubo", "id_cliente").sortWithinPartitions("cubo", "id_cliente"))
     new_bought = v.added("bought", BOUGHT)     # written: read instead of joined once more
+    products = cut_lineage(raised(v.load("product_freq", S.PRODUCT_FREQ), ["id_producto", "nombre_categoria"],
+                                  {"frecuencia_absoluta": added, "n_clientes": new_bought}))
 
     old = v.load("customer_features", S.CUSTOMER_FEATURES, touched)
     counts = raised(old, ["id_cliente"], {
-        "frecuencia": days, "n_productos_distintos": unseen(new_bought, old_bought, ["id_cliente", "id_producto"]),
+        "frecuencia": days, "n_productos_distintos": new_products(new_bought, old_bought, products),
         "volumen_total": added, "n_categorias_distintas": unseen(new_bought, old_bought, ["id_cliente", "nombre_categoria"])})
     stores = raised(v.load("customer_stores", STORES, touched), ["id_cliente", "id_tienda"], {"n": added})
     v.replace("customer_stores", with_bucket(stores), by=["cubo"], parts=touched)
@@ -136,8 +160,6 @@ def refresh(v: Version, buckets: int = BUCKETS) -> None:
               by=["cubo"], parts=touched)
 
     total = v.load("customer_features", S.CUSTOMER_FEATURES).select(F.count(F.lit(1))).scalar()     # from file footers
-    products = raised(v.load("product_freq", S.PRODUCT_FREQ), ["id_producto", "nombre_categoria"],
-                      {"frecuencia_absoluta": added, "n_clientes": new_bought})
     v.replace("product_freq", TB.with_share(products, total))
 
 
