@@ -126,7 +126,7 @@ def itemsets_of_few(bk: DataFrame, least: int, n_baskets: int) -> DataFrame:
     every item is frequent: items and pairs are counted, and FP-growth gets what frequent pairs
     leave of each basket. The items of a larger set are pairwise frequent in every basket that holds
     it, so each is in two frequent pairs at least; only such items are paired a second time."""
-    held = cut_lineage(bk.select(F.monotonically_increasing_id().alias("b"), "items"))
+    held = bk.select(F.monotonically_increasing_id().alias("b"), "items")     # ids are used inside one job only
     counted = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= least)
     ones = counted(held.select(F.explode("items").alias("x")), "x")
 
@@ -187,12 +187,24 @@ def association_rules(itemsets: DataFrame, n_baskets: int, min_confidence: float
 def compute_association_rules(items: DataFrame, item_col: str = "id_producto",
                               sample_frac: float = 1.0, min_support: float = 0.01,
                               min_confidence: float = 0.3, sample: str = "hash",
-                              seed: int = 42, keys=BASKET_KEYS, min_baskets: int | None = None) -> DataFrame:
+                              seed: int = 42, keys=BASKET_KEYS, min_baskets: int | None = None,
+                              counted: tuple[DataFrame, int] | None = None) -> DataFrame:
     """(M1 ->) A17 -> M2 -> M3 as one job, over all baskets unless the caller asks for a
     sample (``hash``: by digest; ``exact``: of exact size; ``random``). The baskets are checkpointed into the shared
     checkpoint folder: FP-growth and the basket count then read them once each and a
     lost executor re-reads the checkpoint instead of recomputing the flat table.
-    ``min_baskets`` states the support as a number of baskets instead of a share."""
+    ``min_baskets`` states the support as a number of baskets instead of a share.
+    ``counted``: ((x, freq) of every item, number of baskets) of ``items``, where the caller has them;
+    by a share of all baskets, these are then made of frequent items only, and not at all where
+    less than two are frequent."""
+    if counted is not None and min_baskets is None and sample_frac >= 1.0 and (least := math.ceil(min_support * counted[1])) >= 1:
+        ones, n = cut_lineage(counted[0].filter(F.col("freq") >= least)), counted[1]
+        found = ones.select(F.array("x").alias("items"), "freq")
+        if ones.count() >= 2:
+            held = items.join(checked_broadcast(ones.select(F.col("x").alias(item_col))), item_col, "left_semi")
+            bk = cut_lineage(baskets(held, item_col, keys).filter(F.size("items") >= 2))
+            found = found.unionByName(frequent_itemsets(bk, (least - 0.5) / max(bk.count(), least), n).select("items", "freq").filter(F.size("items") >= 2))
+        return association_rules(cut_lineage(found), n, min_confidence)
     bk = baskets(items, item_col, keys)
     if sample_frac < 1.0:
         bk = (hash_sample(bk, sample_frac, keys) if sample == "hash" else exact_sample(bk, sample_frac, keys) if sample == "exact"

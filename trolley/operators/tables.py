@@ -24,9 +24,14 @@ def main_of_counts(per_store: DataFrame) -> DataFrame:
     a long count times 10^10 stays below 10^29, and store ids of any int value differ by
     less than 10^10. A numeric key keeps ``max_by`` in a hash aggregate (a struct key
     would force a sort-based one)."""
+    return items_and_main(per_store).select("id_cliente", "id_tienda")
+
+
+def items_and_main(per_store: DataFrame) -> DataFrame:
+    """``main_of_counts`` with the items of all stores (``volumen_total``)."""
     dec = "decimal(38,0)"
     key = (F.col("cnt").cast(dec) * F.lit(_STORE_SPAN).cast(dec)) - F.col("id_tienda").cast(dec)
-    return per_store.groupBy("id_cliente").agg(F.max_by("id_tienda", key).alias("id_tienda"))
+    return per_store.groupBy("id_cliente").agg(F.max_by("id_tienda", key).alias("id_tienda"), F.sum("cnt").alias("volumen_total"))
 
 
 def main_store(flat: DataFrame) -> DataFrame:
@@ -53,16 +58,19 @@ def customer_features(flat: DataFrame) -> DataFrame:
 
 def daily_summary(flat: DataFrame, ordered: bool = True) -> DataFrame:
     """Per (day, store): transactions (= distinct customers), items, customers + calendar."""
-    df = (flat.groupBy("fecha", "id_tienda")
-          .agg(F.countDistinct("id_cliente").alias("n_transacciones"),
-               F.count(F.lit(1)).alias("n_items"))
-          .withColumn("n_clientes", F.col("n_transacciones"))
-          .withColumn("dia_semana", weekday0(F.col("fecha")))
-          .withColumn("semana", iso_week(F.col("fecha")))
-          .withColumn("mes", month_of(F.col("fecha"))))
+    df = daily_of_counts(flat.groupBy("fecha", "id_tienda")
+                         .agg(F.countDistinct("id_cliente").alias("n_transacciones"), F.count(F.lit(1)).alias("n_items")))
     return df.orderBy("fecha", "id_tienda") if ordered else df
 
 
+def daily_of_counts(counts: DataFrame) -> DataFrame:
+    """Daily table from (fecha, id_tienda, n_transacciones, n_items)."""
+    return (counts.withColumn("n_clientes", F.col("n_transacciones"))
+            .withColumn("dia_semana", weekday0(F.col("fecha")))
+            .withColumn("semana", iso_week(F.col("fecha")))
+            .withColumn("mes", month_of(F.col("fecha"))))
+
+
 def with_share(counts: DataFrame, total) -> DataFrame:
     """Product counts with the % of ``total`` customers (2 dp)."""
     return counts.select("id_producto", "nombre_categoria", "frecuencia_absoluta", "n_clientes",

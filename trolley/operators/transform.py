@@ -59,8 +59,12 @@ def product_lookup(categories: DataFrame, product_category: DataFrame) -> DataFr
 
 def categorize(flat: DataFrame, lookup: DataFrame) -> DataFrame:
     """Attach ``nombre_categoria``. The lookup is broadcast only after a size check."""
-    lk = checked_broadcast(lookup)
-    return (flat.join(lk, "id_producto", "left")
+    return categorize_by(flat, checked_broadcast(lookup))
+
+
+def categorize_by(flat: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``categorize`` by a lookup whose size was checked."""
+    return (flat.join(lookup, "id_producto", "left")
                 .withColumn("nombre_categoria",
                             F.coalesce("nombre_categoria", F.lit(NO_CATEGORY))))
 

@@ -5,7 +5,8 @@ run_etl(landing, catalog, out):
   2. catalogs -> one product->category lookup (broadcast after a size check)
   3. lines -> usable rows and rejects; nothing is dropped without a trace: rejects keep file,
      line and reason, the registry counts them, and ``on_bad="fail"`` stops before any write
-  4. rows -> explode -> categorise -> calendar -> key dedupe inside the batch (checkpointed)
+  4. lines are laid out by month, store and date, then exploded, categorised and deduped where they
+     will be written (``append_lines``)
   5. rows whose key is already stored are removed by an anti-join of the months that the batch
      and the table share; the rest is appended to the flat table, which is stored
      by month and store
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trolley import schemas as S
 from trolley.operators import rules as RU
-from trolley.operators.transform import add_calendar, categorize, explode_baskets, product_lookup
+from trolley.operators.transform import add_calendar, categorize, categorize_by, explode_baskets, product_lookup
+from trolley.plans.joins import checked_broadcast
 from trolley.plans import incremental
 from trolley.session import cut_lineage
 from trolley.sources import files as FS
@@ -60,6 +62,33 @@ def append_batch(v: Version, batch: DataFrame) -> None:
     FS.append_flat(v, batch.filter(~seen_month).unionByName(unseen_rows(batch.filter(seen_month), stored)) if again else batch)
 
 
+def append_lines(v: Version, raw: DataFrame, lookup: DataFrame) -> None:
+    """``append_batch`` of the items of typed lines. Items of one date and store are made distinct in
+    the range that writes them, so what is shuffled are the lines, which are exploded behind it. If
+    the lookup is too large to broadcast or months are stored already, the items themselves are
+    shuffled to their products or stored keys and then to their ranges."""
+    lines = raw.select("fecha", "id_tienda", "id_cliente", "basket_raw")
+    again = [m for m in batch_months(lines) if m in v.tables[FLAT]] if v.tables.get(FLAT) else []
+    side = checked_broadcast(lookup)
+    if not again and side is not lookup:
+        FS.append_flat(v, categorize_by(explode_baskets(FS.in_ranges(lines)), side), distinct=True, ranged=True)
+        return
+    items = explode_baskets(lines)
+    if again:
+        seen_month = F.coalesce(FS.month_key().isin(again), F.lit(False))
+        stored = v.load(FLAT, S.TRANSACTIONS_FLAT, again)
+        items = items.filter(~seen_month).unionByName(unseen_rows(items.filter(seen_month), stored))
+    # a catalog is hashed in each task: joined items are read twice (ranges are sampled) without a sort
+    FS.append_flat(v, categorize_by(items, side if side is not lookup else lookup.hint("shuffle_hash")), distinct=True)
+
+
+def item_counts(v: Version) -> tuple[DataFrame, int]:
+    """(x, freq) of every product and the number of baskets of the stored items, from the derived
+    tables: a basket holds a product once and is one transaction of its day and store."""
+    products = v.load("product_freq", S.PRODUCT_FREQ).groupBy(F.col("id_producto").alias("x")).agg(F.sum("frecuencia_absoluta").alias("freq"))
+    return products, v.load("daily_summary", S.DAILY_SUMMARY).agg(F.coalesce(F.sum("n_transacciones"), F.lit(0))).first()[0]
+
+
 def ingest(v: Version, lines: DataFrame, files: DataFrame, lookup: DataFrame, on_bad: str = "record",
            customer_buckets: int = incremental.BUCKETS) -> None:
     """Steps 3 to 6 and 8 for the raw ``lines`` of ``files(file_name)``."""
@@ -68,7 +97,7 @@ def ingest(v: Version, lines: DataFrame, files: DataFrame, lookup: DataFrame, on
     stats = cut_lineage(FS.file_stats(lines))
     if on_bad == "fail" and (bad := stats.filter("rejected > 0").orderBy("file_name").first()):
         raise ValueError(f"{bad['file_name']}: {bad['rejected']} lines are not usable")
-    append_batch(v, new_items(FS.typed_transactions(lines), lookup))
+    append_lines(v, FS.typed_transactions(lines), lookup)
     incremental.refresh(v, customer_buckets)
     v.append("rejects", FS.rejects(lines).select(*S.REJECTS.fieldNames()), merge=lambda parts: v.load("rejects", S.REJECTS))
     RG.register_files(v, RG.registry_rows(files, stats))
@@ -91,6 +120,7 @@ def run_etl(spark: SparkSession, landing_dir: str, categories_path: str, product
     ingest(v, FS.read_raw_lines(spark, paths), files, lookup, on_bad, customer_buckets)
     if refresh_rules or "association_rules" not in v.tables:
         params = {"item_col": "id_producto", **(rules_params or {})}
-        v.replace("association_rules", RU.compute_association_rules(v.load(FLAT, S.TRANSACTIONS_FLAT), **params))
+        counted = item_counts(v) if params["item_col"] == "id_producto" and "keys" not in params else None
+        v.replace("association_rules", RU.compute_association_rules(v.load(FLAT, S.TRANSACTIONS_FLAT), counted=counted, **params))
     v.commit()
     return FS.load_tables(spark, out)

@@ -6,7 +6,7 @@ customer. A batch looks up its own keys in the months it has dates of and in the
 customers; what is not there yet is appended and raises the counts of its customer and product.
 Items per customer and store are additive. So a run reads and writes:
 
-* flat table and visits: the months of the batch;
+* flat table (stored keys), daily_summary and visits: the months of the batch;
 * bought, customer_stores, customer_features: the buckets of its customers;
 * product_freq: the table itself, one row per product and category;
 * daily_customers, daily_categories: the months of the batch.
@@ -77,6 +77,16 @@ def new_products(new_bought: DataFrame, old_bought: DataFrame, products: DataFra
     return new_bought.join(several, "id_producto", "left_anti").select(*keys).unionByName(again)
 
 
+def new_categories(new_bought: DataFrame, old_bought: DataFrame) -> DataFrame:
+    """One row of a customer for each of its categories in ``new_bought`` that ``old_bought`` does not
+    have. A customer's categories are gathered before the one shuffle, which is by customer."""
+    both = new_bought.select("id_cliente", "nombre_categoria", F.lit(False).alias("held")).unionByName(
+        old_bought.select("id_cliente", "nombre_categoria", F.lit(True).alias("held")))
+    of = lambda held: F.collect_set(F.when(F.col("held") == held, F.col("nombre_categoria")))
+    return (both.groupBy("id_cliente").agg(of(False).alias("now"), of(True).alias("then"))
+            .select("id_cliente", F.explode(F.array_except("now", "then"))).select("id_cliente"))
+
+
 def of_customers(stored: DataFrame, customers: DataFrame) -> DataFrame:
     """Rows of ``stored`` of these customers. Where they are too many to broadcast it is ``stored``
     itself: to leave rows out would shuffle as much as to look keys up in all of them."""
@@ -121,8 +131,6 @@ def refresh(v: Version, buckets: int = BUCKETS) -> None:
         return
     buckets = v.settings.setdefault("customer_buckets", buckets)
     added = v.added(FLAT, S.TRANSACTIONS_FLAT)
-    v.replace("daily_summary", TB.daily_summary(v.load(FLAT, S.TRANSACTIONS_FLAT, months), ordered=False).withColumn("periodo", FS.month_key()),
-              by=["periodo"], parts=months)
 
     customers = cut_lineage(added.select("id_cliente").distinct().withColumn("cubo", bucket_of("id_cliente", buckets)))
     touched = sorted(r[0] for r in customers.select("cubo").distinct().collect())     # at most the number of buckets
@@ -132,6 +140,8 @@ def refresh(v: Version, buckets: int = BUCKETS) -> None:
     v.append("visits", unseen(added, old_visits, VISITS.fieldNames()).withColumn("periodo", FS.month_key()), by=["periodo"],
              merge=lambda parts: v.load("visits", VISITS, parts).withColumn("periodo", FS.month_key()))
     new_visits = v.added("visits", VISITS)     # written: read instead of made distinct once more
+    daily = raised(v.load("daily_summary", S.DAILY_SUMMARY, months), ["fecha", "id_tienda"], {"n_transacciones": new_visits, "n_items": added})
+    v.replace("daily_summary", TB.daily_of_counts(daily).select(*S.DAILY_SUMMARY.fieldNames(), FS.month_key().alias("periodo")), by=["periodo"], parts=months)
     days = unseen(new_visits, old_visits, ["id_cliente", "fecha"])
     number_customers(v, customers, touched, buckets)
     numbered = day_bitmaps(new_visits.join(v.load("customer_numbers", NUMBERS, touched), "id_cliente"))   # stored visits have their bits
@@ -152,10 +162,10 @@ def refresh(v: Version, buckets: int = BUCKETS) -> None:
     old = v.load("customer_features", S.CUSTOMER_FEATURES, touched)
     counts = raised(old, ["id_cliente"], {
         "frecuencia": days, "n_productos_distintos": new_products(new_bought, old_bought, products),
-        "volumen_total": added, "n_categorias_distintas": unseen(new_bought, old_bought, ["id_cliente", "nombre_categoria"])})
+        "n_categorias_distintas": new_categories(new_bought, old_bought)})
     stores = raised(v.load("customer_stores", STORES, touched), ["id_cliente", "id_tienda"], {"n": added})
     v.replace("customer_stores", with_bucket(stores), by=["cubo"], parts=touched)
-    main = TB.main_of_counts(v.load("customer_stores", STORES, touched).withColumnRenamed("n", "cnt"))
+    main = TB.items_and_main(v.load("customer_stores", STORES, touched).withColumnRenamed("n", "cnt"))
     v.replace("customer_features", with_bucket(counts.join(main, "id_cliente").select(*S.CUSTOMER_FEATURES.fieldNames())),
               by=["cubo"], parts=touched)
 

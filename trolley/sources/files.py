@@ -56,13 +56,19 @@ def tokens_of(basket: str = "basket_raw") -> F.Column:
     return F.split(F.trim(F.coalesce(F.col(basket), F.lit(""))), r"\s+")
 
 
+def plain_basket(basket: str = "basket_raw") -> F.Column:
+    """Is the basket made of spaces and of at most 18 digits a token? Then every token is an integer,
+    which one search of the text shows; other baskets are looked at token by token."""
+    return F.coalesce(~F.col(basket).rlike("[^0-9 ]|[0-9]{19}"), F.lit(False))
+
+
 def line_reason() -> F.Column:
     """Why a line is not (wholly) usable: ``columns`` (another field count), ``key`` (date or
     ids do not parse), ``product`` (a token is no integer; the others are used), else null."""
     bad_key = (F.expr("try_to_date(trim(fecha), 'yyyy-MM-dd')").isNull()
                | F.expr("try_cast(trim(id_tienda) AS INT)").isNull()
                | F.expr("try_cast(trim(id_cliente) AS BIGINT)").isNull())
-    bad_token = F.exists(tokens_of(), lambda t: (t != "") & t.try_cast("long").isNull())
+    bad_token = F.when(plain_basket(), F.lit(False)).otherwise(F.exists(tokens_of(), lambda t: (t != "") & t.try_cast("long").isNull()))
     return (F.when(F.col(CORRUPT).isNotNull(), F.lit("columns")).when(bad_key, F.lit("key"))
             .when(bad_token, F.lit("product")))
 
@@ -75,7 +81,9 @@ def rejects(lines: DataFrame) -> DataFrame:
 def file_stats(lines: DataFrame) -> DataFrame:
     """Per file: ``rows`` (items its usable lines and tokens give, repeats counted) and
     ``rejected`` (lines that are not wholly usable)."""
-    good = F.size(F.filter(tokens_of(), lambda t: t.try_cast("long").isNotNull())).cast("long")
+    count = F.when(F.trim("basket_raw") == "", F.lit(0)).otherwise(F.size(tokens_of()))
+    good = (F.when(plain_basket(), count)
+            .otherwise(F.size(F.filter(tokens_of(), lambda t: t.try_cast("long").isNotNull()))).cast("long"))
     usable = F.col("reason").isNull() | (F.col("reason") == "product")
     return (lines.withColumn("reason", line_reason()).groupBy("file_name")
             .agg(F.coalesce(F.sum(F.when(usable, good)), F.lit(0)).alias("rows"), F.count("reason").alias("rejected")))
@@ -190,18 +198,26 @@ def month_key(fecha: str = "fecha") -> F.Column:
     return F.date_format(fecha, "yyyy-MM")
 
 
-def append_flat(v: versions.Version, df: DataFrame) -> None:
+def in_ranges(df: DataFrame) -> DataFrame:
+    """Rows with their month, laid out by ranges of month, store and date."""
+    return df.withColumn("_month", F.trunc("fecha", "MM")).repartitionByRange("_month", "id_tienda", "fecha")
+
+
+def append_flat(v: versions.Version, df: DataFrame, distinct: bool = False, ranged: bool = False) -> None:
     """Add items to the flat table, stored by month and store.
 
     Rows are range-partitioned on month, store and date (Spark samples the key range, so a
     store that holds a third of all rows is split by date over many tasks) and sorted within
     each task: a task writes few, date-contiguous files inside one store's folder, whose
     min/max statistics let date filters skip files and row groups. What follows from the date is
-    not shuffled but worked out again behind it."""
-    def keyed(x: DataFrame) -> DataFrame:
-        ranged = x.select(*S.FLAT_KEYS, "nombre_categoria").repartitionByRange(F.trunc("fecha", "MM"), "id_tienda", "fecha")
-        return add_calendar(ranged).select(*S.TRANSACTIONS_FLAT.fieldNames(), month_key().alias("periodo")).sortWithinPartitions(*FLAT_CLUSTER)
-    v.append("transactions_flat", keyed(df), by=FLAT_PARTITIONS,
+    not shuffled but worked out again behind it. ``distinct`` leaves one row of equal items, which
+    are in one range; ``ranged`` rows come from ``in_ranges`` and are where they belong."""
+    def keyed(x: DataFrame, distinct: bool = False, ranged: bool = False) -> DataFrame:
+        x = x if ranged else in_ranges(x.select(*S.FLAT_KEYS, "nombre_categoria"))
+        x = x.select("_month", *S.FLAT_KEYS, "nombre_categoria")
+        x = x.distinct() if distinct else x
+        return add_calendar(x).select(*S.TRANSACTIONS_FLAT.fieldNames(), month_key().alias("periodo")).sortWithinPartitions(*FLAT_CLUSTER)
+    v.append("transactions_flat", keyed(df, distinct, ranged), by=FLAT_PARTITIONS,
              merge=lambda parts: keyed(v.load("transactions_flat", S.TRANSACTIONS_FLAT, parts)))
 
 

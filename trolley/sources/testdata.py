@@ -106,11 +106,14 @@ class RetailTables:
     @cached_property
     def raw(self) -> DataFrame:
         """transactions_raw: one basket line per (day, store, customer), products as text. The items
-        of an order become one text where its join has put them; only these are shuffled."""
-        text = F.concat_ws(" ", F.collect_list("t")).alias("t")
+        of an order become one text before it meets the order, so items are not joined one by one."""
+        text = F.concat_ws(" ", F.collect_list(F.col("l_partkey").cast("string"))).alias("t")
         keys = ["fecha", "id_tienda", "id_cliente"]
-        return (self.order_items.withColumn("t", F.col("id_producto").cast("string"))
-                .groupBy("o_orderkey", *keys).agg(text).groupBy(*keys)
+        bought = self.t("lineitem").groupBy("l_orderkey").agg(text)
+        o = self.t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        return (bought.join(o, bought.l_orderkey == o.o_orderkey)
+                .select(F.to_date("o_orderdate").alias("fecha"), store_of(F.col("o_orderkey")).alias("id_tienda"),
+                        F.col("o_custkey").alias("id_cliente"), "t").groupBy(*keys)
                 .agg(F.concat_ws(" ", F.collect_list(F.nullif("t", F.lit("")))).alias("basket_raw")))
 
 
