@@ -293,3 +293,51 @@ def test_visits_are_made_distinct_once(spark, shop, monkeypatch):
         run()
     assert seen == [{FLAT}, {"visits"}] * 2
     check_against_rebuild(spark, out)
+
+
+def test_a_run_counts_days_and_rules_without_the_stored_items(spark, shop, monkeypatch):
+    """Daily counts are raised; rules by a share take known counts and make baskets of frequent items."""
+    from trolley.operators import rules as RU
+    land, out, _ = shop
+    cat, pc = catalogs(land.replace("landing", "cat"))
+
+    def no_scan(*a, **k):
+        raise AssertionError("counted from the items")
+    seen, make = [], RU.baskets
+    monkeypatch.setattr(TB, "daily_summary", no_scan)
+    monkeypatch.setattr(RU, "baskets", lambda items, *a: seen.append(items) or make(items, *a))
+    for name, lines in (("a", ["2021-01-01|102|1|3 6", "2021-01-02|102|2|3 20"]), ("b", ["2021-01-02|102|2|3 20 29", "2021-02-01|102|3|3 29", "2021-02-02|103|3|44"])):
+        write(land, name + ".csv", lines)
+        assert ETL.run_etl(spark, land, cat, pc, out, rules_params={"min_support": 0.6})
+    assert seen == []       # one frequent product: nothing to combine
+    write(land, "c.csv", ["2021-03-01|102|3|3 29"])
+    assert ETL.run_etl(spark, land, cat, pc, out, rules_params={"min_support": 0.5})
+    monkeypatch.undo()
+    assert len(seen) == 1 and {r["id_producto"] for r in seen[0].collect()} == {3, 29}
+    check_against_rebuild(spark, out)
+    flat = FS.load_table(spark, out, FLAT)
+    assert rows(FS.load_tables(spark, out)["association_rules"]) == rows(RU.compute_association_rules(flat, min_support=0.5)) != []
+
+
+def test_lines_of_new_months_are_ranged_before_they_are_exploded(spark, shop, monkeypatch):
+    land, out, run = shop
+    seen, real = [], FS.append_flat
+    monkeypatch.setattr(FS, "append_flat", lambda v, df, **how: seen.append((how.get("ranged", False), df.count())) or real(v, df, **how))
+    write(land, "a.csv", ["2021-01-01|102|1|3 6 3", "2021-01-01|102|1|6 20"])
+    run()
+    write(land, "b.csv", ["2021-01-01|102|1|3 6", "2021-02-01|102|1|3 3"])
+    run()
+    write(land, "c.csv", ["2021-01-01|102|1|3 44 44"])
+    run()
+    assert seen == [(True, 5), (True, 2), (False, 2)]      # nothing left of January in b: not written
+    assert FS.load_table(spark, out, FLAT).count() == 5
+    check_against_rebuild(spark, out)
+
+
+def test_plain_baskets_are_counted_as_token_by_token(spark, tmpdir_path):
+    baskets = ["1 2 3", "", "  ", " 7  8 ", "9223372036854775807", "9223372036854775808", "1\t2", "+3 -4", "x 1", "000000000000000000001", "12345678901234567890 5"]
+    write(tmpdir_path + "/in", "a.csv", [f"2021-01-01|102|1|{b}" for b in baskets])
+    lines = FS.read_raw_lines(spark, tmpdir_path + "/in")
+    assert {r["basket_raw"] for r in lines.filter(FS.plain_basket()).collect()} == {"1 2 3", "", "  ", " 7  8 "}
+    assert rows(FS.file_stats(lines)) == [("a.csv", 3 + 2 + 1 + 2 + 2 + 1 + 1 + 1, 3)]
+    assert {r["line"].split("|")[3] for r in FS.rejects(lines).collect()} == {"9223372036854775808", "x 1", "12345678901234567890 5"}

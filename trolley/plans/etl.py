@@ -65,21 +65,23 @@ def append_batch(v: Version, batch: DataFrame) -> None:
 def append_lines(v: Version, raw: DataFrame, lookup: DataFrame) -> None:
     """``append_batch`` of the items of typed lines. Items of one date and store are made distinct in
     the range that writes them, so what is shuffled are the lines, which are exploded behind it. If
-    the lookup is too large to broadcast or months are stored already, the items themselves are
-    shuffled to their products or stored keys and then to their ranges."""
+    the lookup is too large to broadcast, the items themselves are shuffled to their products and then
+    to their ranges. Items of months that are stored already meet the stored keys first."""
     lines = raw.select("fecha", "id_tienda", "id_cliente", "basket_raw")
-    again = [m for m in batch_months(lines) if m in v.tables[FLAT]] if v.tables.get(FLAT) else []
+    months = batch_months(lines) if v.tables.get(FLAT) else []
+    again = [m for m in months if m in v.tables[FLAT]] if months else []
     side = checked_broadcast(lookup)
-    if not again and side is not lookup:
-        FS.append_flat(v, categorize_by(explode_baskets(FS.in_ranges(lines)), side), distinct=True, ranged=True)
-        return
-    items = explode_baskets(lines)
-    if again:
-        seen_month = F.coalesce(FS.month_key().isin(again), F.lit(False))
-        stored = v.load(FLAT, S.TRANSACTIONS_FLAT, again)
-        items = items.filter(~seen_month).unionByName(unseen_rows(items.filter(seen_month), stored))
+    small = side is not lookup
     # a catalog is hashed in each task: joined items are read twice (ranges are sampled) without a sort
-    FS.append_flat(v, categorize_by(items, side if side is not lookup else lookup.hint("shuffle_hash")), distinct=True)
+    side = side if small else lookup.hint("shuffle_hash")
+    if not again or len(again) < len(months):
+        new = lines.filter(~F.coalesce(FS.month_key().isin(again), F.lit(False))) if again else lines
+        FS.append_flat(v, categorize_by(explode_baskets(FS.in_ranges(new) if small else new), side), distinct=True, ranged=small)
+    if again:       # what is left of these months is mostly little, and written for the sampling of its ranges
+        late = explode_baskets(lines.filter(F.coalesce(FS.month_key().isin(again), F.lit(False))))
+        late = cut_lineage(unseen_rows(late, v.load(FLAT, S.TRANSACTIONS_FLAT, again)))
+        if not late.isEmpty():
+            FS.append_flat(v, categorize_by(late, side), distinct=True)
 
 
 def item_counts(v: Version) -> tuple[DataFrame, int]:
