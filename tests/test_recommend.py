@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -147,3 +148,40 @@ def test_svd_similarities_in_the_row_equal_the_long_form(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
     assert "Exchange" not in sims._jdf.queryExecution().executedPlan().toString()
     assert RC.svd_similarities(counts, 10 ** 9, 2).count() == 0
+
+
+def test_members_are_packed_small_and_looked_at_in_single_precision(spark):
+    """Blocks travel in the smallest types; far more pairs are looked at than worked out exactly."""
+    rng = np.random.default_rng(11)
+    n = rng.poisson(1.6, (900, 25))
+    n[:, 0] += 1
+    row, cat = np.nonzero(n)
+    norm = np.sqrt((n * n).sum(1).astype(float))
+
+    def block(low, high):
+        part = (row >= low) & (row < high)
+        sizes = np.bincount(row[part] - low, minlength=high - low)
+        packed = {"chunk": neighbours._bytes(np.arange(low, high) // 100), "norm": neighbours._bytes(norm[low:high]), "size": neighbours._bytes(sizes),
+                  "cat": neighbours._bytes(cat[part]), "n": neighbours._bytes(n[row[part], cat[part]]), "n_ids": neighbours._bytes(np.ones(high - low, dtype=int)),
+                  "ids": np.arange(low, high).tobytes()}
+        assert len(packed["cat"]) + len(packed["n"]) == 2 * (part.sum() + 1)
+        return neighbours.Block(packed)
+    chunks = {"cell": np.zeros(9, dtype=int), "lo": np.zeros(9), "hi": np.full(9, np.pi / 2), "size": np.full(9, 100), "block": np.repeat([0, 1], [4, 5])}
+    mine, other = block(0, 400), block(400, 900)
+    best = neighbours.Nearest(mine, block(0, 1), chunks, 5)
+    exact, among = [], best._among
+    best._among = lambda *a: exact.append(len(a[1]) * len(a[4])) or among(*a)
+    for members in (mine, other):
+        for low, high, _ in mine.groups(chunks["cell"]):
+            best.meet(low, high, members, best.open(low, high, chunks, np.array(list(members.runs))))
+    far = -((n[:400] @ n.T) / (norm[:400, None] * norm))
+    assert (best.id == np.array([np.lexsort((np.arange(900), f))[:6] for f in far])).all()
+    assert best.looked == 400 * 900 and sum(exact) < 400 * 600
+    assert (np.frombuffer(neighbours._bytes(np.array([3, 300]))[1:], np.uint16) == [3, 300]).all()
+
+
+def test_blocks_are_not_put_together_by_their_size(spark):
+    chunks = {"block": np.repeat(np.arange(6), 2)}
+    blocks = spark.createDataFrame([], f"{neighbours.PACKED}, {neighbours.FOUND}")
+    met = neighbours._met(blocks, chunks, [], 3)
+    assert re.search(r"RepartitionByExpression \[target#\d+\], 24\b", met._jdf.queryExecution().analyzed().toString())
