@@ -185,3 +185,17 @@ def test_blocks_are_not_put_together_by_their_size(spark):
     blocks = spark.createDataFrame([], f"{neighbours.PACKED}, {neighbours.FOUND}")
     met = neighbours._met(blocks, chunks, [], 3)
     assert re.search(r"RepartitionByExpression \[target#\d+\], 24\b", met._jdf.queryExecution().analyzed().toString())
+
+
+def test_neighbours_meet_their_target_as_one_row(spark):
+    """Categories of neighbours are not exploded before the target's own ones are gone; null and repeated
+    categories, targets without categories and neighbours without counts are kept as they were."""
+    counts = spark.createDataFrame([(1, "A", 2), (2, "A", 1), (2, "B", 1), (2, None, 3), (2, "B", 4), (3, "C", 1), (3, "Z", 0), (None, "D", 1)],
+                                   "id_cliente long, nombre_categoria string, n long")
+    nbrs = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25), (9, 2, 0.125), (1, 77, 1.0)], "target long, id_cliente long, sim double")
+    own = spark.createDataFrame([(1, "A"), (1, None)], "target long, nombre_categoria string")
+    scored = RC.score_targets(counts, nbrs, own, 5)
+    got = sorted(((r.id_cliente, r["rank"], r.categoria, r.score) for r in scored.collect()))
+    assert got == [(1, 1, "B", 1.0), (1, 2, None, 0.5), (1, 3, "C", 0.25), (9, 1, "B", 0.25), (9, 2, None, 0.125), (9, 3, "A", 0.125)]
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 0 and plan.index("Generate explode") < plan.index("Join LeftOuter")

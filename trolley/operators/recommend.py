@@ -224,9 +224,17 @@ def recommend_for_customers(flat: DataFrame, targets: DataFrame, top_n: int = 5,
 
 def score_targets(counts: DataFrame, nbrs: DataFrame, own: DataFrame, top_n: int = 5) -> DataFrame:
     """W5 of many targets: best categories by the summed similarity of the neighbours
-    (target, id_cliente, sim) that bought them, without those in ``own`` (target, nombre_categoria)."""
-    scored = (counts.filter(F.col("n") > 0).join(nbrs, "id_cliente")
-              .join(own, ["target", "nombre_categoria"], "left_anti")
+    (target, id_cliente, sim) that bought them, without those in ``own`` (target, nombre_categoria).
+
+    A neighbour meets its target as one row with all its categories; only those that the target
+    lacks become rows, where the target's rows are together already."""
+    entry = F.struct("nombre_categoria")    # a struct keeps a category without a name
+    bought = (counts.filter(F.col("n") > 0).groupBy("id_cliente").agg(F.collect_list(entry).alias("cats"))
+              .select("id_cliente", F.col("cats.nombre_categoria").alias("cats")))
+    has = own.groupBy("target").agg(F.collect_set("nombre_categoria").alias("own"))
+    lacks = F.filter("cats", lambda c: ~F.coalesce(F.array_contains("own", c), F.lit(False)))
+    scored = (nbrs.join(bought, "id_cliente").select("target", "sim", "cats").join(has, "target", "left")
+              .select("target", "sim", F.explode(lacks).alias("nombre_categoria"))
               .groupBy("target", "nombre_categoria").agg(F.sum("sim").alias("score"))
               .withColumn("score", round_even(F.col("score"), 4)))
     w2 = Window.partitionBy("target").orderBy(F.desc("score"), "nombre_categoria")
