@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import datetime as dt
 
 from trolley.operators import rules as RU
@@ -160,3 +161,17 @@ def test_a_null_basket_does_not_count_as_filled(spark):
     bk = spark.createDataFrame([([1],), ([1, 2],), ([2],), (None,)], "items array<long>")
     found = {tuple(r["items"]): (r["freq"], r["support"]) for r in RU.frequent_itemsets(bk, 0.6).collect()}
     assert found == {(1,): (2, 0.5), (2,): (2, 0.5)}
+
+
+def test_itemsets_of_types_read_stored_baskets(spark, monkeypatch):
+    """The baskets are made once; parts beyond the bounds of a broadcast are not broadcast by their file size."""
+    from trolley import registry
+
+    seen = []
+    monkeypatch.setattr(registry.RU, "frequent_itemsets", lambda bk, *a, f=RU.frequent_itemsets: seen.append(bk) or f(bk, *a))
+    assert registry.frequent_itemsets_types(spark, "/root/testdata/sf0.001").count() > 0
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FileScan" not in plan
+    monkeypatch.setattr(registry, "is_bounded", lambda df: False)
+    plan = registry._part_items(spark, "/root/testdata/sf0.001", "p_type")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[id_producto#\d+L?\], \[p_partkey#\d+L?\]", plan)

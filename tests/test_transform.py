@@ -85,3 +85,14 @@ def test_clustered_write_keeps_rows_and_splits_dates(spark, tmpdir_path):
     for ranges in by_store.values():  # files of a month and store hold disjoint date ranges
         ranges.sort()
         assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_lookup_broadcasts_no_whole_catalog(spark):
+    """Only products with a category's id meet the categories; nulls and repeated lines count as before."""
+    categories = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (None, "N")], "cat_id int, cat_name string")
+    products = spark.createDataFrame([(2, 1), (2, 3), (50, 9), (60, None), (None, 1)], "prod_id long, cat_id int")
+    lookup = product_lookup(categories, products)
+    got = sorted(((r.id_producto, r.nombre_categoria) for r in lookup.collect()), key=str)
+    assert got == sorted([(1, "A"), (2, "A"), (2, "C"), (3, "C"), (50, "SIN CATEGORIA"), (60, "SIN CATEGORIA"), (None, "A"), (None, "N")], key=str)
+    plan = lookup._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("LeftAnti"):]

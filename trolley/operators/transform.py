@@ -44,6 +44,9 @@ def product_lookup(categories: DataFrame, product_category: DataFrame) -> DataFr
       ``SIN CATEGORIA`` when the category has no name (no fall-through);
     * else a category id equal to the product id: that category's name;
     * else (not in this table): ``SIN CATEGORIA`` at lookup time.
+
+    The categories are the smaller side: of the products only those with a category's id meet them,
+    so no broadcast (Spark picks one by file size) holds the whole product->category catalog.
     """
     pc = product_category.select(F.col("prod_id").cast("long").alias("prod_id"),
                                  F.col("cat_id").cast("int").alias("cat_id"))
@@ -51,7 +54,9 @@ def product_lookup(categories: DataFrame, product_category: DataFrame) -> DataFr
     via_pc = (pc.join(cat, "cat_id", "left")
                 .select(F.col("prod_id").alias("id_producto"),
                         F.coalesce("cat_name", F.lit(NO_CATEGORY)).alias("nombre_categoria")))
-    direct = (cat.join(pc, cat.cat_id.cast("long") == pc.prod_id, "left_anti")
+    ids = cat.select(F.col("cat_id").cast("long").alias("id"))
+    listed = pc.select("prod_id").join(ids, F.col("prod_id") == F.col("id"), "left_semi")
+    direct = (cat.join(listed, F.col("cat_id").cast("long") == F.col("prod_id"), "left_anti")
                  .select(F.col("cat_id").cast("long").alias("id_producto"),
                          F.col("cat_name").alias("nombre_categoria")))
     return via_pc.unionByName(direct)

@@ -424,7 +424,7 @@ def transactions_by_month(spark, sf):
 # ---------------------------------------------------------------- phase 3: baskets and rules
 
 from trolley.operators import rules as RU  # noqa: E402
-from trolley.plans.joins import checked_broadcast  # noqa: E402
+from trolley.plans.joins import is_bounded  # noqa: E402
 
 
 def _txt(c: str):
@@ -437,8 +437,12 @@ def _rules_txt(df: DataFrame) -> DataFrame:
 
 
 def _part_items(spark, sf, attr: str) -> DataFrame:
-    """Basket keys + a part attribute per item (the test data's coarser item universe)."""
-    part = checked_broadcast(retail(spark, sf).t("part").select("p_partkey", attr))
+    """Basket keys + a part attribute per item (the test data's coarser item universe).
+
+    Parts beyond the bounds of a broadcast are merged: by the size of their files alone Spark would
+    broadcast millions of them."""
+    part = retail(spark, sf).t("part").select("p_partkey", attr)
+    part = F.broadcast(part) if is_bounded(part) else part.hint("merge")
     return (_flat(spark, sf).select("fecha", "id_tienda", "id_cliente", "id_producto")
             .join(part, F.col("id_producto") == F.col("p_partkey"))
             .select("fecha", "id_tienda", "id_cliente", F.col(attr).alias("item")))
@@ -534,7 +538,8 @@ def raw_baskets_exact_sample(spark, sf):
     *_type_baskets_ctes(1.0)))
 def frequent_itemsets_types(spark, sf):
     """M2: all frequent itemsets (support 0.01) over part-type baskets."""
-    bk = RU.baskets(_part_items(spark, sf, "p_type"), "item")
+    # counted, searched and read again for the result: made once
+    bk = cut_lineage(RU.baskets(_part_items(spark, sf, "p_type"), "item"))
     return RU.frequent_itemsets(bk, 0.01).select(_txt("items"), "freq", "support")
 
 
